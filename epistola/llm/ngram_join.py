@@ -25,6 +25,8 @@ from epistola.llm._store import drop, keep, partitions
 CELLS, PIECE = 1 << 22, 1 << 16
 #: Postings of an n-gram that are grouped together at most, by the rough count; more are dealt to several groups.
 GROUP = 20_000
+#: 64-bit numbers of a signature.
+WORDS = 8
 #: Classes with most copies that are known while prefixes are made, so that one copy alone makes them.
 HOT = 20_000
 #: Bits of the filter that picks the texts to compare.
@@ -87,23 +89,29 @@ def rare_first(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return grams[np.argsort(rank[(grams & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")]
 
 
-def parts(grams: np.ndarray) -> int:
-    """Members in each eighth of the range of hashes, at most 255 each, in one number."""
-    return int(np.minimum(np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=8), 255).astype(np.uint8).view(np.int64)[0])
+def signature(grams: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS parts of the range of hashes, whether an odd number of members lie in it, in WORDS numbers.
+
+    Two sets differ in at least as many members as their signatures differ in bits.
+    """
+    odd = np.bincount(((grams >> np.uint64(40)) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: doc_id, size and cid of each document; and pieces of each task's rough counts."""
+    """Rows of two kinds: doc_id, size, cid and signature of each document; and pieces of each task's rough counts."""
+    marks = [f"s{k}" for k in range(WORDS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "size", "cid", "piece", "data"]
+        names = ["doc_id", "size", "cid", "piece", "data", *marks]
         for batch in batches:
-            sizes, cids, cells = [], [], []
+            sizes, cids, cells, signs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 grams = gram_set(text, n)
                 sizes.append(len(grams))
                 cids.append(class_of(grams))
+                signs.append(signature(grams))
                 cells.append((grams & np.uint64(CELLS - 1)).astype(np.int32))
                 if sum(map(len, cells[-64:])) > 1 << 21:
                     counts += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
@@ -111,14 +119,15 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             if cells:
                 np.add.at(counts, np.concatenate(cells), 1)
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), *map(pa.array, np.array(signs, np.int64).reshape(-1, WORDS).T.copy())], names)
         codec = pa.Codec("zstd")
         used = [i for i in range(0, CELLS, PIECE) if counts[i : i + PIECE].any()]
         data = [codec.compress(counts[i : i + PIECE].tobytes(), asbytes=True) for i in used]
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i // PIECE for i in used], pa.int32()), pa.array(data, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i // PIECE for i in used], pa.int32()), pa.array(data, pa.binary()), *[none] * WORDS], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, size long, cid long, piece int, data binary")
+    schema = "doc_id long, size long, cid long, piece int, data binary, " + ", ".join(f"{m} long" for m in marks)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, schema)
 
 
 def _ranks(made: DataFrame) -> np.ndarray:
@@ -149,7 +158,7 @@ def _ranks(made: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, rank: np.ndarray, hot: dict[int, int], like: Likeness) -> DataFrame:
-    """token, part, size, place, cid, eighths for each n-gram in a document's prefix; part is -1 where a token has one group. Copies of hot classes but the first make none."""
+    """token, part, size, place, cid, doc for each n-gram in a document's prefix; part is -1 where a token has one group. Copies of hot classes but the first make none."""
     shared = docs.sparkSession.sparkContext.broadcast((rank, hot))  # CELLS bytes and HOT entries
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,37 +173,47 @@ def _postings(docs: DataFrame, rank: np.ndarray, hot: dict[int, int], like: Like
                 own = rare_first(grams, rank)[: like.prefix(len(grams))]
                 often = np.exp2(rank[(own & np.uint64(CELLS - 1)).astype(np.int64)] / 8.0)
                 split = np.ceil(often / GROUP).astype(np.int64)
-                for col, x in zip(cols, (own.astype(np.int64), np.where(split > 1, cid % split, -1).astype(np.int32), np.full(len(own), len(grams), np.int32), np.arange(len(own), dtype=np.int32), np.full(len(own), cid, np.int64), np.full(len(own), parts(grams), np.int64))):
+                for col, x in zip(cols, (own.astype(np.int64), np.where(split > 1, cid % split, -1).astype(np.int32), np.full(len(own), len(grams), np.int32), np.arange(len(own), dtype=np.int32), np.full(len(own), cid, np.int64), np.full(len(own), -(1 << 63) if doc is None else doc, np.int64))):
                     col.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "part", "size", "place", "cid", "eighths"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "part", "size", "place", "cid", "doc"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "token long, part int, size int, place int, cid long, eighths long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "token long, part int, size int, place int, cid long, doc long")
 
 
 def _may_link(a: dict[str, np.ndarray], b: dict[str, np.ndarray], like: Likeness) -> np.ndarray:
-    """The length, positional and suffix filters."""
+    """The length and positional filters."""
     least = -(-like.num * (a["size"] + b["size"]) // (like.num + like.den))
     small, large = np.minimum(a["size"], b["size"]), np.maximum(a["size"], b["size"])
-    reach = np.minimum(a["place"], b["place"]) + 1 + np.minimum(a["size"] - a["place"], b["size"] - b["place"]) - 1
-    apart = np.abs(a["eighths"].view(np.uint8).reshape(-1, 8).astype(np.int64) - b["eighths"].view(np.uint8).reshape(-1, 8)).sum(axis=1)
-    return (small * like.den >= large * like.num) & (reach >= least) & (apart <= a["size"] + b["size"] - 2 * least)
+    reach = np.minimum(a["place"], b["place"]) + np.minimum(a["size"] - a["place"], b["size"] - b["place"])
+    return (small * like.den >= large * like.num) & (reach >= least)
+
+
+def _least(a: Column, b: Column, like: Likeness) -> Column:
+    """The smallest intersection with which sets of these sizes are alike."""
+    return F.ceil((a + b).cast("long") * like.num / (like.num + like.den) - 1e-9)
 
 
 def may_link(a: str, b: str, like: Likeness) -> Column:
     """The same filters on columns of two sides of a join."""
     x, y = (lambda c: F.col(f"{a}.{c}").cast("long")), (lambda c: F.col(f"{b}.{c}").cast("long"))
-    both = x("size") + y("size")
-    least = F.ceil(both * like.num / (like.num + like.den) - 1e-9)
     reach = F.least(x("place"), y("place")) + F.least(x("size") - x("place"), y("size") - y("place"))
-    eighth = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255).cast("long"))
-    apart = sum((F.abs(eighth(x("eighths"), k) - eighth(y("eighths"), k)) for k in range(8)), F.lit(0))
-    return (F.least(x("size"), y("size")) * like.den >= F.greatest(x("size"), y("size")) * like.num) & (reach >= least) & (apart <= both - 2 * least)
+    return (F.least(x("size"), y("size")) * like.den >= F.greatest(x("size"), y("size")) * like.num) & (reach >= _least(x("size"), y("size"), like))
+
+
+def near_enough(a: str, b: str, like: Likeness) -> Column:
+    """The suffix filter, by the parts of the whole range instead of one suffix: a bound on the members in which two sets differ, from their signatures."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    apart = sum((F.bit_count(x(f"s{k}").bitwiseXOR(y(f"s{k}"))) for k in range(WORDS)), F.lit(0))
+    return apart <= x("size") + y("size") - 2 * _least(x("size"), y("size"), like)
 
 
 def _met(postings: DataFrame, like: Likeness) -> DataFrame:
-    """Postings of n-grams that more than one class has, each with the class before it in its group if the filters let them pass."""
-    names = ["token", "part", "size", "place", "cid", "eighths"]
+    """Postings of n-grams that more than one class has, each with the class before it in its group and the first one there, in the order of documents, if the filters let them pass.
+
+    The first is most often the text that others were made from, and alike to more of them than they are to one another.
+    """
+    names = ["token", "part", "size", "place", "cid", "doc"]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[pa.RecordBatch] = []
@@ -208,12 +227,15 @@ def _met(postings: DataFrame, like: Likeness) -> DataFrame:
             # A group that is one part of several is needed whatever its size, as others of its token are elsewhere.
             use = same[1:] | same[:-1] | (c["part"] >= 0)
             after = np.flatnonzero(same[:-1])
-            link = np.zeros(len(use), bool)
+            starts = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(use))))
+            link, hub = np.zeros(len(use), bool), np.zeros(len(use), bool)
             if len(after):
-                link[after] = _may_link({k: v[after - 1] for k, v in c.items()}, {k: v[after] for k, v in c.items()}, like)
+                own = {k: v[after] for k, v in c.items()}
+                link[after] = _may_link({k: v[after - 1] for k, v in c.items()}, own, like)
+                hub[after] = _may_link({k: v[starts[after]] for k, v in c.items()}, own, like)
             before = np.concatenate([[0], c["cid"][:-1]])
             arrays = [pa.array(c[k][use].astype(np.int32 if k in ("part", "size", "place") else np.int64)) for k in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(before[use], mask=~link[use])], [*names, "link"])
+            yield pa.RecordBatch.from_arrays([*arrays[:-1], pa.array(before[use], mask=~link[use]), pa.array(c["cid"][starts][use], mask=~hub[use])], [*names[:-1], "link", "hub"])
 
         for batch in batches:
             token = batch.column(0).to_numpy()
@@ -231,8 +253,8 @@ def _met(postings: DataFrame, like: Likeness) -> DataFrame:
         if left:
             yield from groups(pa.Table.from_batches(left))
 
-    dealt = postings.repartition(max(partitions(postings.sparkSession), 1), "token", "part").sortWithinPartitions("token", "part", "size", "eighths", "cid")
-    return dealt.mapInArrow(pair, "token long, part int, size int, place int, cid long, eighths long, link long")
+    dealt = postings.repartition(max(partitions(postings.sparkSession), 1), "token", "part").sortWithinPartitions("token", "part", "doc", "cid")
+    return dealt.mapInArrow(pair, "token long, part int, size int, place int, cid long, link long, hub long")
 
 
 def _filter_bits(ids: DataFrame) -> tuple[np.ndarray, Column]:
@@ -316,23 +338,28 @@ def link_documents(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     made, _ = keep(_sets(docs, like.n), "sets")
     own = made.where("piece is null").select("doc_id", "size", "cid")
-    classes, _ = keep(own.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    marks = [f"s{k}" for k in range(WORDS)]
+    # Copies have one signature.
+    copies = made.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("size", *marks)])
+    classes, _ = keep(copies, "classes")
+    signs = classes.select("cid", "size", *marks)
     hot = {r["cid"]: r["first"] for r in classes.where("n > 8").orderBy(F.desc("n"), "cid").limit(HOT).collect() if r["first"] is not None}
     met, met_path = keep(_met(_postings(docs, _ranks(made), hot, like), like), "met")
     # Neighbours in a group, and the first of each part of a token with that of the next part.
     heads = met.where("part >= 0").groupBy("token", "part").agg(F.min(F.struct("size", "cid")).alias("h")).select("token", "part", F.col("h.cid").alias("cid"))
     heads = heads.withColumn("link", F.lag("cid").over(Window.partitionBy("token").orderBy("part")))
-    near = met.select("cid", "link").unionAll(heads.select("cid", "link")).where("link is not null and link <> cid")
+    near = met.select("cid", "link").unionAll(met.select("cid", "hub")).unionAll(heads.select("cid", "link")).where("link is not null and link <> cid")
     near = near.select(F.least("cid", "link").alias("a"), F.greatest("cid", "link").alias("b")).distinct()
+    near = near.join(signs.alias("x"), F.col("a") == F.col("x.cid")).join(signs.alias("y"), F.col("b") == F.col("y.cid")).where(near_enough("x", "y", like)).select("a", "b")
     near, near_path = keep(near, "near")
     links, links_path = _verify(docs, near, classes, like)
     first = components(links)
     # What is left: classes on the two sides of a token in different components.
-    placed, placed_path = keep(met.select("token", "size", "place", "cid", "eighths").join(first, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "placed")
+    placed, placed_path = keep(met.select("token", "place", "cid").join(first, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "placed")
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    apart, apart_path = keep(placed.join(mixed, "token", "left_semi"), "apart")
+    apart, apart_path = keep(placed.join(mixed, "token", "left_semi").join(signs, "cid"), "apart")
     x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", like))
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", like) & near_enough("x", "y", like))
     rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     rest, rest_path = keep(rest, "rest")
     more, more_path = _verify(docs, rest, classes, like)
