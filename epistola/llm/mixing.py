@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from epistola.llm._store import drop, keep
+from epistola.llm._store import keep
 
 BUCKETS = 4096
 #: Most labelled documents of a domain that the classifier is fitted on: those of the smallest hash.
@@ -108,12 +108,16 @@ class Mix:
     least: float
     targets: dict[str, float]
     reached: dict[str, float]
+    scored: DataFrame
 
     def add_rates(self, rows: DataFrame, text: str = "text") -> DataFrame:
-        """Adds n_tokens, posteriors, rate and copies: the rate rounded up or down by a hash of the text and id, so that its expectation is the rate."""
-        rows = self.classifier.add(rows, text)
+        """Adds n_tokens, posteriors, rate and copies to rows with a text."""
+        return self.add_copies(self.classifier.add(rows, text))
+
+    def add_copies(self, rows: DataFrame) -> DataFrame:
+        """Adds the rate, and copies: the rate rounded up or down by a hash of the id, so that its expectation is the rate."""
         rows = rows.withColumn("rate", rate(F.col("posteriors"), self.steps, self.least))
-        chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens")), F.lit(1 << 20)) / F.lit(float(1 << 20))
         return rows.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
@@ -134,7 +138,7 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     (expected tokens - target)**2 / target is made least from rates of 1. Without tokens, rates stay at 1.
     """
     classifier = train(docs, labelled, id_col, text_col)
-    scored, path = keep(classifier.add(docs.select(F.col(text_col).alias("text")), "text").select("n_tokens", "posteriors"), "mixing")
+    scored, _ = keep(classifier.add(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("doc_id", "n_tokens", "posteriors"), "mixing")
     size, n = len(classifier.names), F.col("n_tokens")
     p = [F.get("posteriors", F.lit(d)) for d in range(size)]
     sums = scored.agg(*[F.sum(n * p[d]).alias(f"s{d}") for d in range(size)], *[F.sum(n * p[d] * p[e]).alias(f"m{d}_{e}") for d in range(size) for e in range(size)]).first()
@@ -157,8 +161,7 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
             r = rate(F.col("posteriors"), steps, least)
             row = scored.withColumn("r", r * n).agg(*[F.sum(F.col("r") * p[d]).alias(f"s{d}") for d in range(size)]).first()
             now = [float(row[f"s{d}"] or 0) for d in range(size)]
-    drop(docs.sparkSession, path)
-    return Mix(classifier, steps, least, dict(zip(classifier.names, targets)), dict(zip(classifier.names, now)))
+    return Mix(classifier, steps, least, dict(zip(classifier.names, targets)), dict(zip(classifier.names, now)), scored)
 
 
 #: What the registered query and the pipeline mix: shares of languages nearer to each other than the corpus has them.
@@ -168,7 +171,7 @@ DOMAINS = {"en": 0.50, "de": 0.19, "fr": 0.19, "es": 0.12}
 def mix_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, a probability of each domain, rate and copies of every document; the domains are the languages of the rows that have one."""
     mix = fit(docs, docs.select("doc_id", F.col("lang").alias("domain")), DOMAINS)
-    rows = mix.add_rates(docs.select("doc_id", "text"))
+    rows = mix.add_copies(mix.scored)
     return rows.select("doc_id", "n_tokens", *[F.get("posteriors", F.lit(d)).alias(f"p_{x}") for d, x in enumerate(mix.classifier.names)], "rate", "copies")
 
 
