@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -45,6 +46,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a filter, whatever the number of keys.
+FILTER_BITS = 25
+
+
+def bit_of(key: Column) -> Column:
+    """The bit of an integer key; null counts as the smallest."""
+    return F.pmod(F.xxhash64(F.coalesce(key.cast("long"), F.lit(-(1 << 63)))), F.lit(1 << FILTER_BITS))
+
+
+def filter_bits(rows: DataFrame, key: Column) -> np.ndarray:
+    """A filter of fixed size with the bits of all keys. A key that is not among them may have its bit set too."""
+    bits = rows.select(bit_of(key).alias("h")).groupBy(F.shiftright("h", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    packed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in bits.collect():  # 1024 pieces at most
+        packed[r["at"] * 4096 : r["at"] * 4096 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return packed
+
+
+def hits(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list:
     """Ascending quantiles of a key, at most buckets - 1 of them: a bounded number, read from that column alone."""
     at = [i / buckets for i in range(1, buckets)]

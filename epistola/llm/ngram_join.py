@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from epistola.llm._store import drop, keep, partitions
+from epistola.llm._store import bit_of, drop, filter_bits, hits, keep, partitions
 
 #: Cells of the rough counts, and of each piece in which tasks hand them on.
 CELLS, PIECE = 1 << 22, 1 << 16
@@ -29,8 +29,6 @@ GROUP = 20_000
 WORDS = 8
 #: Classes with most copies that are known while prefixes are made, so that one copy alone makes them.
 HOT = 20_000
-#: Bits of the filter that picks the texts to compare.
-FILTER_BITS = 25
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
 
@@ -257,34 +255,20 @@ def _met(postings: DataFrame, like: Likeness) -> DataFrame:
     return dealt.mapInArrow(pair, "token long, part int, size int, place int, cid long, link long, hub long")
 
 
-def _filter_bits(ids: DataFrame) -> tuple[np.ndarray, Column]:
-    """Bits for the numbers in column `id`, 2**FILTER_BITS in all, and the bit of a column doc_id."""
-    bit = lambda c: F.pmod(F.xxhash64(F.coalesce(c.cast("long"), F.lit(-(1 << 63)))), F.lit(1 << FILTER_BITS))
-    rows = ids.select(bit(F.col("id")).alias("h")).groupBy(F.shiftright("h", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767).cast("long"))).alias("bits")).collect()
-    packed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in rows:
-        packed[r["at"] * 4096 : r["at"] * 4096 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return packed, bit(F.col("doc_id"))
-
-
-def _hit(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, like: Likeness) -> tuple[DataFrame, str]:
     """The pairs (a, b) of classes whose whole sets are alike, as a new table."""
     asked = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(classes, "cid").select("cid", "first")
     asked, asked_path = keep(asked, "asked")
-    packed, bit = _filter_bits(asked.select(F.col("first").alias("id")))
+    packed = filter_bits(asked, F.col("first"))
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # of a fixed size
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_hit(shared.value, batch.column(2).to_numpy())))
+            batch = batch.filter(pa.array(hits(shared.value, batch.column(2).to_numpy())))
             sets = [gram_set(t, like.n) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cid", "grams"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit.alias("h")).mapInArrow(make, "doc_id long, cid long, grams binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit_of(F.col("doc_id")).alias("h")).mapInArrow(make, "doc_id long, cid long, grams binary")
     found = found.join(asked.withColumnRenamed("cid", "k"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("cid") == F.col("k"))).select("cid", "grams").dropDuplicates(["cid"])
     found, found_path = keep(found, "grams")
 
@@ -391,15 +375,15 @@ def keep_one(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     counts = linked.groupBy("doc_id", "cid", "component_id").agg(F.count(F.lit(1)).alias("n"))
     judged = counts.join(chosen, F.col("component_id").eqNullSafe(F.col("k")) & (F.col("cid") == F.col("c")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("i")), "left")
     judged, judged_path = keep(judged.select("doc_id", "cid", F.col("c").isNull().alias("out"), "n").where("out or n > 1"), "judged")
-    packed, bit = _filter_bits(judged.select(F.col("doc_id").alias("id")))
+    packed = filter_bits(judged, F.col("doc_id"))
     shared = spark.sparkContext.broadcast(packed)  # of a fixed size
-    own = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("doc_id"), bit.alias("h"), F.lit(None).cast("long").alias("cid"), F.col("text").alias("text"))
+    own = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("doc_id"), bit_of(F.col("doc_id")).alias("h"), F.lit(None).cast("long").alias("cid"), F.col("text").alias("text"))
 
     def judge(maybe: bool):
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = len(columns)
             for batch in batches:
-                hit = _hit(shared.value, batch.column(at + 1).to_numpy())
+                hit = hits(shared.value, batch.column(at + 1).to_numpy())
                 batch = batch.filter(pa.array(hit if maybe else ~hit))
                 cids = [class_of(gram_set(t, like.n)) for t in batch.column(at + 3).to_pylist()] if maybe else [None] * batch.num_rows
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 2], pa.array(cids, pa.int64()), batch.column(at + 3)], batch.schema.names)

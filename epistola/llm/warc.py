@@ -1,9 +1,9 @@
 """WARC archives by a deterministic sharded writer.
 
-Each record is compressed on its own, once. Records are put in ascending order of page_id and cut into files where the
-running sum of their compressed sizes passes a multiple of the file size, so the same pages always give the same files,
-however the tasks were dealt. A file is written under a temporary name and moved to its final one; a manifest that lists
-the files with their sizes and digests commits the archive. Readers take only what the manifest lists.
+Each record is compressed on its own, once. Records are dealt out by ranges of page_id whose bounds are quantiles, put in
+order, and a range is cut into files by compressed size; which files there are follows from the pages and the bounds, not
+from when tasks ran. A file is written under a temporary name and moved to its final one; a manifest that lists the files
+with their sizes and digests commits the archive. Readers take only what the manifest lists.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epistola.llm import _files
-from epistola.llm._store import bucket_of, drop, keep, new_dir, partitions, range_bounds, running_offsets
+from epistola.llm._store import bit_of, bucket_of, drop, filter_bits, hits, keep, new_dir, partitions, range_bounds
 
 #: Payloads shorter than this are stored again each time.
 LEAST = 100
@@ -73,14 +73,24 @@ def write(pages: DataFrame, to: str, file_bytes: int = 8 << 20) -> str:
 
     Of equal payloads of at least 100 bytes, those of the smallest page_id are responses and the rest revisits of it; null
     ids count as the largest and are revisits of a row with an id, if there is one. Null html is an empty payload. A file
-    holds file_bytes, or one record more; rows that repeat are records of their own. No rows give an empty manifest.
+    holds at most file_bytes, or one record; rows that repeat are records of their own. No rows give an empty manifest.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     # Only ids and digests are gathered; partial sums are made before the shuffle, so a payload that is everywhere is one row a task.
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html")).where(F.octet_length("html") >= LEAST).groupBy(F.sha2("html", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(seen, "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.coalesce(F.col("page_id"), F.lit(2**63 - 1)), F.col("first"))).drop("first")
+    seen, seen_path = keep(seen, "warc-seen")
+    shared = spark.sparkContext.broadcast(filter_bits(seen, F.xxhash64("digest")))  # of a fixed size
+    rows = rows.withColumn("h", bit_of(F.xxhash64("digest")))
+
+    def split(maybe: bool):
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = hits(shared.value, batch.column("h").to_numpy())
+                yield batch.filter(pa.array(hit if maybe else ~hit))
+
+        return pick
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,40 +98,41 @@ def write(pages: DataFrame, to: str, file_bytes: int = 8 << 20) -> str:
             data = [record(p, u, h.encode(), d, r) for p, u, h, d, r in zip(page, url, body, digest, refers)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(data, pa.binary()), pa.array(map(len, data), pa.int64())], ["page_id", "data", "size"])
 
-    bounds = range_bounds(pages.select(F.col("page_id").cast("long").alias("k")), "k", min(1024, max(4, partitions(spark))))
-    made, path = keep(rows.mapInArrow(squeeze, "page_id long, data binary, size long").withColumn("piece", bucket_of(F.col("page_id"), bounds)), "warc-records")
-    starts = running_offsets(made.groupBy("piece").agg(F.sum("size").alias("n")), ["piece"], "n").select("piece", "offset")
-    order = [F.col("page_id").asc_nulls_first(), F.col("data")]
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = made.withColumn("at", before).join(F.broadcast(starts), "piece").withColumn("at", (F.col("at") + F.col("offset")).cast("long"))  # one row a piece
-    placed = placed.select("page_id", "data", "size", "at", F.floor(F.col("at") / file_bytes).cast("long").alias("file"))
+    # Only payloads that may be repeated are dealt out to find the page they repeat.
+    single = rows.mapInArrow(split(False), rows.schema).withColumn("refers_to", F.lit(None).cast("long"))
+    other = rows.mapInArrow(split(True), rows.schema).join(seen, "digest", "left")
+    other = other.withColumn("refers_to", F.when(F.col("first") != F.coalesce(F.col("page_id"), F.lit(2**63 - 1)), F.col("first"))).drop("first")
+    rows = single.unionByName(other)
+    bounds = range_bounds(pages.select(F.col("page_id").cast("long").alias("k")), "k", min(1 << 14, max(4, partitions(spark))))
+    made = rows.mapInArrow(squeeze, "page_id long, data binary, size long").withColumn("piece", bucket_of(F.col("page_id"), bounds))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a file come together and in order; each is held until the file is whole, which is bounded by its size."""
+        """Rows of a piece come together and in order; a file's are held until it is whole, which is bounded by its size."""
 
-        def close(number: int, parts: list[bytes]) -> pa.RecordBatch:
-            name, digest = f"part-{number:08d}.warc.gz", hashlib.sha256()
+        def close(piece: int, number: int, parts: list[bytes]) -> pa.RecordBatch:
+            name, digest = f"part-{piece:06d}-{number:06d}.warc.gz", hashlib.sha256()
             for x in parts:
                 digest.update(x)
             _files.put(to, name, parts)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(map(len, parts))], pa.int64()), pa.array([len(parts)], pa.int64()), pa.array([digest.hexdigest()])], ["name", "bytes", "records", "sha256"])
 
-        number, parts = None, []
+        now, number, size, parts = None, 0, 0, []
         for batch in batches:
-            for n, data in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist()):
-                if n != number and parts:
-                    yield close(number, parts)
-                    parts = []
-                number = n
+            for piece, data in zip(batch.column("piece").to_pylist(), batch.column("data").to_pylist()):
+                if parts and (piece != now or size + len(data) > file_bytes):
+                    yield close(now, number, parts)
+                    number, size, parts = number + 1 if piece == now else 0, 0, []
+                now, size = piece, size + len(data)
                 parts.append(data)
         if parts:
-            yield close(number, parts)
+            yield close(now, number, parts)
 
-    dealt = placed.repartition(partitions(spark), "file").sortWithinPartitions("file", "at", *order).select("file", "data")
+    # The one time that records are dealt out.
+    dealt = made.repartition(partitions(spark), "piece").sortWithinPartitions("piece", F.col("page_id").asc_nulls_first(), "data").select("piece", "data")
     listed = dealt.mapInArrow(store, "name string, bytes long, records long, sha256 string")
     manifest = f"{to}/manifest"
     listed.write.parquet(manifest)
-    drop(spark, path)
+    drop(spark, seen_path)
     return manifest
 
 
