@@ -22,11 +22,11 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def keep(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Writes df to a new shared table and returns what was written with its path: it cuts the lineage."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -13,7 +13,6 @@ import struct
 import unicodedata
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from epistola.llm import _files
-from epistola.llm._store import bucket_of, new_dir, partitions, range_bounds, running_offsets
+from epistola.llm._store import bucket_of, drop, keep, new_dir, partitions, range_bounds, running_offsets
 from epistola.llm.token_counts import byte_letters
 
 MAGIC = b"EPTK0001"
@@ -183,39 +182,35 @@ def unpack(data: bytes, points: np.ndarray, left: np.ndarray, at: np.ndarray, ta
     return out
 
 
-def count_ids(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> np.ndarray:
-    """How often each id occurs in the whole corpus. Words are counted first, and each different one is cut into ids once a task."""
+def cut(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """Rows of two kinds: doc_id, and ids with the end id as 16- or 32-bit integers, of each document; id and n of each task's counts."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(shared.value)
-        totals = np.zeros(words.tokenizer.get_vocab_size() + 1, np.int64)
-        totals = np.zeros(max(len(totals), end_id + 1), np.int64)
-        seen: Counter = Counter()
-
-        def empty() -> None:
-            if seen:
-                found = [words[w] for w in seen]
-                n = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), np.fromiter(map(len, found), np.int64, len(found)) // 4)
-                np.add.at(totals, np.frombuffer(b"".join(found), np.uint32), n)
-                seen.clear()
-
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, names = _words(shared.value), ["doc_id", "ids", "id", "n"]
+        size = max(words.tokenizer.get_vocab_size(), end_id + 1)
+        kind, end = np.uint16 if size <= 1 << 16 else np.uint32, array("I", [end_id]).tobytes()
+        totals = np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                totals[end_id] += 1
-                if text:
-                    pieces = words.pieces(text)
-                    if pieces is None:
-                        np.add.at(totals, np.frombuffer(words.of(text), np.uint32), 1)
-                    else:
-                        seen.update(pieces)
-            if len(seen) > 500_000:
-                empty()
-        empty()
+            made = []
+            for text in batch.column(1).to_pylist():
+                ids = np.frombuffer((words.of(text) if text else b"") + end, np.uint32)
+                totals += np.bincount(ids, minlength=size) if len(ids) > size else 0
+                if len(ids) <= size:
+                    np.add.at(totals, ids, 1)
+                made.append(ids.astype(kind).tobytes())
+            none = pa.nulls(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], names)
         ids = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(totals[ids], pa.int64())], ["id", "n"])
+        none = pa.nulls(len(ids))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array(ids, pa.int32()), pa.array(totals[ids], pa.int64())], names)
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row an id at most
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, ids binary, id int, n long")
+
+
+def count_ids(made: DataFrame, end_id: int) -> np.ndarray:
+    """How often each id occurs in the whole corpus."""
+    rows = made.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row an id at most
     counts = np.zeros(max([end_id, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -233,26 +228,27 @@ def write(docs: DataFrame, to: str, vocabulary_path: str, end_id: int = 2, limit
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lengths = code_lengths(count_ids(docs, vocabulary, end_id, "doc_id", "text"), limit)
+    size = Tokenizer.from_str(vocabulary).get_vocab_size()
+    wide = 2 if max(size, end_id + 1) <= 1 << 16 else 4
+    made, path = keep(cut(docs, vocabulary, end_id), "ids", "zstd")
+    lengths = code_lengths(count_ids(made, end_id), limit)
     _files.put(to, "lengths.bin", [lengths.tobytes()])
-    shared = spark.sparkContext.broadcast((vocabulary, lengths, canonical_codes(lengths)))
+    shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # bounded by the vocabulary
     bounds = range_bounds(docs, "doc_id", min(1 << 14, max(4, partitions(spark))))
-    end = array("I", [end_id]).tobytes()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, lengths, codes = shared.value
-        words = _words(source)
+        lengths, codes = shared.value
         for batch in batches:
             sizes, bits, points = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer((words.of(text) if text else b"") + end, np.uint32)
+            for own in batch.column(1).to_pylist():
+                ids = np.frombuffer(own, np.uint16 if wide == 2 else np.uint32)
                 data, at = pack(ids, lengths, codes)
                 sizes.append(len(ids))
                 bits.append(data)
                 points.append(at.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(points, pa.binary())], ["piece", "doc_id", "n", "bits", "points"])
 
-    coded = docs.withColumn("piece", bucket_of(F.col("doc_id"), bounds)).mapInArrow(squeeze, "piece int, doc_id long, n int, bits binary, points binary")
+    coded = made.where("id is null").select("doc_id", "ids").withColumn("piece", bucket_of(F.col("doc_id"), bounds)).mapInArrow(squeeze, "piece int, doc_id long, n int, bits binary, points binary")
     dealt = coded.repartition(partitions(spark), "piece").sortWithinPartitions("piece", F.col("doc_id").asc_nulls_first(), "bits")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +267,7 @@ def write(docs: DataFrame, to: str, vocabulary_path: str, end_id: int = 2, limit
 
     manifest = f"{to}/manifest"
     dealt.mapInArrow(store, "name string, piece int, number int, docs long, tokens long, sha256 string").write.parquet(manifest)
+    drop(spark, path)
     return manifest
 
 
