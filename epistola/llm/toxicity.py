@@ -140,7 +140,7 @@ def train(labelled: DataFrame) -> Machine:
         own = rows.where(F.col("label") == label)
         n = all1 if label else all0
         if n > SAMPLE:  # the smallest hashes, by a bound on the hash first, so that few rows are sorted
-            own = own.where(F.shiftrightunsigned(key, 1) <= F.lit(int(min(1.0, 1.2 * SAMPLE / n) * (2**63 - 1))))
+            own = own.where(F.shiftrightunsigned(key, 1) <= F.lit(min(2**63 - 1, int(1.2 * SAMPLE / n * 2**63))))
         parts.append(own.withColumn("k", key).orderBy("k").limit(SAMPLE).select("text", "label").mapInArrow(pick, "label int, at array<int>"))
     sample = [(r["at"], r["label"]) for part in parts for r in part.collect()]  # at most 2 * SAMPLE rows of TERMS numbers
     machine.fit([np.array(at, np.int64) for at, _ in sample], np.array([y for _, y in sample], float))
