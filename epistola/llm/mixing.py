@@ -77,7 +77,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     for name in names:
         own = labelled.where(F.col("domain") == name)
         if shares[name] > SAMPLE:
-            own = own.where(F.shiftrightunsigned(key, 1) <= F.lit(int(min(1.0, 1.2 * SAMPLE / shares[name]) * (2**63 - 1))))
+            own = own.where(F.shiftrightunsigned(key, 1) <= F.lit(min(2**63 - 1, int(1.2 * SAMPLE / shares[name] * 2**63))))
         own = own.orderBy(key).limit(SAMPLE)
         sample = own if sample is None else sample.unionAll(own)
     # At most SAMPLE rows a domain.
