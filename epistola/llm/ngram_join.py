@@ -11,7 +11,7 @@ link between two of one component would change nothing. So a large group of near
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -255,8 +255,33 @@ def _met(postings: DataFrame, like: Likeness) -> DataFrame:
     return dealt.mapInArrow(pair, "token long, part int, size int, place int, cid long, link long, hub long")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, like: Likeness) -> tuple[DataFrame, str]:
-    """The pairs (a, b) of classes whose whole sets are alike, as a new table."""
+def sketch(grams: np.ndarray) -> bytes:
+    """The size of a set, then the parity of members in each of a power of two parts, at least one for each member: two bits a member at most."""
+    parts = 1 << max(6, (len(grams) - 1).bit_length())
+    odd = np.bincount(((grams >> np.uint64(24)) & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return len(grams).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def sketches_alike(x: bytes, y: bytes, like: Likeness) -> bool:
+    """False only for sets that are not alike: parts are merged until both have as many, then no more may differ than members of alike sets do."""
+    a, b = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+    own, other = np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)
+    if len(own) > len(other):
+        own, other = other, own
+    while len(other) > len(own):
+        half = len(other) // 2
+        other = other[:half] ^ other[half:]
+    least = -(-like.num * (a + b) // (like.num + like.den))
+    return int(np.unpackbits(own ^ other).sum()) <= a + b - 2 * least
+
+
+def sets_alike(x: bytes, y: bytes, like: Likeness) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return like.alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
+
+
+def _passing(docs: DataFrame, pairs: DataFrame, classes: DataFrame, like: Likeness, encode: Callable, test: Callable) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of classes that pass a test on what encode makes of their sets, as a new table."""
     asked = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(classes, "cid").select("cid", "first")
     asked, asked_path = keep(asked, "asked")
     packed = filter_bits(asked, F.col("first"))
@@ -266,26 +291,31 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, like: Likenes
         for batch in batches:
             batch = batch.filter(pa.array(hits(shared.value, batch.column(2).to_numpy())))
             sets = [gram_set(t, like.n) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cid", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(class_of, sets), pa.int64()), pa.array(map(encode, sets), pa.binary())], ["doc_id", "cid", "data"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit_of(F.col("doc_id")).alias("h")).mapInArrow(make, "doc_id long, cid long, grams binary")
-    found = found.join(asked.withColumnRenamed("cid", "k"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("cid") == F.col("k"))).select("cid", "grams").dropDuplicates(["cid"])
-    found, found_path = keep(found, "grams")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit_of(F.col("doc_id")).alias("h")).mapInArrow(make, "doc_id long, cid long, data binary")
+    found = found.join(asked.withColumnRenamed("cid", "k"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("cid") == F.col("k"))).select("cid", "data").dropDuplicates(["cid"])
+    found, found_path = keep(found, "found")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok.append(like.alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            ok = [test(x.as_py(), y.as_py(), like) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sides = pairs.join(found.select(F.col("cid").alias("a"), F.col("grams").alias("x")), "a").join(found.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b")
-    out = keep(sides.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    sides = pairs.join(found.select(F.col("cid").alias("a"), F.col("data").alias("x")), "a").join(found.select(F.col("cid").alias("b"), F.col("data").alias("y")), "b")
+    out = keep(sides.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "passing")
     drop(docs.sparkSession, asked_path, found_path)
     return out
 
 
+def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, like: Likeness) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of classes whose whole sets are alike, as a new table. Sketches, which grow with the sets, spare long texts that only share common n-grams."""
+    likely, path = _passing(docs, pairs, classes, like, sketch, sketches_alike)
+    out = _passing(docs, likely, classes, like, np.ndarray.tobytes, sets_alike)
+    drop(docs.sparkSession, path)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """cid and root, the smallest number that links (a, b) lead to, of every class with a link; each end is tied to smaller ones in turns until nothing changes."""
     spark = links.sparkSession

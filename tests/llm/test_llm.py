@@ -73,6 +73,23 @@ def test_ngram_join_split_groups(spark, monkeypatch):
     assert {r["component_id"] for r in ngram_join.link_documents(rows, like).collect()} == {0}
 
 
+@pytest.mark.parametrize("like", [ngram_join.Likeness(), ngram_join.NEAR])
+def test_sketches_never_lose_a_link(like):
+    rng = np.random.default_rng(4)
+    told = 0
+    for size in (1, 2, 60, 64, 65, 1000, 4100):
+        for changed in (0, 0.02, 0.05, 0.1, 0.2, 1):
+            x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            y = np.unique(np.concatenate([x[int(changed * size) :], rng.integers(0, 1 << 63, int(changed * size / 2)).astype(np.uint64)]))
+            alike = ngram_join.sets_alike(x.tobytes(), y.tobytes(), like)
+            passed = ngram_join.sketches_alike(ngram_join.sketch(x), ngram_join.sketch(y), like)
+            assert passed or not alike
+            told += not passed
+    assert told > 5
+    x, y = (np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64)) for _ in range(2))
+    assert not ngram_join.sketches_alike(ngram_join.sketch(x), ngram_join.sketch(y), like)
+
+
 def test_keep_one(odd):
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
