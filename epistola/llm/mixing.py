@@ -1,16 +1,18 @@
 """Mixing documents to target weights of domains they belong to in part, in SQL functions alone.
 
 A naive Bayes classifier learned from a labelled table gives each document a probability for each domain. Nonnegative rates
-of the documents are then fitted by projected gradient descent on least squares, so that the expected tokens of each
-domain meet its target. The rate of a document follows from its probabilities and the steps taken so far, a few
-numbers each, so a step is one aggregate over a narrow table and nothing but sums of domains comes to the driver.
+of the documents are then fitted by least squares, so that the expected tokens of each domain meet its target. The rate
+of a document follows from its probabilities and one cost a domain, which Newton's method finds on the dual problem, so
+a step is one aggregate over a narrow table and nothing but sums of domains comes to the driver.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epistola.llm._store import keep
@@ -20,7 +22,8 @@ BUCKETS = 4096
 SAMPLE = 4000
 #: Counts that each bucket is given beforehand.
 PRIOR = 50.0
-STEPS, EXACT = 60, 1e-4
+#: Steps after which a fit that has not settled raises, the part of a target that may be missed, what weight rates near 1 have, and the part of all tokens that is warned of.
+STEPS, EXACT, RIDGE, MISSED = 60, 1e-4, 1e-6, 0.001
 _BLANKS = "\t\n\x0b\x0c\r"
 
 
@@ -91,77 +94,97 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     return Classifier(names, [math.log(shares[n] / shares[names[0]]) for n in names], weights)
 
 
-def rate(posteriors: Column, steps: list[list[float]], least: float) -> Column:
-    """A document's rate after the steps: each lowers it by the mean of the step's numbers under its posteriors, but not below `least`."""
-    if not steps:
-        return F.lit(max(1.0, least))
-    size = len(steps[0])
-    flat = numbers([x for s in steps for x in s])
-    fall = lambda t: sum((F.get(posteriors, F.lit(d)) * F.get(flat, t * size + d) for d in range(size)), F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(max(1.0, least)), lambda r, t: F.greatest(F.lit(least), r - fall(t)))
+def rate(posteriors: Column, costs: list[float], least: float) -> Column:
+    """A document's rate: 1 less the mean of the domains' costs under its posteriors, but not below `least`."""
+    return F.greatest(F.lit(float(least)), F.lit(1.0) - sum((F.get(posteriors, F.lit(d)) * F.lit(float(c)) for d, c in enumerate(costs)), F.lit(0.0)))
 
 
 @dataclass
 class Mix:
     classifier: Classifier
-    steps: list[list[float]]
+    costs: list[float]
     least: float
     targets: dict[str, float]
     reached: dict[str, float]
     scored: DataFrame
 
+    @property
+    def gap(self) -> dict[str, float]:
+        """Expected tokens of each domain less its target, as a share of all targets."""
+        total = sum(self.targets.values()) or 1.0
+        return {d: (self.reached[d] - t) / total for d, t in self.targets.items()}
+
     def add_rates(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """Adds n_tokens, posteriors, rate and copies to rows with a text."""
         return self.add_copies(self.classifier.add(rows, text))
 
     def add_copies(self, rows: DataFrame) -> DataFrame:
         """Adds the rate, and copies: the rate rounded up or down by a hash of the id, so that its expectation is the rate."""
-        rows = rows.withColumn("rate", rate(F.col("posteriors"), self.steps, self.least))
+        rows = rows.withColumn("rate", rate(F.col("posteriors"), self.costs, self.least))
         chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens")), F.lit(1 << 20)) / F.lit(float(1 << 20))
         return rows.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
-def largest_root(matrix: list[list[float]]) -> float:
-    """The largest eigenvalue of a small nonnegative matrix."""
-    v, top = [1.0] * len(matrix), 1.0
-    for _ in range(100):
-        v = [sum(a * b for a, b in zip(row, v)) for row in matrix]
-        top = max(v) or 1.0
-        v = [x / top for x in v]
-    return top
-
-
 def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> Mix:
     """Fits rates of at least `least`. weights: a share for each domain that labelled names; others are 0.
 
-    total: expected tokens of the mix; None for the fewest with which no domain has to shrink. The sum over domains of
-    (expected tokens - target)**2 / target is made least from rates of 1. Without tokens, rates stay at 1.
+    total: expected tokens of the mix; None for the fewest with which no domain of a weight has to shrink. A target below
+    what `least` leaves of a domain counts as what it leaves, and a domain that has more than its target may keep EXACT of
+    it more. The sum over domains of (expected tokens - target)**2 / tokens now, plus RIDGE times that over documents of
+    tokens * (rate - 1)**2, is made least. Rates that do so are 1 less the mean cost of the domains, with a cost of
+    (expected tokens - target) / (RIDGE * tokens now): as many unknowns as domains, found by Newton's method. What targets cannot be met is told by Mix.gap, and warned of from MISSED on. Without tokens,
+    rates stay at 1.
     """
     classifier = train(docs, labelled, id_col, text_col)
     scored, _ = keep(classifier.add(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("doc_id", "n_tokens", "posteriors"), "mixing")
     size, n = len(classifier.names), F.col("n_tokens")
     p = [F.get("posteriors", F.lit(d)) for d in range(size)]
-    sums = scored.agg(*[F.sum(n * p[d]).alias(f"s{d}") for d in range(size)], *[F.sum(n * p[d] * p[e]).alias(f"m{d}_{e}") for d in range(size) for e in range(size)]).first()
-    now = [float(sums[f"s{d}"] or 0) for d in range(size)]
+    pairs = [(d, e) for d in range(size) for e in range(d + 1)]
+
+    def measure(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected tokens of the domains, how they fall with the costs, and the sum over documents that the costs make most."""
+        r, free = F.col("r"), F.when(F.col("u") < 1.0 - least, n).otherwise(0)
+        rows = scored.withColumn("u", sum((x * F.lit(float(c)) for x, c in zip(p, costs)), F.lit(0.0))).withColumn("r", rate(F.col("posteriors"), list(costs), least))
+        gain = F.sum(n * (F.pow(r - 1.0, F.lit(2)) / 2 + r * F.col("u")))
+        row = rows.agg(*[F.sum(n * r * x) for x in p], *[F.sum(free * p[d] * p[e]) for d, e in pairs], gain).first()
+        row = [float(x or 0) for x in row]
+        fall = np.zeros((size, size))
+        for (d, e), x in zip(pairs, row[size:-1]):
+            fall[d, e] = fall[e, d] = x
+        return np.array(row[:size]), fall, row[-1]
+
+    costs = np.zeros(size)
+    now, fall, gain = measure(costs)
+    own = now / max(1.0, least)  # the tokens at rates of 1
     share = [max(0.0, weights.get(x, 0.0)) for x in classifier.names]
-    share = [x / sum(share) for x in share] if sum(share) else [1 / size] * size
+    share = np.array([x / sum(share) for x in share] if sum(share) else [1 / size] * size)
     if total is None:
-        total = max(s / w if w else 0.0 for s, w in zip(now, share))
-    targets = [total * w for w in share]
-    scale = [max(t, 1e-6 * max(total, 1.0)) for t in targets]
-    steps: list[list[float]] = []
-    if sum(now):
-        matrix = [[float(sums[f"m{d}_{e}"] or 0) / math.sqrt(scale[d] * scale[e]) for e in range(size)] for d in range(size)]
-        pace = 1.0 / largest_root(matrix)
+        total = max(s / w if w else 0.0 for s, w in zip(own, share))
+    targets = total * share
+    if own.sum():
+        scale, aim = np.where(own > 0, own, 1.0), np.maximum(targets, least * own)
+        aim = np.where(aim <= own, aim * (1 + EXACT), aim)
+        root = np.sqrt(scale)
+        value = lambda gain, costs: gain - aim @ costs - RIDGE / 2 * (scale * costs) @ costs
         for _ in range(STEPS):
-            off = [(s - t) / c for s, t, c in zip(now, targets, scale)]
-            if max(map(abs, off)) < EXACT:
+            off = now - aim - RIDGE * scale * costs
+            if max(abs(off) / np.maximum(aim, scale)) < EXACT / 100:
                 break
-            steps.append([pace * x for x in off])
-            r = rate(F.col("posteriors"), steps, least)
-            row = scored.withColumn("r", r * n).agg(*[F.sum(F.col("r") * p[d]).alias(f"s{d}") for d in range(size)]).first()
-            now = [float(row[f"s{d}"] or 0) for d in range(size)]
-    return Mix(classifier, steps, least, dict(zip(classifier.names, targets)), dict(zip(classifier.names, now)), scored)
+            step = np.linalg.solve(fall / np.outer(root, root) + RIDGE * np.eye(size), off / root) / root
+            pace, before = 1.0, value(gain, costs)
+            while True:  # the value is concave, so a short enough step raises it
+                now, fall, gain = measure(costs + pace * step)
+                if value(gain, costs + pace * step) >= before + 1e-4 * pace * (off @ step) - 1e-12 * abs(before) or pace < 1e-6:
+                    break
+                pace /= 2
+            costs = costs + pace * step
+        else:
+            raise ArithmeticError(f"rates are not settled after {STEPS} steps: {dict(zip(classifier.names, now))} expected, {dict(zip(classifier.names, aim))} wanted")
+    mix = Mix(classifier, costs.tolist(), least, dict(zip(classifier.names, targets.tolist())), dict(zip(classifier.names, now.tolist())), scored)
+    missed = {d: round(x, 4) for d, x in mix.gap.items() if abs(x) > MISSED}
+    if missed:
+        warnings.warn(f"targets are missed by these shares of all tokens: {missed}", stacklevel=2)
+    return mix
 
 
 #: What the registered query and the pipeline mix: shares of languages nearer to each other than the corpus has them.
