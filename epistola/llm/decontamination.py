@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over SPAN words in a row that looks at some of them only, so a changed word in a gap does not hide
-a copied passage. Hashes of all masked windows of the benchmark are joined with those of every document; where they
+A seed is a fixed mask over at most SPAN words in a row that looks at some of them only, so a changed word in a gap does
+not hide a copied passage. The masks are all that the end of a stretch can have: there, of any number of last words, more
+are equal than not, so whatever the verification would accept is hit by one of them. Hashes of all masked windows of the benchmark are joined with those of every document; where they
 meet, document and item are laid side by side, and the stretch around the hit is verified word by word.
 """
 
@@ -14,8 +15,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-SPAN = 9
-MASKS = ("111011001", "110100111", "101110110", "100111011")
+def end_masks(weight: int) -> tuple[str, ...]:
+    """All ends of a stretch from its equal word number `weight` from the last on: of any last words of it, more are equal than not."""
+    found, ends = [], [("1", 1)]  # with equal less unequal words
+    while ends:
+        mask, over = ends.pop()
+        if mask.count("1") == weight:
+            found.append(mask)
+        else:
+            ends += [("1" + mask, over + 1)] + [("0" + mask, over - 1)] * (over > 1)
+    return tuple(sorted(found))
+
+
+#: Words that a mask looks at, or as many as a shorter item has to have equal.
+WEIGHT = 4
+MASKS = end_masks(WEIGHT)
+SPAN = 2 * WEIGHT - 2
 #: Words of the benchmark that are held by a task at a time; a larger benchmark takes more passes.
 BLOCK_WORDS = 500_000
 #: A stretch counts with so many equal words, or with this share of a shorter item.
@@ -46,6 +61,16 @@ class Words(dict):
 _words = Words()
 
 
+def least_equal(n: int) -> int:
+    """Equal words that a stretch of an item of n words has to have."""
+    return next(k for k in range(1, max(2, n + 1)) if k >= min(LEAST_WORDS, max(1, LEAST_SHARE * n)))
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for an item of n words: each stretch that counts is hit by one of them."""
+    return tuple(m for m in (MASKS if least_equal(n) >= WEIGHT else end_masks(least_equal(n))) if len(m) <= n)
+
+
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     """The hash of each window under a mask; none if there are fewer words than the mask is long."""
     n = len(words) - len(mask) + 1
@@ -59,15 +84,16 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Index:
-    """The seeds of some benchmark items; items shorter than SPAN have one window of all their words."""
+    """The seeds of some benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [_words.of(t) for _, t in items]
-        self.masks = sorted({"1" * len(w) for w in self.words if 0 < len(w) < SPAN}) + list(MASKS)
+        self.masks = sorted({m for w in self.words for m in masks_of(len(w))})
+        self.least = [least_equal(len(w)) for w in self.words]
         keys, item, at = [], [], []
         for n, words in enumerate(self.words):
-            for mask in ["1" * len(words)] if 0 < len(words) < SPAN else MASKS:
+            for mask in masks_of(len(words)):
                 own = seeds(words, mask)
                 keys.append(own)
                 item.append(np.full(len(own), n, np.int32))
@@ -97,8 +123,10 @@ class Index:
             own = self.words[item]
             first = max(0, -shift)
             equal = own[first : len(words) - shift] == words[max(0, shift) : shift + len(own)]
+            if np.count_nonzero(equal) < self.least[item]:
+                continue
             start, size, n = stretch(equal)
-            if n >= min(LEAST_WORDS, max(1, LEAST_SHARE * len(own))) and n > best.get(item, (0, 0, 0))[2]:
+            if n >= self.least[item] and n > best.get(item, (0, 0, 0))[2]:
                 best[item] = (first + shift + start, size, n, len(own))
         return [(self.ids[i], *x) for i, x in sorted(best.items())]
 
