@@ -2,8 +2,8 @@
 
 K words in a row are an anchor if the smallest hash of the S-word runs inside them lies at either edge. Whether it does
 follows from these K words and nothing around them, so equal passages have equal anchors wherever they stand. A
-fingerprint keeps the MOST anchors of the smallest hashes, each with its place, and two are compared by how many of the
-smallest they share at one displacement.
+fingerprint keeps all of them, each hash with its first place, and two are compared by how many they share at one
+displacement.
 """
 
 from __future__ import annotations
@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from epistola.llm._store import bucket_of, partitions, range_bounds
 
 K, S = 5, 2
-MOST = 64
 #: Bits of a packed anchor that hold its place, and words by which places may differ from the common displacement.
 PLACE_BITS, SLACK = 24, 64
 _BLANKS = "\t\n\x0b\x0c\r"
 
 
 def add_anchors(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds `name`: packed anchors in ascending order, one for each hash, at most MOST.
+    """Adds `name`: packed anchors in ascending order, one for each hash.
 
     A text too short to have an anchor has one of all its words; an empty text has none. text must not be null.
     """
@@ -36,7 +35,7 @@ def add_anchors(rows: DataFrame, text: str, name: str) -> DataFrame:
     rows = rows.withColumn(a, F.when(F.size(h) >= K, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
     first = F.filter(a, lambda x, i: (i == 0) | (F.shiftright(x, PLACE_BITS) != F.shiftright(F.get(a, i - 1), PLACE_BITS)))
     whole = F.when(F.col(text) == "", F.array().cast("array<bigint>")).otherwise(F.array(pack(F.xxhash64(text, F.lit(K)), F.lit(0))))
-    return rows.withColumn(name, F.when(F.size(a) > 0, F.slice(first, 1, MOST)).otherwise(whole)).drop(h, g, a)
+    return rows.withColumn(name, F.when(F.size(a) > 0, first).otherwise(whole)).drop(h, g, a)
 
 
 def as_text(anchors: str) -> Column:
@@ -45,22 +44,20 @@ def as_text(anchors: str) -> Column:
 
 
 def add_likeness(rows: DataFrame, one: str, other: str, name: str) -> DataFrame:
-    """Adds `name`, 0 to 1: of the smallest hashes of either fingerprint, the share that both have, at places that differ by the median displacement, give or take SLACK words.
+    """Adds `name`, 0 to 1: of the hashes of either fingerprint, the share that both have, at places that differ by the median displacement, give or take SLACK words.
 
     Two fingerprints without anchors are alike (1); one without is unlike any with anchors (0).
     """
-    x, y, both = f"{name}_x", f"{name}_y", f"{name}_b"
-    hashes = lambda c: F.transform(c, lambda v: F.shiftright(v, PLACE_BITS))
-    places = lambda c: F.transform(c, lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
-    rows = rows.withColumns({x: hashes(one), y: hashes(other)})
-    union = f"{name}_u"
-    rows = rows.withColumn(union, F.slice(F.sort_array(F.array_union(x, y)), 1, F.least(F.lit(MOST), F.greatest(F.size(x), F.size(y)))))
-    shared = F.array_intersect(F.array_intersect(x, y), union)
-    place = lambda c, hs: (lambda v: F.get(places(c), (F.array_position(hs, v) - 1).cast("int")))
-    rows = rows.withColumn(both, F.transform(shared, lambda v: place(one, F.col(x))(v) - place(other, F.col(y))(v)))
-    middle = F.get(F.sort_array(both), F.floor(F.size(both) / 2).cast("int"))
-    agreed = F.size(F.filter(both, lambda d: F.abs(d - middle) <= SLACK))
-    return rows.withColumn(name, F.when(F.size(union) == 0, F.lit(1.0)).otherwise(agreed / F.size(union))).drop(x, y, both, union)
+    merged, both, middle = f"{name}_m", f"{name}_b", f"{name}_d"
+    tagged = lambda c, side: F.transform(c, lambda v: F.struct(F.shiftright(v, PLACE_BITS).alias("h"), F.lit(side).alias("side"), v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place")))
+    rows = rows.withColumn(merged, F.sort_array(F.concat(tagged(one, 0), tagged(other, 1))))
+    at = lambda i, part: F.get(merged, i)[part]
+    # A hash is once in a fingerprint, so one of both stands beside itself.
+    shared = F.filter(F.sequence(F.lit(0), F.size(merged) - 1), lambda i: at(i, "h") == at(i + 1, "h"))
+    rows = rows.withColumn(both, F.sort_array(F.transform(shared, lambda i: at(i, "place") - at(i + 1, "place"))))
+    rows = rows.withColumn(middle, F.get(both, F.floor(F.size(both) / 2).cast("int")))
+    agreed = F.size(F.filter(both, lambda d: (d >= F.col(middle) - SLACK) & (d <= F.col(middle) + SLACK)))
+    return rows.withColumn(name, F.when(F.size(merged) == 0, F.lit(1.0)).otherwise(agreed / (F.size(merged) - F.size(both)))).drop(merged, both, middle)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
