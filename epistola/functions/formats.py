@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Flags of a mail server and the letters of a Maildir file name, fixed values.
-LETTERS = {"\\Answered": "R", "\\Flagged": "F", "\\Seen": "S", "\\Draft": "D"}
+LETTERS = {"\\Answered": "R", "\\Flagged": "F", "\\Seen": "S", "\\Draft": "D", "\\Deleted": "T"}
 KEYWORDS = {"$seen": "\\Seen", "$flagged": "\\Flagged", "$answered": "\\Answered", "$draft": "\\Draft"}
 
 
@@ -23,10 +23,19 @@ def extension(filename: Column) -> Column:
 
 
 def maildir_letters(flags: Column) -> Column:
-    """Letters in order for flags with blanks between; others are dropped."""
-    known = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
-    letters = F.transform(F.split(F.coalesce(flags, F.lit("")), " "), lambda f: F.element_at(known, f))
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(letters, lambda x: x.isNotNull()))), "")
+    """Letters in order, once each: of server flags with blanks between, whatever their case, or of letters as a Maildir has them. What is neither is dropped."""
+    flags = F.coalesce(flags, F.lit(""))
+    known = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (k.lower(), v)])
+    named = F.transform(F.split(F.lower(flags), r"\s+"), lambda f: F.element_at(known, f))
+    plain = F.filter(F.split(flags, ""), lambda x: x.isin(*LETTERS.values(), "P"))
+    letters = F.when(F.contains(flags, F.lit("\\")), F.filter(named, lambda x: x.isNotNull())).otherwise(plain)
+    return F.array_join(F.array_sort(F.array_distinct(letters)), "")
+
+
+def server_flags(flags: Column) -> Column:
+    """Server flags, in the order of their letters, for either form; a mark of deletion is not given back."""
+    named = F.create_map(*[F.lit(x) for k, v in LETTERS.items() if v != "T" for x in (v, k)])
+    return F.array_join(F.filter(F.transform(F.split(maildir_letters(flags), ""), lambda x: F.element_at(named, x)), lambda x: x.isNotNull()), " ")
 
 
 def flags_of_keywords(keywords: Column) -> Column:
@@ -42,9 +51,21 @@ def german_number(n: Column) -> Column:
 
 
 def german_size(size: Column) -> Column:
-    """Bytes as B, KB, MB or GB, with one decimal from MB on."""
-    tenth = lambda unit: F.concat(F.translate(F.format_number(size / unit, 1), ",.", ".,"), F.lit(" MB" if unit == 1 << 20 else " GB"))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.concat(F.format_number(size / 1024, 0), F.lit(" KB"))).when(size < 1 << 30, tenth(1 << 20)).otherwise(tenth(1 << 30))
+    """Bytes as B, KB, MB, GB or TB, with one decimal from MB on. Halves go to the even neighbour; thousands are not marked."""
+    whole = lambda unit: F.bround(size / F.lit(float(unit)), 0).cast("long").cast("string")
+    tenth = lambda unit: F.translate(F.format_string("%.1f", F.bround(size / F.lit(float(unit)), 1)), ".", ",")
+    shown = F.when(size < 1 << 10, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.concat(whole(1 << 10), F.lit(" KB")))
+    shown = shown.when(size < 1 << 30, F.concat(tenth(1 << 20), F.lit(" MB"))).when(size < 1 << 40, F.concat(tenth(1 << 30), F.lit(" GB")))
+    return shown.when(size.isNotNull(), F.concat(tenth(1 << 40), F.lit(" TB")))
+
+
+def german_time(iso: Column) -> Column:
+    """25.08.2026, 09:46 for an ISO time, in the zone it is written in; midnight where it has only a day. Other text stays as it is, null is empty."""
+    day = F.regexp_extract(iso, r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:\d{2})?)?$", 1)
+    minute = F.coalesce(F.nullif(F.regexp_extract(iso, r"^\d{4}-\d{2}-\d{2}[T ](\d{2}:\d{2})", 1), F.lit("")), F.lit("00:00"))
+    valid = (day != "") & F.try_to_timestamp(F.concat(day, F.lit(" "), minute), F.lit("yyyy-MM-dd HH:mm")).isNotNull()
+    shown = F.concat(F.substring(day, 9, 2), F.lit("."), F.substring(day, 6, 2), F.lit("."), F.substring(day, 1, 4), F.lit(", "), minute)
+    return F.when(valid, shown).otherwise(F.coalesce(iso, F.lit("")))
 
 
 def safe_name(name: Column) -> Column:
@@ -52,9 +73,10 @@ def safe_name(name: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(name, r'[\x00-\x1f<>:"/\\|?*]+', "_")), F.lit("")), F.lit("_"))
 
 
-def maildir_folder(folder: Column) -> Column:
-    """The directory of a folder in a Maildir++ collection; INBOX is the collection itself."""
-    return F.when(F.upper(folder) == "INBOX", F.lit("")).otherwise(F.concat(F.lit("."), F.array_join(F.transform(F.split(folder, "/"), lambda p: F.translate(safe_name(p), ".", "_")), ".")))
+def maildir_folder(account: Column, folder: Column) -> Column:
+    """The directory of an account's folder in a Maildir++ collection: .account.A.B, so that accounts restored to one place stay apart."""
+    parts = F.filter(F.concat(F.array(account), F.split(F.coalesce(folder, F.lit("")), "/")), lambda p: p != "")
+    return F.concat(F.lit("."), F.array_join(F.transform(parts, lambda p: F.translate(safe_name(p), ".", "_")), "."))
 
 
 def file_name(date_text: Column, hash: Column) -> Column:

@@ -17,33 +17,36 @@ from pyspark.sql import DataFrame, functions as F
 from epistola.functions import formats
 
 BODY_MOST, ATTACHED_MOST, PART_MOST = 1_000_000, 600_000, 80 << 20
-_BLOCKS = {"p", "div", "br", "tr", "li", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "hr", "section", "article"}
-_HIDDEN = {"script", "style", "head", "title"}
+#: Elements that begin a line, and those whose text is not shown, fixed values.
+_BLOCKS = {"p", "br", "div", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "ul", "ol", "hr", "section"}
+_HIDDEN = {"script", "style", "head"}
 
 
 class _Text(HTMLParser):
-    def __init__(self) -> None:
+    """Pieces of text between tags; the text flows on in one line, or breaks where a block begins or ends."""
+
+    def __init__(self, between: str, at_blocks: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.out, self.hidden = [], 0
+        self.out, self.hidden, self.between, self.at_blocks = [], 0, between, at_blocks
 
     def handle_starttag(self, tag, attrs):
         self.hidden += tag in _HIDDEN
         if tag in _BLOCKS:
-            self.out.append("\n")
+            self.out.append(self.at_blocks)
 
     def handle_endtag(self, tag):
         self.hidden = max(0, self.hidden - (tag in _HIDDEN))
         if tag in _BLOCKS:
-            self.out.append("\n")
+            self.out.append(self.at_blocks)
 
     def handle_data(self, data):
         if not self.hidden:
-            self.out.append(data)
+            self.out.append(data + self.between)
 
 
 def html_to_text(html: str | None, paragraphs: bool = False) -> str:
-    """The text that a page shows; in paragraphs, blocks keep their lines with one empty line between at most."""
-    parser = _Text()
+    """The text that a page shows: its pieces with a blank between; in paragraphs, blocks keep their lines with one empty line between at most."""
+    parser = _Text("", "\n") if paragraphs else _Text(" ", "")
     parser.feed(html or "")
     parser.close()
     text = "".join(parser.out)
@@ -63,13 +66,14 @@ def decode(data: bytes, charset: str | None) -> str:
 
 
 def _importance(message) -> str:
-    value = str(message.get("Importance", "") or "").strip().lower()
-    if value in ("high", "low"):
-        return {"high": "hoch", "low": "niedrig"}[value]
-    digit = re.match(r"\s*([1-5])", str(message.get("X-Priority", "") or ""))
-    if digit:
-        return {"1": "hoch", "2": "hoch", "4": "niedrig", "5": "niedrig"}.get(digit[1], "normal")
-    return {"urgent": "hoch", "non-urgent": "niedrig"}.get(str(message.get("Priority", "") or "").strip().lower(), "normal")
+    """hoch, normal or niedrig: by how the first of these headers that says anything begins."""
+    named = {"Importance": {"high": "hoch", "low": "niedrig"}, "X-Priority": {"1": "hoch", "2": "hoch", "3": "normal", "4": "niedrig", "5": "niedrig"}, "Priority": {"urgent": "hoch", "non-urgent": "niedrig"}}
+    for header, levels in named.items():
+        value = str(message.get(header, "") or "").strip().lower()
+        for begin, level in levels.items():
+            if value.startswith(begin):
+                return level
+    return "normal"
 
 
 def _date(message) -> str | None:
@@ -123,17 +127,31 @@ def parse_message(raw: bytes) -> dict:
     }
 
 
-PARSED = "subject string, from_name string, from_addr string, to array<string>, cc array<string>, bcc array<string>, date_text string, message_id string, in_reply_to string, references array<string>, importance string, body string, attached array<struct<filename:string,mime_type:string,size:long,text:string,inline:boolean>>"
+#: What is returned for a message that cannot be read.
+NOTHING = {"subject": "", "from_name": "", "from_addr": "", "to": [], "cc": [], "bcc": [], "date_text": None, "message_id": "", "in_reply_to": "", "references": [], "importance": "normal", "body": "", "attached": []}
+
+
+def try_parse(raw: bytes | None) -> dict:
+    """The message, with `problem` telling why it could not be read: one bad message must not hold up the others."""
+    if not raw:
+        return NOTHING | {"problem": "empty"}
+    try:
+        return parse_message(raw) | {"problem": None}
+    except Exception as error:  # noqa: BLE001 - a message may hold anything
+        return NOTHING | {"problem": f"{type(error).__name__}: {error}"[:500]}
+
+
+PARSED = "problem string, subject string, from_name string, from_addr string, to array<string>, cc array<string>, bcc array<string>, date_text string, message_id string, in_reply_to string, references array<string>, importance string, body string, attached array<struct<filename:string,mime_type:string,size:long,text:string,inline:boolean>>"
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds the parsed fields to rows with a column `raw`, and hash, bucket, year, thread and has_attachments made from them."""
+    """Adds the parsed fields to rows with a column `raw`, and hash, bucket, year, thread and has_attachments made from them; `problem` is null but for what could not be read."""
 
     @F.pandas_udf(PARSED)
     def read(raws: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in PARSED.split(", ")]
         for raw in raws:
-            yield pd.DataFrame([parse_message(bytes(x) if x is not None else b"") for x in raw], columns=columns)
+            yield pd.DataFrame([try_parse(bytes(x) if x is not None else None) for x in raw], columns=columns)
 
     rows = messages.withColumn("p", read("raw")).select(*messages.columns, "p.*")
     return rows.withColumns({

@@ -66,22 +66,19 @@ def has_part(folded: Column, value: str) -> Column:
     return F.coalesce(folded.contains(fold_text(value)), F.lit(False)) if len(value) >= 3 else F.lit(False)
 
 
-#: Spellings that stand for one another.
-SPELLINGS = (("ß", "ss"), ("ae", "ä"), ("oe", "ö"), ("ue", "ü"))
+#: What is written for what in another spelling, fixed values. Only the first pair goes both ways: ü is found by u, so it needs no ue.
+SPELLINGS = (("ß", "ss"), ("ss", "ß"), ("ae", "ä"), ("oe", "ö"), ("ue", "ü"))
 
 
 def spellings(value: str, most: int = 8, rounds: int = 3) -> list[str]:
-    """The value and its other spellings in lower case, at most `most` of them."""
-    found = [value]
+    """The value, then its other spellings in lower case, `most` in all: each round changes one kind of letters in all that are there."""
+    found = {value.lower(): value}
     for _ in range(rounds):
         for known in list(found):
-            for one, other in SPELLINGS:
-                for a, b in ((one, other), (other, one)):
-                    if a in known.lower():
-                        made = known.lower().replace(a, b)
-                        if made not in found and len(found) < most:
-                            found.append(made)
-    return found
+            for written, other in SPELLINGS:
+                if written in known and len(found) < most:
+                    found.setdefault(known.replace(written, other), known.replace(written, other))
+    return list(found.values())
 
 
 def glob_pattern(glob: str, negation: str = "^") -> str:

@@ -130,7 +130,7 @@ def sender_display() -> Column:
     return F.when(F.col("from_name") == "", F.col("from_addr")).when(F.col("from_addr") == "", F.col("from_name")).otherwise(F.concat("from_name", F.lit(" <"), "from_addr", F.lit(">")))
 
 
-_COMPARE = {"=": lambda c, v: c == v, ">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "starts": lambda c, v: c.startswith(v)}
+_COMPARE = {"=": lambda c, v: c == v, ">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "starts": lambda c, v: F.like(c, F.concat(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("%")))}
 
 
 def compare(p: T.Compare) -> Column:

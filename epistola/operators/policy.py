@@ -84,14 +84,18 @@ def reapply(messages: DataFrame, locations: DataFrame, rules: list[Rule]) -> Dat
     return first.where("category <> now").select("hash", "category")
 
 
-#: Folders that are not archived, by their letters and digits in lower case, fixed values.
-EXCLUDED = ("trash", "deleteditems", "deletedmessages", "papierkorb", "geloeschteelemente", "gelöschteelemente", "junk", "junkemail", "spam", "spamverdacht", "drafts", "entwuerfe", "entwürfe")
+#: Folders that are not archived, fixed values. Case, blanks and signs do not count.
+EXCLUDED = (
+    "Trash", "Papierkorb", "Deleted Items", "Gelöschte Elemente", "Deleted Messages", "Gelöschte Objekte",
+    "Junk", "Spam", "Junk E-Mail", "Junk-E-Mail", "Bulk Mail", "Werbung", "Unerwünschte E-Mail", "Drafts", "Entwürfe",
+)
 
 
 def is_excluded(folder: Column, names: tuple[str, ...] = EXCLUDED) -> Column:
-    """Whether any part of a folder's path is one of the names, whatever its case, blanks and signs."""
-    plain = lambda p: F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]", "")
-    return F.exists(F.split(folder, "/"), lambda p: plain(p).isin(*names))
+    """Whether any part of a folder's path is one of the names, whatever its case, blanks and signs; ß counts as ss."""
+    plain = lambda p: F.regexp_replace(F.replace(F.lower(p), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
+    known = sorted({"".join(c for c in n.casefold() if c.isalnum()) for n in names})
+    return F.exists(F.split(folder, "/"), lambda p: plain(p).isin(*known))
 
 
 def has_marker(subject: Column, markers: list[str]) -> Column:

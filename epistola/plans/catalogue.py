@@ -52,6 +52,8 @@ _docs("the ing", f"({_word('the')} OR account LIKE 'the%') AND {_word('ing')}")(
 _docs('text:"of the"', rf"regexp_matches(folded, '{_BEGIN}of[^\pL\pN]+the')")("search_phrase")
 _docs("text:der -the", f"{_word('der')} AND NOT {_word('the')}")("search_exclude")
 _docs("text:fuer", f"({_word('fuer')} OR {_word('fur')})")("search_spelling_variants")
+_docs("text:für", _word("fur"))("search_spelling_one_way")
+_docs("text:dass", f"({_word('dass')} OR {_word('daß')})")("search_spelling_sharp_s")
 _docs("betreff:ing", "contains(folded_subject, 'ing')")("search_subject_substring")
 _docs("betreff:th", r"regexp_matches(folded_subject, '(^|[^\pL\pN])th')")("search_short_value_fallback")
 _docs("text:lich", _word("lich"))("search_body_field")
@@ -73,7 +75,9 @@ _orders("archiviert:1998-10", "captured LIKE '1998-10%'")("search_captured_prefi
 _orders("cc:Supplier.00000000", "EXISTS (SELECT 1 FROM rcp WHERE rcp.hash = msg.hash AND kind = 'cc' AND addr LIKE '%supplier.00000000%')")("search_recipient_kind")
 _orders("-konto:NATION_7 -jahr:1997", "NOT EXISTS (SELECT 1 FROM loc WHERE loc.hash = msg.hash AND account = 'NATION_7') AND year <> 1997")("search_negated_field")
 _orders("konto:NATION_3 -typ:promo jahr:1996 groesse:>100KB", "EXISTS (SELECT 1 FROM loc WHERE loc.hash = msg.hash AND account = 'NATION_3') AND NOT EXISTS (SELECT 1 FROM att WHERE att.hash = msg.hash AND extension = 'promo') AND year = 1996 AND size > 102400")("search_combined")
-_orders("von:customer#000000001 nur-an:x", "false")("search_unknown_field")
+_orders("order:5", "subject LIKE 'Order 5%'")("search_unknown_field")
+_orders("wichtigkeit:dringend jahr:1996", "importance = 'hoch' AND year = 1996")("search_importance_synonym")
+_orders("archiviert:199", "captured LIKE '199%'")("search_captured_decade")
 
 
 @query(sql("msg", "SELECT hash, date_text, size FROM msg WHERE year = 1996 ORDER BY size DESC NULLS LAST, date_text DESC NULLS LAST, hash LIMIT 50 OFFSET 100"))
@@ -91,9 +95,13 @@ def count_visible(spark, sf):
     return orders(spark, sf).seen_by(View(("NATION_5",))).count("kategorie:unbestimmt")
 
 
-@query("SELECT doc_id AS hash FROM documents WHERE false")
+@query("SELECT source AS account, count(*) AS n FROM documents WHERE source IN ('src1', 'src3') GROUP BY 1")
 def search_nothing_visible(spark, sf):
-    return documents(spark, sf).seen_by(View.of({"active": False})).matches("").select("hash")
+    """What three readers see: one of two accounts, one who is not active, one without any."""
+    own = documents(spark, sf)
+    views = [View.of({"accounts": ["src3", "src1"]}), View.of({"active": False, "all": True}), View.of({"accounts": []})]
+    seen = [own.seen_by(v).matches("").select("from_name") for v in views]
+    return seen[0].unionAll(seen[1]).unionAll(seen[2]).groupBy(F.col("from_name").alias("account")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("loc", "SELECT account, folder, count(*) AS n FROM loc GROUP BY ALL"))
@@ -250,9 +258,9 @@ def ocr_queue(spark, sf):
     return audit.recognition_queue(rows, a.texts, notes).select("hash", "filename", (F.col("size") - audit.SCANNED_BYTES).alias("size"))
 
 
-@query(sql("att", f"SELECT hash, filename, size FROM (SELECT *, sum(size) OVER (ORDER BY size, hash, filename ROWS UNBOUNDED PRECEDING) AS upto FROM ({_QUEUE})) WHERE upto <= 5000000"))
+@query(sql("att", "SELECT hash, filename, size FROM (SELECT *, sum(size) OVER (ORDER BY size, hash, filename ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT DISTINCT hash, filename, size FROM att)) WHERE upto <= 5000000"))
 def ocr_budget(spark, sf):
-    rows = orders(spark, sf).attachments.where("extension = 'promo' AND size > 60000 AND hash % 4 <> 0").select("hash", "filename", "size").distinct()
+    rows = orders(spark, sf).attachments.select("hash", "filename", "size").distinct()
     return audit.within_budget(rows, 5_000_000)
 
 
@@ -268,10 +276,12 @@ def common_domain(spark, sf):
     return audit.common_domain(load(spark, sf, "customer").select(a.alias("address")))
 
 
-@query("SELECT part, count(*) AS n, bool_or(part IN ('Spam', 'Junk E-Mail')) AS hidden FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'Spam' WHEN 1 THEN 'Junk E-Mail' WHEN 2 THEN 'Spamfilter' ELSE 'Rechnung' END AS part FROM part) GROUP BY part")
+_FOLDER = "CASE p_partkey % 9 WHEN 0 THEN 'Spam' WHEN 1 THEN 'JUNK e-mail' WHEN 2 THEN 'Spamfilter' WHEN 3 THEN 'Gelöschte Objekte' WHEN 4 THEN 'bulk-mail' WHEN 5 THEN 'Werbung' WHEN 6 THEN 'Unerwünschte E-Mail' WHEN 7 THEN 'Werbung 2024' ELSE 'Rechnung' END"
+
+
+@query(f"SELECT part, count(*) AS n, bool_or(part NOT IN ('Spamfilter', 'Werbung 2024', 'Rechnung')) AS hidden FROM (SELECT {_FOLDER} AS part FROM part) GROUP BY part")
 def excluded_folders(spark, sf):
-    part = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'Spam' WHEN 1 THEN 'Junk E-Mail' WHEN 2 THEN 'Spamfilter' ELSE 'Rechnung' END")
-    rows = load(spark, sf, "part").select(part.alias("part"))
+    rows = load(spark, sf, "part").select(F.expr(_FOLDER).alias("part"))
     return rows.withColumn("hidden", policy.is_excluded(F.concat(F.lit("INBOX/"), "part"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.bool_or("hidden").alias("hidden"))
 
 
@@ -280,16 +290,31 @@ def subject_markers(spark, sf):
     return load(spark, sf, "documents").where(policy.has_marker(F.col("text"), ["The", "und"])).select(F.col("doc_id").alias("hash"))
 
 
-@query("SELECT l_orderkey AS hash, l_linenumber AS line, CASE WHEN l_returnflag = 'A' THEN 'FS' WHEN l_returnflag = 'R' THEN 'R' ELSE '' END AS letters FROM lineitem")
+_FLAGS = [(r"\Seen \Flagged \Deleted", "FST"), (r"\answered", "R"), ("SR", "RS"), (r"\Draft \Recent \Seen", "DS"), ("", ""), ("PTx", "PT")]
+_FLAG_CASE = lambda side: "CASE l_suppkey % 6 " + " ".join(f"WHEN {i} THEN '{pair[side]}'" for i, pair in enumerate(_FLAGS)) + " END"
+
+
+@query(f"SELECT l_orderkey AS hash, l_linenumber AS line, {_FLAG_CASE(1)} AS letters FROM lineitem")
 def flag_mapping(spark, sf):
-    flags = F.expr(r"CASE l_returnflag WHEN 'A' THEN '\\Seen \\Flagged \\Deleted' WHEN 'R' THEN '\\Answered' ELSE '' END")
+    flags = F.element_at(F.array(*[F.lit(a) for a, _ in _FLAGS]), (F.col("l_suppkey") % 6 + 1).cast("int"))
     return load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("hash"), F.col("l_linenumber").alias("line"), formats.maildir_letters(flags).alias("letters"))
 
 
-@query(sql("msg", "SELECT hash, CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' ELSE NULL END AS small, replace(format('{:,}', size), ',', '.') AS number FROM msg"))
+_BYTES = "size * size * (1 + hash % 7)"
+_TENTH = "replace(format('{:.1f}', n / %d), '.', ',') || ' %s'"
+
+
+@query(sql("msg", f"""SELECT hash, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:.0f}}', n / 1024) || ' KB' WHEN n < 1073741824 THEN {_TENTH % (1 << 20, "MB")}
+    WHEN n < 1099511627776 THEN {_TENTH % (1 << 30, "GB")} ELSE {_TENTH % (1 << 40, "TB")} END AS shown, replace(format('{{:,}}', n), ',', '.') AS number
+    FROM (SELECT hash, CASE hash % 3 WHEN 0 THEN size // 500 WHEN 1 THEN size ELSE {_BYTES} END AS n FROM msg)"""))
 def size_format(spark, sf):
-    size = F.col("size")
-    return orders(spark, sf).messages.select("hash", F.when(size < 1024, formats.german_size(size)).alias("small"), formats.german_number(size).alias("number"))
+    n = F.when(F.col("hash") % 3 == 0, F.floor(F.col("size") / 500)).when(F.col("hash") % 3 == 1, F.col("size")).otherwise(F.expr(_BYTES)).cast("long")
+    return orders(spark, sf).messages.select("hash", formats.german_size(n).alias("shown"), formats.german_number(n).alias("number"))
+
+
+@query(sql("msg", "SELECT hash, strftime(CAST(date_text AS TIMESTAMP), '%d.%m.%Y, %H:%M') AS shown FROM msg"))
+def time_format(spark, sf):
+    return orders(spark, sf).messages.select("hash", formats.german_time(F.col("date_text")).alias("shown"))
 
 
 @query(r"SELECT doc_id AS hash, unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+\.com')) AS address FROM documents")
@@ -308,7 +333,13 @@ def html_text_regex(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.length(plain).cast("long").alias("n"))
 
 
-@query()
+_SHOWN = r"regexp_replace(regexp_replace(regexp_replace(html, '<head>.*?</head>', '', 's'), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'), '</?[a-zA-Z][^>]*>', ' ', 'g')"
+_CHARS = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+for _name, _char in _CHARS.items():
+    _SHOWN = f"replace({_SHOWN}, '{_name}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_SHOWN}, '\\s+', ' ', 'g')) AS text FROM pages")
 def html_text_parser(spark, sf):
     @F.pandas_udf("string")
     def convert(html: pd.Series) -> pd.Series:
@@ -346,10 +377,12 @@ def restore_missing_at_target(spark, sf):
     return audit.missing_at_target(chosen, target).select("hash")
 
 
-@query("SELECT doc_id AS hash, text = text AS same FROM documents")
+@query("SELECT doc_id AS hash FROM documents WHERE doc_id % 3 = 0 AND coalesce(text, '') <> ''")
 def store_damage(spark, sf):
-    rows = load(spark, sf, "documents").select("doc_id", F.encode(F.col("text"), "UTF-8").alias("raw"), F.sha2("text", 256).alias("hash"))
-    return rows.select(F.col("doc_id").alias("hash"), (F.sha2("raw", 256) == F.col("hash")).alias("same"))
+    """Every third payload has lost its last byte since its hash was taken."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    cut = F.when(F.col("doc_id") % 3 == 0, F.substring(raw, F.lit(1), F.greatest(F.length(raw) - 1, F.lit(0)))).otherwise(raw)
+    return audit.damaged(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), cut.alias("raw"), F.sha2(raw, 256).alias("hash"))).select(F.col("id").alias("hash"))
 
 
 @query(sql("doc", r"SELECT hash, list_count(regexp_extract_all(folded, '[\pL\pN]+')) AS n FROM doc"))

@@ -37,12 +37,11 @@ def _write(rows: DataFrame, root: str) -> DataFrame:
 
 
 def to_maildir(rows: DataFrame, root: str) -> DataFrame:
-    """rows: hash, folder, flags, date_text, raw. Seen mail goes to cur with its letters, other mail to new."""
+    """rows: hash, account, folder, flags, date_text, raw. Seen mail goes to cur with its letters, other mail to new."""
     letters = formats.maildir_letters(F.col("flags"))
     name = formats.file_name(F.col("date_text"), F.col("hash"))
     own = F.when(letters == "", F.concat(F.lit("new/"), name)).otherwise(F.concat(F.lit("cur/"), name, F.lit(":2,"), letters))
-    folder = formats.maildir_folder(F.col("folder"))
-    return _write(rows.withColumn("path", F.when(folder == "", own).otherwise(F.concat(folder, F.lit("/"), own))), root)
+    return _write(rows.withColumn("path", F.concat(formats.maildir_folder(F.col("account"), F.col("folder")), F.lit("/"), own)), root)
 
 
 def to_eml(rows: DataFrame, root: str) -> DataFrame:

@@ -68,14 +68,14 @@ def test_ingest_twice(spark, rows, tmp_path):
 
 
 def test_round_trip(spark, rows, tmp_path):
-    kept = mail.parse(rows).select("hash", "folder", "flags", "date_text", "raw").dropDuplicates(["hash"])
+    kept = mail.parse(rows).orderBy("account", "folder").select("hash", "account", "folder", "flags", "date_text", "raw").dropDuplicates(["hash"])
     before = {r["hash"] for r in kept.collect()}
     restore.to_maildir(kept, f"file://{tmp_path}/m").collect()
     restore.to_mbox(kept, f"file://{tmp_path}/b").collect()
     restore.to_eml(kept, f"file://{tmp_path}/e").collect()
     back = folders.read_maildir(spark, f"file://{tmp_path}/m", "k")
     assert {r["h"] for r in back.select(F.sha2("raw", 256).alias("h")).collect()} == before
-    assert {(r["folder"], r["flags"]) for r in back.collect()} >= {("INBOX", "\\Seen"), ("Gesendet", "")}
+    assert {(r["folder"], r["flags"]) for r in back.collect()} >= {("firma/INBOX", "\\Seen"), ("firma/Gesendet", "")}
     assert {r["h"] for r in folders.read_eml(spark, f"file://{tmp_path}/e", "k").select(F.sha2("raw", 256).alias("h")).collect()} == before
     assert folders.read_mbox(spark, f"file://{tmp_path}/b", "k").count() == 3
 
@@ -84,6 +84,8 @@ def test_parse_never_raises():
     for data in (b"", b"\xff\xfe", b"Subject: =?x?q?=ff?=\r\n\r\n", b"Date: gestern\r\n\r\nx"):
         mail.parse_message(data)
     assert mail.html_to_text("<p>a<script>b</script></p>c") == "a c"
+    assert mail.html_to_text("<td>a</td><td>b</td><b>c</b><i>d</i>") == "a b c d"
+    assert mail.html_to_text("<head><title>t</title></head><p>a <b>b</b>c</p><pre>d</pre><br><br><br><br>e", paragraphs=True) == "a bc\n\nd\n\ne"
     assert folders.unwrap_emlx(b"3\nabcdef") == b"abc" and folders.unwrap_emlx(b"x\nabc") == b"x\nabc"
 
 

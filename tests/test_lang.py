@@ -25,6 +25,29 @@ def test_literals():
             T.parse(wrong)
 
 
+def test_literals_that_are_taken():
+    assert T.parse("wichtigkeit:dringend") == T.parse("wichtigkeit:hoch") and T.parse("priority:mittel") == T.parse("wichtigkeit:normal")
+    assert T.parse("jahr:999") == [T.Compare("year", "=", 999)] and T.parse('jahr:"2020 - 2024"') == [T.Compare("year", "between", 2020, False, 2024)]
+    assert T.parse("archiviert:202") == [T.Compare("captured", "starts", "202")] and T.parse("archiviert:25.08.2026") == [T.Compare("captured", "starts", "2026-08-25")]
+    assert T.read_size("<3k") == ("<", 3072)
+
+
+@pytest.mark.parametrize(
+    ("expression", "terms"),
+    [
+        ('-"a b"c', [T.Term(None, "a b", True), T.Term(None, "c")]),
+        ("- x", [T.Term(None, "-"), T.Term(None, "x")]),
+        ("von: x", [T.Term(None, "von:"), T.Term(None, "x")]),
+        ('von:"" x', [T.Term(None, "x")]),
+        ('"offen a', [T.Term(None, '"offen'), T.Term(None, "a")]),
+        ("GRÖSSE:>1MB -typ:pdf", [T.Term("grösse", ">1MB"), T.Term("typ", "pdf", True)]),
+        ("a1:b", [T.Term(None, "a1:b")]),
+    ],
+)
+def test_terms_at_the_edges(expression, terms):
+    assert T.lex(expression) == terms
+
+
 def test_short_value_uses_words():
     assert T.parse("betreff:ab") == [T.Phrase("subject", "ab")]
     assert T.parse("betreff:abc") == [T.Part("subject", "abc")]
@@ -35,6 +58,12 @@ def test_spellings():
     assert spellings("Straße")[0] == "Straße" and len(spellings("ueueueueue aeaeae")) <= 8
 
 
+def test_spellings_go_one_way():
+    assert spellings("für") == ["für"] and spellings("müller") == ["müller"]
+    assert spellings("mueller") == ["mueller", "müller"] and spellings("Maße") == ["Maße", "masse"]
+    assert spellings("Strassenmueller")[:3] == ["Strassenmueller", "straßenmueller", "strassenmüller"] and "straßenmüller" in spellings("Strassenmueller")
+
+
 def test_words_and_folding():
     assert words("Rückvergütung, 7.") == ["ruckvergutung", "7"]
     assert fold_text("ß") == "ß" and words("*()") == []
@@ -51,3 +80,12 @@ def test_form():
     values = {"words": "rechnung mahnung", "von": "müller", "not": "werbung spam", "jahr": "2024"}
     assert T.to_form(T.from_form(values)) == values
     assert T.to_form("-von:x") is None
+
+
+def test_form_of_a_phrase():
+    values = {"begriff": "neue rechnung", "von": "müller", "mit_anhang": "on", "typ": ".pdf", "archiviert": "2026", "ohne": "werbung spam", "fremd": "x"}
+    made = T.from_form(values)
+    assert made == '"neue rechnung" von:müller typ:pdf archiviert:2026 hat:anhang -werbung -spam'
+    assert T.phrase_form(made) == {"begriff": "neue rechnung", "von": "müller", "mit_anhang": "1", "typ": "pdf", "archiviert": "2026", "ohne": "werbung spam"}
+    assert T.phrase_form("rechnung müller") is None and T.phrase_form("rechnung") == {"begriff": "rechnung"}
+    assert T.from_form({"mit_anhang": "nein"}) == ""
