@@ -8,12 +8,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import lzma
+import re
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+import zstandard
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from epistola import schemas
 
 START = "0" * 64
+#: Bytes after which a segment is closed, and its name: a number, the batch that it tells of with its place in it, and how it is packed.
+ROLL = 64 << 20
+_NAME = re.compile(r"(\d{6,})(?:-b(\d+)-(\d+)of(\d+))?\.jsonl(\.zst|\.xz)?")
 
 
 def canonical(entry: dict) -> str:
@@ -35,10 +45,122 @@ def append(last: dict | None, operations: list[dict], ts: str) -> list[str]:
     return lines
 
 
-def read(spark, path: str) -> DataFrame:
-    """segment, line_no and line of journal files; names of segments are in order."""
-    rows = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("segment"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    return rows.select("segment", F.row_number().over(Window.partitionBy("segment").orderBy("at")).cast("long").alias("line_no"), "line")
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def segments(path: str) -> list[str]:
+    """Names of the journal's files in order."""
+    where, base = _open(path)
+    found = where.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted((x.base_name for x in found if x.is_file and _NAME.fullmatch(x.base_name)), key=lambda n: (int(_NAME.fullmatch(n)[1]), n))
+
+
+def _unpacked(name: str, data: bytes) -> bytes:
+    return lzma.decompress(data) if name.endswith(".xz") else zstandard.ZstdDecompressor().decompressobj().decompress(data) if name.endswith(".zst") else data
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """segment, line_no and line of journal files; names of segments are in order. Packed ones are read in tasks; a journal that is not there is empty."""
+    names = segments(path)
+    empty = spark.createDataFrame([], schemas.JOURNAL)
+    if not names:
+        return empty
+    order = Window.partitionBy("segment").orderBy("block", "at")
+    # A long file is read in several blocks, which are not dealt out in order.
+    plain = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    plain = plain.select("segment", F.row_number().over(order).cast("long").alias("line_no"), "line")
+    if not any(n.endswith((".zst", ".xz")) for n in names):
+        return plain
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for where, data in zip(batch["path"], batch["content"]):
+                lines = _unpacked(where, bytes(data)).decode().splitlines()
+                yield pd.DataFrame({"segment": where.rpartition("/")[2], "line_no": range(1, len(lines) + 1), "line": lines})
+
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl.{zst,xz}").load(path).select("path", "content").mapInPandas(unpack, schemas.JOURNAL)
+    return plain.unionByName(packed) if any(n.endswith(".jsonl") for n in names) else packed
+
+
+def last_entry(path: str) -> dict | None:
+    """The last whole entry; a torn line at the end counts as never written."""
+    where, base = _open(path)
+    for name in reversed(segments(path)):
+        with where.open_input_stream(f"{base}/{name}", compression=None) as file:
+            lines = _unpacked(name, file.read()).splitlines()
+        for line in reversed(lines):
+            try:
+                return json.loads(line)
+            except ValueError:
+                continue
+    return None
+
+
+def told(root: str, batch: int) -> bool:
+    """Whether all lines of a batch are in the journal."""
+    return any(m[2] == str(batch) and m[3] == m[4] for m in map(_NAME.fullmatch, segments(f"{root}/journal")))
+
+
+def write(operations: DataFrame, root: str, ts: str, batch: int | None = None) -> int:
+    """Appends a line for each row, in the order of the rows, to new segments; returns how many there were.
+
+    Fields that are null are left out, but for an add's uid and date. A chain is made one line after the other, so rows come
+    through the driver in a stream, a partition at a time; what is held is one segment. Files get their names when all are
+    written, the last of a batch last; those of a batch that failed half way are replaced.
+    """
+    path = f"{root}/journal"
+    where, base = _open(path)
+    where.create_dir(base, recursive=True)
+    for name in segments(path):
+        if batch is not None and _NAME.fullmatch(name)[2] == str(batch):
+            where.delete_file(f"{base}/{name}")
+    last, n, lines, size, made = last_entry(path), 0, [], 0, []
+
+    def close() -> None:
+        temporary = f"{base}/.tmp-{uuid.uuid4().hex}"
+        with where.open_output_stream(temporary, compression=None) as out:
+            out.write("".join(x + "\n" for x in lines).encode())
+        made.append(temporary)
+
+    for row in operations.toLocalIterator():
+        op = {k: v for k, v in row.asDict(recursive=True).items() if v is not None or (row["op"] == "add" and k in ("uid", "date"))}
+        line = append(last, [op], ts)[0]
+        last, n, size = json.loads(line), n + 1, size + len(line)
+        lines.append(line)
+        if size >= ROLL:
+            close()
+            lines, size = [], 0
+    if lines:
+        close()
+    number = max((int(_NAME.fullmatch(x)[1]) for x in segments(path)), default=0)
+    for i, temporary in enumerate(made, 1):
+        mark = f"-b{batch}-{i}of{len(made)}" if batch is not None else ""
+        where.move(temporary, f"{base}/{number + i:06d}{mark}.jsonl")
+    return n
+
+
+def pack(spark: SparkSession, root: str) -> int:
+    """Packs all segments but the last, in tasks; a packed one never changes. Returns how many there were."""
+    path = f"{root}/journal"
+    names = [n for n in segments(path)[:-1] if n.endswith(".jsonl")]
+
+    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = _open(path)
+        for batch in batches:
+            for name in batch["name"]:
+                with where.open_input_stream(f"{base}/{name}", compression=None) as file:
+                    data = zstandard.ZstdCompressor().compress(file.read())
+                temporary = f"{base}/.tmp-{uuid.uuid4().hex}"
+                with where.open_output_stream(temporary, compression=None) as out:
+                    out.write(data)
+                where.move(temporary, f"{base}/{name}.zst")
+                where.delete_file(f"{base}/{name}")
+            yield batch
+
+    if not names:
+        return 0
+    return spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names)).mapInPandas(squeeze, "name string").count()
 
 
 def parsed(journal: DataFrame) -> DataFrame:
@@ -92,10 +214,33 @@ def locations(entries: DataFrame) -> DataFrame:
     gone = entries.where("op = 'delete'").groupBy("hash").agg(F.max("seq").alias("gone"))
     adds = entries.where("op = 'add' and hash is not null").join(gone, "hash", "left").where("gone is null or seq > gone")
     first = adds.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("uid", "seq"), "seq").alias("f")).select("hash", "account", "folder", "f.uid", F.col("f.seq").alias("seq"))
-    for r in entries.where("op = 'note' and kind = 'ordner_umbenannt'").orderBy("seq").select("account", "old", "new", "seq").collect():  # as many as folders were renamed
-        at = (F.col("account") == r["account"]) & (F.col("folder") == r["old"]) & (F.col("seq") < r["seq"])
-        first = first.withColumn("folder", F.when(at, F.lit(r["new"])).otherwise(F.col("folder")))
-    return first.dropDuplicates(["hash", "account", "folder"])
+    names = last_names(entries)
+    held = F.col("seq").between(F.col("since"), F.col("until") - 1)
+    # Names of one folder do not overlap in time, so a place meets one of them at most.
+    rows = first.alias("f").join(names.alias("n"), (F.col("f.account") == F.col("n.account")) & (F.col("f.folder") == F.col("n.name")) & held, "left")
+    rows = rows.select("f.hash", "f.account", F.coalesce("n.last", "f.folder").alias("folder"), "f.uid", "f.seq")
+    return rows.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("uid", "seq"), "seq").alias("f")).select("hash", "account", "folder", "f.uid", "f.seq")
+
+
+def last_names(entries: DataFrame) -> DataFrame:
+    """account, name, since, until, last: a folder that had the name for numbers from since up to until is called last now.
+
+    Chains of renames are followed within an account, from the last rename to the first: a table of renames, not of mail.
+    """
+    notes = entries.where("op = 'note' and kind = 'ordner_umbenannt' and old <> new").select("account", "old", "new", "seq")
+
+    def follow(batch: pd.DataFrame) -> pd.DataFrame:
+        out, later = [], {}
+        for r in batch.sort_values("seq", ascending=False).itertuples():
+            # What the new name became after this rename, and until when the old one meant this folder.
+            later = dict(later)
+            later[r.old] = later.get(r.new, r.new)
+            out.append((r.account, r.old, r.seq, later[r.old]))
+        made = pd.DataFrame(out[::-1], columns=["account", "name", "until", "last"])
+        made["since"] = made.groupby("name")["until"].shift(1).fillna(0).astype("int64")
+        return made[["account", "name", "since", "until", "last"]]
+
+    return notes.groupBy("account").applyInPandas(follow, "account string, name string, since long, until long, last string")
 
 
 def gaps(entries: DataFrame, by: str, order: list[str], number: str) -> DataFrame:

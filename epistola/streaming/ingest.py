@@ -1,40 +1,110 @@
-"""Ingest as a stream: every batch is parsed once and only what is new is appended; rates of capture as windows."""
+"""Ingest as a stream: every batch is parsed once, only what is new is appended, and each new place gets its line in the journal."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
 
 from epistola import schemas
 from epistola.functions import mail
+from epistola.operators import journal, policy
+from epistola.operators.archive import Archive
 
 KEYS = {"messages": ["hash"], "recipients": ["hash", "addr", "kind"], "locations": ["hash", "account", "folder"], "attachments": ["hash"], "texts": ["hash"], "store": ["hash"]}
+SCHEMAS = {**schemas.TABLES, "store": schemas.STORE, "quarantine": schemas.QUARANTINE}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the archive; empty where nothing was written yet."""
-    schema = schemas.TABLES.get(name) or schemas.STORE
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/{name}")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """A table of the archive; empty where nothing was written yet. What is there and cannot be read raises."""
+    if not exists(spark, f"{root}/{name}"):
+        return spark.createDataFrame([], SCHEMAS[name])
+    names = [x.split()[0] for x in SCHEMAS[name].split(", ")]
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}").select(*names)
+
+
+def archive(spark: SparkSession, root: str) -> Archive:
+    return Archive(**{name: load(spark, root, name) for name in schemas.TABLES})
+
 
+def save(rows: DataFrame, root: str, name: str) -> None:
+    """Appends rows, below a folder for each year: messages by their column `year`, so that a condition on it skips the other years' files, and the rest by `part`."""
+    if name == "messages":
+        rows.write.mode("append").partitionBy("year").parquet(f"{root}/{name}")
+    else:
+        rows.write.mode("append").partitionBy("part").parquet(f"{root}/{name}")
 
-def add_batch(batch: DataFrame, root: str, captured: str) -> None:
-    """Appends what the archive lacks of a batch (account, folder, uid, flags, raw). Doing it again appends nothing."""
+
+def part_of(bucket) -> object:
+    """The year of a month's bucket, 0 without one."""
+    return F.substring(bucket, 1, 4).cast("int")
+
+
+def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy.Rule] = (), batch_id: int | None = None) -> dict[str, int]:
+    """Appends what the archive lacks of a batch (account, folder, uid, flags, raw); returns how much of it was new.
+
+    Payloads come first, then the journal, then the tables: what the journal tells of is there. Each new place is an `add`
+    line; a new message that a rule puts into another category gets it, and a `classify` line by the rule. A message that
+    cannot be read goes to `quarantine` with the reason, and the rest go on. Doing a batch again appends nothing; a batch
+    with a number that failed half way is not told twice.
+    """
     spark = batch.sparkSession
     parsed = mail.parse(batch).persist()
-    made = {"store": parsed.select("hash", "bucket", "raw", "size").dropDuplicates(["hash"]), **mail.tables(parsed, captured)}
-    for name in ("store", "locations", "recipients", "attachments", "texts", "messages"):  # the payload first, the message last
+    parsed.where("problem is not null").select("account", "folder", "uid", "raw", "problem", F.lit(captured).alias("captured"), F.lit(0).alias("part")).join(load(spark, root, "quarantine").select("raw"), "raw", "left_anti").select(*[x.split()[0] for x in schemas.QUARANTINE.split(", ")], "part").write.mode("append").partitionBy("part").parquet(f"{root}/quarantine")
+    good = parsed.where("problem is null")
+    places = good.select("hash", "account", "folder").distinct().join(load(spark, root, "locations").select("hash", "account", "folder"), ["hash", "account", "folder"], "left_anti").persist()
+    new = good.select("hash", "bucket", "raw", "size").dropDuplicates(["hash"]).join(load(spark, root, "store").select("hash"), "hash", "left_anti")
+    counts = {"rows": parsed.count(), "unreadable": parsed.where("problem is not null").count(), "messages": new.count(), "places": places.count()}
+    save(new.withColumn("part", part_of("bucket")), root, "store")
+
+    first = good.groupBy("hash").agg(F.min_by(F.struct("account", "folder", "from_addr", "to"), F.struct("account", "folder")).alias("f"))
+    made = first.select("hash", policy.classify(list(rules), F.col("f.folder"), F.lower(F.coalesce("f.from_addr", F.lit(""))), F.array_join("f.to", " ")).alias("made")) if rules else first.select("hash", F.lit(None).cast("string").alias("made"))
+    ruled = made.where("made is not null and made <> 'unbestimmt'").join(load(spark, root, "messages").select("hash"), "hash", "left_anti").persist()
+    tables = mail.tables(good, captured)
+    tables["messages"] = tables["messages"].join(ruled, "hash", "left").withColumn("category", F.coalesce("made", "category")).drop("made")
+
+    if batch_id is None or not journal.told(root, batch_id):
+        about = good.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("bucket", "uid", "size", "date_text", "subject", "from_addr", F.size("attached").alias("attachments")), F.coalesce("uid", F.lit(2**62))).alias("a"))
+        adds = places.join(about, ["hash", "account", "folder"]).select("hash", F.lit(0).alias("turn"), F.struct(F.lit("add").alias("op"), "hash", "a.bucket", "account", "folder", "a.uid", "a.size", F.col("a.date_text").alias("date"), F.substring("a.subject", 1, 200).alias("subject"), F.col("a.from_addr").alias("sender"), "a.attachments", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("previous"), F.lit(None).cast("string").alias("actor")).alias("e"), "account", "folder")
+        null = lambda t="string": F.lit(None).cast(t)
+        by_rule = ruled.select("hash", F.lit(1).alias("turn"), F.struct(F.lit("classify").alias("op"), "hash", null().alias("bucket"), null().alias("account"), null().alias("folder"), null("long").alias("uid"), null("long").alias("size"), null().alias("date"), null().alias("subject"), null().alias("sender"), null("int").alias("attachments"), F.col("made").alias("category"), F.lit("unbestimmt").alias("previous"), F.lit("Regel").alias("actor")).alias("e"), null().alias("account"), null().alias("folder"))
+        journal.write(adds.unionAll(by_rule).orderBy("turn", "hash", "account", "folder").select("e.*"), root, captured, batch_id)
+
+    for name in ("locations", "recipients", "attachments", "texts", "messages"):  # the message last
         key = KEYS[name] if name in ("locations", "recipients") else ["hash"]
-        made[name].join(load(spark, root, name).select(*key), key, "left_anti").write.mode("append").parquet(f"{root}/{name}")
-    parsed.unpersist()
+        rows = tables[name].join(load(spark, root, name).select(*key), key, "left_anti")
+        save(rows if name == "messages" else rows.join(good.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"]), "hash").select(*rows.columns, "part"), root, name)
+    for kept in (parsed, places, ruled):
+        kept.unpersist()
+    return counts
 
 
-def ingest(rows: DataFrame, root: str, captured: str, checkpoint: str) -> DataStreamWriter:
+def ingest(rows: DataFrame, root: str, captured: str, checkpoint: str, rules: Sequence[policy.Rule] = ()) -> DataStreamWriter:
     """A stream of raw messages into an archive, until what is there now is read."""
-    return rows.writeStream.foreachBatch(lambda batch, _: add_batch(batch, root, captured)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return rows.writeStream.foreachBatch(lambda batch, n: add_batch(batch, root, captured, rules, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def rebuild(spark: SparkSession, root: str, to: str) -> None:
+    """All tables anew from the store and the journal alone, below `to`: messages that are live, at the places the journal tells, as captured then and in their last category."""
+    entries = journal.parsed(journal.read(spark, f"{root}/journal"))
+    live = journal.live(entries).select("hash")
+    places = journal.locations(entries).join(live, "hash", "left_semi")
+    captured = entries.where("op = 'add' and hash is not null").groupBy("hash").agg(F.min_by("ts", "seq").alias("told"))
+    rows = load(spark, root, "store").select("hash", "raw").join(places.select("hash", "account", "folder", "uid"), "hash").select("account", "folder", "uid", F.lit("").alias("flags"), "raw")
+    parsed = mail.parse(rows).persist()
+    tables = mail.tables(parsed, "")
+    own = tables["messages"].drop("captured").join(captured, "hash").join(journal.categories(entries).withColumnRenamed("category", "told_category"), "hash", "left")
+    tables["messages"] = own.withColumns({"captured": F.col("told"), "category": F.coalesce("told_category", "category")}).select(*tables["messages"].columns)
+    parts = parsed.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"])
+    for name, table in tables.items():
+        save(table if name == "messages" else table.join(parts, "hash").select(*table.columns, "part"), to, name)
+    parsed.unpersist()
 
 
 def capture_rate(events: DataFrame, width: str, watermark: str | None = None) -> DataFrame:
