@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all machines share: `spark.checkpoint.dir`, or a new one where it is unset."""
+    """The folder all machines share: `spark.checkpoint.dir`. Where it is unset, a new one on a local master; on a cluster this raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="epistola-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -46,44 +50,128 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bits of a filter, whatever the number of keys.
-FILTER_BITS = 25
+class Cache(dict):
+    """What a Python worker has worked out for short strings, `most` of them at most: some 40 MB.
 
+    When it is full, nothing more is kept until as many others have been asked for; then it starts anew. Strings that come
+    often come early, so most of what is asked for is there.
+    """
 
-def bit_of(key: Column) -> Column:
-    """The bit of an integer key; null counts as the smallest."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("long"), F.lit(-(1 << 63)))), F.lit(1 << FILTER_BITS))
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most, self.missed = most, 0
 
+    def put(self, key, value):
+        if len(self) < self.most:
+            if len(key) <= 64:
+                self[key] = value
+        else:
+            self.missed += 1
+            if self.missed >= self.most:
+                self.clear()
+                self.missed = 0
+        return value
 
-def filter_bits(rows: DataFrame, key: Column) -> np.ndarray:
-    """A filter of fixed size with the bits of all keys. A key that is not among them may have its bit set too."""
-    bits = rows.select(bit_of(key).alias("h")).groupBy(F.shiftright("h", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
-    packed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in bits.collect():  # 1024 pieces at most
-        packed[r["at"] * 4096 : r["at"] * 4096 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return packed
 
+_own: dict = {}
+
+
+def worker_cache(key, make: Callable):
+    """What this Python worker keeps from task to task: one thing at a time, so that stages of a pipeline do not add up."""
+    if key not in _own:
+        _own.clear()
+        _own[key] = make()
+    return _own[key]
+
+
+#: Bits that a filter has for each key, and the least and most bits of any, as powers of two: 32 MB at most. With more keys than that, more others pass it.
+KEY_BITS, FILTER_LEAST, FILTER_MOST = 16, 15, 28
 
-def hits(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
+class Filter:
+    """The bits of a table's integer keys. A key that is not in the table may have its bit set too."""
 
-def range_bounds(df: DataFrame, key: str, buckets: int) -> list:
-    """Ascending quantiles of a key, at most buckets - 1 of them: a bounded number, read from that column alone."""
-    at = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(key), at, 10 * buckets).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    def __init__(self, rows: DataFrame, key: Column):
+        self.power = min(FILTER_MOST, max(FILTER_LEAST, (KEY_BITS * rows.count() - 1).bit_length()))
+        bits = rows.select(self.bit(key).alias("h")).groupBy(F.shiftright("h", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+        packed = np.zeros(1 << (self.power - 3), np.uint8)
+        for r in bits.toLocalIterator():  # 8192 pieces of 4 KB at most
+            packed[r["at"] * 4096 : r["at"] * 4096 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        self.shared = rows.sparkSession.sparkContext.broadcast(packed)  # bounded by FILTER_MOST
+
+    def bit(self, key: Column) -> Column:
+        """The bit of a key; null counts as the smallest."""
+        return F.pmod(F.xxhash64(F.coalesce(key.cast("long"), F.lit(-(1 << 63)))), F.lit(1 << self.power))
+
+
+def hits(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def bucket_of(key: Column, bounds: list) -> Column:
+#: Most ranges that a key is cut into, and cells that are counted at a time to find them.
+RANGES, GRID = 1 << 14, 13
+
+
+def range_bounds(rows: DataFrame, key: str, weight: Column, target: int) -> tuple[list[int], list[int | None]]:
+    """Ascending bounds of an integer key, and the single keys that weigh more than `target`: between two bounds lies about `target`, or one such key.
+
+    Weights are summed in the cells of a grid over the key, and anew in a finer one within cells that weigh too much. So the
+    bounds follow from the rows alone, not from how they lie in partitions. There are at most RANGES of them; a larger table
+    has heavier ranges. Null keys belong to the lowest range.
+    """
+    rows = rows.select(F.col(key).cast("long").alias("k"), weight.cast("long").alias("w"))
+    low, high, total, without = rows.agg(F.min("k"), F.max("k"), F.sum("w"), F.sum(F.when(F.col("k").isNull(), F.col("w")))).first()
+    heavy: list[int | None] = [None] if (without or 0) > target else []
+    if low is None or (total or 0) <= target:
+        return [], heavy
+    target = max(target, -(-total // (RANGES // 2)))
+
+    def count(part: DataFrame, by: int) -> dict[int, tuple[int, int]]:
+        return {r["c"] << by: (r["w"] or 0, by) for r in part.groupBy(F.shiftright("k", by).alias("c")).agg(F.sum("w").alias("w")).collect()}
+
+    rows = rows.where("k is not null")
+    cells = count(rows, max(0, (high - low).bit_length() - GRID))  # 2**GRID + 1 cells at most
+    while large := [c for c, (w, by) in cells.items() if w > target and by]:  # RANGES / 2 at most, all of one size
+        by = cells[large[0]][1]
+        finer = max(0, by - max(1, GRID + 4 - len(large).bit_length()))
+        inside = rows.where(among(F.shiftright("k", by), [c >> by for c in large]))
+        cells = {c: x for c, x in cells.items() if x[0] <= target or not x[1]}
+        cells |= count(inside, finer)
+    bounds, now = [], 0
+    for c in sorted(cells):
+        if now and now + cells[c][0] > target:
+            bounds.append(c - 1)
+            now = 0
+        now += cells[c][0]
+    return bounds, heavy + [c for c, (w, _) in cells.items() if w > target]
+
+
+def _constants(values: list[int]) -> Column:
+    """A constant array of whole numbers, as one literal of the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def among(key: Column, values: list[int | None]) -> Column:
+    """Whether a key is one of many whole numbers, found in two steps; null is where it is among them."""
+    some = sorted(v for v in values if v is not None)
+    null = key.isNull() if None in values else F.lit(False)
+    if not some:
+        return null
+    step = max(1, int(len(some) ** 0.5))
+    rows = F.array(*[_constants(some[i : i + step]) for i in range(0, len(some), step)])
+    at = bucket_of(key, some)
+    return null | F.coalesce(F.get(F.get(rows, F.floor(at / step).cast("int")), at % step) == key, F.lit(False))
+
+
+def bucket_of(key: Column, bounds: list[int]) -> Column:
     """How many bounds lie below the key, found in two steps; a null key is in bucket 0."""
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     below = lambda b: b < key
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    coarse = F.size(F.filter(F.array(*[F.lit(b[-1]) for b in blocks]), below))
-    fine = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), coarse)
+    coarse = F.size(F.filter(_constants([b[-1] for b in blocks]), below))
+    fine = F.get(F.array(*[_constants(b) for b in blocks]), coarse)
     return F.coalesce(coarse * F.lit(step) + F.when(coarse < len(blocks), F.size(F.filter(fine, below))).otherwise(0), F.lit(0)).cast("int")
 
 

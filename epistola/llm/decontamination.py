@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from epistola.llm._store import Cache, worker_cache
+
+
 def end_masks(weight: int) -> tuple[str, ...]:
     """All ends of a stretch from its equal word number `weight` from the last on: of any last words of it, more are equal than not."""
     found, ends = [], [("1", 1)]  # with equal less unequal words
@@ -40,17 +43,14 @@ _FACTORS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).d
 _BITS = 22
 
 
-class Words(dict):
+class Words(Cache):
     """A 64-bit hash of the letters and digits, in lower case, of a stretch of text without white space; 0 if it has none."""
 
     def __missing__(self, chunk: str) -> int:
-        word = "".join(c for c in chunk.lower() if c.isalnum())
-        n = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little") | 1 if word else 0
-        if len(self) >= 1_000_000:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = n
-        return n
+        word = chunk.lower()
+        if not word.isalnum():
+            word = "".join(filter(str.isalnum, word))
+        return self.put(chunk, int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little") | 1 if word else 0)
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
@@ -58,7 +58,8 @@ class Words(dict):
         return found[found != 0]
 
 
-_words = Words()
+def _words() -> Words:
+    return worker_cache("decontamination", Words)
 
 
 def least_equal(n: int) -> int:
@@ -88,7 +89,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.words = [_words.of(t) for _, t in items]
+        self.words = [_words().of(t) for _, t in items]
         self.masks = sorted({m for w in self.words for m in masks_of(len(w))})
         self.least = [least_equal(len(w)) for w in self.words]
         keys, item, at = [], [], []
@@ -106,7 +107,7 @@ class Index:
 
     def overlaps(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """Item, first word in the document, words of the stretch, equal words, words of the item: the best stretch of each item that counts."""
-        words = _words.of(text)
+        words = _words().of(text)
         lines = []
         for mask in self.masks:
             own = seeds(words, mask)

@@ -1,6 +1,7 @@
 """Document fingerprints of closed syncmers, in SQL functions alone.
 
-K words in a row are an anchor if the smallest hash of the S-word runs inside them lies at either edge. Whether it does
+Words are what blanks divide; each letter of a script without blanks is a word of its own, and so is each character of a text
+of fewer than K words. K words in a row are an anchor if the smallest hash of the S-word runs inside them lies at either edge. Whether it does
 follows from these K words and nothing around them, so equal passages have equal anchors wherever they stand. A
 fingerprint keeps all of them, each hash with its first place, and two are compared by how many they share at one
 displacement.
@@ -10,21 +11,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from epistola.llm._store import bucket_of, partitions, range_bounds
+from epistola.llm._store import bucket_of, range_bounds
 
 K, S = 5, 2
+#: Bytes of text in a range of documents.
+RANGE_BYTES = 8 << 20
 #: Bits of a packed anchor that hold its place, and words by which places may differ from the common displacement.
 PLACE_BITS, SLACK = 24, 64
 _BLANKS = "\t\n\x0b\x0c\r"
+#: Letters of scripts that are written without blanks.
+_ALONE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def add_anchors(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Adds `name`: packed anchors in ascending order, one for each hash.
 
-    A text too short to have an anchor has one of all its words; an empty text has none. text must not be null.
+    A text too short to have an anchor has one of all of it; an empty text has none. text must not be null. A hash that comes
+    again is kept once, at its first place. Places of words beyond 2**PLACE_BITS begin anew at 0.
     """
     h, g, a = f"{name}_h", f"{name}_g", f"{name}_a"
-    words = F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " ")
+    blank = F.translate(text, _BLANKS, " " * len(_BLANKS))
+    blank = F.when(blank.rlike(_ALONE), F.regexp_replace(blank, _ALONE, " $0 ")).otherwise(blank)
+    words = F.split(blank, " ")
+    words = F.when(F.size(words) < K, F.split(F.col(text), "")).otherwise(words)
     rows = rows.withColumn(h, F.transform(words, lambda w: F.xxhash64(w)))
     rows = rows.withColumn(g, F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
     inner = K - S  # the last place of an S-word run
@@ -66,10 +75,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows are dealt out by ranges of the id, with the first row of the following range after each: no task holds more than a
     range. Null ids come first; equal ids are ordered by their text; null texts are empty.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    bounds = range_bounds(rows, "doc_id", min(1 << 14, max(4, 2 * partitions(spark))))
+    bounds, _ = range_bounds(rows, "doc_id", F.octet_length("text") + 64, RANGE_BYTES)
     rows = rows.withColumns({"k": key, "bucket": bucket_of(F.col("doc_id"), bounds)})
     least = {r["bucket"]: r["k"] for r in rows.groupBy("bucket").agg(F.min("k").alias("k")).collect()}  # one a range
     used = sorted(least)
@@ -78,7 +86,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else None
     heads = heads.withColumn("bucket", to[F.col("bucket")] if before else F.col("bucket"))
     marked = rows.withColumn("mark", F.lit(0)).unionByName(heads.withColumn("mark", F.lit(1)))
-    marked = add_anchors(marked.repartition("bucket"), "text", "anchors")
+    marked = add_anchors(marked.repartitionById(len(bounds) + 1, F.col("bucket")), "text", "anchors")
     w = Window.partitionBy("bucket").orderBy("mark", "k", "text")
     return marked.withColumns({"next_text": F.lead("text").over(w), "next_anchors": F.lead("anchors").over(w)}).where("mark = 0").drop("mark", "k", "bucket")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from epistola.llm._store import bit_of, drop, filter_bits, hits, keep, partitions
+from epistola.llm._store import Cache, Filter, drop, hits, keep, partitions, worker_cache
 
 #: Cells of the rough counts, and of each piece in which tasks hand them on.
 CELLS, PIECE = 1 << 22, 1 << 16
@@ -48,17 +48,9 @@ class Likeness:
         return self.den * both >= self.num * (a + b - both)
 
 
-class _Hashes(dict):
+class _Hashes(Cache):
     def __missing__(self, word: bytes) -> int:
-        n = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 1_000_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = n
-        return n
-
-
-_hashes = _Hashes()
+        return self.put(word, xxhash.xxh3_64_intdigest(word))
 
 
 def gram_set(text: str | None, n: int) -> np.ndarray:
@@ -66,7 +58,7 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    own = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    own = np.fromiter(map(worker_cache("ngram-join", _Hashes).__getitem__, words), np.uint64, len(words))
     if len(own) < n:
         return np.array([xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own))], np.uint64)
     size = len(own) - n + 1
@@ -101,7 +93,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     marks = [f"s{k}" for k in range(WORDS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.uint32)
+        counts, held = np.zeros(CELLS, np.uint32), 0
         names = ["doc_id", "size", "cid", "piece", "data", *marks]
         for batch in batches:
             sizes, cids, cells, signs = [], [], [], []
@@ -111,11 +103,13 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 cids.append(class_of(grams))
                 signs.append(signature(grams))
                 cells.append((grams & np.uint64(CELLS - 1)).astype(np.int32))
-                if sum(map(len, cells[-64:])) > 1 << 21:
-                    counts += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
-                    cells = []
+                held += len(grams)
+                if held > 1 << 20:
+                    np.add.at(counts, np.concatenate(cells), 1)
+                    cells, held = [], 0
             if cells:
                 np.add.at(counts, np.concatenate(cells), 1)
+                held = 0
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), *map(pa.array, np.array(signs, np.int64).reshape(-1, WORDS).T.copy())], names)
         codec = pa.Codec("zstd")
@@ -180,11 +174,10 @@ def _postings(docs: DataFrame, rank: np.ndarray, hot: dict[int, int], like: Like
 
 
 def _may_link(a: dict[str, np.ndarray], b: dict[str, np.ndarray], like: Likeness) -> np.ndarray:
-    """The length and positional filters."""
+    """The length and positional filters, the latter as for the first n-gram that two sets share: all others lie behind it in both."""
     least = -(-like.num * (a["size"] + b["size"]) // (like.num + like.den))
     small, large = np.minimum(a["size"], b["size"]), np.maximum(a["size"], b["size"])
-    reach = np.minimum(a["place"], b["place"]) + np.minimum(a["size"] - a["place"], b["size"] - b["place"])
-    return (small * like.den >= large * like.num) & (reach >= least)
+    return (small * like.den >= large * like.num) & (np.minimum(a["size"] - a["place"], b["size"] - b["place"]) >= least)
 
 
 def _least(a: Column, b: Column, like: Likeness) -> Column:
@@ -193,10 +186,9 @@ def _least(a: Column, b: Column, like: Likeness) -> Column:
 
 
 def may_link(a: str, b: str, like: Likeness) -> Column:
-    """The same filters on columns of two sides of a join."""
+    """The same filters on columns of two sides of a join, the first of which has the smaller set."""
     x, y = (lambda c: F.col(f"{a}.{c}").cast("long")), (lambda c: F.col(f"{b}.{c}").cast("long"))
-    reach = F.least(x("place"), y("place")) + F.least(x("size") - x("place"), y("size") - y("place"))
-    return (F.least(x("size"), y("size")) * like.den >= F.greatest(x("size"), y("size")) * like.num) & (reach >= _least(x("size"), y("size"), like))
+    return (x("size") * like.den >= y("size") * like.num) & (F.least(x("size") - x("place"), y("size") - y("place")) >= _least(x("size"), y("size"), like))
 
 
 def near_enough(a: str, b: str, like: Likeness) -> Column:
@@ -284,8 +276,8 @@ def _passing(docs: DataFrame, pairs: DataFrame, classes: DataFrame, like: Likene
     """The pairs (a, b) of classes that pass a test on what encode makes of their sets, as a new table."""
     asked = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(classes, "cid").select("cid", "first")
     asked, asked_path = keep(asked, "asked")
-    packed = filter_bits(asked, F.col("first"))
-    shared = docs.sparkSession.sparkContext.broadcast(packed)  # of a fixed size
+    sieve = Filter(asked, F.col("first"))
+    shared = sieve.shared
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +285,7 @@ def _passing(docs: DataFrame, pairs: DataFrame, classes: DataFrame, like: Likene
             sets = [gram_set(t, like.n) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(class_of, sets), pa.int64()), pa.array(map(encode, sets), pa.binary())], ["doc_id", "cid", "data"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit_of(F.col("doc_id")).alias("h")).mapInArrow(make, "doc_id long, cid long, data binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", sieve.bit(F.col("doc_id")).alias("h")).mapInArrow(make, "doc_id long, cid long, data binary")
     found = found.join(asked.withColumnRenamed("cid", "k"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("cid") == F.col("k"))).select("cid", "data").dropDuplicates(["cid"])
     found, found_path = keep(found, "found")
 
@@ -372,9 +364,12 @@ def link_documents(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "
     placed, placed_path = keep(met.select("token", "place", "cid").join(first, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "placed")
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     apart, apart_path = keep(placed.join(mixed, "token", "left_semi").join(signs, "cid"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", like) & near_enough("x", "y", like))
-    rest = rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    # The smaller set of a pair must have the n-gram so early that a set as large as itself could follow; most have not where a template is shared.
+    size = F.col("size").cast("long")
+    x, y = apart.where(size - F.col("place") >= _least(size, size, like)).alias("x"), apart.alias("y")
+    order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.cid") != F.col("y.cid")))
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & order & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", like) & near_enough("x", "y", like))
+    rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     rest, rest_path = keep(rest, "rest")
     more, more_path = _verify(docs, rest, classes, like)
     roots = components(links.unionAll(more)) if not more.isEmpty() else first
@@ -405,9 +400,9 @@ def keep_one(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     counts = linked.groupBy("doc_id", "cid", "component_id").agg(F.count(F.lit(1)).alias("n"))
     judged = counts.join(chosen, F.col("component_id").eqNullSafe(F.col("k")) & (F.col("cid") == F.col("c")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("i")), "left")
     judged, judged_path = keep(judged.select("doc_id", "cid", F.col("c").isNull().alias("out"), "n").where("out or n > 1"), "judged")
-    packed = filter_bits(judged, F.col("doc_id"))
-    shared = spark.sparkContext.broadcast(packed)  # of a fixed size
-    own = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("doc_id"), bit_of(F.col("doc_id")).alias("h"), F.lit(None).cast("long").alias("cid"), F.col("text").alias("text"))
+    sieve = Filter(judged, F.col("doc_id"))
+    shared = sieve.shared
+    own = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("doc_id"), sieve.bit(F.col("doc_id")).alias("h"), F.lit(None).cast("long").alias("cid"), F.col("text").alias("text"))
 
     def judge(maybe: bool):
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from epistola.llm._store import bucket_of, partitions, range_bounds, running_offsets
+from epistola.llm._store import bucket_of, range_bounds, running_offsets
 
 # The multiplier of the published generator, and the ranges of its words.
 MULTIPLIER = 2862933555777941757
 WORD = 1 << 64
 HALF = 1 << 31
+#: Rows of a shard that are numbered by one task, about.
+PIECE_ROWS = 1 << 16
 
 
 def jump_shard(key: Column, shards: int) -> Column:
@@ -34,14 +36,12 @@ def jump_shard(key: Column, shards: int) -> Column:
 def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
-    Slots count the rows of a shard from 0 in ascending order of the key. Each shard is cut at quantiles of the key,
+    Slots count the rows of a shard from 0 in ascending order of the key. Each shard is cut by ranges of the key,
     counts of the pieces are summed first, and rows are numbered within their pieces, so no task holds a whole shard.
     A null text has size 8 and the checksum of nothing; null keys come first; rows that repeat share a shard and get
     slots of their own; no rows give no rows.
     """
-    spark = docs.sparkSession
-    pieces = min(1024, max(4, partitions(spark)))
-    bounds = range_bounds(docs.select(F.col(id_col).alias("k")), "k", pieces)
+    bounds, _ = range_bounds(docs, id_col, F.lit(1), shards * PIECE_ROWS)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
     rows = rows.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1), "piece": bucket_of(F.col("doc_id"), bounds)})

@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from epistola.llm._store import Cache, worker_cache
+
 #: The pre-token pattern of byte-level BPE, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Two white-space characters side by side, or at the ends of pieces cut at blanks.
@@ -39,13 +41,13 @@ def prove_whole(tokenizer: Tokenizer) -> frozenset[str]:
     return frozenset(proved)
 
 
-class _Counts(dict):
-    """Tokens of each piece of text; what is missing is worked out. It is emptied when it holds `most` pieces."""
+class _Counts(Cache):
+    """Tokens of each piece of text; what is missing is worked out."""
 
-    def __init__(self, vocabulary: str, proved: frozenset[str], most: int = 1_000_000):
-        super().__init__()
+    def __init__(self, vocabulary: str, proved: frozenset[str], most: int = 250_000):
+        super().__init__(most)
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.model, self.proved, self.most = self.tokenizer.model, proved, most
+        self.model, self.proved = self.tokenizer.model, proved
         self.letters = {b: s for b, s in byte_letters().items()}
         self.find = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -55,11 +57,7 @@ class _Counts(dict):
         for token in self.find(piece):
             coded = "".join(map(self.letters.__getitem__, token.encode()))
             n += 1 if coded in self.proved else len(self.model.tokenize(coded))
-        if len(self) >= self.most:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = n
-        return n
+        return self.put(piece, n)
 
     def of(self, text: str) -> int:
         if any(s in text for s in self.special):
@@ -71,9 +69,6 @@ class _Counts(dict):
         return (self[first] if first else 0) + sum(map(self.__getitem__, map(" ".__add__, rest)))
 
 
-_kept: dict[int, _Counts] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row, as the tokenizers library counts.
 
@@ -86,11 +81,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     shared = spark.sparkContext.broadcast((source, prove_whole(Tokenizer.from_str(source))))  # bounded by the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value[0])
-        if key not in _kept:
-            _kept.clear()
-            _kept[key] = _Counts(*shared.value)
-        counts = _kept[key]
+        counts = worker_cache(("token-counts", hash(shared.value[0])), lambda: _Counts(*shared.value))
         for batch in batches:
             n = [counts.of(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 import struct
 import unicodedata
 import zlib
@@ -17,78 +18,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from epistola.llm import _files
-from epistola.llm._store import bucket_of, drop, keep, new_dir, partitions, range_bounds, running_offsets
+from epistola.llm._store import Cache, among, bucket_of, drop, keep, new_dir, partitions, range_bounds, running_offsets, worker_cache
 from epistola.llm.token_counts import byte_letters
 
 MAGIC = b"EPTK0001"
 STEP = 256
 BLOCK_TOKENS = 1 << 18
+#: Characters or tokens that are worked on at a time, tokens of a range of documents, and parts of a range of one id.
+AT_ONCE, PIECE_TOKENS, PARTS = 1 << 17, 1 << 23, 64
 #: The pre-token pattern of the lower-case word vocabulary, a fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class WordIds(dict):
-    """Ids of each stretch of text without white space, as bytes of 32-bit integers; worked out when first asked for.
+class WordIds(Cache):
+    """Ids of each stretch of lower-case text without white space, as bytes of 32-bit integers; worked out when first asked for.
 
-    It is for vocabularies that drop white space, lower-case and have no merges across it. Stretches with letters beyond
-    Latin, or with a special string, go to the library as they are. It is emptied when it holds `most` entries.
+    It is for vocabularies that drop white space, lower-case and have no merges across it. Texts with letters beyond Latin,
+    with a special string, or whose white space or letters are not plain to Python and the vocabulary alike, go to the
+    library as they are.
     """
 
-    def __init__(self, vocabulary: str, most: int = 800_000):
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
-        self.model = self.tokenizer.model
+    def __init__(self, vocabulary: str, most: int = 250_000):
+        super().__init__(most)
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = {b: s for b, s in byte_letters().items()}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.other = re.compile("|".join(["[^\\x00-\\x1b\\x20-\u024f]", *map(re.escape, special)])).search
         self.find = regex.compile(WORD_PATTERN).findall
 
     def __missing__(self, chunk: str) -> bytes:
-        if max(chunk) > "ɏ" or any(s in chunk for s in self.special):
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        elif (low := chunk.lower()) != chunk:
-            return self._put(chunk, self[low])
+        if chunk.isalpha():
+            coded = chunk if chunk.isascii() else "".join(map(self.letters.__getitem__, chunk.encode()))
+            ids = array("I", [t.id for t in self.tokenize(coded)]).tobytes()
+        elif (head := chunk[:-1]).isalpha() and not chunk[-1].isalpha():
+            ids = self[head] + self[chunk[-1]]
         elif len(pieces := self.find(chunk)) > 1:
-            return self._put(chunk, b"".join(map(self.__getitem__, pieces)))
+            ids = b"".join(map(self.__getitem__, pieces))
         else:
-            coded = chunk if chunk.isascii() and chunk.isalnum() else "".join(map(self.letters.__getitem__, chunk.encode()))
-            ids = [t.id for t in self.model.tokenize(coded)]
-        return self._put(chunk, array("I", ids).tobytes())
-
-    def _put(self, chunk: str, ids: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def pieces(self, text: str) -> list[str] | None:
-        """The stretches of a text, or None where white space means different things to Python and to the vocabulary."""
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or not unicodedata.is_normalized("NFC", text):
-            return None
-        return text.split()
+            ids = array("I", [t.id for t in self.tokenize("".join(map(self.letters.__getitem__, chunk.encode())))]).tobytes()
+        return self.put(chunk, ids)
 
     def of(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        if pieces is None:
+        if self.other(text) or not unicodedata.is_normalized("NFC", text) or self.other(low := text.lower()):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, pieces))
-
-
-_kept: dict[int, WordIds] = {}
+        return b"".join(map(self.__getitem__, low.split()))
 
 
 def _words(vocabulary: str) -> WordIds:
     """One cache for each Python worker."""
-    key = hash(vocabulary)
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = WordIds(vocabulary)
-    return _kept[key]
+    return worker_cache(("token-ids", hash(vocabulary)), lambda: WordIds(vocabulary))
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -147,19 +132,48 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The code bits of ids from the first bit of the first byte, and the bit offset of every STEP-th token."""
+    """The code bits of one document's ids, and the bit offset of every STEP-th token."""
+    data, _, points, _ = pack_all(ids, np.array([len(ids)]), lengths, codes)
+    return data, points
+
+
+def pack_all(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The code bits of documents whose ids stand one after the other, each from the first bit of a byte on.
+
+    sizes: ids of each document, none of 0. Returns the bytes, where each document's begin (and all end), its bit offset of
+    every STEP-th token, and where each document's offsets begin.
+    """
     n = lengths[ids].astype(np.int64)
     ends = np.cumsum(n)
-    starts = ends - n
+    last = np.cumsum(sizes)
+    bits = np.diff(ends[last - 1], prepend=0)
+    begin = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
+    # How far each document moves so that it starts at a byte.
+    starts = ends - n + np.repeat(8 * begin[:-1] - (np.cumsum(bits) - bits), sizes)
     word, shift = starts >> 5, 64 - n - (starts & 31)
     window = codes[ids] << shift.astype(np.uint64)
-    total = int(ends[-1])
-    words = (total + 31) // 32 + 1
+    words = (8 * int(begin[-1]) + 31) // 32 + 1
     # Bits of different tokens do not meet, so sums of 32-bit halves are unions, and exact in doubles.
     high = np.bincount(word, weights=(window >> np.uint64(32)).astype(np.float64), minlength=words)
     low = np.bincount(word + 1, weights=(window & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=words)
-    data = (high[:words] + low[:words]).astype(np.uint64).astype(">u4").tobytes()
-    return data[: (total + 7) // 8], starts[::STEP].astype(np.uint32)
+    data = (high[:words] + low[:words]).astype(np.uint64).astype(">u4").tobytes()[: int(begin[-1])]
+    points = -(-sizes // STEP)
+    of = np.repeat(np.arange(len(sizes)), points)
+    at = (last - sizes)[of] + STEP * (np.arange(len(of)) - (np.cumsum(points) - points)[of])
+    return data, begin, (starts[at] - 8 * begin[of]).astype(np.uint32), np.concatenate([[0], np.cumsum(points)])
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of rows with about `most` in all, or of one larger row."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _binary(data: bytes, begin: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
 def unpack(data: bytes, points: np.ndarray, left: np.ndarray, at: np.ndarray, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
@@ -183,29 +197,30 @@ def unpack(data: bytes, points: np.ndarray, left: np.ndarray, at: np.ndarray, ta
 
 
 def cut(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """Rows of two kinds: doc_id, and ids with the end id as 16- or 32-bit integers, of each document; id and n of each task's counts."""
+    """Rows of two kinds: doc_id, size and ids with the end id as 16- or 32-bit integers, of each document; id and n of each task's counts."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, names = _words(shared.value), ["doc_id", "ids", "id", "n"]
+        words, names = _words(shared.value), ["doc_id", "size", "ids", "id", "n"]
         size = max(words.tokenizer.get_vocab_size(), end_id + 1)
         kind, end = np.uint16 if size <= 1 << 16 else np.uint32, array("I", [end_id]).tobytes()
         totals = np.zeros(size, np.int64)
         for batch in batches:
-            made = []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer((words.of(text) if text else b"") + end, np.uint32)
-                totals += np.bincount(ids, minlength=size) if len(ids) > size else 0
-                if len(ids) <= size:
-                    np.add.at(totals, ids, 1)
-                made.append(ids.astype(kind).tobytes())
-            none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], names)
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for part in _slices(lengths, AT_ONCE):
+                some = batch.slice(part.start, part.stop - part.start)
+                made = [words.of(t) + end if t else end for t in some.column(1).to_pylist()]
+                ids = np.frombuffer(b"".join(made), np.uint32)
+                totals += np.bincount(ids, minlength=size)
+                sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+                begin = np.concatenate([[0], np.cumsum(sizes)]) * kind().nbytes
+                none = pa.nulls(len(made))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), _binary(ids.astype(kind).tobytes(), begin), none.cast(pa.int32()), none.cast(pa.int64())], names)
         ids = np.flatnonzero(totals)
         none = pa.nulls(len(ids))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array(ids, pa.int32()), pa.array(totals[ids], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(ids, pa.int32()), pa.array(totals[ids], pa.int64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, ids binary, id int, n long")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, size int, ids binary, id int, n long")
 
 
 def count_ids(made: DataFrame, end_id: int) -> np.ndarray:
@@ -220,8 +235,9 @@ def count_ids(made: DataFrame, end_id: int) -> np.ndarray:
 def write(docs: DataFrame, to: str, vocabulary_path: str, end_id: int = 2, limit: int = 16, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 64 << 20) -> str:
     """Writes the ids of every text, each with end_id after it, to the folder `to` in ascending order of the id column; returns the manifest's path.
 
-    A null text is empty and has only the end id. Rows that repeat are documents of their own; null ids come first. Ties
-    are ordered by their code bits. Other columns are not read. No rows give an empty manifest. limit: bits of the
+    A null text is empty and has only the end id; very long texts are coded whole, in a block of their own. Rows that repeat
+    are documents of their own; null ids come first. Ties are ordered by their code bits; those of an id that alone has more
+    than PIECE_TOKENS by a hash of their ids first. Other columns are not read. No rows give an empty manifest. limit: bits of the
     longest code; it must hold all ids that occur. A file is closed after file_bytes.
     """
     spark = docs.sparkSession
@@ -234,36 +250,38 @@ def write(docs: DataFrame, to: str, vocabulary_path: str, end_id: int = 2, limit
     lengths = code_lengths(count_ids(made, end_id), limit)
     _files.put(to, "lengths.bin", [lengths.tobytes()])
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # bounded by the vocabulary
-    bounds = range_bounds(docs, "doc_id", min(1 << 14, max(4, partitions(spark))))
+    own = made.where("id is null").select("doc_id", "size", "ids")
+    bounds, heavy = range_bounds(own, "doc_id", F.col("size"), PIECE_TOKENS)
+    part = F.when(among(F.col("doc_id"), heavy), F.pmod(F.xxhash64("ids"), F.lit(PARTS))).otherwise(0).cast("int")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, codes = shared.value
         for batch in batches:
-            sizes, bits, points = [], [], []
-            for own in batch.column(1).to_pylist():
-                ids = np.frombuffer(own, np.uint16 if wide == 2 else np.uint32)
-                data, at = pack(ids, lengths, codes)
-                sizes.append(len(ids))
-                bits.append(data)
-                points.append(at.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(points, pa.binary())], ["piece", "doc_id", "n", "bits", "points"])
-
-    coded = made.where("id is null").select("doc_id", "ids").withColumn("piece", bucket_of(F.col("doc_id"), bounds)).mapInArrow(squeeze, "piece int, doc_id long, n int, bits binary, points binary")
-    dealt = coded.repartition(partitions(spark), "piece").sortWithinPartitions("piece", F.col("doc_id").asc_nulls_first(), "bits")
+            sizes = batch.column("size").to_numpy().astype(np.int64)
+            for at in _slices(sizes, AT_ONCE):
+                some = batch.slice(at.start, at.stop - at.start)
+                ids = np.frombuffer(b"".join(some.column("ids").to_pylist()), np.uint16 if wide == 2 else np.uint32)
+                bits, begin, points, first = pack_all(ids, sizes[at], lengths, codes)
+                yield pa.RecordBatch.from_arrays([some.column("piece"), some.column("part"), some.column("doc_id"), some.column("size"), _binary(bits, begin), _binary(points.tobytes(), 4 * first)], ["piece", "part", "doc_id", "n", "bits", "points"])
+
+    coded = own.withColumns({"piece": bucket_of(F.col("doc_id"), bounds), "part": part}).mapInArrow(squeeze, "piece int, part int, doc_id long, n int, bits binary, points binary")
+    # A range goes to one task, and parts of one range to several.
+    tasks = len(bounds) + 1
+    dealt = coded.repartitionById(tasks, F.pmod(F.col("piece") + F.col("part"), F.lit(tasks))).sortWithinPartitions("piece", "part", F.col("doc_id").asc_nulls_first(), "bits")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(5))))
-        for piece, own in itertools.groupby(rows, key=lambda r: r[0]):
+        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(6))))
+        for (piece, part), own in itertools.groupby(rows, key=lambda r: r[:2]):
             blocks, first = _blocks(own), None
             for number in itertools.count():
                 first = next(blocks, None) if first is None else first
                 if first is None:
                     break
-                name, told = f"part-{piece:06d}-{number:04d}.eptk", _Told()
+                name, told = f"part-{piece:06d}-{part:02d}-{number:04d}.eptk", _Told()
                 rest = told.of(itertools.chain([first], blocks), file_bytes)
                 _files.put(to, name, itertools.chain([MAGIC], rest))
                 first = told.over
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([piece], pa.int32()), pa.array([number], pa.int32()), pa.array([told.docs], pa.int64()), pa.array([told.tokens], pa.int64()), pa.array([told.digest.hexdigest()])], ["name", "piece", "number", "docs", "tokens", "sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([piece * PARTS + part], pa.int32()), pa.array([number], pa.int32()), pa.array([told.docs], pa.int64()), pa.array([told.tokens], pa.int64()), pa.array([told.digest.hexdigest()])], ["name", "piece", "number", "docs", "tokens", "sha256"])
 
     manifest = f"{to}/manifest"
     dealt.mapInArrow(store, "name string, piece int, number int, docs long, tokens long, sha256 string").write.parquet(manifest)
@@ -292,7 +310,7 @@ class _Told:
 def _blocks(rows: Iterator[tuple]) -> Iterator[tuple[int, int, bytes]]:
     """Documents, tokens and bytes of each block: a head, then ids (least 64-bit integer for null), token counts, checkpoints, code bits."""
     ids, sizes, points, bits, at, tokens = [], [], [], [], 0, 0
-    for _, doc, n, data, own in rows:
+    for _, _, doc, n, data, own in rows:
         if tokens and tokens + n > BLOCK_TOKENS:
             yield _block(ids, sizes, points, bits, tokens)
             ids, sizes, points, bits, at, tokens = [], [], [], [], 0, 0

@@ -1,9 +1,10 @@
 """WARC archives by a deterministic sharded writer.
 
-Each record is compressed on its own, once. Records are dealt out by ranges of page_id whose bounds are quantiles, put in
-order, and a range is cut into files by compressed size; which files there are follows from the pages and the bounds, not
-from when tasks ran. A file is written under a temporary name and moved to its final one; a manifest that lists the files
-with their sizes and digests commits the archive. Readers take only what the manifest lists.
+Each record is compressed on its own. Records are dealt out by ranges of page_id of about RANGE_BYTES of payload, put in
+order, and a range is cut into files by compressed size. Bounds are exact sums over a grid of page_id, so which files there
+are and each of their bytes follow from the pages alone, not from how these lie in partitions or when tasks ran. A file is
+written under a temporary name and moved to its final one; a manifest that lists the files with their sizes and digests
+commits the archive. Readers take only what the manifest lists.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epistola.llm import _files
-from epistola.llm._store import bit_of, bucket_of, drop, filter_bits, hits, keep, new_dir, partitions, range_bounds
+from epistola.llm._store import Filter, among, bucket_of, drop, hits, keep, new_dir, partitions, range_bounds
 
 #: Payloads shorter than this are stored again each time.
 LEAST = 100
+#: Bytes of payload in a range of pages, and parts that a range of one page_id is cut into.
+RANGE_BYTES, PARTS = 16 << 20, 64
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs in RFC 4122
 
 
-def _record_id(page_id: int | None, url: str | None, again: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}|{url}|{again}')}>"
+def _record_id(page_id: int | None, url: str | None, digest: str, again: int = 0) -> str:
+    """An id that follows from the row; of rows that are equal in all, `again` counts those before."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}|{url}|{digest}|{again}')}>"
 
 
 def _line(text: str) -> str:
@@ -34,18 +38,18 @@ def _line(text: str) -> str:
     return " ".join(text.split())
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, again: int = 0) -> bytes:
-    """One record as a gzip member. A revisit carries the digest of the full payload and its length, not the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, again: int = 0, first_url: str | None = None) -> bytes:
+    """One record as a gzip member. A revisit carries the digest of the full payload and its length, not the payload, and names the record it refers to, which is of page refers_to and first_url."""
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}\r\n\r\n".encode()
     body = http + payload if refers_to is None else http
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id, url, again)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id, url, digest, again)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_line(url or '')}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}",
-        f"Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
+        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, first_url, digest)}", f"WARC-Refers-To-Target-URI: {_line(first_url or '')}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers_to}"]
     return _gzip(("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n")
 
 
@@ -55,6 +59,14 @@ def _gzip(data: bytes) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
+def _renamed(data: bytes, again: int) -> bytes:
+    """The record of a row that is equal in all to `again` rows before it: the same but for its id."""
+    plain = zlib.decompress(data, 31)
+    head, end, rest = plain.partition(b"\r\n\r\n")
+    lines = [x if not x.startswith(b"WARC-Record-ID: ") else f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, x.decode() + f'|{again}')}>".encode() for x in head.split(b"\r\n")]
+    return _gzip(b"\r\n".join(lines) + end + rest)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive file. A member that ends early raises."""
     while data:
@@ -79,10 +91,14 @@ def write(pages: DataFrame, to: str, file_bytes: int = 8 << 20) -> str:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     # Only ids and digests are gathered; partial sums are made before the shuffle, so a payload that is everywhere is one row a task.
-    seen = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html")).where(F.octet_length("html") >= LEAST).groupBy(F.sha2("html", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    # Ids of 2**63 - 1 stand for null ones, so that any other is smaller.
+    least = F.min(F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("page_id"), "url"))
+    seen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).where(F.octet_length("html") >= LEAST).groupBy(F.sha2("html", 256).alias("digest")).agg(least.alias("f"), F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first", F.col("f.url").alias("first_url"))
     seen, seen_path = keep(seen, "warc-seen")
-    shared = spark.sparkContext.broadcast(filter_bits(seen, F.xxhash64("digest")))  # of a fixed size
-    rows = rows.withColumn("h", bit_of(F.xxhash64("digest")))
+    sieve = Filter(seen, F.xxhash64("digest"))
+    shared = sieve.shared
+    bounds, heavy = range_bounds(pages, "page_id", F.octet_length(html) + 500, RANGE_BYTES)
+    rows = rows.withColumns({"h": sieve.bit(F.xxhash64("digest")), "part": F.when(among(F.col("page_id"), heavy), F.pmod(F.xxhash64("digest", "url"), F.lit(PARTS))).otherwise(0).cast("int")})
 
     def split(maybe: bool):
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,31 +110,35 @@ def write(pages: DataFrame, to: str, file_bytes: int = 8 << 20) -> str:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, url, body, digest, refers = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))
-            data = [record(p, u, h.encode(), d, r) for p, u, h, d, r in zip(page, url, body, digest, refers)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(data, pa.binary()), pa.array(map(len, data), pa.int64())], ["page_id", "data", "size"])
+            page, url, body, digest, refers, first = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "first_url"))
+            data = [record(p, u, h.encode(), d, r, first_url=f) for p, u, h, d, r, f in zip(page, url, body, digest, refers, first)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("part"), pa.array(data, pa.binary())], ["page_id", "part", "data"])
 
     # Only payloads that may be repeated are dealt out to find the page they repeat.
-    single = rows.mapInArrow(split(False), rows.schema).withColumn("refers_to", F.lit(None).cast("long"))
+    single = rows.mapInArrow(split(False), rows.schema).withColumns({"refers_to": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
     other = rows.mapInArrow(split(True), rows.schema).join(seen, "digest", "left")
     other = other.withColumn("refers_to", F.when(F.col("first") != F.coalesce(F.col("page_id"), F.lit(2**63 - 1)), F.col("first"))).drop("first")
     rows = single.unionByName(other)
-    bounds = range_bounds(pages.select(F.col("page_id").cast("long").alias("k")), "k", min(1 << 14, max(4, partitions(spark))))
-    made = rows.mapInArrow(squeeze, "page_id long, data binary, size long").withColumn("piece", bucket_of(F.col("page_id"), bounds))
+    made = rows.mapInArrow(squeeze, "page_id long, part int, data binary").withColumn("piece", bucket_of(F.col("page_id"), bounds))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a piece come together and in order; a file's are held until it is whole, which is bounded by its size."""
 
-        def close(piece: int, number: int, parts: list[bytes]) -> pa.RecordBatch:
-            name, digest = f"part-{piece:06d}-{number:06d}.warc.gz", hashlib.sha256()
+        def close(piece: tuple[int, int], number: int, parts: list[bytes]) -> pa.RecordBatch:
+            name, digest = f"part-{piece[0]:06d}-{piece[1]:02d}-{number:06d}.warc.gz", hashlib.sha256()
             for x in parts:
                 digest.update(x)
             _files.put(to, name, parts)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(map(len, parts))], pa.int64()), pa.array([len(parts)], pa.int64()), pa.array([digest.hexdigest()])], ["name", "bytes", "records", "sha256"])
 
-        now, number, size, parts = None, 0, 0, []
+        now, number, size, parts, last, again = None, 0, 0, [], None, 0
         for batch in batches:
-            for piece, data in zip(batch.column("piece").to_pylist(), batch.column("data").to_pylist()):
+            for *piece, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "part", "data"))):
+                piece = tuple(piece)
+                again = again + 1 if (piece, data) == (now, last) else 0
+                last = data
+                if again:
+                    data = _renamed(data, again)
                 if parts and (piece != now or size + len(data) > file_bytes):
                     yield close(now, number, parts)
                     number, size, parts = number + 1 if piece == now else 0, 0, []
@@ -128,7 +148,8 @@ def write(pages: DataFrame, to: str, file_bytes: int = 8 << 20) -> str:
             yield close(now, number, parts)
 
     # The one time that records are dealt out.
-    dealt = made.repartition(partitions(spark), "piece").sortWithinPartitions("piece", F.col("page_id").asc_nulls_first(), "data").select("piece", "data")
+    tasks = len(bounds) + 1
+    dealt = made.repartitionById(tasks, F.pmod(F.col("piece") + F.col("part"), F.lit(tasks))).sortWithinPartitions("piece", "part", F.col("page_id").asc_nulls_first(), "data")
     listed = dealt.mapInArrow(store, "name string, bytes long, records long, sha256 string")
     manifest = f"{to}/manifest"
     listed.write.parquet(manifest)
