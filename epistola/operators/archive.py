@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from epistola.functions.text import ascii_lower, fold, glob_pattern, has_part, has_phrase, like_pattern, spellings
 from epistola.lang import terms as T
+from epistola.operators.postings import Postings
 
 TEXT_COLUMNS = ("subject", "sender", "recipients", "body", "attachment_names", "attachment_text")
 ORDERS = {"datum": "date_text", "absender": "sender_key", "betreff": "subject_key", "groesse": "size", "anhang": "has_attachments"}
@@ -36,13 +37,14 @@ class View:
 
 @dataclass(frozen=True)
 class Archive:
-    """messages, recipients, locations, attachments and texts share the column `hash`."""
+    """messages, recipients, locations, attachments and texts share the column `hash`, and so does the word index, where there is one."""
 
     messages: DataFrame
     recipients: DataFrame
     locations: DataFrame
     attachments: DataFrame
     texts: DataFrame
+    index: Postings | None = None
 
     def seen_by(self, view: View) -> Archive:
         """The archive as this reader has it: places in their accounts, and what belongs to messages with such a place."""
@@ -50,7 +52,7 @@ class Archive:
             return self
         places = self.locations.where(F.col("account").isin(*view.accounts) if view.accounts else F.lit(False))
         only = lambda t: t.join(places.select("hash"), "hash", "left_semi")
-        return Archive(only(self.messages), only(self.recipients), places, only(self.attachments), only(self.texts))
+        return replace(self, messages=only(self.messages), recipients=only(self.recipients), locations=places, attachments=only(self.attachments), texts=only(self.texts))
 
     def matches(self, expression: str) -> DataFrame:
         """The messages that an expression of the search language asks for."""
@@ -165,12 +167,16 @@ def exists_rows(archive: Archive, p: T.Exists) -> DataFrame:
 
 
 def compile_terms(archive: Archive, predicates: list) -> DataFrame:
-    """All predicates hold: comparisons first, then one pass over the texts, then semi and anti joins."""
+    """All predicates hold: comparisons first, then words by the index, or one pass over the texts where there is none, then semi and anti joins."""
     hits = archive.messages
     for p in predicates:
         if isinstance(p, T.Compare):
             hits = hits.where(compare(p))
-    tests = [text_test(p) for p in predicates if isinstance(p, (T.Free, T.Part, T.Phrase))]
+    by_word = [p for p in predicates if isinstance(p, (T.Free, T.Phrase))] if archive.index else []
+    for p in by_word:
+        found = archive.index.find(p.value, None if isinstance(p, T.Free) else (p.column,))
+        hits = hits.join(found, "hash", "left_anti" if p.negated else "left_semi")
+    tests = [text_test(p) for p in predicates if isinstance(p, (T.Free, T.Part, T.Phrase)) and p not in by_word]
     if tests:
         hits = hits.join(archive.texts.where(reduce(lambda a, b: a & b, tests)).select("hash"), "hash", "left_semi")
     for p in predicates:

@@ -41,9 +41,10 @@ def reconcile(server: DataFrame, archive: DataFrame, state: DataFrame | None = N
     server and archive: account, folder, uid. state: account, folder, uidvalidity (as fetched) and server_validity; where
     they differ, or were never fetched, the folder's numbers say nothing and it is unclear.
     """
-    s = server.select("account", "folder", "uid").distinct()
-    a = archive.select("account", "folder", "uid", F.lit(1).alias("held")).distinct()
-    sums = s.join(a, ["account", "folder", "uid"], "left").groupBy("account", "folder").agg(F.count("held").alias("present"), F.count_if(F.col("held").isNull()).alias("missing"))
+    side = lambda t, there: t.select("account", "folder", "uid", F.lit(there).alias("there"), F.lit(not there).alias("held"))
+    # One table of both sides: rows of a number are brought together once, after partial sums.
+    numbers = side(server, True).unionAll(side(archive, False)).groupBy("account", "folder", "uid").agg(F.bool_or("there").alias("there"), F.bool_or("held").alias("held")).where("there")
+    sums = numbers.groupBy("account", "folder").agg(F.count_if("held").alias("present"), F.count_if(~F.col("held")).alias("missing"))
     clear = F.lit(True)
     if state is not None:
         sums = sums.join(state, ["account", "folder"], "left")

@@ -32,10 +32,10 @@ def deletion(messages: DataFrame, chosen: DataFrame, policy: Policy, today_year:
 
 
 def _rewrite(spark: SparkSession, root: str, name: str, hashes: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-    """Writes the years of a table anew that hold any of the hashes. The new rows are whole on disk before the old ones go."""
+    """Writes the years of a table anew that hold any of the hashes, or the buckets of the word index, in order. The new rows are whole on disk before the old ones go."""
     if not ingest.exists(spark, f"{root}/{name}"):
         return
-    part = "year" if name == "messages" else "part"
+    part = {"messages": "year", "words": "bucket"}.get(name, "part")
     names = [x.split()[0] for x in ingest.SCHEMAS[name].split(", ")]
     rows = spark.read.schema(ingest.SCHEMAS[name] + ("" if part in names else f", {part} int")).parquet(f"{root}/{name}").select(*dict.fromkeys([*names, part]))
     touched = [r[part] for r in rows.join(hashes.select("hash"), "hash", "left_semi").select(part).distinct().collect()]  # years
@@ -45,6 +45,8 @@ def _rewrite(spark: SparkSession, root: str, name: str, hashes: DataFrame, chang
     scratch = f"{root}/_rewrite-{uuid.uuid4().hex}"
     change(rows.where(among)).write.parquet(scratch)
     made = spark.read.schema(rows.schema).parquet(scratch)
+    if name == "words":
+        made = made.repartition(len(touched), "bucket").sortWithinPartitions("bucket", "token", "hash", "column", "position")
     made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{root}/{name}")
     left = {r[part] for r in made.select(part).distinct().collect()}
     for gone in set(touched) - left:  # a year without rows is not overwritten
@@ -82,7 +84,7 @@ def delete(spark: SparkSession, root: str, chosen: DataFrame, reason: str, ts: s
         held = ingest.load(spark, root, "store").select("hash", F.lit(True).alias("held"))
         lines = gone.join(held, "hash", "left").select(F.lit("delete").alias("op"), "hash", "bucket", F.lit(reason).alias("reason"), F.lit(actor).alias("actor"), F.lit(note).alias("note"), F.coalesce("held", F.lit(False)).alias("file_existed"))
         journal.write(lines.orderBy("hash"), root, ts)
-        for name in ("texts", "recipients", "attachments", "locations", "store", "messages"):
+        for name in ("words", "texts", "recipients", "attachments", "locations", "store", "messages"):
             _rewrite(spark, root, name, gone, lambda rows: rows.join(gone.select("hash"), "hash", "left_anti"))
     return outcomes.select("hash", "outcome")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epistola.operators.archive import Archive
+from epistola.operators import postings
+from epistola.operators.archive import TEXT_COLUMNS, Archive
 
 TODAY = 2007
 
@@ -13,16 +17,39 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Word indexes of the test tables that this session has built, by their folder: an archive builds its own at ingest.
+_built: dict[tuple[str, str], str] = {}
+BUCKETS = 16
+
+
+def word_index(spark: SparkSession, sf_dir: str, texts: DataFrame) -> postings.Postings:
+    """The index of a folder's documents, built when first asked for, in the folder that all machines share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all machines share")
+            root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        path = f"{root.rstrip('/')}/words-{uuid.uuid4().hex}"
+        postings.build(texts, path, TEXT_COLUMNS, BUCKETS)
+        _built[key] = path
+    return postings.Postings(spark, _built[key], "long", BUCKETS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> Archive:
     d = load(spark, sf_dir, "documents").withColumn("hash", F.col("doc_id"))
     subject = F.substring(F.coalesce("text", F.lit("")), 1, 60)
     # One branch for the texts keeps their column out of every other scan.
+    texts = d.select("hash", subject.alias("subject"), F.col("source").alias("sender"), F.lit("").alias("recipients"), F.col("text").alias("body"), F.lit("").alias("attachment_names"), F.lit("").alias("attachment_text"))
     return Archive(
         messages=d.select("hash", F.lit(None).cast("string").alias("date_text"), F.lit(None).cast("int").alias("year"), F.col("source").alias("from_name"), F.lit("").alias("from_addr"), F.col("n_chars").alias("size"), F.lit(False).alias("has_attachments"), F.lit("unbestimmt").alias("category"), F.lit("normal").alias("importance"), F.lit("").alias("thread"), F.lit("").alias("captured"), F.lit("").alias("subject")),
         recipients=d.select("hash", F.col("source").alias("addr"), F.lit("to").alias("kind")),
         locations=d.select("hash", F.col("source").alias("account"), F.col("lang").alias("folder"), F.lit(None).cast("long").alias("uid"), F.lit("").alias("flags")),
         attachments=d.select("hash", F.lit("").alias("filename"), F.lit("").alias("extension"), F.lit(0).alias("size"), F.lit(False).alias("inline")).where(F.lit(False)),
-        texts=d.select("hash", subject.alias("subject"), F.col("source").alias("sender"), F.lit("").alias("recipients"), F.col("text").alias("body"), F.lit("").alias("attachment_names"), F.lit("").alias("attachment_text")),
+        texts=texts,
+        index=word_index(spark, sf_dir, texts),
     )
 
 

@@ -9,11 +9,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from epistola import schemas
 from epistola.functions import mail
-from epistola.operators import journal, policy
-from epistola.operators.archive import Archive
+from epistola.operators import journal, policy, postings
+from epistola.operators.archive import TEXT_COLUMNS, Archive
 
 KEYS = {"messages": ["hash"], "recipients": ["hash", "addr", "kind"], "locations": ["hash", "account", "folder"], "attachments": ["hash"], "texts": ["hash"], "store": ["hash"]}
-SCHEMAS = {**schemas.TABLES, "store": schemas.STORE, "quarantine": schemas.QUARANTINE}
+SCHEMAS = {**schemas.TABLES, "store": schemas.STORE, "quarantine": schemas.QUARANTINE, "words": postings.SCHEMA.format(hash="string")}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,7 +30,9 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def archive(spark: SparkSession, root: str) -> Archive:
-    return Archive(**{name: load(spark, root, name) for name in schemas.TABLES})
+    """The archive as it is now, with its word index."""
+    index = postings.Postings(spark, f"{root}/words", "string") if exists(spark, f"{root}/words") else None
+    return Archive(**{name: load(spark, root, name) for name in schemas.TABLES}, index=index)
 
 
 def save(rows: DataFrame, root: str, name: str) -> None:
@@ -79,6 +81,8 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
     for name in ("locations", "recipients", "attachments", "texts", "messages"):  # the message last
         key = KEYS[name] if name in ("locations", "recipients") else ["hash"]
         rows = tables[name].join(load(spark, root, name).select(*key), key, "left_anti")
+        if name == "texts":  # words before the texts they are of, so that none is left without
+            postings.build(rows, f"{root}/words", TEXT_COLUMNS)
         save(rows if name == "messages" else rows.join(good.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"]), "hash").select(*rows.columns, "part"), root, name)
     for kept in (parsed, places, ruled):
         kept.unpersist()
@@ -102,6 +106,7 @@ def rebuild(spark: SparkSession, root: str, to: str) -> None:
     own = tables["messages"].drop("captured").join(captured, "hash").join(journal.categories(entries).withColumnRenamed("category", "told_category"), "hash", "left")
     tables["messages"] = own.withColumns({"captured": F.col("told"), "category": F.coalesce("told_category", "category")}).select(*tables["messages"].columns)
     parts = parsed.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"])
+    postings.build(tables["texts"], f"{to}/words", TEXT_COLUMNS)
     for name, table in tables.items():
         save(table if name == "messages" else table.join(parts, "hash").select(*table.columns, "part"), to, name)
     parsed.unpersist()

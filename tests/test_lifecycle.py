@@ -1,5 +1,7 @@
 """An archive from ingest to deletion: every step is in the journal, and the tables can be made anew from it."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def test_classify_delete_seal_rebuild(spark, root, tmp_path):
     everything = ingest.load(spark, root, "messages").select("hash").unionByName(spark.createDataFrame([("nichts",)], "hash string"))
     outcome = {r["hash"]: r["outcome"] for r in lifecycle.delete(spark, root, everything, "frist_abgelaufen", "2026-01-04T00:00:00", 2026, Policy(), "anna").collect()}
     assert sorted(outcome.values()) == ["deleted", "deleted", "locked", "locked", "unknown"]  # the private one and that of 2001 go
-    for name in ("messages", "texts", "store", "recipients"):
+    for name in ("messages", "texts", "store", "recipients", "words"):
         assert ingest.load(spark, root, name).select("hash").distinct().count() == 2, name
     assert ingest.archive(spark, root).count("sonderangebote").first()["n"] == 0 and ingest.archive(spark, root).count("jahr:2001").first()["n"] == 0
     gone = entries(spark, root).where("op = 'delete'")
@@ -97,6 +99,17 @@ def test_years_are_pruned(spark, root):
     assert "PartitionFilters: [isnotnull(year" in plan
 
 
+def test_a_word_is_found_without_reading_texts(spark, root):
+    fill(spark, root)
+    a = ingest.archive(spark, root)
+    plan = a.matches("rechnung -sonderangebote")._jdf.queryExecution().toString()
+    assert "archive/words" in plan and "archive/texts" not in plan
+    assert "(bucket" in plan.split("PartitionFilters: [")[2] and "StringStartsWith(token,rechnung)" in plan
+    without = replace(a, index=None)
+    for asked in ("rechnung", "-sonderangebote", '"neue rechnung"', '"rückfrage zur best"', "text:bahnhofstrasse", "von:mü", "muller", '"zur rückfrage"', "*", "ruckfrage bestellung"):
+        assert sorted(r["hash"] for r in a.matches(asked).collect()) == sorted(r["hash"] for r in without.matches(asked).collect()), asked
+
+
 def test_one_bad_message_is_put_aside(spark, root, monkeypatch):
     assert mail.try_parse(b"")["problem"] == "empty" and mail.try_parse(None)["problem"] == "empty"
     monkeypatch.setattr(mail, "parse_message", lambda raw: 1 / 0)
