@@ -14,9 +14,9 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from epistola.functions import formats
+from epistola.functions import attachments, formats
 
-BODY_MOST, ATTACHED_MOST, PART_MOST = 1_000_000, 600_000, 80 << 20
+BODY_MOST, ATTACHED_MOST = 1_000_000, 600_000
 #: Elements that begin a line, and those whose text is not shown, fixed values.
 _BLOCKS = {"p", "br", "div", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "ul", "ol", "hr", "section"}
 _HIDDEN = {"script", "style", "head"}
@@ -113,8 +113,9 @@ def parse_message(raw: bytes) -> dict:
         disposition = part.get_content_disposition()
         if file or disposition == "attachment" or not kind.startswith("text/"):
             inline = disposition == "inline" or bool(part.get("Content-ID"))
-            text = decode(data, part.get_content_charset()) if kind in ("text/plain", "text/csv") and len(data) <= PART_MOST else html_to_text(decode(data, part.get_content_charset())) if kind == "text/html" and len(data) <= PART_MOST else ""
-            attached.append({"filename": str(file or ""), "mime_type": kind, "size": len(data), "text": text, "inline": inline})
+            # Once texts are too long together, no more attachments are read.
+            text, how = attachments.read(str(file or ""), data, html_to_text) if sum(len(x["text"]) for x in attached) <= ATTACHED_MOST else ("", "not read")
+            attached.append({"filename": str(file or ""), "mime_type": kind, "size": len(data), "text": text, "inline": inline, "kind": how})
         elif kind == "text/plain":
             plain.append(decode(data, part.get_content_charset()))
         elif kind == "text/html":
@@ -141,7 +142,7 @@ def try_parse(raw: bytes | None) -> dict:
         return NOTHING | {"problem": f"{type(error).__name__}: {error}"[:500]}
 
 
-PARSED = "problem string, subject string, from_name string, from_addr string, to array<string>, cc array<string>, bcc array<string>, date_text string, message_id string, in_reply_to string, references array<string>, importance string, body string, attached array<struct<filename:string,mime_type:string,size:long,text:string,inline:boolean>>"
+PARSED = "problem string, subject string, from_name string, from_addr string, to array<string>, cc array<string>, bcc array<string>, date_text string, message_id string, in_reply_to string, references array<string>, importance string, body string, attached array<struct<filename:string,mime_type:string,size:long,text:string,inline:boolean,kind:string>>"
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -164,13 +165,13 @@ def tables(parsed: DataFrame, captured: str) -> dict[str, DataFrame]:
     """The archive's tables from parsed rows with account, folder, uid and flags: a message once, a place once."""
     once = parsed.dropDuplicates(["hash"])
     names = F.array_join(F.transform(F.filter("attached", formats.useful), lambda a: a["filename"]), " ")
-    texts = F.substring(F.array_join(F.transform("attached", lambda a: F.concat(a["filename"], F.lit("\n"), a["text"])), "\n\n"), 1, ATTACHED_MOST)
+    texts = F.substring(F.array_join(F.transform(F.filter("attached", lambda a: F.trim(a["text"]) != ""), lambda a: F.concat(a["filename"], F.lit("\n"), a["text"])), "\n\n"), 1, ATTACHED_MOST)
     of_kind = lambda k: F.transform(k, lambda a: F.struct(F.lower(a).alias("addr"), F.lit(k).alias("kind")))
     kinds = F.array(*map(of_kind, ("to", "cc", "bcc")))
     return {
         "messages": once.select("hash", "bucket", "date_text", "year", "from_addr", "from_name", "subject", "size", "has_attachments", F.lit("unbestimmt").alias("category"), "message_id", "thread", F.lit(captured).alias("captured"), "importance"),
         "recipients": once.select("hash", F.explode(F.flatten(kinds)).alias("r")).select("hash", "r.addr", "r.kind").distinct(),
         "locations": parsed.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("uid", "flags"), F.coalesce("uid", F.lit(2**62))).alias("l")).select("hash", "account", "folder", "l.uid", "l.flags"),
-        "attachments": once.select("hash", F.explode("attached").alias("a")).select("hash", "a.filename", formats.extension(F.col("a.filename")).alias("extension"), "a.mime_type", "a.size", F.when(F.col("a.text") != "", F.length("a.text")).otherwise(F.lit(0)).cast("long").alias("text_chars"), "a.inline"),
+        "attachments": once.select("hash", F.explode("attached").alias("a")).select("hash", "a.filename", formats.extension(F.col("a.filename")).alias("extension"), "a.mime_type", "a.size", F.when(F.col("a.text") != "", F.length("a.text")).otherwise(F.lit(0)).cast("long").alias("text_chars"), "a.inline", "a.kind"),
         "texts": once.select("hash", "subject", F.concat_ws(" ", "from_name", "from_addr").alias("sender"), F.array_join(F.concat("to", "cc"), " ").alias("recipients"), "body", names.alias("attachment_names"), texts.alias("attachment_text")),
     }

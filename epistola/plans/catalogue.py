@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epistola.functions import formats, mail, text
-from epistola.operators import audit, journal, policy
+from epistola.operators import audit, journal, lifecycle, policy, upkeep
 from epistola.operators.archive import View, display, sender_display
 from epistola.plans.tables import TODAY, documents, entries, load, orders, sql
+from epistola.sources import servers
 from epistola.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -388,3 +389,133 @@ def store_damage(spark, sf):
 @query(sql("doc", r"SELECT hash, list_count(regexp_extract_all(folded, '[\pL\pN]+')) AS n FROM doc"))
 def word_counts(spark, sf):
     return load(spark, sf, "documents").select(F.col("doc_id").alias("hash"), F.size(F.regexp_extract_all(text.fold(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("long").alias("n"))
+
+
+# Lifecycle and upkeep.
+
+
+@query(sql("msg", "SELECT hash, category AS previous, 'privat' AS category FROM msg WHERE year = 1996 AND importance = 'hoch' AND category <> 'privat'"))
+def classify_hits(spark, sf):
+    a = orders(spark, sf)
+    return lifecycle.to_classify(a.messages, a.matches("jahr:1996 wichtigkeit:hoch"), "privat")
+
+
+@query(sql("msg", f"SELECT o.k AS hash, CASE WHEN m.hash IS NULL THEN 'unknown' WHEN m.year + CASE m.category WHEN 'handelsbrief' THEN 6 ELSE 8 END >= {TODAY} THEN 'locked' ELSE 'deleted' END AS outcome FROM (SELECT DISTINCT l_orderkey + 3 AS k FROM lineitem) o LEFT JOIN msg m ON m.hash = o.k"))
+def deletion_guard(spark, sf):
+    messages = orders(spark, sf).messages.withColumn("bucket", formats.month_bucket(F.col("date_text")))
+    chosen = load(spark, sf, "lineitem").select((F.col("l_orderkey") + 3).alias("hash"))
+    return lifecycle.deletion(messages, chosen, policy.Policy(), TODAY).select("hash", "outcome")
+
+
+@query(sql("jrn", """, live AS (SELECT hash FROM (SELECT hash, arg_max(op, seq) AS op FROM jrn WHERE op IN ('add', 'delete') GROUP BY hash) WHERE op = 'add'),
+    cat AS (SELECT hash, arg_max(category, seq) AS category FROM jrn WHERE op = 'classify' GROUP BY hash),
+    gone AS (SELECT hash, max(seq) AS gone FROM jrn WHERE op = 'delete' GROUP BY hash)
+    SELECT j.hash, j.account, j.folder, min(j.seq) AS seq, coalesce(any_value(c.category), 'unbestimmt') AS category FROM jrn j JOIN live USING (hash) LEFT JOIN cat c USING (hash) LEFT JOIN gone g USING (hash)
+    WHERE j.op = 'add' AND (g.gone IS NULL OR j.seq > g.gone) GROUP BY ALL"""))
+def rebuild_folds(spark, sf):
+    """What the tables are made of anew: live messages, their places and last categories."""
+    e = entries(spark, sf)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("uid", "long"), ("kind", "string"), ("old", "string"), ("new", "string"))]
+    places = journal.locations(e.select("*", *none)).join(journal.live(e).select("hash"), "hash", "left_semi")
+    return places.join(journal.categories(e), "hash", "left").select("hash", "account", "folder", "seq", F.coalesce("category", F.lit("unbestimmt")).alias("category"))
+
+
+@query("SELECT l_suppkey AS account, l_orderkey * 10 + l_linenumber AS name FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber DESC) AS rn FROM lineitem) WHERE rn > 5")
+def backups_to_remove(spark, sf):
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("account"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("name"), F.col("l_shipdate").alias("modified"))
+    return upkeep.to_remove(rows, 5).select("account", "name")
+
+
+@query("SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS mails, CAST(sum(l_linenumber) AS BIGINT) AS places, CAST(sum(CASE l_returnflag WHEN 'A' THEN 1 + l_linenumber ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE l_returnflag WHEN 'N' THEN 1 + l_linenumber ELSE 0 END) AS BIGINT) AS n FROM lineitem")
+def merged_run_statistics(spark, sf):
+    rows = load(spark, sf, "lineitem").select(F.col("l_quantity").cast("long").alias("mails"), F.col("l_linenumber").alias("places"), F.create_map("l_returnflag", F.col("l_linenumber") + 1).alias("kinds"))
+    return upkeep.merged_statistics(rows, ["mails", "places"], "kinds").select("mails", "places", *[F.coalesce(F.element_at("kinds", F.lit(k)), F.lit(0)).cast("long").alias(k.lower()) for k in "AN"])
+
+
+@query(sql("msg", "SELECT substr(date_text, 1, 4) || '/' || substr(date_text, 6, 2) AS bucket, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM msg GROUP BY 1"))
+def disk_usage_by_month(spark, sf):
+    return upkeep.disk_usage(orders(spark, sf).messages.withColumn("bucket", formats.month_bucket(F.col("date_text"))))
+
+
+@query(sql("loc", "SELECT folder, count(*) FILTER (WHERE hash % 7 <> 2) AS written, count(*) FILTER (WHERE hash % 7 = 2) AS skipped, count(*) FILTER (WHERE places > 1) AS several, count(*) FILTER (WHERE hash % 11 = 0) AS without_id FROM (SELECT *, count(*) OVER (PARTITION BY hash) AS places FROM loc) GROUP BY folder"))
+def restore_report(spark, sf):
+    rows = orders(spark, sf).locations
+    chosen = rows.select("hash", "folder", F.when(F.col("hash") % 11 != 0, F.col("hash").cast("string")).alias("message_id"))
+    return upkeep.restore_report(chosen, rows.where("hash % 7 <> 2"))
+
+
+@query("SELECT o_orderkey AS hash, (CAST(o_orderdate AS DATE) >= make_date(year(o_orderdate), 1, 15)) AND (o_custkey % 3 = 0 OR year(o_orderdate) - o_custkey % 3 < year(o_orderdate)) AS due, strftime(CAST(o_orderdate AS DATE) - CAST(o_custkey % 400 AS INTEGER), '%Y-%m-%d') AS since FROM orders")
+def yearly_review(spark, sf):
+    day = F.col("o_orderdate").cast("date")
+    last = F.when(F.col("o_custkey") % 3 != 0, F.year(day) - (F.col("o_custkey") % 3).cast("int"))
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("hash"), upkeep.review_due(last, day).alias("due"), upkeep.cut_off(day, (F.col("o_custkey") % 400).cast("int")).cast("string").alias("since"))
+
+
+@query("SELECT doc_id AS id, '2024/' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '/' || substr(sha256(text), 1, 2) || '/' || sha256(text) AS path FROM documents WHERE text IS NOT NULL")
+def payload_paths(spark, sf):
+    bucket = F.concat(F.lit("2024/"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"))
+    return load(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), upkeep.stored_path(F.sha2("text", 256), bucket).alias("path"))
+
+
+@query("SELECT l_suppkey AS uid, l_orderkey AS id FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-03-01'")
+def uids_before_day(spark, sf):
+    rows = load(spark, sf, "lineitem").select(F.lit("a").alias("account"), F.col("l_orderkey").alias("folder"), F.col("l_suppkey").alias("uid"), F.col("l_shipdate").alias("received"))
+    return servers.before(rows, F.lit("1997-03-01").cast("date")).select("uid", F.col("folder").alias("id"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT l_suppkey AS folder, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS uid, CAST(floor(l_extendedprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 1000000 + l_partkey * 10 + l_linenumber) AS rn FROM lineitem),
+    b AS (SELECT folder, uid, rn, CAST(0 AS BIGINT) AS block, CAST(1 AS BIGINT) AS n, CAST(size AS HUGEINT) AS total FROM r WHERE rn = 1
+    UNION ALL SELECT r.folder, r.uid, r.rn, CASE WHEN b.n >= 50 OR b.total + r.size > 1000000 THEN b.block + 1 ELSE b.block END, CASE WHEN b.n >= 50 OR b.total + r.size > 1000000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 50 OR b.total + r.size > 1000000 THEN r.size ELSE b.total + r.size END
+    FROM b JOIN r ON r.folder = b.folder AND r.rn = b.rn + 1) SELECT CAST(folder AS VARCHAR) AS folder, uid, block FROM b""")
+def request_blocks(spark, sf):
+    rows = load(spark, sf, "lineitem").select(F.lit("a").alias("account"), F.col("l_suppkey").cast("string").alias("folder"), (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("uid"), F.floor("l_extendedprice").alias("size"))
+    return servers.requests(rows, size=1_000_000).select("folder", "uid", "block")
+
+
+_BOXES = "SELECT p_partkey AS id, 'F' || p_partkey AS name, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey // 3 END AS parent, CASE p_partkey % 10 WHEN 3 THEN 'trash' WHEN 7 THEN 'Inbox' ELSE NULL END AS role FROM part"
+
+
+@query(f"WITH RECURSIVE b AS ({_BOXES}), t AS (SELECT id, role, name AS path, parent FROM b UNION ALL SELECT t.id, t.role, b.name || '/' || t.path, b.parent FROM t JOIN b ON t.parent = b.id) SELECT id, path FROM t WHERE (parent IS NULL OR parent NOT IN (SELECT id FROM b)) AND coalesce(role, '') <> 'trash'")
+def mailbox_paths(spark, sf):
+    load(spark, sf, "part").createOrReplaceTempView("part_of_mailboxes")
+    return servers.folder_paths(spark.sql(_BOXES.replace("//", "div").replace("FROM part", "FROM part_of_mailboxes")))
+
+
+@query(sql("loc", "SELECT DISTINCT account FROM loc"))
+def account_names(spark, sf):
+    return upkeep.accounts(orders(spark, sf).locations)
+
+
+@query(sql("msg", "SELECT (SELECT count(*) FROM msg WHERE year = 1900) AS messages, (SELECT count(*) FROM events) AS entries, true AS alarm"))
+def empty_index_alarm(spark, sf):
+    return upkeep.empty_alarm(orders(spark, sf).messages.where("year = 1900"), load(spark, sf, "events"))
+
+
+SAVED = [{"name": "Groß", "expression": "groesse:>200KB"}, {"name": "Wichtig 1996", "expression": "jahr:1996 wichtigkeit:hoch"}, {"name": "Ohne Beleg", "expression": "-kategorie:buchungsbeleg"}]
+
+
+@query(sql("msg", "SELECT 'Groß' AS name, count(*) AS n FROM msg WHERE size > 204800 UNION ALL SELECT 'Wichtig 1996', count(*) FROM msg WHERE year = 1996 AND importance = 'hoch' UNION ALL SELECT 'Ohne Beleg', count(*) FROM msg WHERE category <> 'buchungsbeleg'"))
+def saved_searches(spark, sf):
+    kept: list[dict] = []
+    for s in SAVED:
+        kept = upkeep.keep_search(kept, s["name"], s["expression"])
+    return upkeep.counts_of_searches(orders(spark, sf), kept)
+
+
+@query("SELECT doc_id AS hash, CASE WHEN doc_id % 4 = 1 AND trim(text) <> '' THEN text || chr(10) || text ELSE text END AS attachment_text FROM documents")
+def recognised_text(spark, sf):
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("hash"), F.col("text").alias("attachment_text"))
+    return upkeep.with_recognised(d, d.where("hash % 4 = 1").select("hash", F.lit("a.pdf").alias("filename"), F.col("attachment_text").alias("text")))
+
+
+@query(sql("msg", "SELECT l_orderkey AS hash, l_linenumber AS filename, subject, from_addr, date_text FROM lineitem JOIN msg ON hash = l_orderkey WHERE l_linenumber > 5"))
+def recognition_notes(spark, sf):
+    notes = load(spark, sf, "lineitem").where("l_linenumber > 5").select(F.col("l_orderkey").alias("hash"), F.col("l_linenumber").alias("filename"))
+    return upkeep.notes_of_messages(notes, orders(spark, sf).messages)
+
+
+@query()
+def search_history(spark, sf):
+    """Turns of a conversation as what its user asked for, one after the other."""
+    rows = load(spark, sf, "conversations").select(F.col("conv_id").alias("user"), F.col("turn").alias("at"), F.substring("text", 1, 12).alias("expression"))
+    return upkeep.recent(rows, 5)

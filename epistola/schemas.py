@@ -7,7 +7,7 @@ SCHEMA_VERSION = 1
 MESSAGES = "hash string, bucket string, date_text string, year int, from_addr string, from_name string, subject string, size long, has_attachments boolean, category string, message_id string, thread string, captured string, importance string"
 RECIPIENTS = "hash string, addr string, kind string"
 LOCATIONS = "hash string, account string, folder string, uid long, flags string"
-ATTACHMENTS = "hash string, filename string, extension string, mime_type string, size long, text_chars long, inline boolean"
+ATTACHMENTS = "hash string, filename string, extension string, mime_type string, size long, text_chars long, inline boolean, kind string"
 TEXTS = "hash string, subject string, sender string, recipients string, body string, attachment_names string, attachment_text string"
 STORE = "hash string, bucket string, raw binary, size long"
 JOURNAL = "segment string, line_no long, line string"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
@@ -21,22 +23,37 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return rows.where("length > 0").select(F.substring_index("path", root, -1).alias("name"), "content")
 
 
-def _listed(spark: SparkSession, path: str) -> DataFrame:
-    """The same, for names with colons, which Hadoop's readers do not open: names are listed as any reader lists them, and read in tasks."""
+def _leaves(path: str) -> list[str]:
+    """The directories cur and new below a path, without a look into them."""
     where, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    base = base.rstrip("/")
-    found = where.get_file_info(fs.FileSelector(base, recursive=True))
-    names = [(x.path[len(base) + 1 :],) for x in found if x.is_file and x.size]
+    base, found, look = base.rstrip("/"), [], [""]
+    while look:
+        at = look.pop()
+        for x in where.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/"))):
+            name = f"{at}/{x.base_name}".lstrip("/")
+            if x.type == fs.FileType.Directory:
+                if x.base_name in ("cur", "new"):
+                    found.append(name)
+                elif x.base_name != "tmp":
+                    look.append(name)
+    return sorted(found)
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """Name and content of the files in all directories cur and new: names with colons are none that Hadoop's readers open, so tasks list a directory and read their share of it."""
+    shares = max(1, spark.sparkContext.defaultParallelism)
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         for batch in batches:
-            for name in batch["name"]:
-                with own.open_input_stream(f"{top.rstrip('/')}/{name}", compression=None) as file:
-                    yield pd.DataFrame({"name": [name], "content": [file.read()]})
+            for leaf, share in zip(batch["leaf"], batch["share"]):
+                for x in own.get_file_info(fs.FileSelector(f"{top.rstrip('/')}/{leaf}")):
+                    if x.is_file and x.size and zlib.crc32(x.base_name.encode("utf-8", "surrogateescape")) % shares == share:
+                        with own.open_input_stream(x.path, compression=None) as file:
+                            yield pd.DataFrame({"name": [f"{leaf}/{x.base_name}"], "content": [file.read()]})
 
-    rows = spark.createDataFrame(names, "name string")
-    return rows.repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism * 4)), "name").mapInPandas(fetch, "name string, content binary")
+    rows = [(leaf, share) for leaf in _leaves(path) for share in range(shares)]
+    return spark.createDataFrame(rows, "leaf string, share int").repartition(shares, "share").mapInPandas(fetch, "name string, content binary")
 
 
 def flags_of_name(name: Column) -> Column:
@@ -79,6 +96,11 @@ def split_mbox(data: bytes) -> Iterator[bytes]:
         yield re.sub(rb"(?m)^>(>*From )", rb"\1", part[:-1] if part.endswith(b"\n\n") else part)
 
 
+#: Files beside folders that hold no mail, fixed values.
+NO_MAIL = r"^\.|\.(msf|dat|json|sqlite|log|bak|tmp)$"
+PASSED_OVER = ("msgFilterRules.dat", "filterlog.html", "Trash", "Junk")
+
+
 def read_mbox(spark: SparkSession, path: str, account: str, pattern: str = "*") -> DataFrame:
     """MBOX files below a path, one folder each: A.sbd/B is A/B; index and hidden files are passed over."""
 
@@ -88,12 +110,59 @@ def read_mbox(spark: SparkSession, path: str, account: str, pattern: str = "*")
                 for i, raw in enumerate(split_mbox(bytes(data))):
                     yield pd.DataFrame({"name": [name], "at": [i], "raw": [raw]})
 
-    rows = _files(spark, path, pattern).where(~F.col("name").rlike(r"(^|/)\.|\.(msf|dat|html|json)$"))
+    base = F.substring_index("name", "/", -1)
+    rows = _files(spark, path, pattern).where(~base.rlike(NO_MAIL) & ~base.isin(*PASSED_OVER))
     parts = rows.mapInPandas(split, "name string, at long, raw binary")
     folder = F.regexp_replace(F.regexp_replace("name", r"\.sbd(?=/)", ""), r"\.mbox$", "")
     return parts.select(F.lit(account).alias("account"), folder.alias("folder"), F.lit(None).cast("long").alias("uid"), F.lit("").alias("flags"), "raw")
 
 
+def kind_of(path: str) -> str:
+    """What lies at a path: profile, maildir, folders, collection, eml or mbox, in this order; anything else raises."""
+    where, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    own = where.get_file_info(base)
+    if own.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if own.is_file:
+        return "mbox"
+    inside = where.get_file_info(fs.FileSelector(base))
+    dirs = {x.base_name for x in inside if x.type == fs.FileType.Directory}
+    if dirs & {"Mail", "ImapMail"}:
+        return "profile"
+    if "cur" in dirs:
+        return "maildir"
+    if any(x.base_name.endswith((".msf", ".sbd")) for x in inside):
+        return "folders"
+    below = [x for d in dirs for x in where.get_file_info(fs.FileSelector(f"{base}/{d}"))]
+    if any(x.base_name == "cur" and x.type == fs.FileType.Directory for x in below):
+        return "collection"
+    if any(x.is_file and x.base_name.lower().endswith((".eml", ".emlx")) for x in [*inside, *below]):
+        return "eml"
+    raise ValueError(f"no mail that is known at {path}")
+
+
+def read_any(spark: SparkSession, path: str, account: str, everything: bool = False) -> DataFrame:
+    """The mail at a path, whatever kind of source it is; without `everything`, folders of rubbish, drafts and the like are left out."""
+    from epistola.operators.policy import is_excluded
+
+    kind, path = kind_of(path), path.rstrip("/")
+    if kind == "profile":
+        where, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        there = [d for d in ("Mail", "ImapMail") if where.get_file_info(f"{base}/{d}").type == fs.FileType.Directory]
+        rows = reduce(DataFrame.unionByName, [read_mbox(spark, f"{path}/{d}", account) for d in there])
+    elif kind in ("maildir", "collection"):
+        rows = read_maildir(spark, path, account)
+    else:
+        rows = read_eml(spark, path, account) if kind == "eml" else read_mbox(spark, path, account)
+    return rows if everything else rows.where(~is_excluded(F.col("folder")))
+
+
+def read_all(spark: SparkSession, paths: list[str], account: str, everything: bool = False, together: bool = False) -> DataFrame:
+    """Several sources as one account's mail: each below the name of its directory, unless they are to be put together."""
+    each = [(p.rstrip("/").rpartition("/")[2], read_any(spark, p, account, everything)) for p in paths]
+    return reduce(DataFrame.unionByName, [rows if together or len(paths) == 1 else with_origin(rows, name) for name, rows in each])
+
+
 def with_origin(rows: DataFrame, origin: str) -> DataFrame:
     """Folders below the name of where they came from; mail at the top goes into it."""
     return rows.withColumn("folder", F.when(F.coalesce("folder", F.lit("")) == "", origin).otherwise(F.concat(F.lit(f"{origin}/"), "folder")))
