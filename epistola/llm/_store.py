@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -26,11 +27,29 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes that a Python worker is handed at a time while a scratch table is written.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the time of a job, batches so small that long texts do not fill a worker."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def keep(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Writes df to a new shared table and returns what was written with its path: it cuts the lineage."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -73,6 +92,11 @@ class Cache(dict):
         return value
 
 
+def texts(column: pa.Array) -> Iterator:
+    """The values of a column one after the other, so that no more than one of them is held beside the batch."""
+    return (x.as_py() for x in column)
+
+
 _own: dict = {}
 
 
@@ -89,23 +113,25 @@ KEY_BITS, FILTER_LEAST, FILTER_MOST = 16, 15, 28
 
 
 class Filter:
-    """The bits of a table's integer keys. A key that is not in the table may have its bit set too."""
+    """The bits of a table's integer keys, as a small table. A key that is not among them may have its bit set too."""
 
     def __init__(self, rows: DataFrame, key: Column):
         self.power = min(FILTER_MOST, max(FILTER_LEAST, (KEY_BITS * rows.count() - 1).bit_length()))
-        bits = rows.select(self.bit(key).alias("h")).groupBy(F.shiftright("h", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
-        packed = np.zeros(1 << (self.power - 3), np.uint8)
-        for r in bits.toLocalIterator():  # 8192 pieces of 4 KB at most
-            packed[r["at"] * 4096 : r["at"] * 4096 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-        self.shared = rows.sparkSession.sparkContext.broadcast(packed)  # bounded by FILTER_MOST
+        bits = rows.select(self._bit(key).alias("h")).groupBy(F.shiftright("h", 15).alias("_at")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767).cast("long"))).alias("_bits"))
+        self.bits, _ = keep(bits, "filter")  # 8192 pieces of 4 KB at most
 
-    def bit(self, key: Column) -> Column:
+    def _bit(self, key: Column) -> Column:
         """The bit of a key; null counts as the smallest."""
         return F.pmod(F.xxhash64(F.coalesce(key.cast("long"), F.lit(-(1 << 63)))), F.lit(1 << self.power))
 
-
-def hits(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    def split(self, rows: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows whose key may be in the table, and those whose key is not. No row is dealt out for it."""
+        bit = self._bit(key)
+        marked = rows.withColumns({"_at": F.shiftright(bit, 15), "_in": bit.bitwiseAND(F.lit(32767).cast("long")).cast("int")}).join(F.broadcast(self.bits), "_at", "left")
+        byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_in", 3) + 1, F.lit(1))), 16, 10).cast("int")
+        own = F.coalesce(F.expr("shiftright(_byte, _in & 7) & 1") == 1, F.lit(False))
+        marked = marked.withColumn("_byte", byte).withColumn("_own", own)
+        return tuple(marked.where(test).select(*rows.columns) for test in (F.col("_own"), ~F.col("_own")))
 
 
 #: Most ranges that a key is cut into, and cells that are counted at a time to find them.
@@ -146,7 +172,7 @@ def range_bounds(rows: DataFrame, key: str, weight: Column, target: int) -> tupl
     return bounds, heavy + [c for c, (w, _) in cells.items() if w > target]
 
 
-def _constants(values: list[int]) -> Column:
+def constants(values: list[int]) -> Column:
     """A constant array of whole numbers, as one literal of the plan."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
@@ -158,7 +184,7 @@ def among(key: Column, values: list[int | None]) -> Column:
     if not some:
         return null
     step = max(1, int(len(some) ** 0.5))
-    rows = F.array(*[_constants(some[i : i + step]) for i in range(0, len(some), step)])
+    rows = F.array(*[constants(some[i : i + step]) for i in range(0, len(some), step)])
     at = bucket_of(key, some)
     return null | F.coalesce(F.get(F.get(rows, F.floor(at / step).cast("int")), at % step) == key, F.lit(False))
 
@@ -170,8 +196,8 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     step = max(1, int(len(bounds) ** 0.5))
     below = lambda b: b < key
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    coarse = F.size(F.filter(_constants([b[-1] for b in blocks]), below))
-    fine = F.get(F.array(*[_constants(b) for b in blocks]), coarse)
+    coarse = F.size(F.filter(constants([b[-1] for b in blocks]), below))
+    fine = F.get(F.array(*[constants(b) for b in blocks]), coarse)
     return F.coalesce(coarse * F.lit(step) + F.when(coarse < len(blocks), F.size(F.filter(fine, below))).otherwise(0), F.lit(0)).cast("int")
 
 

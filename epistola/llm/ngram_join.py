@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from epistola.llm._store import Cache, Filter, drop, hits, keep, partitions, worker_cache
+from epistola.llm._store import Cache, Filter, drop, keep, partitions, texts, worker_cache
 
 #: Cells of the rough counts, and of each piece in which tasks hand them on.
 CELLS, PIECE = 1 << 22, 1 << 16
@@ -89,15 +89,15 @@ def signature(grams: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: doc_id, size, cid and signature of each document; and pieces of each task's rough counts."""
+    """Rows of two kinds: doc_id, the text's hash, size, cid and signature of each document; and pieces of each task's rough counts."""
     marks = [f"s{k}" for k in range(WORDS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held = np.zeros(CELLS, np.uint32), 0
-        names = ["doc_id", "size", "cid", "piece", "data", *marks]
+        names = ["doc_id", "told", "size", "cid", "piece", "data", *marks]
         for batch in batches:
             sizes, cids, cells, signs = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts(batch.column(1)):
                 grams = gram_set(text, n)
                 sizes.append(len(grams))
                 cids.append(class_of(grams))
@@ -111,15 +111,15 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 np.add.at(counts, np.concatenate(cells), 1)
                 held = 0
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), *map(pa.array, np.array(signs, np.int64).reshape(-1, WORDS).T.copy())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), *map(pa.array, np.array(signs, np.int64).reshape(-1, WORDS).T.copy())], names)
         codec = pa.Codec("zstd")
         used = [i for i in range(0, CELLS, PIECE) if counts[i : i + PIECE].any()]
         data = [codec.compress(counts[i : i + PIECE].tobytes(), asbytes=True) for i in used]
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i // PIECE for i in used], pa.int32()), pa.array(data, pa.binary()), *[none] * WORDS], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i // PIECE for i in used], pa.int32()), pa.array(data, pa.binary()), *[none] * WORDS], names)
 
-    schema = "doc_id long, size long, cid long, piece int, data binary, " + ", ".join(f"{m} long" for m in marks)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, schema)
+    schema = "doc_id long, told long, size long, cid long, piece int, data binary, " + ", ".join(f"{m} long" for m in marks)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("told")).mapInArrow(make, schema)
 
 
 def _ranks(made: DataFrame) -> np.ndarray:
@@ -157,7 +157,7 @@ def _postings(docs: DataFrame, rank: np.ndarray, hot: dict[int, int], like: Like
         rank, hot = shared.value
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 grams = gram_set(text, like.n)
                 cid = class_of(grams)
                 if cid is None or hot.get(cid, doc) != doc:
@@ -276,16 +276,14 @@ def _passing(docs: DataFrame, pairs: DataFrame, classes: DataFrame, like: Likene
     """The pairs (a, b) of classes that pass a test on what encode makes of their sets, as a new table."""
     asked = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(classes, "cid").select("cid", "first")
     asked, asked_path = keep(asked, "asked")
-    sieve = Filter(asked, F.col("first"))
-    shared = sieve.shared
+    rows, _ = Filter(asked, F.col("first")).split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("doc_id"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(hits(shared.value, batch.column(2).to_numpy())))
-            sets = [gram_set(t, like.n) for t in batch.column(1).to_pylist()]
+            sets = [gram_set(t, like.n) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(class_of, sets), pa.int64()), pa.array(map(encode, sets), pa.binary())], ["doc_id", "cid", "data"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", sieve.bit(F.col("doc_id")).alias("h")).mapInArrow(make, "doc_id long, cid long, data binary")
+    found = rows.mapInArrow(make, "doc_id long, cid long, data binary")
     found = found.join(asked.withColumnRenamed("cid", "k"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("cid") == F.col("k"))).select("cid", "data").dropDuplicates(["cid"])
     found, found_path = keep(found, "found")
 
@@ -334,7 +332,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, cid, component_id for every row: the smallest id that links lead to, its own included.
+    """doc_id, n_shingles, cid, component_id, and told, a hash of the text, for every row: the smallest id that links lead to, its own included.
 
     Null and empty texts, and those of white space alone, have no n-grams, a null cid and their own id. A null id counts
     for links but is a component's id only where all its ids are null. Rows that repeat are one class and a row each. No rows
@@ -343,7 +341,7 @@ def link_documents(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     made, _ = keep(_sets(docs, like.n), "sets")
-    own = made.where("piece is null").select("doc_id", "size", "cid")
+    own = made.where("piece is null").select("doc_id", "told", "size", "cid")
     marks = [f"s{k}" for k in range(WORDS)]
     # Copies have one signature.
     copies = made.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("size", *marks)])
@@ -380,7 +378,7 @@ def link_documents(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "
     drop(spark, met_path, near_path, links_path, placed_path, apart_path, rest_path, more_path)
     some = own.where("cid is not null").join(named, F.col("cid") == F.col("k"), "left")
     none = own.where("cid is null").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", F.col("size").alias("n_shingles"), "cid", "component_id"]
+    columns = ["doc_id", F.col("size").alias("n_shingles"), "cid", "component_id", "told"]
     return some.select(*columns).unionAll(none.select(*columns))
 
 
@@ -391,34 +389,21 @@ NEAR = Likeness(5, 80, 100)
 def keep_one(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     """One row of each component, that of the smallest id, with all its columns; rows without words are all kept.
 
-    Only texts whose id may be among those to drop, by a filter of fixed size, are dealt out again.
+    Rows of one id that are in one component with different texts leave the one of the smallest hash; equal rows leave one.
+    Only texts whose id may be among those to drop are dealt out again, by a filter sized by their number.
     """
-    columns, spark = docs.columns, docs.sparkSession
+    columns = docs.columns
     linked, path = keep(link_documents(docs, like).where("cid is not null"), "linked")
-    chosen = linked.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), "cid")).alias("c")).select(F.col("component_id").alias("k"), F.col("c.i").alias("i"), F.col("c.cid").alias("c"))
+    first = F.coalesce("doc_id", F.lit(2**63 - 1))
+    chosen = linked.groupBy("component_id").agg(F.min(F.struct(first.alias("i"), F.col("told").alias("t"))).alias("c")).select(F.col("component_id").alias("k"), "c.i", "c.t")
     # An id that stands for its component in more than one row is looked at too.
-    counts = linked.groupBy("doc_id", "cid", "component_id").agg(F.count(F.lit(1)).alias("n"))
-    judged = counts.join(chosen, F.col("component_id").eqNullSafe(F.col("k")) & (F.col("cid") == F.col("c")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("i")), "left")
-    judged, judged_path = keep(judged.select("doc_id", "cid", F.col("c").isNull().alias("out"), "n").where("out or n > 1"), "judged")
-    sieve = Filter(judged, F.col("doc_id"))
-    shared = sieve.shared
-    own = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("doc_id"), sieve.bit(F.col("doc_id")).alias("h"), F.lit(None).cast("long").alias("cid"), F.col("text").alias("text"))
-
-    def judge(maybe: bool):
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = len(columns)
-            for batch in batches:
-                hit = hits(shared.value, batch.column(at + 1).to_numpy())
-                batch = batch.filter(pa.array(hit if maybe else ~hit))
-                cids = [class_of(gram_set(t, like.n)) for t in batch.column(at + 3).to_pylist()] if maybe else [None] * batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns[: at + 2], pa.array(cids, pa.int64()), batch.column(at + 3)], batch.schema.names)
-
-        return pick
-
-    sure = own.mapInArrow(judge(False), own.schema)
-    look = own.mapInArrow(judge(True), own.schema)
-    named = judged.select(F.col("doc_id").alias("d"), F.col("cid").alias("k"), "out", F.col("n").alias("times"))
-    look = look.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("cid") == F.col("k")), "left").where("out is null or not out")
-    once = look.where("times > 1").dropDuplicates(["doc_id", "cid"])
+    counts = linked.groupBy("doc_id", "told", "component_id").agg(F.count(F.lit(1)).alias("times"))
+    judged = counts.join(chosen, F.col("component_id").eqNullSafe(F.col("k")) & (F.col("told") == F.col("t")) & (first == F.col("i")), "left")
+    judged, _ = keep(judged.select(F.col("doc_id").alias("_d"), F.col("told").alias("_t"), F.col("t").isNull().alias("_out"), F.col("times").alias("_times")).where("_out or _times > 1"), "judged")
+    own = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("told"))
+    look, sure = Filter(judged, F.col("_d")).split(own, F.col("doc_id"))
+    look = look.join(judged, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("told") == F.col("_t")), "left").where("_out is null or not _out")
+    once = look.where("_times > 1").dropDuplicates(["doc_id", "told"])
     out = [F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)]
-    return sure.select(*out).unionAll(look.where("times is null or times = 1").select(*out)).unionAll(once.select(*out))
+    drop(docs.sparkSession, path)
+    return sure.select(*out).unionAll(look.where("_times is null or _times = 1").select(*out)).unionAll(once.select(*out))

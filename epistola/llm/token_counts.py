@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from epistola.llm._store import Cache, worker_cache
+from epistola.llm._store import Cache, texts, worker_cache
 
 #: The pre-token pattern of byte-level BPE, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -83,7 +83,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = worker_cache(("token-counts", hash(shared.value[0])), lambda: _Counts(*shared.value))
         for batch in batches:
-            n = [counts.of(t) if t else 0 for t in batch.column(1).to_pylist()]
+            n = [counts.of(t) if t else 0 for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))

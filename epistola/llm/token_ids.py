@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from epistola.llm import _files
-from epistola.llm._store import Cache, among, bucket_of, drop, keep, new_dir, partitions, range_bounds, running_offsets, worker_cache
+from epistola.llm._store import Cache, among, bucket_of, drop, keep, new_dir, partitions, range_bounds, running_offsets, small_batches, worker_cache
 from epistola.llm.token_counts import byte_letters
 
 MAGIC = b"EPTK0001"
@@ -284,7 +284,8 @@ def write(docs: DataFrame, to: str, vocabulary_path: str, end_id: int = 2, limit
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([piece * PARTS + part], pa.int32()), pa.array([number], pa.int32()), pa.array([told.docs], pa.int64()), pa.array([told.tokens], pa.int64()), pa.array([told.digest.hexdigest()])], ["name", "piece", "number", "docs", "tokens", "sha256"])
 
     manifest = f"{to}/manifest"
-    dealt.mapInArrow(store, "name string, piece int, number int, docs long, tokens long, sha256 string").write.parquet(manifest)
+    with small_batches(spark):
+        dealt.mapInArrow(store, "name string, piece int, number int, docs long, tokens long, sha256 string").write.parquet(manifest)
     drop(spark, path)
     return manifest
 

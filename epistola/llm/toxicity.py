@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from epistola.llm._store import Cache, among, worker_cache
+from epistola.llm._store import Cache, among, texts, worker_cache
 from epistola.llm.language_id import held_out
 
 BUCKETS = 1 << 19
@@ -212,7 +212,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, codes = shared.value, worker_cache("toxicity", Codes)
         for batch in batches:
-            scores = [own.score(codes.of(t)) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            scores = [own.score(codes.of(t)) for t in texts(batch.column(batch.schema.get_field_index(text_col)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(tell, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

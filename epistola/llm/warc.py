@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epistola.llm import _files
-from epistola.llm._store import Filter, among, bucket_of, drop, hits, keep, new_dir, partitions, range_bounds
+from epistola.llm._store import Filter, among, bucket_of, drop, keep, new_dir, partitions, range_bounds, small_batches
 
 #: Payloads shorter than this are stored again each time.
 LEAST = 100
@@ -95,18 +95,14 @@ def write(pages: DataFrame, to: str, file_bytes: int = 8 << 20) -> str:
     least = F.min(F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("page_id"), "url"))
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).where(F.octet_length("html") >= LEAST).groupBy(F.sha2("html", 256).alias("digest")).agg(least.alias("f"), F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first", F.col("f.url").alias("first_url"))
     seen, seen_path = keep(seen, "warc-seen")
-    sieve = Filter(seen, F.xxhash64("digest"))
-    shared = sieve.shared
     bounds, heavy = range_bounds(pages, "page_id", F.octet_length(html) + 500, RANGE_BYTES)
-    rows = rows.withColumns({"h": sieve.bit(F.xxhash64("digest")), "part": F.when(among(F.col("page_id"), heavy), F.pmod(F.xxhash64("digest", "url"), F.lit(PARTS))).otherwise(0).cast("int")})
-
-    def split(maybe: bool):
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = hits(shared.value, batch.column("h").to_numpy())
-                yield batch.filter(pa.array(hit if maybe else ~hit))
-
-        return pick
+    rows = rows.withColumn("part", F.when(among(F.col("page_id"), heavy), F.pmod(F.xxhash64("digest", "url"), F.lit(PARTS))).otherwise(0).cast("int"))
+    # Only payloads that may be repeated are dealt out to find the page they repeat.
+    other, single = Filter(seen, F.xxhash64("digest")).split(rows, F.xxhash64("digest"))
+    single = single.withColumns({"refers_to": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
+    other = other.join(seen, "digest", "left")
+    other = other.withColumn("refers_to", F.when(F.col("first") != F.coalesce(F.col("page_id"), F.lit(2**63 - 1)), F.col("first"))).drop("first")
+    rows = single.unionByName(other)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,11 +110,6 @@ def write(pages: DataFrame, to: str, file_bytes: int = 8 << 20) -> str:
             data = [record(p, u, h.encode(), d, r, first_url=f) for p, u, h, d, r, f in zip(page, url, body, digest, refers, first)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("part"), pa.array(data, pa.binary())], ["page_id", "part", "data"])
 
-    # Only payloads that may be repeated are dealt out to find the page they repeat.
-    single = rows.mapInArrow(split(False), rows.schema).withColumns({"refers_to": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
-    other = rows.mapInArrow(split(True), rows.schema).join(seen, "digest", "left")
-    other = other.withColumn("refers_to", F.when(F.col("first") != F.coalesce(F.col("page_id"), F.lit(2**63 - 1)), F.col("first"))).drop("first")
-    rows = single.unionByName(other)
     made = rows.mapInArrow(squeeze, "page_id long, part int, data binary").withColumn("piece", bucket_of(F.col("page_id"), bounds))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +143,8 @@ def write(pages: DataFrame, to: str, file_bytes: int = 8 << 20) -> str:
     dealt = made.repartitionById(tasks, F.pmod(F.col("piece") + F.col("part"), F.lit(tasks))).sortWithinPartitions("piece", "part", F.col("page_id").asc_nulls_first(), "data")
     listed = dealt.mapInArrow(store, "name string, bytes long, records long, sha256 string")
     manifest = f"{to}/manifest"
-    listed.write.parquet(manifest)
+    with small_batches(spark):
+        listed.write.parquet(manifest)
     drop(spark, seen_path)
     return manifest
 
