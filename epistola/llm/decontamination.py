@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from epistola.llm._store import Cache, worker_cache
+from epistola.llm._store import Cache, texts, worker_cache
 
 
 def end_masks(weight: int) -> tuple[str, ...]:
@@ -36,6 +36,8 @@ MASKS = end_masks(WEIGHT)
 SPAN = 2 * WEIGHT - 2
 #: Words of the benchmark that are held by a task at a time; a larger benchmark takes more passes.
 BLOCK_WORDS = 500_000
+#: Hits that are looked at together.
+AT_ONCE = 1 << 15
 #: A stretch counts with so many equal words, or with this share of a shorter item.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 
@@ -85,53 +87,79 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Index:
-    """The seeds of some benchmark items."""
+    """The seeds of some benchmark items. A seed stands for the end of a stretch, so those that have too few words before them are left out."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.words = [_words().of(t) for _, t in items]
-        self.masks = sorted({m for w in self.words for m in masks_of(len(w))})
-        self.least = [least_equal(len(w)) for w in self.words]
+        words = [_words().of(t) for _, t in items]
+        self.flat = np.concatenate([*words, np.empty(0, np.uint64)])
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.masks = sorted({m for w in words for m in masks_of(len(w))})
+        self.least = np.array([least_equal(len(w)) for w in words], np.int64)
         keys, item, at = [], [], []
-        for n, words in enumerate(self.words):
-            for mask in masks_of(len(words)):
-                own = seeds(words, mask)
-                keys.append(own)
-                item.append(np.full(len(own), n, np.int32))
-                at.append(np.arange(len(own), dtype=np.int32))
+        for n, own in enumerate(words):
+            for mask in masks_of(len(own)):
+                found = seeds(own, mask)
+                skip = max(0, int(self.least[n]) - len(mask))
+                keys.append(found[skip:])
+                item.append(np.full(len(found[skip:]), n, np.int32))
+                at.append(np.arange(skip, skip + len(found[skip:]), dtype=np.int32))
         keys, item, at = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((keys, np.uint64), (item, np.int32), (at, np.int32)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.at = keys[order], item[order], at[order]
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self.keys >> np.uint64(64 - _BITS)] = True
 
-    def overlaps(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """Item, first word in the document, words of the stretch, equal words, words of the item: the best stretch of each item that counts."""
-        words = _words().of(text)
-        lines = []
+    def _hits(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of an item and how far it is moved against the document, as one number each, some at a time."""
         for mask in self.masks:
             own = seeds(words, mask)
             at = np.flatnonzero(self.maybe[own >> np.uint64(64 - _BITS)])
             low, high = np.searchsorted(self.keys, own[at], "left"), np.searchsorted(self.keys, own[at], "right")
-            for start in range(0, len(at), 4096):  # pairs of places are made a few at a time
-                lo, n = low[start : start + 4096], (high - low)[start : start + 4096]
+            for part in slices(high - low, AT_ONCE):
+                lo, n = low[part], (high - low)[part]
                 hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 if len(hit):
-                    lines.append(np.unique((self.item[hit].astype(np.int64) << 40) + (np.repeat(at[start : start + 4096], n) - self.at[hit] + (1 << 32))))
+                    yield np.unique((self.item[hit].astype(np.int64) << 40) + (np.repeat(at[part], n) - self.at[hit] + (1 << 32)))
+
+    def _enough(self, lines: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The lines on which an item has enough words equal to the document's, wherever they stand: all items that share a window are laid beside the document at once."""
+        item, shift = lines >> 40, (lines & ((1 << 40) - 1)) - (1 << 32)
+        ok = np.zeros(len(lines), bool)
+        for part in slices(self.size[item], 8 * AT_ONCE):
+            i, s = item[part], shift[part]
+            k = np.arange(int(self.size[i].max(initial=0)))
+            place = s[:, None] + k
+            inside = (k < self.size[i][:, None]) & (place >= 0) & (place < len(words))
+            same = self.flat[np.minimum(self.first[i][:, None] + k, len(self.flat) - 1)] == words[np.clip(place, 0, len(words) - 1)]
+            ok[part] = (same & inside).sum(axis=1) >= self.least[i]
+        return lines[ok]
+
+    def overlaps(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
+        """Item, first word in the document, words of the stretch, equal words, words of the item: the best stretch of each item that counts, the first of equal ones."""
+        words = _words().of(text)
+        lines = [self._enough(x, words) for x in self._hits(words)]
         best: dict[int, tuple[int, int, int, int]] = {}
         for line in np.unique(np.concatenate(lines)).tolist() if lines else []:
             item, shift = line >> 40, (line & ((1 << 40) - 1)) - (1 << 32)
-            own = self.words[item]
             first = max(0, -shift)
-            equal = own[first : len(words) - shift] == words[max(0, shift) : shift + len(own)]
-            if np.count_nonzero(equal) < self.least[item]:
-                continue
-            start, size, n = stretch(equal)
+            own = self.flat[self.first[item] : self.first[item] + self.size[item]]
+            start, size, n = stretch(own[first : len(words) - shift] == words[max(0, shift) : shift + len(own)])
             if n >= self.least[item] and n > best.get(item, (0, 0, 0))[2]:
                 best[item] = (first + shift + start, size, n, len(own))
         return [(self.ids[i], *x) for i, x in sorted(best.items())]
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of about `most` in all, or of one larger part."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def stretch(equal: np.ndarray) -> tuple[int, int, int]:
     """Start, length and equal words of the stretch with most equal less unequal words: the largest sum of a run."""
     if not len(equal):
@@ -157,7 +185,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, n_span, n_matched, n_words: a row for each document and item with a verified overlap.
 
     An overlap is a stretch, with substitutions, that has at least LEAST_WORDS equal words, or LEAST_SHARE of those of a
-    shorter item; the longest of an item is returned. Null and empty texts have none; rows that repeat are searched each.
+    shorter item; the one with most equal words of an item is returned, and of equal ones the first. Null and empty texts
+    have none, and very long ones are searched whole; rows that repeat are searched each. A benchmark without a word gives no
+    rows; items of one id are searched each.
     """
     out = None
     for index in blocks(benchmark):
@@ -165,7 +195,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in shared.value.overlaps(t)]
+                rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))) for x in shared.value.overlaps(t)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "start", "n_span", "n_matched", "n_words"])
 
@@ -181,8 +211,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not shared.value.overlaps(t) for t in texts], pa.bool_()))
+                own = texts(batch.column(batch.schema.get_field_index(text_col)))
+                yield batch.filter(pa.array([not shared.value.overlaps(t) for t in own], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
