@@ -13,11 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from epistola.llm._store import texts
+
 DIMENSIONS = 1024
 LETTERS = 64
 UNKNOWN = "und"
 #: Trigrams and texts that are worked on at a time.
 CODES, TEXTS = 4096, 64
+#: Labels that a task counts at a time, 2 MB each.
+LABELS = 16
+#: Cosines that differ by no more are equal: they are sums of 32-bit numbers.
+TIE = 1e-6
 
 
 class Space:
@@ -74,17 +80,24 @@ def train(docs: DataFrame, label: str = "lang", text_col: str = "text") -> dict[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, totals = space(), {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, n in totals.items():
+                codes = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n[codes], pa.int64())], ["label", "code", "n"])
+            totals.clear()
+
         for batch in batches:
-            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, name in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
                 codes = own.trigrams(text)
                 if len(codes):
                     if name not in totals:
+                        if len(totals) >= LABELS:  # so that many labels do not fill a task
+                            yield from told()
                         totals[name] = np.zeros(LETTERS**3, np.int64)
                     codes, n = np.unique(codes, return_counts=True)
                     totals[name][codes] += n
-        for name, n in totals.items():
-            codes = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n[codes], pa.int64())], ["label", "code", "n"])
+        yield from told()
 
     rows = docs.where(F.col(label).isNotNull()).select(F.col(text_col).alias("text"), F.col(label).cast("string").alias("label"))
     summed = rows.mapInArrow(count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
@@ -114,10 +127,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
         names, vectors = shared.value
         own = space()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            found, scores = [], []
-            for i in range(0, len(texts), TEXTS):
-                codes = [np.unique(own.trigrams(t), return_counts=True) for t in texts[i : i + TEXTS]]
+            column, found, scores = batch.column(batch.schema.get_field_index(text_col)), [], []
+            for i in range(0, batch.num_rows, TEXTS):
+                codes = [np.unique(own.trigrams(t), return_counts=True) for t in texts(column.slice(i, TEXTS))]
                 rows = own.bundle(codes)
                 for (c, _), row in zip(codes, rows):
                     if not len(c) or not names:
@@ -125,7 +137,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                         scores.append(0.0)
                         continue
                     cosines = vectors @ row / max(float(np.linalg.norm(row)), 1e-9)
-                    best = int(np.argmax(cosines))
+                    best = int(np.argmax(cosines >= cosines.max() - TIE))
                     found.append(names[best])
                     scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
@@ -139,14 +151,29 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; learned from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score of every document; learned from the rows that are not held out.
+
+    Null and empty texts, and those without a letter, are `und` with a score of 0, as is every text where no row to learn from
+    has a lang; very long texts are told whole. Of languages with equal cosines the first name wins; rows that repeat give a
+    row each, and no rows none. A null doc_id is not held out. Other columns, whatever they are called, are not read.
+    """
     out = held_out(F.col("doc_id"), 5, 0)
     prototypes = train(docs.where(~out))
     return predict(docs.select("doc_id", out.alias("held_out"), "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """The documents whose language can be told: not `und`, and a cosine of at least `least` with a prototype learned from docs."""
+#: Cosine below which a text is as near to a prototype as one of random letters may be: four times what unrelated vectors have by chance.
+CHANCE = 4 / DIMENSIONS**0.5
+
+
+def keep_known(docs: DataFrame, least: float = CHANCE) -> DataFrame:
+    """The documents whose language can be told: not `und`, and a cosine of at least `least` with a prototype learned from docs.
+
+    Columns of docs keep their names and values, whatever they are called. Null and empty texts, and those without a letter,
+    go; so does every document where none has a lang to learn from. Rows that repeat are told each; no rows give no rows.
+    """
     columns = docs.columns
-    told = predict(docs, train(docs.where(~held_out(F.col("doc_id"), 5, 0))))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    prototypes = train(docs.where(~held_out(F.col("doc_id"), 5, 0)))
+    own = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(columns)])
+    told = predict(own, prototypes, f"c_{columns.index('text')}")
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)])
