@@ -1,9 +1,12 @@
 """Mixing documents to target weights of domains they belong to in part, in SQL functions alone.
 
 A naive Bayes classifier learned from a labelled table gives each document a probability for each domain. Nonnegative rates
-of the documents are then fitted by least squares, so that the expected tokens of each domain meet its target. The rate
-of a document follows from its probabilities and one cost a domain, which Newton's method finds on the dual problem, so
-a step is one aggregate over a narrow table and nothing but sums of domains comes to the driver.
+of the documents are then fitted by least squares, so that the expected tokens of each domain meet its target, in projected
+gradient steps. The gradient of the squared misses lies, for a document, along its probabilities times the misses. A step
+moves all rates against it, scaled by the inverse of the tokens that domains share in the documents still free to move (a
+small matrix, which makes these steps Newton's on the dual problem), and projects them to the least rate. What a document
+has moved is its probabilities times one cost a domain, so rates need not be kept: a step is one aggregate over a narrow
+table, and nothing but sums of domains comes to the driver.
 """
 
 from __future__ import annotations
@@ -13,13 +16,15 @@ import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epistola.llm._store import keep
 
 BUCKETS = 4096
 #: Most labelled documents of a domain that the classifier is fitted on: those of the smallest hash.
 SAMPLE = 4000
+#: Domains up to which the sample is broadcast: 16 bytes a row.
+FEW = 64
 #: Counts that each bucket is given beforehand.
 PRIOR = 50.0
 #: Steps after which a fit that has not settled raises, the part of a target that may be missed, what weight rates near 1 have, and the part of all tokens that is warned of.
@@ -75,16 +80,14 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     names = sorted(shares)
     if not names:
         return Classifier(["all"], [0.0], [[]])
+    # The smallest hashes of each domain, by a bound on the hash first, so that few rows are put in order.
     key = F.xxhash64(F.col("_id").cast("string"))
-    sample = None
-    for name in names:
-        own = labelled.where(F.col("domain") == name)
-        if shares[name] > SAMPLE:
-            own = own.where(F.shiftrightunsigned(key, 1) <= F.lit(min(2**63 - 1, int(1.2 * SAMPLE / shares[name] * 2**63))))
-        own = own.orderBy(key).limit(SAMPLE)
-        sample = own if sample is None else sample.unionAll(own)
-    # At most SAMPLE rows a domain.
-    taken = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    most = F.create_map(*[F.lit(x) for n, rows in shares.items() for x in (n, min(2**63 - 1, int(1.2 * SAMPLE / rows * 2**63)) if rows > SAMPLE else 2**63 - 1)])
+    near = labelled.where(F.shiftrightunsigned(key, 1) <= F.element_at(most, F.col("domain")))
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(key, "_id"))
+    sample = near.withColumn("_place", place).where(F.col("_place") <= SAMPLE).select("_id", "domain")
+    # At most SAMPLE rows a domain; with many domains both sides are dealt out.
+    taken = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample) if len(names) <= FEW else sample, "_id")
     counts = taken.select("domain", F.explode(F.transform(words("_text"), bucket)).alias("b")).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n"))
     table = {n: [PRIOR] * BUCKETS for n in names}
     for r in counts.collect():  # BUCKETS a domain at most
