@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from epistola.llm._store import bucket_of, range_bounds
+from epistola.llm._store import among, bucket_of, constants, range_bounds
 
 K, S = 5, 2
 #: Bytes of text in a range of documents.
@@ -82,9 +82,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     least = {r["bucket"]: r["k"] for r in rows.groupBy("bucket").agg(F.min("k").alias("k")).collect()}  # one a range
     used = sorted(least)
     before = dict(zip(used, [used[-1], *used[:-1]])) if used else {}
-    heads = rows.where(F.col("k").isin(*least.values())).groupBy("bucket", "doc_id", "k").agg(F.min("text").alias("text"))
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else None
-    heads = heads.withColumn("bucket", to[F.col("bucket")] if before else F.col("bucket"))
+    heads = rows.where(among(F.col("k"), list(least.values()))).groupBy("bucket", "doc_id", "k").agg(F.min("text").alias("text"))
+    heads = heads.withColumn("bucket", F.get(constants([before.get(i, 0) for i in range(len(bounds) + 1)]), F.col("bucket")).cast("int"))
     marked = rows.withColumn("mark", F.lit(0)).unionByName(heads.withColumn("mark", F.lit(1)))
     marked = add_anchors(marked.repartitionById(len(bounds) + 1, F.col("bucket")), "text", "anchors")
     w = Window.partitionBy("bucket").orderBy("mark", "k", "text")
