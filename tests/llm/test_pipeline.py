@@ -50,7 +50,7 @@ def brute_near(rows):
 
 
 def brute_clean(rows, items):
-    """The ids kept: each item is laid at every place of each text, and a run with enough equal words is a passage. A seed must be hit in it too."""
+    """The ids kept: each item is laid at every place of each text, and a run with enough equal words is a passage."""
     words = lambda t: [w for w in ("".join(c for c in x.lower() if c.isalnum()) for x in (t or "").split()) if w]
     kept = []
     for r in rows:
@@ -63,8 +63,6 @@ def brute_clean(rows, items):
             need = min(decontamination.LEAST_WORDS, max(1, decontamination.LEAST_SHARE * len(item)))
             for shift in (s for s, n in shifts.items() if item and n >= need):
                 equal = [own[k + shift] == w for k, w in enumerate(item) if 0 <= k + shift < len(own)]
-                masks = decontamination.MASKS if len(item) >= decontamination.SPAN else ["1" * len(item)]
-                hit = any(all(equal[i + k] for k, bit in enumerate(m) if bit == "1") for m in masks for i in range(len(equal) - len(m) + 1))
                 score = best = most = count = 0
                 for e in equal:
                     score, count = (score + (1 if e else -1), count + e)
@@ -72,7 +70,7 @@ def brute_clean(rows, items):
                         score = count = 0
                     if score > best:
                         best, most = score, count
-                found |= hit and most >= need
+                found |= most >= need
         if not found:
             kept.append(r["doc_id"])
     return kept
@@ -96,10 +94,7 @@ def brute_copies(rows):
     target = share * max(tokens @ p / share)
     pace = 1 / max(np.linalg.eigvals((p.T * tokens) @ p / np.sqrt(np.outer(target, target))).real)
     rates = np.ones(len(rows))
-    for _ in range(mixing.STEPS):
-        off = ((rates * tokens) @ p - target) / target
-        if abs(off).max() < mixing.EXACT:
-            break
+    while abs(off := ((rates * tokens) @ p - target) / target).max() >= mixing.EXACT:  # until the targets are met, however many steps that takes
         rates = np.maximum(1.0, rates - pace * p @ off)
     chance = [xxhash.xxh64_intdigest(struct.pack("<q", int(n)), seed=xxhash.xxh64_intdigest(str(r["doc_id"]), seed=42)) % (1 << 20) / (1 << 20) for r, n in zip(rows, tokens)]
     return {r["doc_id"]: x + c for r, x, c in zip(rows, rates, chance)}
@@ -125,7 +120,7 @@ def rows(spark):
 
 def test_stages_against_brute_force(spark, rows):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    brute = [lambda r: brute_language(r, 0.05), brute_near, lambda r: brute_clean(r, items)]
+    brute = [lambda r: brute_language(r, corpus_pipeline.LEAST_COSINE), brute_near, lambda r: brute_clean(r, items)]
     docs, sizes = rows, []
     for (name, stage), check in zip(corpus_pipeline.STAGES, brute):
         before = docs.collect()
