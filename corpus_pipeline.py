@@ -9,28 +9,44 @@ from epistola.llm import decontamination, language_id, mixing, ngram_join, token
 from epistola.llm._store import keep, table
 
 
+#: Cosine with the nearest language from which on a document is kept.
+LEAST_COSINE = language_id.CHANCE
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: with a letter, and not far from every language. Short clean texts pass."""
-    return language_id.keep_known(docs, 0.05)
+    """Documents whose language can be told: with a letter, and nearer to a language than random letters are.
+
+    Null and empty texts, and those without a letter, go. Other columns, whatever they are called, stay as they are.
+    """
+    return language_id.keep_known(docs, LEAST_COSINE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word n-grams are linked by a Jaccard of 0.8 or more."""
+    """One document, of the smallest id, of each group whose sets of five-word n-grams are linked by a Jaccard of 0.8 or more.
+
+    Null, empty and blank texts are in no group and stay; equal rows leave one. A null id is the last that is chosen.
+    """
     return ngram_join.keep_one(docs, ngram_join.NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts have none; rows that repeat are judged each."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, some more than once, so that the tokens of languages meet their target weights."""
+    """Every document, some more than once, so that the tokens of languages meet their target weights.
+
+    A text without words weighs nothing and stays once; a document without lang gets its domains from its words.
+    """
     return mixing.repeat_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the token files written for the corpus."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the token files written for the corpus.
+
+    A null text is empty and has the end id alone; rows that repeat are documents of their own, null ids first.
+    """
     return token_ids.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
