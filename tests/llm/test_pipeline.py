@@ -129,7 +129,8 @@ def test_stages_against_brute_force(spark, rows):
         assert docs.columns == rows.columns and set(map(tuple, after)) <= set(map(tuple, before)), name
         assert sorted(r["doc_id"] for r in after) == sorted(check(before)), name
         sizes.append(len(before) - len(after))
-    assert sizes[0] == 3 and min(sizes) > 0  # each stage had something to drop
+    # Three odd rows, and two of three words ("Reorea. Nd."), too short to tell from random letters; each stage had something to drop.
+    assert sizes[0] == 5 and min(sizes) > 0
 
     before = docs.collect()
     mixed, _ = keep(corpus_pipeline.mix(spark, docs, SF), "test-mixing")
