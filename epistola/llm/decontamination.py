@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from epistola.llm._store import Cache, texts, worker_cache
@@ -52,7 +53,7 @@ class Words(Cache):
         word = chunk.lower()
         if not word.isalnum():
             word = "".join(filter(str.isalnum, word))
-        return self.put(chunk, int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little") | 1 if word else 0)
+        return self.put(chunk, xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) | 1 if word else 0)
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
@@ -116,7 +117,12 @@ class Index:
         for mask in self.masks:
             own = seeds(words, mask)
             at = np.flatnonzero(self.maybe[own >> np.uint64(64 - _BITS)])
-            low, high = np.searchsorted(self.keys, own[at], "left"), np.searchsorted(self.keys, own[at], "right")
+            low = np.searchsorted(self.keys, own[at], "left")
+            real = self.keys[np.minimum(low, len(self.keys) - 1)] == own[at] if len(at) else np.empty(0, bool)
+            if not real.any():
+                continue
+            at, low = at[real], low[real]
+            high = np.searchsorted(self.keys, own[at], "right")
             for part in slices(high - low, AT_ONCE):
                 lo, n = low[part], (high - low)[part]
                 hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
