@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import decontamination, fingerprints, language_id, mixing, ngram_join, sharding, token_counts, token_ids, toxicity, warc
+from epistola.llm import decontamination, fingerprints, language_id, minhash, mixing, ngram_join, sharding, token_counts, token_ids, toxicity, warc
 from epistola.llm._store import table
 
 
@@ -61,7 +61,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_ngram_join, op3_fingerprints, op4_language_id, op5_mixing, op6_toxicity, op7_decontamination, op8_sharding, op9_token_counts, op10_warc)}
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of 2-word shingles at a Jaccard of 0.8 or more: doc_id, n_shingles, component_id, kept. Texts without words are alone and kept."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_ngram_join, op3_fingerprints, op4_language_id, op5_mixing, op6_toxicity, op7_decontamination, op8_sharding, op9_token_counts, op10_warc, op11_minhash)}
 
 #: The letters and digits, in lower case, of each word of a text.
 _WORDS = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_replace(lower(x), '[^\pL\pN]', '', 'g')), lambda x: x <> '')"
@@ -102,6 +107,14 @@ ORACLE_SQL: dict[str, str] = {
           UNION ALL SELECT doc_id, n, (k * 2862933555777941757 + 1) % 18446744073709551616, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / (CAST(((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 AS DOUBLE) + 1))) AS BIGINT) FROM j WHERE j < n),
         f AS (SELECT doc_id, CAST(max(b) FILTER (WHERE n = 24) AS INTEGER) AS shard, CAST(max(b) FILTER (WHERE n = 25) AS INTEGER) AS grown_shard FROM j GROUP BY doc_id)
         SELECT f.doc_id, CAST(octet_length(encode(text)) + 8 AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY f.doc_id) - 1 AS slot, grown_shard FROM f JOIN sums USING (doc_id)""",
+    "op11_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w),
+        p AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.a = s.doc_id""",
     "op10_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
