@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import decontamination, fingerprints, language_id, minhash, mixing, ngram_join, sharding, token_counts, token_ids, toxicity, warc
+from epistola.llm import decontamination, fingerprints, language_id, lexical, minhash, mixing, ngram_join, sharding, token_counts, token_ids, toxicity, warc
 from epistola.llm._store import table
 
 
@@ -66,7 +66,12 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_ngram_join, op3_fingerprints, op4_language_id, op5_mixing, op6_toxicity, op7_decontamination, op8_sharding, op9_token_counts, op10_warc, op11_minhash)}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item: item_id, rank, doc_id, score. Items and documents without a term are in no row."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_ngram_join, op3_fingerprints, op4_language_id, op5_mixing, op6_toxicity, op7_decontamination, op8_sharding, op9_token_counts, op10_warc, op11_minhash, op12_lexical_search)}
 
 #: The letters and digits, in lower case, of each word of a text.
 _WORDS = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_replace(lower(x), '[^\pL\pN]', '', 'g')), lambda x: x <> '')"
@@ -115,6 +120,16 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
         c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
         SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.a = s.doc_id""",
+    "op12_lexical_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        a AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+        s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), a GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
     "op10_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
