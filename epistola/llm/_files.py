@@ -35,3 +35,14 @@ def put(uri: str, name: str, blocks) -> None:
 def names(uri: str) -> list[str]:
     where, path = _open(normal(uri))
     return sorted(x.base_name for x in where.get_file_info(fs.FileSelector(path, recursive=False)) if x.is_file)
+
+
+def read(uri: str, name: str) -> bytes:
+    where, path = _open(normal(uri))
+    with where.open_input_stream(f"{path}/{name}", compression=None) as file:
+        return file.read()
+
+
+def there(uri: str, name: str) -> bool:
+    where, path = _open(normal(uri))
+    return where.get_file_info(f"{path}/{name}").is_file

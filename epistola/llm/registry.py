@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epistola.llm import decontamination, fingerprints, language_id, lexical, minhash, mixing, ngram_join, sharding, token_counts, token_ids, toxicity, warc
+from epistola.llm import collocations, decontamination, fingerprints, language_id, lexical, minhash, mixing, ngram_join, sharding, token_counts, token_ids, toxicity, warc
 from epistola.llm._store import table
 
 
@@ -71,7 +71,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_ngram_join, op3_fingerprints, op4_language_id, op5_mixing, op6_toxicity, op7_decontamination, op8_sharding, op9_token_counts, op10_warc, op11_minhash, op12_lexical_search)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of each language: lang, rank, phrase, a, l, r, n, score. Null texts have no words, a null lang is `und`."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_ngram_join, op3_fingerprints, op4_language_id, op5_mixing, op6_toxicity, op7_decontamination, op8_sharding, op9_token_counts, op10_warc, op11_minhash, op12_lexical_search, op13_collocations)}
 
 #: The letters and digits, in lower case, of each word of a text.
 _WORDS = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_replace(lower(x), '[^\pL\pN]', '', 'g')), lambda x: x <> '')"
@@ -130,6 +135,25 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), a GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
         SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+        g AS (SELECT lang, 1 AS k, unnest(w) AS x FROM p
+          UNION ALL SELECT lang, 2, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+          UNION ALL SELECT lang, 3, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p),
+        f AS MATERIALIZED (SELECT lang, k, x AS phrase, count(*) AS f FROM g GROUP BY ALL),
+        c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+        often AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 10),
+        longer AS (SELECT lang, x, max(a) AS longest FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS x FROM c WHERE k = 3) GROUP BY ALL),
+        cuts AS (SELECT lang, k, phrase, a, 1 AS i, w[1] AS lp, CASE WHEN k = 2 THEN w[2] ELSE w[2] || ' ' || w[3] END AS rp FROM c
+          UNION ALL SELECT lang, k, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+        s AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, i, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+          FROM cuts JOIN often x ON x.lang = cuts.lang AND x.phrase = lp JOIN often y ON y.lang = cuts.lang AND y.phrase = rp),
+        worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, i) AS o FROM s) WHERE o = 1),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        ranked AS (SELECT worst.*, row_number() OVER (PARTITION BY worst.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+          FROM worst LEFT JOIN longer ON longer.lang = worst.lang AND longer.x = worst.phrase AND worst.k = 2 WHERE longest IS NULL OR 100 * longest < 50 * a)
+        SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000""",
     "op10_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
