@@ -143,6 +143,7 @@ def _rough(docs: DataFrame, powers: list[int], seed: int) -> DataFrame:
 
 def _summed(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """For each piece one bit a cell: whether its rough counts, summed in two turns, reach the least."""
+
     def add(bits: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec, now, total = pa.Codec("zstd"), None, np.zeros(PIECE, np.uint16)

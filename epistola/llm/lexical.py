@@ -1,6 +1,6 @@
 """Ranked lexical search over an index of document shards.
 
-A shard is a row: some megabytes of documents, the terms in them in order, and for each term the documents that hold it with
+A shard is a row: a megabyte of documents, the terms in them in order, and for each term the documents that hold it with
 whole-number impacts (compressed sparse rows). Impacts need the mean length of all documents, so shards are counted first and
 then given their impacts; the weight of a term is that of the dictionary of all shards.
 
@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from epistola.llm._store import keep, partitions, texts
 
-#: Bytes of text in a shard, at most but for a last document that is longer; and words of items in a block of a search.
-SHARD, BLOCK = 4 << 20, 200_000
+#: Characters of text from which a shard is full, terms that a task sums at a time for the dictionary, and terms of items in a block of a search.
+SHARD, SUMMED, BLOCK = 1 << 20, 200_000, 200_000
 #: Bytes that are no part of a term become blanks, A to Z lower case; all bytes from 128 on belong to terms.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _SHARD = "ids binary, known binary, lengths binary, terms binary, ends binary, starts binary, slots binary, values binary, n long, words long"
@@ -46,9 +47,8 @@ def _pack(ids: list, known: list[bool], words: list[list[bytes]]) -> tuple:
     return (np.array(ids, np.int64).tobytes(), np.array(known, bool).tobytes(), lengths.tobytes(), b"".join(vocabulary), ends.tobytes(), starts.tobytes(), (keys % len(ids)).astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), int((lengths > 0).sum()), int(lengths.sum()))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.binary()] * 8 + [pa.int64()] * 2
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _NAMES)
+def _batch(row: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], _NAMES)
 
 
 def _shards(docs: DataFrame, size: int) -> DataFrame:
@@ -63,16 +63,35 @@ def _shards(docs: DataFrame, size: int) -> DataFrame:
                 words.append(terms(text))
                 held += len(text or "")
                 if held >= size:
-                    yield _batch([_pack(ids, known, words)])
+                    yield _batch(_pack(ids, known, words))
                     ids, known, words, held = [], [], [], 0
         if ids:
-            yield _batch([_pack(ids, known, words)])
+            yield _batch(_pack(ids, known, words))
 
     return docs.mapInArrow(make, _SHARD)
 
 
-def _vocabulary(packed: bytes, ends: bytes) -> list[bytes]:
-    stops = np.frombuffer(ends, np.int64).tolist()
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Shards one by one; their bytes stay where the batch has them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: (x.as_buffer() if pa.types.is_binary(x.type) else x.as_py()) for c, x in zip(batch.schema.names, (column[i] for column in batch.columns))}
+
+
+@contextmanager
+def _few(spark: SparkSession) -> Iterator[None]:
+    """For the time of a job, few rows at a time are read from Parquet, as a shard is a large one."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4")
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _vocabulary(packed: pa.Buffer, ends: pa.Buffer) -> list[bytes]:
+    packed, stops = memoryview(packed).tobytes(), np.frombuffer(ends, np.int64).tolist()
     return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
 
@@ -97,21 +116,29 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            worth = []
+            for row in _rows(iter([batch])):
                 lengths, slots = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["slots"], np.int32)
-                row["values"] = impacts(np.frombuffer(row["values"], np.int32).astype(np.int64), lengths[slots], n, words).astype(np.int32).tobytes()
-                yield _batch([tuple(row[c] for c in _NAMES)])
+                worth.append(impacts(np.frombuffer(row["values"], np.int32).astype(np.int64), lengths[slots], n, words).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(worth, pa.binary()) if c == "values" else batch.column(c) for c in _NAMES], _NAMES)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each term of a shard with its documents there."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                df = np.diff(np.frombuffer(row["starts"], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(_vocabulary(row["terms"], row["ends"]), pa.binary()), pa.array(df, pa.int64())], ["term", "df"])
-
-    weighed, _ = keep(counted.mapInArrow(weigh, _SHARD), "index", "zstd")
-    dictionary = weighed.select("terms", "ends", "starts").mapInArrow(held, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return Index(weighed, keep(dictionary, "dictionary")[0], n, words)
+        """Terms with their documents, summed over shards of a task while they are few."""
+        sums: dict[bytes, int] = {}
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.binary()), pa.array(sums.values(), pa.int64())], ["term", "df"])
+        for row in _rows(batches):
+            df = np.diff(np.frombuffer(row["starts"], np.int64)).tolist()
+            for term, x in zip(_vocabulary(row["terms"], row["ends"]), df):
+                sums[term] = sums.get(term, 0) + x
+            if len(sums) >= SUMMED:
+                yield told()
+                sums.clear()
+        yield told()
+
+    with _few(docs.sparkSession):
+        weighed, _ = keep(counted.mapInArrow(weigh, _SHARD), "index", "zstd")
+        dictionary = weighed.select("terms", "ends", "starts").mapInArrow(held, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+        return Index(weighed, keep(dictionary, "dictionary")[0], n, words)
 
 
 def impacts(tf: np.ndarray, length: np.ndarray, n: int, words: int) -> np.ndarray:
@@ -168,28 +195,28 @@ def search(index: Index, items: DataFrame, k: int = 10, id_col: str = "item_id",
             queries = [(number, [(t, times * weight(df, n)) for t, times, df in own]) for number, own in shared.value]
             empty = (np.empty(0, np.int64),) * 2 + (np.empty(0, bool),)
             top = {number: empty for number, _ in queries}
-            for batch in batches:
-                for row in batch.to_pylist():
-                    ids, known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool)
-                    number_of = {t: i for i, t in enumerate(_vocabulary(row["terms"], row["ends"]))}
-                    starts, slots, values = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["slots"], np.int32), np.frombuffer(row["values"], np.int32).astype(np.int64)
-                    scores = np.zeros(len(ids), np.int64)
-                    for number, own in queries:
-                        scores[:] = 0
-                        for term, w in own:
-                            i = number_of.get(term)
-                            if i is not None:
-                                scores[slots[starts[i] : starts[i + 1]]] += w * values[starts[i] : starts[i + 1]]
-                        at = best(scores, ids, known, k)
-                        if len(at):
-                            s, d, h = (np.concatenate(x) for x in zip(top[number], (scores[at], ids[at], known[at])))
-                            at = best(s, d, h, k)
-                            top[number] = s[at], d[at], h[at]
+            for row in _rows(batches):
+                ids, known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool)
+                number_of = {t: i for i, t in enumerate(_vocabulary(row["terms"], row["ends"]))}
+                starts, slots, values = np.frombuffer(row["starts"], np.int64).tolist(), np.frombuffer(row["slots"], np.int32), np.frombuffer(row["values"], np.int32).astype(np.int64)
+                scores = np.zeros(len(ids), np.int64)
+                for number, own in queries:
+                    scores[:] = 0
+                    for term, w in own:
+                        i = number_of.get(term)
+                        if i is not None:
+                            scores[slots[starts[i] : starts[i + 1]]] += w * values[starts[i] : starts[i + 1]]
+                    at = best(scores, ids, known, k)
+                    if len(at):
+                        s, d, h = (np.concatenate(x) for x in zip(top[number], (scores[at], ids[at], known[at])))
+                        at = best(s, d, h, k)
+                        top[number] = s[at], d[at], h[at]
             for number, (s, d, h) in top.items():
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array([number] * len(s), pa.int64()), pa.array(d, mask=~h), pa.array(s)], ["number", "doc_id", "score"])
 
-        found.append(keep(index.shards.mapInArrow(look, "number long, doc_id long, score long"), "found")[0])
+        with _few(spark):
+            found.append(keep(index.shards.mapInArrow(look, "number long, doc_id long, score long"), "found")[0])
         shared.unpersist()
     if not found:
         found = [spark.createDataFrame([], "number long, doc_id long, score long")]
