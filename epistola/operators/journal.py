@@ -2,6 +2,10 @@
 
 A line is canonical JSON with its own hash in `self` and that of the line before in `prev`. Each line is checked against
 its predecessor alone: within a segment by a window, over segments by the last line of each, of which there are few.
+
+A segment is a commit: its number is taken by one writer alone, and a writer that comes second chains its lines anew behind
+the first one's. Lines that were committed are never taken back. A line of a stream's batch names both in `batch`, so a batch
+that is done again knows what it has told.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from epistola import schemas
+from epistola.operators import commits
 
 START = "0" * 64
-#: Bytes after which a segment is closed, and its name: a number, the batch that it tells of with its place in it, and how it is packed.
+#: Bytes after which a segment is closed, and its name: a number, a batch in archives of earlier versions, and how it is packed.
 ROLL = 64 << 20
-_NAME = re.compile(r"(\d{6,})(?:-b(\d+)-(\d+)of(\d+))?\.jsonl(\.zst|\.xz)?")
+_NAME = re.compile(r"(\d{6,})(?:-b\d+-\d+of\d+)?\.jsonl(\.zst|\.xz)?")
 
 
 def canonical(entry: dict) -> str:
@@ -45,13 +50,9 @@ def append(last: dict | None, operations: list[dict], ts: str) -> list[str]:
     return lines
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def segments(path: str) -> list[str]:
     """Names of the journal's files in order."""
-    where, base = _open(path)
+    where, base = commits.opened(path)
     found = where.get_file_info(fs.FileSelector(base, allow_not_found=True))
     return sorted((x.base_name for x in found if x.is_file and _NAME.fullmatch(x.base_name)), key=lambda n: (int(_NAME.fullmatch(n)[1]), n))
 
@@ -60,17 +61,23 @@ def _unpacked(name: str, data: bytes) -> bytes:
     return lzma.decompress(data) if name.endswith(".xz") else zstandard.ZstdDecompressor().decompressobj().decompress(data) if name.endswith(".zst") else data
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """segment, line_no and line of journal files; names of segments are in order. Packed ones are read in tasks; a journal that is not there is empty."""
-    names = segments(path)
+def number(name: str) -> int:
+    return int(_NAME.fullmatch(name)[1])
+
+
+def read(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
+    """segment, line_no and line of journal files whose number is above `after`; names of segments are in order. Packed ones are read in tasks; a journal that is not there is empty."""
+    names = [n for n in segments(path) if number(n) > after]
+    packed_names, plain_names = [n for n in names if n.endswith((".zst", ".xz"))], [n for n in names if n.endswith(".jsonl")]
     empty = spark.createDataFrame([], schemas.JOURNAL)
     if not names:
         return empty
+    files = lambda some: [f"{path}/{n}" for n in some] if after else path
     order = Window.partitionBy("segment").orderBy("block", "at")
     # A long file is read in several blocks, which are not dealt out in order.
-    plain = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    plain = spark.read.option("pathGlobFilter", "*.jsonl").text(files(plain_names) or path).select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     plain = plain.select("segment", F.row_number().over(order).cast("long").alias("line_no"), "line")
-    if not any(n.endswith((".zst", ".xz")) for n in names):
+    if not packed_names:
         return plain
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,13 +86,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 lines = _unpacked(where, bytes(data)).decode().splitlines()
                 yield pd.DataFrame({"segment": where.rpartition("/")[2], "line_no": range(1, len(lines) + 1), "line": lines})
 
-    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl.{zst,xz}").load(path).select("path", "content").mapInPandas(unpack, schemas.JOURNAL)
-    return plain.unionByName(packed) if any(n.endswith(".jsonl") for n in names) else packed
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl.{zst,xz}").load(files(packed_names)).select("path", "content").mapInPandas(unpack, schemas.JOURNAL)
+    return plain.unionByName(packed) if plain_names else packed
 
 
 def last_entry(path: str) -> dict | None:
     """The last whole entry; a torn line at the end counts as never written."""
-    where, base = _open(path)
+    where, base = commits.opened(path)
     for name in reversed(segments(path)):
         with where.open_input_stream(f"{base}/{name}", compression=None) as file:
             lines = _unpacked(name, file.read()).splitlines()
@@ -97,56 +104,77 @@ def last_entry(path: str) -> dict | None:
     return None
 
 
-def told(root: str, batch: int) -> bool:
-    """Whether all lines of a batch are in the journal."""
-    return any(m[2] == str(batch) and m[3] == m[4] for m in map(_NAME.fullmatch, segments(f"{root}/journal")))
-
-
-def write(operations: DataFrame, root: str, ts: str, batch: int | None = None) -> int:
-    """Appends a line for each row, in the order of the rows, to new segments; returns how many there were.
-
-    Fields that are null are left out, but for an add's uid and date. A chain is made one line after the other, so rows come
-    through the driver in a stream, a partition at a time; what is held is one segment. Files get their names when all are
-    written, the last of a batch last; those of a batch that failed half way are replaced.
+def commit(path: str, operations: list[dict], ts: str) -> int:
+    """Appends a segment with a line for each operation, behind whatever is the journal's end when its number is taken; returns the number."""
+    while True:
+        names, last = segments(path), last_entry(path)
+        n = max(map(number, names), default=0) + 1
+        if segments(path) != names:
+            continue  # another writer came between
+        data = "".join(x + "\n" for x in append(last, operations, ts)).encode()
+        if commits.put_new(f"{path}/{n:06d}.jsonl", data):
+            if sum(number(x) == n for x in segments(path)) == 1:
+                return n
+            # The number was taken, and its segment packed since.
+            where, base = commits.opened(path)
+            where.delete_file(f"{base}/{n:06d}.jsonl")
+
+
+def write(operations: DataFrame, root: str, ts: str, batch: str | None = None) -> int:
+    """Appends a line for each row, in the order of the rows, in segments of their own; returns how many there were.
+
+    Fields that are null are left out, but for an add's uid and date; `batch` names the stream and batch in each line. A chain
+    is made one line after the other, so rows come through the driver in a stream, a partition at a time; what is held is one
+    segment. A write that is broken off leaves whole segments: see `told` for what is still to be told.
     """
-    path = f"{root}/journal"
-    where, base = _open(path)
-    where.create_dir(base, recursive=True)
-    for name in segments(path):
-        if batch is not None and _NAME.fullmatch(name)[2] == str(batch):
-            where.delete_file(f"{base}/{name}")
-    last, n, lines, size, made = last_entry(path), 0, [], 0, []
-
-    def close() -> None:
-        temporary = f"{base}/.tmp-{uuid.uuid4().hex}"
-        with where.open_output_stream(temporary, compression=None) as out:
-            out.write("".join(x + "\n" for x in lines).encode())
-        made.append(temporary)
-
+    path, n, held, size = f"{root}/journal", 0, [], 0
     for row in operations.toLocalIterator():
         op = {k: v for k, v in row.asDict(recursive=True).items() if v is not None or (row["op"] == "add" and k in ("uid", "date"))}
-        line = append(last, [op], ts)[0]
-        last, n, size = json.loads(line), n + 1, size + len(line)
-        lines.append(line)
+        held.append({**op, "batch": batch} if batch is not None else op)
+        n, size = n + 1, size + len(canonical(op)) + 200
         if size >= ROLL:
-            close()
-            lines, size = [], 0
-    if lines:
-        close()
-    number = max((int(_NAME.fullmatch(x)[1]) for x in segments(path)), default=0)
-    for i, temporary in enumerate(made, 1):
-        mark = f"-b{batch}-{i}of{len(made)}" if batch is not None else ""
-        where.move(temporary, f"{base}/{number + i:06d}{mark}.jsonl")
+            commit(path, held, ts)
+            held, size = [], 0
+    if held:
+        commit(path, held, ts)
     return n
 
 
+def _stream(root: str, stream: str) -> str:
+    return f"{root}/streams/{hashlib.sha256(stream.encode()).hexdigest()[:32]}.json"
+
+
+def end(root: str) -> int:
+    """The number of the last segment."""
+    return max(map(number, segments(f"{root}/journal")), default=0)
+
+
+def begin_batch(root: str, stream: str, batch: int) -> int:
+    """The segment behind which lines of this batch can be: the journal's end when the stream's last batch was done, or when the stream began."""
+    known = commits.note(_stream(root, stream))
+    if known is None:
+        known = {"stream": stream, "batch": None, "segment": end(root)}
+        commits.put(_stream(root, stream), canonical(known).encode())
+    return known["segment"]
+
+
+def end_batch(root: str, stream: str, batch: int) -> None:
+    """Notes that all of a batch is in the tables: the next one need not look before the journal's end of now."""
+    commits.put(_stream(root, stream), canonical({"stream": stream, "batch": batch, "segment": end(root)}).encode())
+
+
+def told(spark: SparkSession, root: str, batch: str, after: int) -> DataFrame:
+    """op, hash, account and folder of the lines that a batch has in the journal, in segments behind a number."""
+    return parsed(read(spark, f"{root}/journal", after)).where(F.col("batch") == batch).select("op", "hash", "account", "folder")
+
+
 def pack(spark: SparkSession, root: str) -> int:
     """Packs all segments but the last, in tasks; a packed one never changes. Returns how many there were."""
     path = f"{root}/journal"
     names = [n for n in segments(path)[:-1] if n.endswith(".jsonl")]
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, base = _open(path)
+        where, base = commits.opened(path)
         for batch in batches:
             for name in batch["name"]:
                 with where.open_input_stream(f"{base}/{name}", compression=None) as file:
@@ -187,7 +215,7 @@ def verify(journal: DataFrame) -> DataFrame:
     order = Window.orderBy("segment")
     ends = ends.select(F.lead("segment").over(order).alias("segment"), "end_self", "end_seq", F.lead("segment").over(order).isNull().alias("newest")).where("segment is not null")
     newest = journal.agg(F.max("segment").alias("newest_segment"))
-    rows = rows.join(F.broadcast(ends.drop("newest")), "segment", "left").crossJoin(F.broadcast(newest))  # a row a segment, and one
+    rows = rows.join(ends.drop("newest"), "segment", "left").crossJoin(newest)  # one row
     before = F.when(F.col("first"), F.coalesce("end_self", F.lit(START))).otherwise(F.col("before"))
     number = F.when(F.col("first"), F.coalesce("end_seq", F.lit(0))).otherwise(F.col("number_before"))
     torn = F.col("last") & (F.col("segment") == F.col("newest_segment"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from epistola.functions.text import ascii_lower, glob_pattern
+from epistola.functions.text import glob_pattern
 
 #: Years that a category is kept in each jurisdiction, fixed values; a category that is not named has no deadline.
 YEARS = {
@@ -71,8 +71,8 @@ def classify(rules: list[Rule], folder: Column, sender: Column, recipients: Colu
     tests = []
     for r in rules:
         if r.active:
-            value = ascii_lower(values[r.field])
-            tests.append(F.when((value != "") & value.rlike(glob_pattern(r.pattern.lower(), "!")), F.lit(r.category)))
+            value = F.lower(values[r.field])
+            tests.append(F.when((value != "") & value.rlike(glob_pattern(r.pattern.strip().lower(), "!")), F.lit(r.category)))
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
 
@@ -99,6 +99,6 @@ def is_excluded(folder: Column, names: tuple[str, ...] = EXCLUDED) -> Column:
 
 
 def has_marker(subject: Column, markers: list[str]) -> Column:
-    """Whether a subject begins with a marker, apart from case and blanks before it."""
-    plain = F.lower(F.ltrim(subject))
-    return reduce(lambda a, b: a | b, [plain.startswith(m.lower()) for m in markers], F.lit(False))
+    """Whether a subject begins with a marker, apart from case and blanks before it; ß counts as ss."""
+    plain = F.replace(F.lower(F.ltrim(subject)), F.lit("ß"), F.lit("ss"))
+    return reduce(lambda a, b: a | b, [plain.startswith(m.casefold()) for m in markers], F.lit(False))

@@ -15,11 +15,14 @@ from epistola.streaming import ingest
 
 
 def merge(spark: SparkSession, other: str, root: str, captured: str, rules: tuple = ()) -> dict[str, int]:
-    """Takes over what another archive holds, from its store and the places its journal tells, and this one lacks."""
+    """Takes over what another archive holds, from its store and the places its journal tells, and this one lacks.
+
+    A merge that is broken off and done again goes on: it is the one batch of a stream named by the other archive's path and last line.
+    """
     entries = journal.parsed(journal.read(spark, f"{other}/journal"))
     places = journal.locations(entries).join(journal.live(entries).select("hash"), "hash", "left_semi")
     rows = ingest.load(spark, other, "store").select("hash", "raw").join(places, "hash")
-    return ingest.add_batch(rows.select("account", "folder", "uid", F.lit("").alias("flags"), "raw"), root, captured, rules)
+    return ingest.add_batch(rows.select("account", "folder", "uid", F.lit("").alias("flags"), "raw"), root, captured, rules, 0, f"merge {other} {(journal.last_entry(f'{other}/journal') or {}).get('self', '')}")
 
 
 def to_remove(backups: DataFrame, keep: int, by: str = "account") -> DataFrame:

@@ -11,7 +11,7 @@ ATTACHMENTS = "hash string, filename string, extension string, mime_type string,
 TEXTS = "hash string, subject string, sender string, recipients string, body string, attachment_names string, attachment_text string"
 STORE = "hash string, bucket string, raw binary, size long"
 JOURNAL = "segment string, line_no long, line string"
-ENTRY = "seq long, ts string, op string, prev string, self string, hash string, bucket string, account string, folder string, uid long, size long, category string, previous string, actor string, reason string, kind string, place string, number long, old string, new string, date string, subject string, sender string, attachments long, note string, count long, covers string, file_existed boolean"
+ENTRY = "seq long, ts string, op string, prev string, self string, hash string, bucket string, account string, folder string, uid long, size long, category string, previous string, actor string, reason string, kind string, place string, number long, old string, new string, date string, subject string, sender string, attachments long, note string, count long, covers string, file_existed boolean, batch string"
 #: Messages that could not be read, with the reason.
 QUARANTINE = "account string, folder string, uid long, raw binary, problem string, captured string"
 

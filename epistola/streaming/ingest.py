@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -48,15 +49,16 @@ def part_of(bucket) -> object:
     return F.substring(bucket, 1, 4).cast("int")
 
 
-def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy.Rule] = (), batch_id: int | None = None) -> dict[str, int]:
+def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy.Rule] = (), batch_id: int | None = None, stream: str = "") -> dict[str, int]:
     """Appends what the archive lacks of a batch (account, folder, uid, flags, raw); returns how much of it was new.
 
     Payloads come first, then the journal, then the tables: what the journal tells of is there. Each new place is an `add`
     line; a new message that a rule puts into another category gets it, and a `classify` line by the rule. A message that
-    cannot be read goes to `quarantine` with the reason, and the rest go on. Doing a batch again appends nothing; a batch
-    with a number that failed half way is not told twice.
+    cannot be read goes to `quarantine` with the reason, and the rest go on. Doing a batch again appends nothing. A batch with a
+    number that failed half way tells what it has not told yet, place by place: numbers are those of its stream alone.
     """
     spark = batch.sparkSession
+    after = journal.begin_batch(root, stream, batch_id) if batch_id is not None else None
     parsed = mail.parse(batch).persist()
     parsed.where("problem is not null").select("account", "folder", "uid", "raw", "problem", F.lit(captured).alias("captured"), F.lit(0).alias("part")).join(load(spark, root, "quarantine").select("raw"), "raw", "left_anti").select(*[x.split()[0] for x in schemas.QUARANTINE.split(", ")], "part").write.mode("append").partitionBy("part").parquet(f"{root}/quarantine")
     good = parsed.where("problem is null")
@@ -71,12 +73,17 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
     tables = mail.tables(good, captured)
     tables["messages"] = tables["messages"].join(ruled, "hash", "left").withColumn("category", F.coalesce("made", "category")).drop("made")
 
-    if batch_id is None or not journal.told(root, batch_id):
-        about = good.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("bucket", "uid", "size", "date_text", "subject", "from_addr", F.size("attached").alias("attachments")), F.coalesce("uid", F.lit(2**62))).alias("a"))
-        adds = places.join(about, ["hash", "account", "folder"]).select("hash", F.lit(0).alias("turn"), F.struct(F.lit("add").alias("op"), "hash", "a.bucket", "account", "folder", "a.uid", "a.size", F.col("a.date_text").alias("date"), F.substring("a.subject", 1, 200).alias("subject"), F.col("a.from_addr").alias("sender"), "a.attachments", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("previous"), F.lit(None).cast("string").alias("actor")).alias("e"), "account", "folder")
-        null = lambda t="string": F.lit(None).cast(t)
-        by_rule = ruled.select("hash", F.lit(1).alias("turn"), F.struct(F.lit("classify").alias("op"), "hash", null().alias("bucket"), null().alias("account"), null().alias("folder"), null("long").alias("uid"), null("long").alias("size"), null().alias("date"), null().alias("subject"), null().alias("sender"), null("int").alias("attachments"), F.col("made").alias("category"), F.lit("unbestimmt").alias("previous"), F.lit("Regel").alias("actor")).alias("e"), null().alias("account"), null().alias("folder"))
-        journal.write(adds.unionAll(by_rule).orderBy("turn", "hash", "account", "folder").select("e.*"), root, captured, batch_id)
+    about = good.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("bucket", "uid", "size", "date_text", "subject", "from_addr", F.size("attached").alias("attachments")), F.coalesce("uid", F.lit(2**62))).alias("a"))
+    adds = places.join(about, ["hash", "account", "folder"]).select("hash", F.lit(0).alias("turn"), F.struct(F.lit("add").alias("op"), "hash", "a.bucket", "account", "folder", "a.uid", "a.size", F.col("a.date_text").alias("date"), F.substring("a.subject", 1, 200).alias("subject"), F.col("a.from_addr").alias("sender"), "a.attachments", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("previous"), F.lit(None).cast("string").alias("actor")).alias("e"), "account", "folder")
+    null = lambda t="string": F.lit(None).cast(t)
+    by_rule = ruled.select("hash", F.lit(1).alias("turn"), F.struct(F.lit("classify").alias("op"), "hash", null().alias("bucket"), null().alias("account"), null().alias("folder"), null("long").alias("uid"), null("long").alias("size"), null().alias("date"), null().alias("subject"), null().alias("sender"), null("int").alias("attachments"), F.col("made").alias("category"), F.lit("unbestimmt").alias("previous"), F.lit("Regel").alias("actor")).alias("e"), null().alias("account"), null().alias("folder"))
+    untold, name = adds.unionAll(by_rule), None
+    if batch_id is not None:
+        name = f"{stream}/{batch_id}"
+        known = journal.told(spark, root, name, after).select(F.col("op").alias("o"), F.col("hash").alias("h"), F.col("account").alias("a"), F.col("folder").alias("f"))
+        same = (F.col("e.op") == F.col("o")) & (F.col("hash") == F.col("h")) & F.col("account").eqNullSafe(F.col("a")) & F.col("folder").eqNullSafe(F.col("f"))
+        untold = untold.join(known, same, "left_anti")
+    journal.write(untold.orderBy("turn", "hash", "account", "folder").select("e.*"), root, captured, name)
 
     for name in ("locations", "recipients", "attachments", "texts", "messages"):  # the message last
         key = KEYS[name] if name in ("locations", "recipients") else ["hash"]
@@ -86,12 +93,19 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
         save(rows if name == "messages" else rows.join(good.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"]), "hash").select(*rows.columns, "part"), root, name)
     for kept in (parsed, places, ruled):
         kept.unpersist()
+    if batch_id is not None:
+        journal.end_batch(root, stream, batch_id)
     return counts
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The number that Spark gives a stream when its checkpoint is made; a new checkpoint in the same folder is another stream."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def ingest(rows: DataFrame, root: str, captured: str, checkpoint: str, rules: Sequence[policy.Rule] = ()) -> DataStreamWriter:
     """A stream of raw messages into an archive, until what is there now is read."""
-    return rows.writeStream.foreachBatch(lambda batch, n: add_batch(batch, root, captured, rules, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return rows.writeStream.foreachBatch(lambda batch, n: add_batch(batch, root, captured, rules, n, stream_id(batch.sparkSession, checkpoint)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def rebuild(spark: SparkSession, root: str, to: str) -> None:
