@@ -2,12 +2,13 @@
 
 A phrase that is frequent has only frequent parts, so candidates are narrowed before they are counted. First all words and
 phrases are counted roughly, in cells of hashes; a cell holds at least what any phrase in it has. Then every phrase is named whose
-own cell and whose parts' cells reach the least count. The names are dealt to blocks by hash, and each block gets a minimal
-perfect hash with its keys beside it: a phrase that is no candidate falls on some slot too, and is told by the key there.
+own cell and whose parts' cells reach the least count: that is a candidate. Tasks hand on the hashes of those that they have, with
+the least number of a document that holds each, its owner. Hashes are dealt to blocks, and each block gets a minimal perfect
+hash with its keys and owners beside it: a phrase that is no candidate falls on some slot too, and is told by the key there.
 
-Tasks count a block's phrases in an array and hand pieces of it on; pieces are summed in two turns. What the parts of a phrase
-count is read from the same arrays. No table of phrases is dealt out for counting, only arrays, and no task holds more than
-one block.
+Tasks count a block's phrases in an array and hand pieces of it on; pieces are summed in two turns. The words of a phrase are told
+by its owner alone. What the parts of a phrase count is read from the same arrays. No table of phrases is dealt out for
+counting, only arrays, and no task holds more than one block.
 """
 
 from __future__ import annotations
@@ -87,19 +88,20 @@ def language_hash(lang: str, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode(), seed=seed + 1)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, list[str], np.ndarray]]:
-    """Of rows (lang, text), some at a time: words with ends of pieces, their hashes, their languages' hashes, the languages, and which of them each word has."""
+def _chunks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]]:
+    """Of rows (lang, text), some at a time: words with ends of pieces, their hashes, their languages' hashes, the languages, which of them each word has, and the numbers of their documents, of 32 bits."""
     hashes = worker_cache(("collocations", seed), lambda: _Hashes(seed))
     words: list[bytes] = []
     langs: list[str] = []
     lengths: list[int] = []
+    numbers: list[int] = []
 
     def made():
         known = sorted(set(langs))
         number = {x: i for i, x in enumerate(known)}
         which = np.repeat(np.array([number[x] for x in langs], np.int32), lengths)
         of = np.array([language_hash(x, seed) for x in known], np.uint64)
-        return words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), of[which], known, which
+        return words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), of[which], known, which, np.repeat(np.array(numbers, np.uint32), lengths)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
@@ -108,9 +110,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list
             words += own
             langs.append(lang)
             lengths.append(len(own))
+            numbers.append(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) >> 32)
             if len(words) >= CHUNK:
                 yield made()
-                words, langs, lengths = [], [], []
+                words, langs, lengths, numbers = [], [], [], []
     if words:
         yield made()
 
@@ -125,7 +128,7 @@ def _rough(docs: DataFrame, powers: list[int], seed: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         names = ["level", "piece", "data", "lang", "n"]
-        for _, words, langs, known, which in _chunks(batches, seed):
+        for _, words, langs, known, which, _ in _chunks(batches, seed):
             for n, power in enumerate(powers, 1):
                 cells = np.sort(_cell(phrases(words, langs, n)[whole(words, n)], power))
                 pieces = cells // PIECE
@@ -198,27 +201,83 @@ class Sieve:
             yield n, at, hashes
 
 
-def _names(docs: DataFrame, shared, seed: int) -> DataFrame:
-    """hash, lang, words and phrase of each candidate, once a task but for phrases that were long ago."""
+def _owned(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes in order, each with its least owner."""
+    order = np.argsort(hashes)
+    hashes, owners = hashes[order], owners[order]
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
+    return hashes[starts], np.minimum.reduceat(owners, starts) if len(starts) else owners
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, seen = shared.value, np.empty(0, np.uint64)
-        for words, own, langs, known, which in _chunks(batches, seed):
-            fresh = []
-            for n, at, hashes in sieve.candidates(own, langs):
-                hashes, first = np.unique(hashes, return_index=True)
-                where = np.minimum(np.searchsorted(seen, hashes), max(0, len(seen) - 1))
-                new = seen[where] != hashes if len(seen) else np.ones(len(hashes), bool)
-                hashes, at = hashes[new], at[first[new]]
-                fresh.append(hashes)
-                for i in range(0, len(at), 50_000):
-                    some = at[i : i + 50_000].tolist()
-                    text = pa.array([b" ".join(words[a : a + n]).decode("utf-8", "replace") for a in some])
-                    lang = pa.array([known[x] for x in which[some].tolist()])
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[i : i + 50_000].view(np.int64)), lang, pa.array([n] * len(some), pa.int32()), text], ["hash", "lang", "words", "phrase"])
-            seen = np.sort(np.concatenate([seen, *fresh])) if len(seen) < 4 * CHUNK else np.sort(np.concatenate(fresh))
 
-    return docs.mapInArrow(name, "hash long, lang string, words int, phrase string")
+def _seen(docs: DataFrame, shared, bits: int, seed: int) -> DataFrame:
+    """Rows (bucket, data) of a task's candidates, by the first bits of their hashes: hashes in order as differences, and owners."""
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, codec, held, size = shared.value, pa.Codec("zstd"), [], 0
+
+        def told() -> pa.RecordBatch:
+            hashes, owners = _owned(*(np.concatenate(x) for x in zip(*held)))
+            buckets = _block_of(hashes, bits)
+            ends = np.flatnonzero(np.diff(buckets, append=-1)) + 1
+            data = [_packed(codec, hashes[a:b], owners[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+            return pa.RecordBatch.from_arrays([pa.array([int(buckets[e - 1]) for e in ends], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+        for _, words, langs, _, _, numbers in _chunks(batches, seed):
+            for _, at, hashes in sieve.candidates(words, langs):
+                held.append(_owned(hashes, numbers[at]))
+                size += len(held[-1][0])
+            if size > 2 * CHUNK:
+                held = [_owned(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0])
+                if size > 2 * CHUNK:
+                    yield told()
+                    held, size = [], 0
+        if size:
+            yield told()
+
+    return docs.mapInArrow(see, "bucket int, data binary")
+
+
+def _packed(codec: pa.Codec, hashes: np.ndarray, owners: np.ndarray) -> bytes:
+    """How many there are, then bytes of one weight beside one another, as the high ones of differences are mostly 0."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    plain = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + owners.tobytes()
+    return len(hashes).to_bytes(8, "little") + codec.compress(plain, asbytes=True)
+
+
+def _unpacked(codec: pa.Codec, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    plain = codec.decompress(data[8:], decompressed_size=12 * n, asbytes=True)
+    steps = np.ascontiguousarray(np.frombuffer(plain, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(plain, np.uint32, n, 8 * n)
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """bucket, n and data of all tasks' candidates; what is held is a bucket's different ones."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, now, held, size, last = pa.Codec("zstd"), None, [], 0, 0
+
+        def told() -> pa.RecordBatch:
+            hashes, owners = _owned(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(hashes)], pa.int64()), pa.array([_packed(codec, hashes, owners)], pa.binary())], ["bucket", "n", "data"])
+
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+                if bucket != now:
+                    if held:
+                        yield told()
+                    now, held, size, last = bucket, [], 0, 0
+                held.append(_unpacked(codec, data))
+                size += len(held[-1][0])
+                if size > 2 * last + CHUNK:
+                    held = [_owned(*(np.concatenate(x) for x in zip(*held)))]
+                    size = last = len(held[0][0])
+        if held:
+            yield told()
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(merge, "bucket int, n long, data binary")
 
 
 def build_hash(keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -244,10 +303,11 @@ def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
 
 
 class Block:
-    """A block's hash: slots of keys, and which of them are its own."""
+    """A block's hash: slots of keys, which of them are its own, and the owner of each."""
 
-    def __init__(self, levels: list[np.ndarray], keys: np.ndarray):
+    def __init__(self, levels: list[np.ndarray], keys: np.ndarray, owners: np.ndarray | None = None):
         self.levels, self.keys = levels, keys
+        self.owners = np.zeros(len(keys), np.uint32) if owners is None else owners
         self.before, n = [], 0  # of each byte of a level, the keys before it
         for bits in levels:
             own = np.cumsum(np.bitwise_count(bits), dtype=np.int64)
@@ -261,10 +321,11 @@ class Block:
         for size in sizes:
             levels.append(np.frombuffer(data, np.uint8, size, at))
             at += size
-        return cls(levels, np.frombuffer(data, np.uint64, offset=at))
+        n = (len(data) - at) // 12
+        return cls(levels, np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint32, n, at + 8 * n))
 
     def data(self) -> bytes:
-        return np.array([len(self.levels), *map(len, self.levels)], np.int64).tobytes() + b"".join(x.tobytes() for x in self.levels) + self.keys.tobytes()
+        return np.array([len(self.levels), *map(len, self.levels)], np.int64).tobytes() + b"".join(x.tobytes() for x in self.levels) + self.keys.tobytes() + self.owners.tobytes()
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for one that is not in the block: its slot holds another."""
@@ -286,7 +347,7 @@ class Block:
 
 
 def _block_of(hashes: np.ndarray, power: int) -> np.ndarray:
-    """Blocks are ranges of hashes that were mixed, so that keys of one block do not lie in one range of its levels' places."""
+    """Buckets and blocks are ranges of hashes; places in a level's bits are of hashes mixed anew."""
     return (hashes >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(hashes), np.int64)
 
 
@@ -300,63 +361,77 @@ def _by_block(hashes: np.ndarray, power: int) -> Iterator[tuple[int, np.ndarray]
             yield int(blocks[order[a]]), order[a:b]
 
 
-def _hash_blocks(names: DataFrame, power: int, folder: str) -> int:
-    """Writes a file for each block; returns the number of keys. A block is about BLOCK keys, as hashes spread evenly."""
+def _hash_blocks(merged: DataFrame, bits: int, power: int, folder: str) -> None:
+    """Writes a file for each block. A block is about BLOCK keys, as hashes spread evenly."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        codec, now, held = pa.Codec("zstd"), None, []
 
         def told() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            _files.put(folder, f"block-{now}", [Block(*build_hash(keys)).data()])
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(keys)], pa.int64())], ["block", "n"])
+            keys, owners = (np.concatenate(x) for x in zip(*held))
+            block = Block(*build_hash(keys))
+            block.owners = np.empty(len(keys), np.uint32)
+            block.owners[block.slots(keys)] = owners
+            _files.put(folder, f"block-{now}", [block.data()])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], ["block"])
 
         for batch in batches:
-            hashes, blocks = batch.column(1).to_numpy().view(np.uint64), batch.column(0).to_numpy()
-            ends = np.flatnonzero(np.diff(blocks, append=-1)) + 1
-            for a, b in zip([0, *ends[:-1]], ends):
-                if blocks[a] != now and held:
+            for number, data in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+                if number != now and held:
                     yield told()
                     held = []
-                now = int(blocks[a])
-                held.append(hashes[a:b])
+                now = number
+                held.append(_unpacked(codec, data))
         if held:
             yield told()
 
-    block = F.shiftrightunsigned("hash", 64 - power).cast("int") if power else F.lit(0)
-    keys = names.select(block.alias("block"), "hash")
-    dealt = keys.repartition(max(1, min(1 << power, partitions(names.sparkSession))), "block").sortWithinPartitions("block", "hash")
-    return keep(dealt.mapInArrow(make, "block int, n long"), "blocks")[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = merged.select(F.shiftright("bucket", bits - power).alias("block"), "data")
+    dealt = rows.repartition(max(1, min(1 << power, partitions(merged.sparkSession))), "block").sortWithinPartitions("block")
+    keep(dealt.mapInArrow(make, "block int"), "blocks")
 
 
 def _count(docs: DataFrame, shared, power: int, folder: str, seed: int) -> DataFrame:
-    """Rows (block, piece, data): what a task has counted in the slots of a piece."""
+    """Rows (block, piece, data, size) of what a task has counted in the slots of a piece, and rows (hash, lang, words, phrase) of candidates whose owner it has."""
+    names = ["block", "piece", "data", "size", "hash", "lang", "words", "phrase"]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+
+    def rows(columns: list) -> pa.RecordBatch:
+        n = len(next(c for c in columns if c is not None))
+        return pa.RecordBatch.from_arrays([pa.nulls(n).cast(kind) if c is None else pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, codec = shared.value, pa.Codec("zstd")
-        held, size = [], 0
+        sieve, codec, counts = shared.value, pa.Codec("zstd"), {}
 
         def told() -> Iterator[pa.RecordBatch]:
-            hashes = np.concatenate(held)
-            for b, at in _by_block(hashes, power):
+            for b, own in counts.items():
+                pieces = [i for i in range(0, len(own), SLOTS) if own[i : i + SLOTS].any()]
+                data = [codec.compress(own[i : i + SLOTS].tobytes(), asbytes=True) for i in pieces]
+                yield rows([[b] * len(pieces), [i // SLOTS for i in pieces], data, [min(SLOTS, len(own) - i) for i in pieces], None, None, None, None])
+            counts.clear()
+
+        named = np.empty(0, np.uint64)
+        for text, words, langs, known, which, numbers in _chunks(batches, seed):
+            found = list(sieve.candidates(words, langs))
+            hashes, at = np.concatenate([x[2] for x in found]), np.concatenate([x[1] for x in found])
+            sizes = np.repeat(np.array([x[0] for x in found], np.int32), [len(x[1]) for x in found])
+            for b, inside in _by_block(hashes, power):
+                if b not in counts and counts:  # one block is held at a time
+                    yield from told()
                 block = _open(folder, b)
-                slots = block.slots(hashes[at])
-                counts = np.bincount(slots[slots >= 0], minlength=len(block.keys)).astype(np.uint32)
-                pieces = [i for i in range(0, len(counts), SLOTS) if counts[i : i + SLOTS].any()]
-                data = [codec.compress(counts[i : i + SLOTS].astype(np.int64).tobytes(), asbytes=True) for i in pieces]
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(pieces), pa.int32()), pa.array([i // SLOTS for i in pieces], pa.int32()), pa.array(data, pa.binary()), pa.array([min(SLOTS, len(counts) - i) for i in pieces], pa.int32())], ["block", "piece", "data", "size"])
-
-        for _, words, langs, _, _ in _chunks(batches, seed):
-            for _, _, hashes in sieve.candidates(words, langs):
-                held.append(hashes)
-                size += len(hashes)
-            if size > 4 * CHUNK:
-                yield from told()
-                held, size = [], 0
-        if size:
-            yield from told()
-
-    return docs.mapInArrow(count, "block int, piece int, data binary, size int")
+                slots = block.slots(hashes[inside])
+                own = np.bincount(slots[slots >= 0], minlength=len(block.keys))
+                counts[b] = counts[b] + own if b in counts else own
+                mine = inside[(slots >= 0) & (block.owners[slots] == numbers[at[inside]])]
+                fresh, first = np.unique(hashes[mine], return_index=True)
+                new = ~np.isin(fresh, named)
+                fresh, mine = fresh[new], mine[first[new]]
+                named = np.concatenate([named if len(named) < CHUNK else named[:0], fresh])
+                where, long = at[mine].tolist(), sizes[mine].tolist()
+                if where:
+                    yield rows([None] * 4 + [fresh.view(np.int64), [known[x] for x in which[at[mine]].tolist()], long, [b" ".join(text[a : a + n]).decode("utf-8", "replace") for a, n in zip(where, long)]])
+        yield from told()
+
+    return docs.mapInArrow(count, "block int, piece int, data binary, size int, hash long, lang string, words int, phrase string")
 
 
 def _open(folder: str, block: int) -> Block:
@@ -462,7 +537,7 @@ def _with_cuts(names: DataFrame, power: int, folder: str, least: int, seed: int)
         if held:
             yield from told(held)
 
-    return names.where("words > 1").select("hash", "lang", "words", "phrase").mapInArrow(run, schema)
+    return names.select("hash", "lang", "words", "phrase").mapInArrow(run, schema)
 
 
 def _hash_rows(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
@@ -480,7 +555,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", top, wide(wide(left, 18) * wide(right, 18), 38)).cast("long")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, rows: int = ROWS, lang_col: str = "lang", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, rows: int = ROWS, lang_col: str = "lang", text_col: str = "text", block: int = BLOCK, seed: int = 0) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: each language's first rows by score, count and phrase, of phrases of two and three words.
 
     a, l, r count the phrase and the parts of its worst cut, n all words of the language. A phrase of two words within one of
@@ -488,8 +563,7 @@ def collocations(docs: DataFrame, least: int = LEAST, rows: int = ROWS, lang_col
     word, have no phrases; rows that repeat count each; texts are taken whole, but no phrase runs over the end of a piece.
     A table without words gives no rows. Other columns, whatever they are called, are not looked at.
 
-    Two candidates of one hash are looked for, and if there are any, another seed is taken. Something that is no candidate
-    would be counted as one if both had the same 64 bits.
+    Phrases are told apart by 64-bit hashes: two of one hash would be counted as one. Another seed hashes otherwise.
     """
     if not 1 <= least <= 255:
         raise ValueError("the least count is one of 1 to 255: rough counts go no further")
@@ -498,25 +572,26 @@ def collocations(docs: DataFrame, least: int = LEAST, rows: int = ROWS, lang_col
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     power = min(CELLS_MOST, max(CELLS_LEAST + 3, (size // 16).bit_length()))
     powers = [power - 3] + [power] * (LONGEST - 1)
-    for seed in range(0, 64, 2):
-        rough, rough_path = keep(_rough(docs, powers, seed), "rough")
-        totals, _ = keep(rough.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        sums, sums_path = keep(_summed(rough.where("level is not null").select("level", "piece", "data"), ["level", "piece"], least), "sieve")
-        shared = spark.sparkContext.broadcast(Sieve(powers, list(sums.toLocalIterator())))  # bits, as many as CELLS_MOST lets be
-        named, named_path = keep(_names(docs, shared, seed), "named", "zstd")
-        names, names_path = keep(named.distinct(), "names", "zstd")
-        drop(spark, rough_path, sums_path, named_path)
-        n, different = names.agg(F.count(F.lit(1)), F.countDistinct("hash")).first()
-        if n == different:
-            break
-    blocks, folder = max(0, -(-n // block) - 1).bit_length(), new_dir(spark, "phrases")
+    rough, rough_path = keep(_rough(docs, powers, seed), "rough")
+    totals, _ = keep(rough.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    sums, sums_path = keep(_summed(rough.where("level is not null").select("level", "piece", "data"), ["level", "piece"], least), "sieve")
+    shared = spark.sparkContext.broadcast(Sieve(powers, list(sums.toLocalIterator())))  # bits, as many as CELLS_MOST lets be
+    drop(spark, rough_path, sums_path)
+    bits = max(1, power - CELLS_LEAST)
+    seen, seen_path = keep(_seen(docs, shared, bits, seed), "seen")
+    merged, merged_path = keep(_merged(seen), "merged")
+    n = merged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    drop(spark, seen_path)
+    blocks, folder = min(bits, max(0, -(-n // block) - 1).bit_length()), new_dir(spark, "phrases")
     _files.make_dir(folder)
-    _hash_blocks(names, blocks, folder)
-    counted, counted_path = keep(_count(docs, shared, blocks, folder, seed), "counted")
-    _sum_counts(counted, folder)
+    _hash_blocks(merged, bits, blocks, folder)
+    counted, counted_path = keep(_count(docs, shared, blocks, folder, seed), "counted", "zstd")
+    _sum_counts(counted.where("block is not null").select("block", "piece", "data", "size"), folder)
     shared.unpersist()
+    # Copies of an owner name a candidate more than once.
+    names = counted.where("words > 1").groupBy("hash").agg(*[F.min(c).alias(c) for c in ("lang", "words", "phrase")])
     found, _ = keep(_with_cuts(names, blocks, folder, least, seed), "frequent", "zstd")
-    drop(spark, counted_path, names_path, folder)
+    drop(spark, counted_path, merged_path, folder)
     longer = found.where("words = 3").select(F.explode(F.array("first", "last")).alias("h"), F.col("a").alias("longest")).groupBy("h").agg(F.max("longest").alias("longest"))
     left = found.join(longer, F.col("hash") == F.col("h"), "left").where((F.col("words") == 3) | F.col("longest").isNull() | (100 * F.col("longest") < COVERED * F.col("a")))
     left = left.withColumns({"s1": _score(F.col("a"), F.col("l1"), F.col("r1")), "s2": F.when(F.col("words") == 3, _score(F.col("a"), F.col("l2"), F.col("r2")))})
