@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from epistola.functions.text import ascii_lower, fold, glob_pattern, has_part, has_phrase, like_pattern, spellings
 from epistola.lang import terms as T
+from epistola.operators.pieces import Pieces
 from epistola.operators.postings import Postings
 
 TEXT_COLUMNS = ("subject", "sender", "recipients", "body", "attachment_names", "attachment_text")
@@ -37,7 +38,7 @@ class View:
 
 @dataclass(frozen=True)
 class Archive:
-    """messages, recipients, locations, attachments and texts share the column `hash`, and so does the word index, where there is one."""
+    """messages, recipients, locations, attachments and texts share the column `hash`, and so do the indexes of words and of pieces of short fields, where there are any."""
 
     messages: DataFrame
     recipients: DataFrame
@@ -45,6 +46,7 @@ class Archive:
     attachments: DataFrame
     texts: DataFrame
     index: Postings | None = None
+    pieces: Pieces | None = None
 
     def seen_by(self, view: View) -> Archive:
         """The archive as this reader has it: places in their accounts, and what belongs to messages with such a place."""
@@ -167,7 +169,7 @@ def exists_rows(archive: Archive, p: T.Exists) -> DataFrame:
 
 
 def compile_terms(archive: Archive, predicates: list) -> DataFrame:
-    """All predicates hold: comparisons first, then words by the index, or one pass over the texts where there is none, then semi and anti joins."""
+    """All predicates hold: comparisons first, then words and pieces of words by their indexes, or one pass over the texts where there are none, then semi and anti joins."""
     hits = archive.messages
     for p in predicates:
         if isinstance(p, T.Compare):
@@ -176,7 +178,10 @@ def compile_terms(archive: Archive, predicates: list) -> DataFrame:
     for p in by_word:
         found = archive.index.find(p.value, None if isinstance(p, T.Free) else (p.column,))
         hits = hits.join(found, "hash", "left_anti" if p.negated else "left_semi")
-    tests = [text_test(p) for p in predicates if isinstance(p, (T.Free, T.Part, T.Phrase)) and p not in by_word]
+    by_piece = [p for p in predicates if isinstance(p, T.Part)] if archive.pieces else []
+    for p in by_piece:
+        hits = hits.join(archive.pieces.find(p.value, p.column), "hash", "left_anti" if p.negated else "left_semi")
+    tests = [text_test(p) for p in predicates if isinstance(p, (T.Free, T.Part, T.Phrase)) and p not in by_word and p not in by_piece]
     if tests:
         hits = hits.join(archive.texts.where(reduce(lambda a, b: a & b, tests)).select("hash"), "hash", "left_semi")
     for p in predicates:

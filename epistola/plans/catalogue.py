@@ -29,13 +29,13 @@ def query(sql_text: str | None = None):
     return add
 
 
-def _docs(expression: str, where: str):
+def _docs(expression: str, where: str, parts: bool = False):
     """A search over the documents, with the condition that says the same in SQL."""
-    return lambda name: query(sql("doc", f"SELECT hash FROM doc WHERE {where}"))(_named(name, lambda s, d: documents(s, d).matches(expression).select("hash")))
+    return lambda name: query(sql("doc", f"SELECT hash FROM doc WHERE {where}"))(_named(name, lambda s, d: documents(s, d, parts).matches(expression).select("hash")))
 
 
-def _orders(expression: str, where: str):
-    return lambda name: query(sql("msg loc att rcp", f"SELECT hash FROM msg WHERE {where}"))(_named(name, lambda s, d: orders(s, d).matches(expression).select("hash")))
+def _orders(expression: str, where: str, parts: bool = False):
+    return lambda name: query(sql("msg loc att rcp", f"SELECT hash FROM msg WHERE {where}"))(_named(name, lambda s, d: orders(s, d, parts).matches(expression).select("hash")))
 
 
 def _named(name: str, f):
@@ -55,11 +55,17 @@ _docs("text:der -the", f"{_word('der')} AND NOT {_word('the')}")("search_exclude
 _docs("text:fuer", f"({_word('fuer')} OR {_word('fur')})")("search_spelling_variants")
 _docs("text:für", _word("fur"))("search_spelling_one_way")
 _docs("text:dass", f"({_word('dass')} OR {_word('daß')})")("search_spelling_sharp_s")
-_docs("betreff:ing", "contains(folded_subject, 'ing')")("search_subject_substring")
+_docs("betreff:ing", "contains(folded_subject, 'ing')", True)("search_subject_substring")
+_docs('betreff:"tion th" -betreff:ingly', "contains(folded_subject, 'tion th') AND NOT contains(folded_subject, 'ingly')", True)("search_substring_over_words")
 _docs("betreff:th", r"regexp_matches(folded_subject, '(^|[^\pL\pN])th')")("search_short_value_fallback")
 _docs("text:lich", _word("lich"))("search_body_field")
 _docs("text:und ordner:de groesse:>1KB -text:the", f"{_word('und')} AND folder LIKE '%de%' AND size > 1024 AND NOT {_word('the')}")("search_combined_text")
 
+# Search for pieces of fields that are not empty.
+_orders("von:omer#0000000", "lower(from_name || ' ' || from_addr) LIKE '%omer#0000000%'", True)("search_sender_substring")
+_orders("an:plier.00000000", "EXISTS (SELECT 1 FROM rcp WHERE rcp.hash = msg.hash AND addr LIKE '%plier.00000000%')", True)("search_recipients_substring")
+_orders("anhang:ll_ring.ec", "EXISTS (SELECT 1 FROM att WHERE att.hash = msg.hash AND contains(lower(filename), 'll_ring.ec'))", True)("search_attachment_name_substring")
+
 # Search over messages and what belongs to them.
 _orders("hat:anhang", "has_attachments")("search_has_attachment")
 _orders("jahr:1997-1996", "year BETWEEN 1996 AND 1997")("search_year_range")

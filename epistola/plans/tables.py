@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epistola.operators import postings
+from epistola.operators import pieces, postings
 from epistola.operators.archive import TEXT_COLUMNS, Archive
 
 TODAY = 2007
@@ -17,32 +17,45 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Word indexes of the test tables that this session has built, by their folder: an archive builds its own at ingest.
-_built: dict[tuple[str, str], str] = {}
+#: Indexes of the test tables that this session has built, by their folder: an archive builds its own at ingest.
+_built: dict[tuple[str, str, str], str] = {}
 BUCKETS = 16
 
 
-def word_index(spark: SparkSession, sf_dir: str, texts: DataFrame) -> postings.Postings:
-    """The index of a folder's documents, built when first asked for, in the folder that all machines share."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """The path of an index, built when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            master = spark.sparkContext.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all machines share")
-            root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        path = f"{root.rstrip('/')}/words-{uuid.uuid4().hex}"
-        postings.build(texts, path, TEXT_COLUMNS, BUCKETS)
+        path = shared_dir(spark, name)
+        build(path)
         _built[key] = path
-    return postings.Postings(spark, _built[key], "long", BUCKETS)
+    return _built[key]
+
+
+def word_index(spark: SparkSession, sf_dir: str, texts: DataFrame) -> postings.Postings:
+    return postings.Postings(spark, _once(spark, sf_dir, "words", lambda path: postings.build(texts, path, TEXT_COLUMNS, BUCKETS)), "long", BUCKETS)
+
+
+def piece_index(spark: SparkSession, sf_dir: str, name: str, texts: DataFrame) -> pieces.Pieces:
+    return pieces.Pieces(spark, _once(spark, sf_dir, f"pieces-{name}", lambda path: pieces.build(texts, path, buckets=BUCKETS)), "long", BUCKETS)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> Archive:
+def documents(spark: SparkSession, sf_dir: str, parts: bool = False) -> Archive:
+    """The documents as mail: the text is both what is written over it and in it. parts: with an index of pieces."""
     d = load(spark, sf_dir, "documents").withColumn("hash", F.col("doc_id"))
-    subject = F.substring(F.coalesce("text", F.lit("")), 1, 60)
     # One branch for the texts keeps their column out of every other scan.
-    texts = d.select("hash", subject.alias("subject"), F.col("source").alias("sender"), F.lit("").alias("recipients"), F.col("text").alias("body"), F.lit("").alias("attachment_names"), F.lit("").alias("attachment_text"))
+    texts = d.select("hash", F.coalesce("text", F.lit("")).alias("subject"), F.col("source").alias("sender"), F.lit("").alias("recipients"), F.col("text").alias("body"), F.lit("").alias("attachment_names"), F.lit("").alias("attachment_text"))
     return Archive(
         messages=d.select("hash", F.lit(None).cast("string").alias("date_text"), F.lit(None).cast("int").alias("year"), F.col("source").alias("from_name"), F.lit("").alias("from_addr"), F.col("n_chars").alias("size"), F.lit(False).alias("has_attachments"), F.lit("unbestimmt").alias("category"), F.lit("normal").alias("importance"), F.lit("").alias("thread"), F.lit("").alias("captured"), F.lit("").alias("subject")),
         recipients=d.select("hash", F.col("source").alias("addr"), F.lit("to").alias("kind")),
@@ -50,10 +63,12 @@ def documents(spark: SparkSession, sf_dir: str) -> Archive:
         attachments=d.select("hash", F.lit("").alias("filename"), F.lit("").alias("extension"), F.lit(0).alias("size"), F.lit(False).alias("inline")).where(F.lit(False)),
         texts=texts,
         index=word_index(spark, sf_dir, texts),
+        pieces=piece_index(spark, sf_dir, "documents", texts) if parts else None,
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> Archive:
+def orders(spark: SparkSession, sf_dir: str, parts: bool = False) -> Archive:
+    """Orders as mail. parts: with recipients and names of attachments as texts, and an index of pieces."""
     o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
     item, part, supplier, nation = (load(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation"))
     kind = lambda x, pairs, other: F.expr(f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + f" ELSE '{other}' END")
@@ -71,7 +86,12 @@ def orders(spark: SparkSession, sf_dir: str) -> Archive:
     role = kind("l_linestatus", {"O": "to"}, "cc")
     recipients = item.join(supplier, item.l_suppkey == supplier.s_suppkey).select(F.col("l_orderkey").alias("hash"), F.lower(F.translate("s_name", "#", ".")).alias("addr"), role.alias("kind"))
     texts = messages.select("hash", "subject", F.concat_ws(" ", "from_name", "from_addr").alias("sender"), F.lit("").alias("recipients"), F.lit("").alias("body"), F.lit("").alias("attachment_names"), F.lit("").alias("attachment_text"))
-    return Archive(messages, recipients, locations, attachments, texts)
+    if not parts:
+        return Archive(messages, recipients, locations, attachments, texts)
+    # An order has seven lines at most.
+    joined = lambda rows, column, name: rows.groupBy("hash").agg(F.array_join(F.sort_array(F.collect_list(column)), ", ").alias(name))
+    texts = texts.drop("recipients", "attachment_names").join(joined(recipients, "addr", "recipients"), "hash", "left").join(joined(attachments, "filename", "attachment_names"), "hash", "left")
+    return Archive(messages, recipients, locations, attachments, texts, pieces=piece_index(spark, sf_dir, "orders", texts))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +112,7 @@ SQL = {
     "att": """SELECT l_orderkey AS hash, replace(p_name, ' ', '_') || '.' || lower(p_type) AS filename, lower(p_type) AS extension, CAST(floor(l_extendedprice) AS BIGINT) AS size, l_discount = 0 AS inline, CAST(l_linenumber AS BIGINT) AS text_chars
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "rcp": """SELECT l_orderkey AS hash, lower(replace(s_name, '#', '.')) AS addr, CASE l_linestatus WHEN 'O' THEN 'to' ELSE 'cc' END AS kind FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
-    "doc": """SELECT doc_id AS hash, substr(coalesce(text, ''), 1, 60) AS subject, text AS body, source AS account, lang AS folder, n_chars AS size, strip_accents(lower(coalesce(text, ''))) AS folded, strip_accents(lower(substr(coalesce(text, ''), 1, 60))) AS folded_subject FROM documents""",
+    "doc": """SELECT doc_id AS hash, coalesce(text, '') AS subject, text AS body, source AS account, lang AS folder, n_chars AS size, strip_accents(lower(coalesce(text, ''))) AS folded, strip_accents(lower(coalesce(text, ''))) AS folded_subject FROM documents""",
     "jrn": """SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'classify' WHEN 'error' THEN 'delete' ELSE 'seal' END AS op, user_id AS hash,
         'c' || CAST(event_id % 4 AS VARCHAR) AS category, 'b' || CAST(event_id % 7 AS VARCHAR) AS bucket, 'a' || CAST(event_id % 3 AS VARCHAR) AS account, 'f' || CAST(event_id % 5 AS VARCHAR) AS folder, strftime(ts, '%Y-%m-%d') AS ts FROM events""",
 }

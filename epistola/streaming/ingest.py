@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from epistola import schemas
 from epistola.functions import mail
-from epistola.operators import journal, policy, postings
+from epistola.operators import journal, pieces, policy, postings
 from epistola.operators.archive import TEXT_COLUMNS, Archive
 
 KEYS = {"messages": ["hash"], "recipients": ["hash", "addr", "kind"], "locations": ["hash", "account", "folder"], "attachments": ["hash"], "texts": ["hash"], "store": ["hash"]}
@@ -31,9 +31,10 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def archive(spark: SparkSession, root: str) -> Archive:
-    """The archive as it is now, with its word index."""
+    """The archive as it is now, with its indexes."""
     index = postings.Postings(spark, f"{root}/words", "string") if exists(spark, f"{root}/words") else None
-    return Archive(**{name: load(spark, root, name) for name in schemas.TABLES}, index=index)
+    parts = pieces.Pieces(spark, f"{root}/pieces", "string") if exists(spark, f"{root}/pieces") else None
+    return Archive(**{name: load(spark, root, name) for name in schemas.TABLES}, index=index, pieces=parts)
 
 
 def save(rows: DataFrame, root: str, name: str) -> None:
@@ -90,6 +91,7 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
         rows = tables[name].join(load(spark, root, name).select(*key), key, "left_anti")
         if name == "texts":  # words before the texts they are of, so that none is left without
             postings.build(rows, f"{root}/words", TEXT_COLUMNS)
+            pieces.build(rows, f"{root}/pieces")
         save(rows if name == "messages" else rows.join(good.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"]), "hash").select(*rows.columns, "part"), root, name)
     for kept in (parsed, places, ruled):
         kept.unpersist()
@@ -121,6 +123,7 @@ def rebuild(spark: SparkSession, root: str, to: str) -> None:
     tables["messages"] = own.withColumns({"captured": F.col("told"), "category": F.coalesce("told_category", "category")}).select(*tables["messages"].columns)
     parts = parsed.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"])
     postings.build(tables["texts"], f"{to}/words", TEXT_COLUMNS)
+    pieces.build(tables["texts"], f"{to}/pieces")
     for name, table in tables.items():
         save(table if name == "messages" else table.join(parts, "hash").select(*table.columns, "part"), to, name)
     parsed.unpersist()
