@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epistola.operators import journal
+from epistola.operators import commits, journal, runs
 from epistola.operators.policy import CATEGORIES, Policy, reapply
 from epistola.streaming import ingest
 
@@ -31,67 +33,176 @@ def deletion(messages: DataFrame, chosen: DataFrame, policy: Policy, today_year:
     return rows.select("hash", "bucket", F.when(F.col("here").isNull(), "unknown").when(locked, "locked").otherwise("deleted").alias("outcome"))
 
 
-def _rewrite(spark: SparkSession, root: str, name: str, hashes: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-    """Writes the years of a table anew that hold any of the hashes, or the buckets of the word index, in order. The new rows are whole on disk before the old ones go."""
-    if not ingest.exists(spark, f"{root}/{name}"):
-        return
-    part = {"messages": "year", "words": "bucket"}.get(name, "part")
-    names = [x.split()[0] for x in ingest.SCHEMAS[name].split(", ")]
-    rows = spark.read.schema(ingest.SCHEMAS[name] + ("" if part in names else f", {part} int")).parquet(f"{root}/{name}").select(*dict.fromkeys([*names, part]))
-    touched = [r[part] for r in rows.join(hashes.select("hash"), "hash", "left_semi").select(part).distinct().collect()]  # years
-    if not touched:
-        return
-    among: Column = F.col(part).isin([t for t in touched if t is not None]) | (F.col(part).isNull() if None in touched else F.lit(False))
-    scratch = f"{root}/_rewrite-{uuid.uuid4().hex}"
-    change(rows.where(among)).write.parquet(scratch)
-    made = spark.read.schema(rows.schema).parquet(scratch)
-    if name == "words":
-        made = made.repartition(len(touched), "bucket").sortWithinPartitions("bucket", "token", "hash", "column", "position")
-    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{root}/{name}")
-    left = {r[part] for r in made.select(part).distinct().collect()}
-    for gone in set(touched) - left:  # a year without rows is not overwritten
-        _drop(spark, f"{root}/{name}/{part}={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone}")
-    _drop(spark, scratch)
-
-
-def _written(rows: DataFrame, root: str, name: str) -> DataFrame:
+def _written(rows: DataFrame, root: str, name: str) -> str:
     """The rows as a table below log/: what is decided must not be worked out again when the tables it came from have changed."""
-    path = f"{root}/log/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    path = f"log/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/{path}")
+    return path
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _open_operations(root: str) -> list[str]:
+    where, base = commits.opened(f"{root}/log/open")
+    return sorted(x.base_name for x in where.get_file_info(fs.FileSelector(base, allow_not_found=True)) if x.is_file and x.base_name.endswith(".json"))
+
+
+def _begin(root: str, what: dict) -> tuple[str, dict]:
+    """Notes an operation before its first step; returns its name, and it with the journal's end of now."""
+    what = {**what, "segment": journal.end(root)}
+    name = f"{what['segment']:09d}-{uuid.uuid4().hex}.json"
+    commits.put(f"{root}/log/open/{name}", json.dumps(what).encode())
+    return name, what
+
+
+def _end(root: str, name: str) -> None:
+    where, base = commits.opened(f"{root}/log/open")
+    where.delete_file(f"{base}/{name}")
+
+
+def resume(spark: SparkSession, root: str) -> int:
+    """Finishes operations that were broken off, in the order of their beginning; returns how many there were. Each may be done again."""
+    names = _open_operations(root)
+    for name in names:
+        what = commits.note(f"{root}/log/open/{name}")
+        if what is not None:
+            {"delete": _delete, "classify": _classify, "merge": _merge}[what["kind"]](spark, root, name, what)
+    return len(names)
+
+
+def _tell(spark: SparkSession, root: str, name: str, what: dict, lines: DataFrame, note: Callable[[DataFrame], DataFrame], table: str) -> None:
+    """Lines of an operation that are not in the journal yet, then a row each of what they say, by their numbers, in a small table."""
+    batch = f"{what['kind']}/{name}"
+    known = journal.told(spark, root, batch, what["segment"]).select("hash")
+    journal.write(lines.join(known, "hash", "left_anti").orderBy("hash"), root, what["ts"], batch)
+    own = journal.parsed(journal.read(spark, f"{root}/journal", what["segment"])).where(F.col("batch") == batch)
+    new = note(own).join(ingest.raw(spark, root, table).select("hash", "seq"), ["hash", "seq"], "left_anti")
+    runs.append(spark, root, table, lambda path: new.coalesce(1).write.parquet(path))
+    _end(root, name)
 
 
 def classify(spark: SparkSession, root: str, chosen: DataFrame, category: str, ts: str, actor: str, note: str = "") -> DataFrame:
-    """Puts the chosen messages (hash) into a category, with a line for each that changes; returns hash and previous, so that it can be taken back."""
-    changed = _written(to_classify(ingest.load(spark, root, "messages"), chosen, category), root, "classify")
-    if changed.count():
-        journal.write(changed.select(F.lit("classify").alias("op"), "hash", "category", "previous", F.lit(actor).alias("actor"), F.lit(note).alias("note")).orderBy("hash"), root, ts)
-        mark = F.col("told").isNotNull()
-        _rewrite(spark, root, "messages", changed, lambda rows: rows.join(changed.select("hash", F.lit(True).alias("told")), "hash", "left").withColumn("category", F.when(mark, F.lit(category)).otherwise(F.col("category"))).select(*rows.columns))
+    """Puts the chosen messages (hash) into a category, with a line and a row for each that changes; returns hash and previous, so that it can be taken back."""
+    resume(spark, root)
+    rows = _written(to_classify(ingest.load(spark, root, "messages"), chosen, category), root, "classify")
+    changed = spark.read.schema("hash string, previous string, category string").parquet(f"{root}/{rows}")
+    if not changed.isEmpty():
+        _classify(spark, root, *_begin(root, {"kind": "classify", "rows": rows, "ts": ts, "actor": actor, "note": note}))
     return changed.select("hash", "previous")
 
 
+def _classify(spark: SparkSession, root: str, name: str, what: dict) -> None:
+    changed = spark.read.schema("hash string, previous string, category string").parquet(f"{root}/{what['rows']}")
+    lines = changed.select(F.lit("classify").alias("op"), "hash", "category", "previous", F.lit(what["actor"]).alias("actor"), F.lit(what["note"]).alias("note"))
+    _tell(spark, root, name, what, lines, lambda own: own.select("hash", "category", "seq"), "filed")
+
+
 def delete(spark: SparkSession, root: str, chosen: DataFrame, reason: str, ts: str, today_year: int, policy: Policy, actor: str, note: str = "") -> DataFrame:
-    """Removes the chosen messages (hash) that are not locked, and leaves a line for each: what was deleted is gone, that it was stays provable. Returns hash and outcome."""
-    outcomes = _written(deletion(ingest.load(spark, root, "messages"), chosen, policy, today_year), root, "delete")
-    gone = outcomes.where("outcome = 'deleted'")
-    if gone.count():
-        held = ingest.load(spark, root, "store").select("hash", F.lit(True).alias("held"))
-        lines = gone.join(held, "hash", "left").select(F.lit("delete").alias("op"), "hash", "bucket", F.lit(reason).alias("reason"), F.lit(actor).alias("actor"), F.lit(note).alias("note"), F.coalesce("held", F.lit(False)).alias("file_existed"))
-        journal.write(lines.orderBy("hash"), root, ts)
-        for name in ("words", "texts", "recipients", "attachments", "locations", "store", "messages"):
-            _rewrite(spark, root, name, gone, lambda rows: rows.join(gone.select("hash"), "hash", "left_anti"))
+    """Removes the chosen messages (hash) that are not locked, and leaves a line for each: that it was stays provable. Returns hash and outcome.
+
+    A deletion writes its line and a row that every read leaves out by; no table is written anew. The bytes go when tables are
+    compacted with `purge`, or when their runs are merged.
+    """
+    resume(spark, root)
+    rows = _written(deletion(ingest.load(spark, root, "messages"), chosen, policy, today_year), root, "delete")
+    outcomes = spark.read.schema("hash string, bucket string, outcome string").parquet(f"{root}/{rows}")
+    if not outcomes.where("outcome = 'deleted'").isEmpty():
+        _delete(spark, root, *_begin(root, {"kind": "delete", "rows": rows, "ts": ts, "actor": actor, "note": note, "reason": reason}))
     return outcomes.select("hash", "outcome")
 
 
+def _delete(spark: SparkSession, root: str, name: str, what: dict) -> None:
+    dead = spark.read.schema("hash string, bucket string, outcome string").parquet(f"{root}/{what['rows']}").where("outcome = 'deleted'")
+    held = ingest.load(spark, root, "store").select("hash", F.lit(True).alias("held"))
+    lines = dead.join(held, "hash", "left").select(F.lit("delete").alias("op"), "hash", "bucket", F.lit(what["reason"]).alias("reason"), F.lit(what["actor"]).alias("actor"), F.lit(what["note"]).alias("note"), F.coalesce("held", F.lit(False)).alias("file_existed"))
+    _tell(spark, root, name, what, lines, lambda own: own.select("hash", "seq"), "gone")
+
+
+#: The columns that rows of a run are in order by.
+ORDER = {"words": ("bucket", "token", "hash", "column", "position"), "pieces": ("bucket", "piece", "hash", "column", "position")}
+NOTED = ("gone", "filed")
+#: Tables that lie in no folders.
+WHOLE = (*NOTED, "piece_counts")
+TABLES = ("words", "pieces", "texts", "recipients", "attachments", "locations", "store", "messages", "quarantine", "piece_counts", *NOTED)
+
+
+def compact(spark: SparkSession, root: str, purge: bool = False) -> dict[str, int]:
+    """Merges runs: those of a tier that has runs.FAN of them, until none has. purge: also every run that holds what was deleted, so that its bytes are gone, and then the rows that told so. Returns how many merges each table had.
+
+    Results before and after are the same. A merge that is broken off is finished or forgotten by the next call.
+    """
+    resume(spark, root)
+    done = {}
+    out = ingest.gone(spark, root)
+    noted = {t: [r["run"] for r in runs.state(root, t)["runs"]] for t in NOTED}
+    for table in TABLES:
+        done[table] = 0
+        if purge and table in NOTED:
+            if noted[table]:  # all that these rows said is in the tables now
+                runs.commit(root, table, [], noted[table])
+            continue
+        while chosen := runs.to_merge(runs.state(root, table)["runs"]):
+            _start_merge(spark, root, table, [r["run"] for r in chosen[0]], chosen[1])
+            done[table] += 1
+        if purge:
+            for r in runs.state(root, table)["runs"]:
+                if _holds_noted(spark, root, table, r["run"], out):
+                    _start_merge(spark, root, table, [r["run"]], r["tier"])
+                    done[table] += 1
+    return done
+
+
+def _run(spark: SparkSession, root: str, table: str, names: list[str]) -> DataFrame:
+    part = ingest.FOLDERS.get(table, "part")
+    schema = ingest.SCHEMAS[table] + ("" if table in WHOLE or f"{part} int" in ingest.SCHEMAS[table].split(", ") else f", {part} int")
+    return runs.read(spark, root, table, schema, names).drop("run")
+
+
+def _holds_noted(spark: SparkSession, root: str, table: str, run: str, out: DataFrame | None) -> bool:
+    if table in ("quarantine", "piece_counts"):
+        return False
+    rows = _run(spark, root, table, [run]).select("hash")
+    changed = table == "messages" and runs.paths(root, "filed") and not rows.join(ingest.raw(spark, root, "filed").select("hash"), "hash", "left_semi").isEmpty()
+    return bool(changed) or out is not None and not rows.join(out.select("hash"), "hash", "left_semi").isEmpty()
+
+
+def _start_merge(spark: SparkSession, root: str, table: str, names: list[str], tier: int) -> None:
+    _merge(spark, root, *_begin(root, {"kind": "merge", "table": table, "from": names, "to": runs.new_run(), "tier": tier}))
+
+
+def _merge(spark: SparkSession, root: str, name: str, what: dict) -> None:
+    """Writes runs as one, in order, and puts it in their place; done again, it begins its run anew, or finds it in place."""
+    table, names, to = what["table"], what["from"], f"{root}/{what['table']}/{what['to']}"
+    now = runs.state(root, table)
+    if what["to"] not in {r["run"] for r in now["runs"]}:
+        runs.remove(spark, to)
+        rows, out, part = _run(spark, root, table, names), ingest.gone(spark, root), ingest.FOLDERS.get(table, "part")
+        if table in NOTED:
+            rows.distinct().coalesce(1).write.parquet(to)
+        elif table == "piece_counts":
+            rows.groupBy("piece").agg(F.sum("n").alias("n")).repartition(1).sortWithinPartitions("piece").write.parquet(to)
+        else:
+            if out is not None and table != "quarantine":
+                rows = rows.join(out.select("hash"), "hash", "left_anti").select(*rows.columns)
+            if table == "messages" and runs.paths(root, "filed"):
+                rows = ingest.filed(rows, ingest.raw(spark, root, "filed"))
+            sizes = runs.bucket_bytes(spark, [f"{root}/{table}/{n}" for n in names], part)
+            made = rows if table == "quarantine" else runs.dealt(rows, part, sizes).sortWithinPartitions(*ORDER.get(table, (part, "hash")))
+            made.write.partitionBy(part).parquet(to)
+        old = now["retired"]
+        try:
+            runs.commit(root, table, [{"run": what["to"], "tier": what["tier"], **runs.measured(spark, to)}], names, retired=True)
+        except runs.Conflict:  # another writer has merged them
+            runs.remove(spark, to)
+            old = []
+        for run in old:
+            runs.remove(spark, f"{root}/{table}/{run}")
+    _end(root, name)
+
+
 def apply_rules(spark: SparkSession, root: str, rules: list, ts: str) -> int:
     """Puts messages that are there already into the category of the first rule that matches; returns how many changed."""
-    made = _written(reapply(ingest.load(spark, root, "messages"), ingest.load(spark, root, "locations"), rules), root, "rules")
+    resume(spark, root)
+    path = _written(reapply(ingest.load(spark, root, "messages"), ingest.load(spark, root, "locations"), rules), root, "rules")
+    made = spark.read.schema("hash string, category string").parquet(f"{root}/{path}")
     return sum(classify(spark, root, made.where(F.col("category") == c), c, ts, "Regel").count() for c in CATEGORIES)
 
 

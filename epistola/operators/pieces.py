@@ -17,7 +17,7 @@ from epistola.functions.text import fold, fold_text, spellings
 SIZE = 3
 COLUMNS = ("subject", "sender", "recipients", "attachment_names")
 SCHEMA = "hash {hash}, column string, position int, piece string, bucket int"
-COUNTS = "piece string, n long, bucket int"
+COUNTS = "piece string, n long"
 
 
 def bucket_of(piece: Column, buckets: int) -> Column:
@@ -33,15 +33,18 @@ def occurrences(texts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def build(texts: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, buckets: int = 64, parts: int = 1) -> None:
-    """Adds the pieces of texts (hash and the columns) to the index at a path: rows clustered by piece, and how many each piece has.
+    """Adds the pieces of texts (hash and the columns) to the rows at a path, clustered by piece.
 
     parts: files that a bucket is written to, by the texts' keys, so that a piece that is everywhere is no single task.
     """
     rows = occurrences(texts, columns).withColumn("bucket", bucket_of(F.col("piece"), buckets))
     dealt = rows.repartition(buckets * parts, F.col("bucket"), F.pmod(F.xxhash64("hash"), F.lit(parts)))
-    dealt.sortWithinPartitions("bucket", "piece", "hash", "column", "position").write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
-    counts = rows.groupBy("bucket", "piece").agg(F.count(F.lit(1)).alias("n"))
-    counts.repartition(1).sortWithinPartitions("piece").write.mode("append").parquet(f"{path}/counts")  # a row a piece
+    dealt.sortWithinPartitions("bucket", "piece", "hash", "column", "position").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def count(rows: DataFrame, path: str) -> None:
+    """Adds how many rows each piece has: a row a piece."""
+    rows.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).repartition(1).sortWithinPartitions("piece").write.mode("append").parquet(path)
 
 
 def cover(value: str, counts: dict[str, int]) -> list[int]:
@@ -62,11 +65,14 @@ def cover(value: str, counts: dict[str, int]) -> list[int]:
 class Pieces:
     """An index to search in."""
 
-    def __init__(self, spark: SparkSession, path: str, hash_type: str, buckets: int = 64, gone: DataFrame | None = None):
-        """gone: keys whose rows are there but count as deleted."""
-        rows = spark.read.schema(SCHEMA.format(hash=hash_type)).parquet(f"{path}/rows")
-        self.rows = rows if gone is None else rows.join(gone.select("hash"), "hash", "left_anti")
-        self.counts, self.buckets = spark.read.schema(COUNTS).parquet(f"{path}/counts"), buckets
+    def __init__(self, rows: DataFrame, counts: DataFrame, buckets: int = 64):
+        """counts: at least as many rows as each piece has."""
+        self.rows, self.counts, self.buckets = rows, counts, buckets
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str, hash_type: str, buckets: int = 64) -> Pieces:
+        """An index whose rows and counts are two folders below a path."""
+        return cls(spark.read.schema(SCHEMA.format(hash=hash_type)).parquet(f"{path}/rows"), spark.read.schema(COUNTS).parquet(f"{path}/counts"), buckets)
 
     def _count(self, values: list[str]) -> dict[str, int]:
         """How many rows each piece of some values has: a handful of rows of a small table."""

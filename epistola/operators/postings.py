@@ -40,8 +40,12 @@ def build(texts: DataFrame, path: str, columns: tuple[str, ...], buckets: int =
 class Postings:
     """An index to search in."""
 
-    def __init__(self, spark: SparkSession, path: str, hash_type: str, buckets: int = 64):
-        self.rows, self.buckets = spark.read.schema(SCHEMA.format(hash=hash_type)).parquet(path), buckets
+    def __init__(self, rows: DataFrame, buckets: int = 64):
+        self.rows, self.buckets = rows, buckets
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str, hash_type: str, buckets: int = 64) -> Postings:
+        return cls(spark.read.schema(SCHEMA.format(hash=hash_type)).parquet(path), buckets)
 
     def _range(self, token: str, whole: bool) -> Column:
         """A word, or all words that begin so; only a bucket's files are read where that is one."""

@@ -44,11 +44,15 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> str:
 
 
 def word_index(spark: SparkSession, sf_dir: str, texts: DataFrame) -> postings.Postings:
-    return postings.Postings(spark, _once(spark, sf_dir, "words", lambda path: postings.build(texts, path, TEXT_COLUMNS, BUCKETS)), "long", BUCKETS)
+    return postings.Postings.at(spark, _once(spark, sf_dir, "words", lambda path: postings.build(texts, path, TEXT_COLUMNS, BUCKETS)), "long", BUCKETS)
 
 
 def piece_index(spark: SparkSession, sf_dir: str, name: str, texts: DataFrame) -> pieces.Pieces:
-    return pieces.Pieces(spark, _once(spark, sf_dir, f"pieces-{name}", lambda path: pieces.build(texts, path, buckets=BUCKETS)), "long", BUCKETS)
+    def build(path: str) -> None:
+        pieces.build(texts, f"{path}/rows", buckets=BUCKETS)
+        pieces.count(spark.read.parquet(f"{path}/rows"), f"{path}/counts")
+
+    return pieces.Pieces.at(spark, _once(spark, sf_dir, f"pieces-{name}", build), "long", BUCKETS)
 
 
 def documents(spark: SparkSession, sf_dir: str, parts: bool = False) -> Archive:

@@ -16,3 +16,6 @@ ENTRY = "seq long, ts string, op string, prev string, self string, hash string,
 QUARANTINE = "account string, folder string, uid long, raw binary, problem string, captured string"
 
 TABLES = {"messages": MESSAGES, "recipients": RECIPIENTS, "locations": LOCATIONS, "attachments": ATTACHMENTS, "texts": TEXTS}
+
+#: Deletions and classifications by number of their journal line, until a compaction has worked them into the tables.
+GONE, FILED = "hash string, seq long", "hash string, category string, seq long"

@@ -10,39 +10,74 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from epistola import schemas
 from epistola.functions import mail
-from epistola.operators import journal, pieces, policy, postings
+from epistola.operators import journal, pieces, policy, postings, runs
 from epistola.operators.archive import TEXT_COLUMNS, Archive
 
 KEYS = {"messages": ["hash"], "recipients": ["hash", "addr", "kind"], "locations": ["hash", "account", "folder"], "attachments": ["hash"], "texts": ["hash"], "store": ["hash"]}
-SCHEMAS = {**schemas.TABLES, "store": schemas.STORE, "quarantine": schemas.QUARANTINE, "words": postings.SCHEMA.format(hash="string")}
+SCHEMAS = {**schemas.TABLES, "store": schemas.STORE, "quarantine": schemas.QUARANTINE, "words": postings.SCHEMA.format(hash="string"), "pieces": pieces.SCHEMA.format(hash="string"), "piece_counts": pieces.COUNTS, "gone": schemas.GONE, "filed": schemas.FILED}
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def raw(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All rows of a table's runs, those that count as deleted too; empty where nothing was written yet. What is there and cannot be read raises."""
+    names = [x.split()[0] for x in SCHEMAS[name].split(", ")]
+    found = runs.read(spark, root, name, SCHEMAS[name])
+    if found is not None:
+        return found.select(*names)
+    if not runs.is_new(spark, root, name):
+        raise ValueError(f"{root}/{name} holds files that are no runs: make the archive anew with rebuild")
+    return spark.createDataFrame([], SCHEMAS[name])
+
+
+def gone(spark: SparkSession, root: str) -> DataFrame | None:
+    """hash and seq of deletions whose rows may still be there; None without any."""
+    return raw(spark, root, "gone") if runs.paths(root, "gone") else None
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the archive; empty where nothing was written yet. What is there and cannot be read raises."""
-    if not exists(spark, f"{root}/{name}"):
-        return spark.createDataFrame([], SCHEMAS[name])
-    names = [x.split()[0] for x in SCHEMAS[name].split(", ")]
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}").select(*names)
+    """A table of the archive as it is now: without what was deleted, and messages in their last category."""
+    rows, out = raw(spark, root, name), gone(spark, root)
+    if out is not None and "hash" in rows.columns and name not in ("gone", "filed"):
+        rows = rows.join(out.select("hash"), "hash", "left_anti")
+    if name == "messages" and runs.paths(root, "filed"):
+        rows = filed(rows, raw(spark, root, "filed"))
+    return rows.select(*[x.split()[0] for x in SCHEMAS[name].split(", ")])
+
+
+def filed(messages: DataFrame, changes: DataFrame) -> DataFrame:
+    """Messages in the category of their last change."""
+    last = changes.groupBy("hash").agg(F.max_by("category", "seq").alias("_now"))
+    return messages.join(last, "hash", "left").withColumn("category", F.coalesce("_now", "category")).select(*messages.columns)
 
 
 def archive(spark: SparkSession, root: str) -> Archive:
     """The archive as it is now, with its indexes."""
-    index = postings.Postings(spark, f"{root}/words", "string") if exists(spark, f"{root}/words") else None
-    parts = pieces.Pieces(spark, f"{root}/pieces", "string") if exists(spark, f"{root}/pieces") else None
+    index = postings.Postings(load(spark, root, "words")) if runs.paths(root, "words") else None
+    parts = pieces.Pieces(load(spark, root, "pieces"), load(spark, root, "piece_counts")) if runs.paths(root, "pieces") else None
     return Archive(**{name: load(spark, root, name) for name in schemas.TABLES}, index=index, pieces=parts)
 
 
+#: What rows of a table lie in folders by; the rest by the year of their message.
+FOLDERS = {"messages": "year", "words": "bucket", "pieces": "bucket"}
+
+
 def save(rows: DataFrame, root: str, name: str) -> None:
-    """Appends rows, below a folder for each year: messages by their column `year`, so that a condition on it skips the other years' files, and the rest by `part`."""
-    if name == "messages":
-        rows.write.mode("append").partitionBy("year").parquet(f"{root}/{name}")
-    else:
-        rows.write.mode("append").partitionBy("part").parquet(f"{root}/{name}")
+    """Appends rows as a run, below a folder for each year: messages by their column `year`, so that a condition on it skips the other years' files, and the rest by `part`."""
+    runs.append(rows.sparkSession, root, name, lambda path: rows.write.partitionBy(FOLDERS.get(name, "part")).parquet(path))
+
+
+#: Bytes of an index for a character of text, about; buckets of one.
+INDEX_BYTES, BUCKETS = 8, 64
+
+
+def save_indexes(texts: DataFrame, root: str) -> None:
+    """Words and pieces of texts as a run each, in as many tasks as their length asks for."""
+    size = lambda columns: texts.agg(F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in columns), F.lit(0)))).first()[0] or 0
+    parts = lambda columns: max(1, -(-INDEX_BYTES * size(columns) // (BUCKETS * runs.MOST)))
+    spark = texts.sparkSession
+    runs.append(spark, root, "words", lambda path: postings.build(texts, path, TEXT_COLUMNS, BUCKETS, parts(TEXT_COLUMNS)))
+    # Counts come first: without them a piece is thought to be nowhere.
+    runs.append(spark, root, "piece_counts", lambda path: pieces.count(pieces.occurrences(texts, pieces.COLUMNS), path))
+    runs.append(spark, root, "pieces", lambda path: pieces.build(texts, path, pieces.COLUMNS, BUCKETS, parts(pieces.COLUMNS)))
 
 
 def part_of(bucket) -> object:
@@ -61,11 +96,14 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
     spark = batch.sparkSession
     after = journal.begin_batch(root, stream, batch_id) if batch_id is not None else None
     parsed = mail.parse(batch).persist()
-    parsed.where("problem is not null").select("account", "folder", "uid", "raw", "problem", F.lit(captured).alias("captured"), F.lit(0).alias("part")).join(load(spark, root, "quarantine").select("raw"), "raw", "left_anti").select(*[x.split()[0] for x in schemas.QUARANTINE.split(", ")], "part").write.mode("append").partitionBy("part").parquet(f"{root}/quarantine")
+    bad = parsed.where("problem is not null").select("account", "folder", "uid", "raw", "problem", F.lit(captured).alias("captured"), F.lit(0).alias("part")).join(load(spark, root, "quarantine").select("raw"), "raw", "left_anti").select(*[x.split()[0] for x in schemas.QUARANTINE.split(", ")], "part")
     good = parsed.where("problem is null")
+    settle(spark, root, good)
     places = good.select("hash", "account", "folder").distinct().join(load(spark, root, "locations").select("hash", "account", "folder"), ["hash", "account", "folder"], "left_anti").persist()
     new = good.select("hash", "bucket", "raw", "size").dropDuplicates(["hash"]).join(load(spark, root, "store").select("hash"), "hash", "left_anti")
     counts = {"rows": parsed.count(), "unreadable": parsed.where("problem is not null").count(), "messages": new.count(), "places": places.count()}
+    if counts["unreadable"]:
+        save(bad, root, "quarantine")
     save(new.withColumn("part", part_of("bucket")), root, "store")
 
     first = good.groupBy("hash").agg(F.min_by(F.struct("account", "folder", "from_addr", "to"), F.struct("account", "folder")).alias("f"))
@@ -90,8 +128,7 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
         key = KEYS[name] if name in ("locations", "recipients") else ["hash"]
         rows = tables[name].join(load(spark, root, name).select(*key), key, "left_anti")
         if name == "texts":  # words before the texts they are of, so that none is left without
-            postings.build(rows, f"{root}/words", TEXT_COLUMNS)
-            pieces.build(rows, f"{root}/pieces")
+            save_indexes(rows, root)
         save(rows if name == "messages" else rows.join(good.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"]), "hash").select(*rows.columns, "part"), root, name)
     for kept in (parsed, places, ruled):
         kept.unpersist()
@@ -100,14 +137,29 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
     return counts
 
 
+def settle(spark: SparkSession, root: str, rows: DataFrame) -> None:
+    """Mail that was deleted and comes again: what is left of it has to go before, as its new rows have the same keys."""
+    out = gone(spark, root)
+    if out is not None and not rows.select("hash").join(out.select("hash"), "hash", "left_semi").isEmpty():
+        from epistola.operators import lifecycle
+
+        lifecycle.compact(spark, root, purge=True)
+
+
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The number that Spark gives a stream when its checkpoint is made; a new checkpoint in the same folder is another stream."""
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def ingest(rows: DataFrame, root: str, captured: str, checkpoint: str, rules: Sequence[policy.Rule] = ()) -> DataStreamWriter:
-    """A stream of raw messages into an archive, until what is there now is read."""
-    return rows.writeStream.foreachBatch(lambda batch, n: add_batch(batch, root, captured, rules, n, stream_id(batch.sparkSession, checkpoint)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """A stream of raw messages into an archive, until what is there now is read. Runs are merged between batches."""
+    from epistola.operators import lifecycle
+
+    def take(batch: DataFrame, n: int) -> None:
+        add_batch(batch, root, captured, rules, n, stream_id(batch.sparkSession, checkpoint))
+        lifecycle.compact(batch.sparkSession, root)
+
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def rebuild(spark: SparkSession, root: str, to: str) -> None:
@@ -122,8 +174,7 @@ def rebuild(spark: SparkSession, root: str, to: str) -> None:
     own = tables["messages"].drop("captured").join(captured, "hash").join(journal.categories(entries).withColumnRenamed("category", "told_category"), "hash", "left")
     tables["messages"] = own.withColumns({"captured": F.col("told"), "category": F.coalesce("told_category", "category")}).select(*tables["messages"].columns)
     parts = parsed.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"])
-    postings.build(tables["texts"], f"{to}/words", TEXT_COLUMNS)
-    pieces.build(tables["texts"], f"{to}/pieces")
+    save_indexes(tables["texts"], to)
     for name, table in tables.items():
         save(table if name == "messages" else table.join(parts, "hash").select(*table.columns, "part"), to, name)
     parsed.unpersist()

@@ -25,7 +25,8 @@ def index(spark, tmp_path_factory):
     texts = spark.createDataFrame([(h, t, None, None, None) for h, t in TEXTS], "hash long, subject string, sender string, recipients string, attachment_names string")
     path = f"file://{tmp_path_factory.mktemp('pieces')}/p"
     for part in (texts.where("hash < 6"), texts.where("hash >= 6")):  # as two batches of ingest
-        pieces.build(part, path, buckets=4, parts=2)
+        pieces.build(part, f"{path}/rows", buckets=4, parts=2)
+        pieces.count(pieces.occurrences(part, pieces.COLUMNS), f"{path}/counts")
     return texts, path
 
 
@@ -33,8 +34,8 @@ def index(spark, tmp_path_factory):
 def test_same_as_the_texts(spark, index, value):
     texts, path = index
     want = {h for v in spellings(value) for h in (r["hash"] for r in texts.where(has_part(fold(F.col("subject")), v)).collect())}
-    assert {r["hash"] for r in pieces.Pieces(spark, path, "long", 4).find(value, "subject").collect()} == want
-    assert pieces.Pieces(spark, path, "long", 4).find(value, "sender").count() == 0
+    assert {r["hash"] for r in pieces.Pieces.at(spark, path, "long", 4).find(value, "subject").collect()} == want
+    assert pieces.Pieces.at(spark, path, "long", 4).find(value, "sender").count() == 0
 
 
 def test_cover_has_the_fewest_rows():
