@@ -12,6 +12,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from epistola.functions.formats import LETTERS
+from epistola.functions.text import glob_pattern
+from epistola.sources import mbox
 
 RAW = "account string, folder string, uid long, flags string, raw binary"
 
@@ -90,29 +92,16 @@ def read_eml(spark: SparkSession, path: str, account: str) -> DataFrame:
     return rows.select(F.lit(account).alias("account"), F.when(folder == "", account).otherwise(folder).alias("folder"), F.lit(None).cast("long").alias("uid"), F.lit("").alias("flags"), raw.alias("raw"))
 
 
-def split_mbox(data: bytes) -> Iterator[bytes]:
-    """Messages of an MBOX file, with the marks before From lines taken away."""
-    for part in re.split(rb"(?:\A|(?<=\n))From [^\n]*\n", data)[1:]:
-        yield re.sub(rb"(?m)^>(>*From )", rb"\1", part[:-1] if part.endswith(b"\n\n") else part)
-
-
 #: Files beside folders that hold no mail, fixed values.
 NO_MAIL = r"^\.|\.(msf|dat|json|sqlite|log|bak|tmp)$"
 PASSED_OVER = ("msgFilterRules.dat", "filterlog.html", "Trash", "Junk")
 
 
-def read_mbox(spark: SparkSession, path: str, account: str, pattern: str = "*") -> DataFrame:
-    """MBOX files below a path, one folder each: A.sbd/B is A/B; index and hidden files are passed over."""
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["name"], batch["content"]):
-                for i, raw in enumerate(split_mbox(bytes(data))):
-                    yield pd.DataFrame({"name": [name], "at": [i], "raw": [raw]})
-
+def read_mbox(spark: SparkSession, path: str, account: str, pattern: str = "*", size: int = mbox.RANGE) -> DataFrame:
+    """MBOX files below a path, one folder each: A.sbd/B is A/B; index and hidden files are passed over. A task reads about `size` bytes."""
+    spark.dataSource.register(mbox.MboxSource)
     base = F.substring_index("name", "/", -1)
-    rows = _files(spark, path, pattern).where(~base.rlike(NO_MAIL) & ~base.isin(*PASSED_OVER))
-    parts = rows.mapInPandas(split, "name string, at long, raw binary")
+    parts = spark.read.format("mbox").option("range", size).load(path).where(~base.rlike(NO_MAIL) & ~base.isin(*PASSED_OVER) & base.rlike(glob_pattern(pattern)))
     folder = F.regexp_replace(F.regexp_replace("name", r"\.sbd(?=/)", ""), r"\.mbox$", "")
     return parts.select(F.lit(account).alias("account"), folder.alias("folder"), F.lit(None).cast("long").alias("uid"), F.lit("").alias("flags"), "raw")
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from epistola.functions import formats
 
@@ -46,14 +46,22 @@ def to_maildir(rows: DataFrame, root: str) -> DataFrame:
 
 def to_eml(rows: DataFrame, root: str) -> DataFrame:
     name = F.concat(formats.file_name(F.col("date_text"), F.col("hash")), F.lit(".eml"))
-    folder = F.array_join(F.transform(F.split("folder", "/"), formats.safe_name), "/")
-    return _write(rows.withColumn("path", F.concat(folder, F.lit("/"), name)), root)
+    """rows: hash, account, folder, date_text, raw. A directory for each account, and in it one for each folder."""
+    return _write(rows.withColumn("path", F.concat(_place(), F.lit("/"), name)), root)
+
+
+def _place() -> Column:
+    """account/folder as a path, each part of it a name that is safe, that leads nowhere up and that readers do not take for a hidden one."""
+    part = lambda p: F.regexp_replace(formats.safe_name(p), r"^(?=[._])", "-")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat(part(text("account")), F.lit("/"), F.array_join(F.transform(F.split(text("folder"), "/"), part), "/"))
 
 
 def to_mbox(rows: DataFrame, root: str, part_rows: int = 100_000) -> DataFrame:
-    """Files of a folder's messages in order of date, each of about part_rows at most; lines that begin with From are marked."""
+    """Files of a folder's messages in order of date, each of about part_rows at most, below a directory for each account; lines that begin with From are marked."""
+    rows = rows.withColumn("folder", _place())
     parts = rows.groupBy("folder").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))  # one row a folder
-    rows = rows.join(F.broadcast(parts), "folder").withColumn("part", F.pmod(F.xxhash64("hash"), F.col("parts")))
+    rows = rows.join(parts, "folder").withColumn("part", F.pmod(F.xxhash64("hash"), F.col("parts")))
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat = ((r.folder, r.part, r.hash, bytes(r.raw)) for b in batches for r in b.itertuples())
