@@ -161,9 +161,9 @@ def parse(messages: DataFrame) -> DataFrame:
     })
 
 
-def tables(parsed: DataFrame, captured: str) -> dict[str, DataFrame]:
-    """The archive's tables from parsed rows with account, folder, uid and flags: a message once, a place once."""
-    once = parsed.dropDuplicates(["hash"])
+def tables(parsed: DataFrame, captured: str, once: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The archive's tables from parsed rows with account, folder, uid and flags: a message once, a place once. once: a row a message, where the caller keeps such rows."""
+    once = parsed.dropDuplicates(["hash"]) if once is None else once
     names = F.array_join(F.transform(F.filter("attached", formats.useful), lambda a: a["filename"]), " ")
     texts = F.substring(F.array_join(F.transform(F.filter("attached", lambda a: F.trim(a["text"]) != ""), lambda a: F.concat(a["filename"], F.lit("\n"), a["text"])), "\n\n"), 1, ATTACHED_MOST)
     of_kind = lambda k: F.transform(k, lambda a: F.struct(F.lower(a).alias("addr"), F.lit(k).alias("kind")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from epistola.functions import formats, mail, text
 from epistola.operators import audit, journal, lifecycle, policy, upkeep
 from epistola.operators.archive import View, display, sender_display
-from epistola.plans.tables import TODAY, documents, entries, load, orders, sql
+from epistola.plans.tables import TODAY, documents, entries, load, mails, orders, shared_dir, sql
 from epistola.sources import servers
 from epistola.streaming import ingest
 
@@ -520,8 +520,47 @@ def recognition_notes(spark, sf):
     return upkeep.notes_of_messages(notes, orders(spark, sf).messages)
 
 
-@query()
+_ASKED = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS "user", list([{_ASKED}] ORDER BY turn, text) AS asked FROM conversations WHERE {_ASKED} <> '' GROUP BY conv_id),
+    k AS (SELECT "user", list_reduce(asked, lambda kept, x: list_prepend(x[1], (CASE WHEN len(list_filter(kept, lambda y: y <> x[1])) > 0 AND (starts_with(list_filter(kept, lambda y: y <> x[1])[1], x[1]) OR starts_with(x[1], list_filter(kept, lambda y: y <> x[1])[1]))
+        THEN list_filter(kept, lambda y: y <> x[1])[2:] ELSE list_filter(kept, lambda y: y <> x[1]) END)[1:4])) AS kept FROM a)
+    SELECT "user", CAST(generate_subscripts(kept, 1) AS INTEGER) AS rank, unnest(kept) AS expression FROM k""")
 def search_history(spark, sf):
     """Turns of a conversation as what its user asked for, one after the other."""
-    rows = load(spark, sf, "conversations").select(F.col("conv_id").alias("user"), F.col("turn").alias("at"), F.substring("text", 1, 12).alias("expression"))
+    rows = load(spark, sf, "conversations").select(F.col("conv_id").alias("user"), F.col("turn").alias("at"), F.col("text").alias("expression"))
     return upkeep.recent(rows, 5)
+
+
+@query("""SELECT 'told' AS at, source AS account, lang AS folder, doc_id AS uid FROM documents UNION ALL SELECT 'rebuilt', source, lang, doc_id FROM documents""")
+def two_streams_told_and_rebuilt(spark, sf):
+    """Two streams whose batches have one number: the places that their journal tells, and those of an archive made anew from it."""
+    root, rows = shared_dir(spark, "archive"), mails(spark, sf)
+    for name, part in (("even", 0), ("odd", 1)):
+        ingest.add_batch(rows.where(F.pmod("uid", F.lit(2)) == part), root, "2026-01-01T00:00:00", (), 0, name)
+    ingest.rebuild(spark, root, f"{root}/anew")
+    told = journal.parsed(journal.read(spark, f"{root}/journal")).where("op = 'add'").select(F.lit("told").alias("at"), "account", "folder", "uid")
+    return told.unionAll(ingest.load(spark, f"{root}/anew", "locations").select(F.lit("rebuilt"), "account", "folder", "uid"))
+
+
+@query("""SELECT doc_id AS uid, 'stays' AS what, CASE WHEN lang = 'fr' THEN 'handelsbrief' ELSE 'unbestimmt' END AS category FROM documents WHERE lang <> 'de'
+    UNION ALL SELECT doc_id, 'deleted', NULL FROM documents WHERE lang = 'de'""")
+def deletions_and_compaction(spark, sf):
+    """An archive from which everything that is due was deleted, after its tables were merged and purged, and the lines of what went."""
+    root = shared_dir(spark, "archive")
+    ingest.add_batch(mails(spark, sf), root, "2026-01-01T00:00:00")
+    lifecycle.classify(spark, root, ingest.archive(spark, root).matches("ordner:fr"), "handelsbrief", "2026-01-02T00:00:00", "anna")
+    places = ingest.load(spark, root, "locations").select("hash", "uid").persist()
+    places.count()
+    lifecycle.delete(spark, root, ingest.load(spark, root, "messages").select("hash"), "frist_abgelaufen", "2026-01-03T00:00:00", 2026, policy.Policy(), "anna")
+    lifecycle.compact(spark, root, purge=True)
+    stays = ingest.load(spark, root, "messages").join(ingest.raw(spark, root, "locations").select("hash", "uid"), "hash").select("uid", F.lit("stays").alias("what"), "category")
+    gone = journal.parsed(journal.read(spark, f"{root}/journal")).where("op = 'delete' and file_existed").select("hash").join(places, "hash")
+    return stays.unionAll(gone.select("uid", F.lit("deleted"), F.lit(None).cast("string")))
+
+
+@query(sql("msg loc att", """, seen AS (SELECT DISTINCT hash FROM loc WHERE account IN ('NATION_3', 'NATION_7')) SELECT (SELECT count(*) FROM msg WHERE hash IN (FROM seen)) AS mails, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM msg WHERE hash IN (FROM seen)) AS bytes,
+    (SELECT count(*) FROM att WHERE hash IN (FROM seen)) AS attachments, (SELECT count(*) FROM loc WHERE account IN ('NATION_3', 'NATION_7')) AS places"""))
+def statistics_of_view(spark, sf):
+    return orders(spark, sf).seen_by(View(("NATION_3", "NATION_7"))).statistics()

@@ -71,6 +71,14 @@ def documents(spark: SparkSession, sf_dir: str, parts: bool = False) -> Archive:
     )
 
 
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as raw mails of two years: those in German are old."""
+    date = F.when(F.col("lang") == "de", "Mon, 05 Mar 2001 10:00:00 +0000").otherwise("Mon, 01 Jan 2024 10:00:00 +0000")
+    text = F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit("From: <"), F.col("source"), F.lit("@x.example>\r\nSubject: "), F.regexp_replace(F.substring(text, 1, 40), r"\s+", " "), F.lit("\r\nDate: "), date, F.lit("\r\nMessage-ID: <"), F.col("doc_id").cast("string"), F.lit("@x>\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), text)
+    return load(spark, sf_dir, "documents").select(F.col("source").alias("account"), F.col("lang").alias("folder"), F.col("doc_id").alias("uid"), F.lit("").alias("flags"), F.encode(head, "UTF-8").alias("raw"))
+
+
 def orders(spark: SparkSession, sf_dir: str, parts: bool = False) -> Archive:
     """Orders as mail. parts: with recipients and names of attachments as texts, and an index of pieces."""
     o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")

@@ -71,8 +71,9 @@ INDEX_BYTES, BUCKETS = 8, 64
 
 def save_indexes(texts: DataFrame, root: str) -> None:
     """Words and pieces of texts as a run each, in as many tasks as their length asks for."""
-    size = lambda columns: texts.agg(F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in columns), F.lit(0)))).first()[0] or 0
-    parts = lambda columns: max(1, -(-INDEX_BYTES * size(columns) // (BUCKETS * runs.MOST)))
+    length = lambda columns: F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in columns), F.lit(0)))
+    sizes = dict(zip((TEXT_COLUMNS, pieces.COLUMNS), texts.agg(length(TEXT_COLUMNS).alias("w"), length(pieces.COLUMNS).alias("p")).first()))
+    parts = lambda columns: max(1, -(-INDEX_BYTES * (sizes[columns] or 0) // (BUCKETS * runs.MOST)))
     spark = texts.sparkSession
     runs.append(spark, root, "words", lambda path: postings.build(texts, path, TEXT_COLUMNS, BUCKETS, parts(TEXT_COLUMNS)))
     # Counts come first: without them a piece is thought to be nowhere.
@@ -109,7 +110,8 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
     first = good.groupBy("hash").agg(F.min_by(F.struct("account", "folder", "from_addr", "to"), F.struct("account", "folder")).alias("f"))
     made = first.select("hash", policy.classify(list(rules), F.col("f.folder"), F.lower(F.coalesce("f.from_addr", F.lit(""))), F.array_join("f.to", " ")).alias("made")) if rules else first.select("hash", F.lit(None).cast("string").alias("made"))
     ruled = made.where("made is not null and made <> 'unbestimmt'").join(load(spark, root, "messages").select("hash"), "hash", "left_anti").persist()
-    tables = mail.tables(good, captured)
+    once = good.drop("raw").dropDuplicates(["hash"]).persist()
+    tables = mail.tables(good, captured, once)
     tables["messages"] = tables["messages"].join(ruled, "hash", "left").withColumn("category", F.coalesce("made", "category")).drop("made")
 
     about = good.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("bucket", "uid", "size", "date_text", "subject", "from_addr", F.size("attached").alias("attachments")), F.coalesce("uid", F.lit(2**62))).alias("a"))
@@ -128,9 +130,11 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
         key = KEYS[name] if name in ("locations", "recipients") else ["hash"]
         rows = tables[name].join(load(spark, root, name).select(*key), key, "left_anti")
         if name == "texts":  # words before the texts they are of, so that none is left without
+            rows = rows.persist()
             save_indexes(rows, root)
-        save(rows if name == "messages" else rows.join(good.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"]), "hash").select(*rows.columns, "part"), root, name)
-    for kept in (parsed, places, ruled):
+        save(rows if name == "messages" else rows.join(once.select("hash", part_of("bucket").alias("part")), "hash").select(*rows.columns, "part"), root, name)
+        rows.unpersist()
+    for kept in (parsed, once, places, ruled):
         kept.unpersist()
     if batch_id is not None:
         journal.end_batch(root, stream, batch_id)
