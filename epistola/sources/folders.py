@@ -102,7 +102,7 @@ def read_mbox(spark: SparkSession, path: str, account: str, pattern: str = "*",
     spark.dataSource.register(mbox.MboxSource)
     base = F.substring_index("name", "/", -1)
     parts = spark.read.format("mbox").option("range", size).load(path).where(~base.rlike(NO_MAIL) & ~base.isin(*PASSED_OVER) & base.rlike(glob_pattern(pattern)))
-    folder = F.regexp_replace(F.regexp_replace("name", r"\.sbd(?=/)", ""), r"\.mbox$", "")
+    folder = F.regexp_replace(F.regexp_replace("name", r"\.sbd(?=/)", ""), r"(~\d+)?\.mbox$", "")
     return parts.select(F.lit(account).alias("account"), folder.alias("folder"), F.lit(None).cast("long").alias("uid"), F.lit("").alias("flags"), "raw")
 
 

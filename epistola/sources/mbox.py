@@ -78,7 +78,8 @@ class MboxReader(DataSourceReader):
         own = where.get_file_info(base)
         found = [own] if own.is_file else where.get_file_info(fs.FileSelector(base, recursive=True))
         top = base.rpartition("/")[0] if own.is_file else base
-        files = sorted((x.path, x.size) for x in found if x.is_file and x.size)
+        hidden = lambda path: any(p.startswith("_") for p in path[len(base) + 1 :].split("/"))
+        files = sorted((x.path, x.size) for x in found if x.is_file and x.size and not hidden(x.path))
         return [Range(self.path, path[len(top) + 1 :], at, min(size, at + self.size)) for path, size in files for at in range(0, size, self.size)] or [Range("", "", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
