@@ -24,6 +24,8 @@ from epistola.llm._store import Filter, among, bucket_of, drop, keep, new_dir, p
 LEAST = 100
 #: Bytes of payload in a range of pages, and parts that a range of one page_id is cut into.
 RANGE_BYTES, PARTS = 16 << 20, 64
+#: Bytes of an archive that are decompressed at a time.
+STEP = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs in RFC 4122
 
@@ -68,13 +70,17 @@ def _renamed(data: bytes, again: int) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive file. A member that ends early raises."""
-    while data:
-        member = zlib.decompressobj(31)
-        plain = member.decompress(data) + member.flush()
-        if not member.eof:
-            raise ValueError("a record ends in mid-stream")
-        data = member.unused_data
+    """Headers and block of each record of an archive file. A member that ends early raises. Bytes are taken a step at a time, as what lies behind a member is copied."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            step = view[at : at + STEP]
+            if not step:
+                raise ValueError("a record ends in mid-stream")
+            parts.append(member.decompress(step))
+            at += len(step) - len(member.unused_data)
+        plain = b"".join(parts)
         head, _, rest = plain.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
