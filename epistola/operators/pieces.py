@@ -28,8 +28,11 @@ def occurrences(texts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """hash, column, position and piece; null texts and those of fewer letters have none."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), fold(F.coalesce(F.col(c), F.lit(""))).alias("text")) for c in columns]))
     rows = texts.select("hash", each.alias("x")).select("hash", "x.column", "x.text").where(F.length("text") >= SIZE)
-    places = F.sequence(F.lit(1), F.length("text") - SIZE + 1)
-    return rows.select("hash", "column", F.posexplode(F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(SIZE)))).alias("position", "piece"))
+    # Letters are laid beside those that follow, as a letter of a text is only found by going through it.
+    letters = F.split("text", "")
+    beside = lambda left, k: F.zip_with(left, F.slice(letters, k, F.length("text")), lambda a, b: F.concat(a, b))
+    found = F.slice(beside(beside(letters, 2), 3), 1, F.length("text") - SIZE + 1)
+    return rows.select("hash", "column", F.posexplode(found).alias("position", "piece"))
 
 
 def build(texts: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, buckets: int = 64, parts: int = 1) -> None:
