@@ -83,10 +83,10 @@ def plain_id(message_id: Column) -> Column:
 SCANNED_BYTES, TEXT_LEAST, THIN = 100_000, 200, 50
 
 
-def recognition_queue(attachments: DataFrame, texts: DataFrame, notes: DataFrame) -> DataFrame:
-    """PDF attachments that seem to be scanned and have no note yet, smallest first."""
+def recognition_queue(attachments: DataFrame, texts: DataFrame, notes: DataFrame, least: int = SCANNED_BYTES) -> DataFrame:
+    """PDF attachments of more bytes than `least` that seem to be scanned and have no note yet, smallest first."""
     lengths = texts.select("hash", F.length(F.coalesce("attachment_text", F.lit(""))).alias("chars"))
-    rows = attachments.where((F.col("extension") == "pdf") & (F.col("size") > SCANNED_BYTES) & (F.col("text_chars") <= 0)).join(lengths, "hash", "left")
+    rows = attachments.where((F.col("extension") == "pdf") & (F.col("size") > least) & (F.col("text_chars") <= 0)).join(lengths, "hash", "left")
     rows = rows.where((F.col("text_chars") == 0) | (F.coalesce("chars", F.lit(0)) < TEXT_LEAST)).drop("chars")
     return rows.join(notes.select("hash", "filename"), ["hash", "filename"], "left_anti").orderBy("size", "hash", "filename")
 

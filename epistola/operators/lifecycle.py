@@ -120,8 +120,8 @@ def _delete(spark: SparkSession, root: str, name: str, what: dict) -> None:
 ORDER = {"words": ("bucket", "token", "hash", "column", "position"), "pieces": ("bucket", "piece", "hash", "column", "position")}
 NOTED = ("gone", "filed")
 #: Tables that lie in no folders.
-WHOLE = (*NOTED, "piece_counts")
-TABLES = ("words", "pieces", "texts", "recipients", "attachments", "locations", "store", "messages", "quarantine", "piece_counts", *NOTED)
+WHOLE = (*NOTED, "piece_counts", "notes", "recognised")
+TABLES = ("words", "pieces", "texts", "recipients", "attachments", "locations", "store", "messages", "quarantine", "piece_counts", "notes", "recognised", *NOTED)
 
 
 def compact(spark: SparkSession, root: str, purge: bool = False) -> dict[str, int]:
@@ -159,11 +159,20 @@ def _run(spark: SparkSession, root: str, table: str, names: list[str]) -> DataFr
 def _holds_noted(spark: SparkSession, root: str, table: str, run: str, out: DataFrame | None) -> bool:
     if table in ("quarantine", "piece_counts"):
         return False
+    if table == "recognised":
+        rows = _run(spark, root, table, [run])
+        return not rows.join(_in_use(spark, root), "fingerprint", "left_anti").isEmpty()
     rows = _run(spark, root, table, [run]).select("hash")
     changed = table == "messages" and runs.paths(root, "filed") and not rows.join(ingest.raw(spark, root, "filed").select("hash"), "hash", "left_semi").isEmpty()
     return bool(changed) or out is not None and not rows.join(out.select("hash"), "hash", "left_semi").isEmpty()
 
 
+def _in_use(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprints whose text a mail has, or that a run is at."""
+    noted = ingest.load(spark, root, "notes").where("state = 'erledigt'").select("fingerprint")
+    return noted.unionAll(ingest.load(spark, root, "claims").select("fingerprint")).distinct()
+
+
 def _start_merge(spark: SparkSession, root: str, table: str, names: list[str], tier: int) -> None:
     _merge(spark, root, *_begin(root, {"kind": "merge", "table": table, "from": names, "to": runs.new_run(), "tier": tier}))
 
@@ -179,6 +188,14 @@ def _merge(spark: SparkSession, root: str, name: str, what: dict) -> None:
             rows.distinct().coalesce(1).write.parquet(to)
         elif table == "piece_counts":
             rows.groupBy("piece").agg(F.sum("n").alias("n")).repartition(1).sortWithinPartitions("piece").write.parquet(to)
+        elif table in ("notes", "recognised"):
+            key = "hash" if table == "notes" else "fingerprint"
+            if table == "recognised":
+                rows = rows.join(_in_use(spark, root), key, "left_semi")
+            elif out is not None:
+                rows = rows.join(out.select("hash"), "hash", "left_anti")
+            size = sum(r["bytes"] for r in now["runs"] if r["run"] in names)
+            rows.repartition(max(1, -(-size // runs.MOST)), key).sortWithinPartitions(key).write.parquet(to)
         else:
             if out is not None and table != "quarantine":
                 rows = rows.join(out.select("hash"), "hash", "left_anti").select(*rows.columns)

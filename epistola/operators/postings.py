@@ -32,7 +32,17 @@ def build(texts: DataFrame, path: str, columns: tuple[str, ...], buckets: int =
 
     parts: files that a bucket is written to, by the texts' keys, so that a front of words that is everywhere is no single task.
     """
-    rows = occurrences(texts, columns).withColumn("bucket", bucket_of(F.col("token"), buckets))
+    write(occurrences(texts, columns), path, buckets, parts)
+
+
+def count_words(column: str) -> Column:
+    """How many words a text has for the index."""
+    return F.size(F.regexp_extract_all(fold(F.coalesce(F.col(column), F.lit(""))), F.lit(f"[{WORD}]+"), F.lit(0)))
+
+
+def write(rows: DataFrame, path: str, buckets: int = 64, parts: int = 1) -> None:
+    """Adds rows of words (hash, column, position, token) to the index at a path."""
+    rows = rows.select("hash", "column", "position", "token", bucket_of(F.col("token"), buckets).alias("bucket"))
     dealt = rows.repartition(buckets * parts, F.col("bucket"), F.pmod(F.xxhash64("hash"), F.lit(parts)))
     dealt.sortWithinPartitions("bucket", "token", "hash", "column", "position").write.mode("append").partitionBy("bucket").parquet(path)
 

@@ -45,10 +45,12 @@ def state(root: str, name: str) -> dict:
             return {"version": numbers[-1], **found}
 
 
-def commit(root: str, name: str, add: list[dict], merged: list[str] = (), retired: bool = False) -> None:
-    """The next version: with new runs and without merged ones. retired: what was retired before is deleted and forgotten."""
+def commit(root: str, name: str, add: list[dict], merged: list[str] = (), retired: bool = False, expected: int | None = None) -> None:
+    """The next version: with new runs and without merged ones. retired: what was retired before is deleted and forgotten. expected: the version that this one must follow."""
     while True:
         now = state(root, name)
+        if expected is not None and now["version"] != expected:
+            raise Conflict(name)
         known = {r["run"] for r in now["runs"]}
         if not set(merged) <= known:
             raise Conflict(name)

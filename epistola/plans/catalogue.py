@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epistola.functions import formats, mail, text
-from epistola.operators import audit, journal, lifecycle, policy, upkeep
+from epistola.operators import audit, journal, lifecycle, policy, recognition, upkeep
 from epistola.operators.archive import View, display, sender_display
 from epistola.plans.tables import TODAY, documents, entries, load, mails, orders, shared_dir, sql
 from epistola.sources import servers
-from epistola.streaming import ingest
+from epistola.streaming import alarms, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -564,3 +564,37 @@ def deletions_and_compaction(spark, sf):
     (SELECT count(*) FROM att WHERE hash IN (FROM seen)) AS attachments, (SELECT count(*) FROM loc WHERE account IN ('NATION_3', 'NATION_7')) AS places"""))
 def statistics_of_view(spark, sf):
     return orders(spark, sf).seen_by(View(("NATION_3", "NATION_7"))).statistics()
+
+
+def _seen(payload: bytes) -> tuple[str, int]:
+    if len(payload) % 7 == 0:
+        raise ValueError("cannot be read")
+    return "Seite 1\n" + payload.decode(), 1
+
+
+@query("""SELECT sha256(t) AS fingerprint, CASE WHEN bad THEN least(n, 3) ELSE 1 END AS asked, CASE WHEN bad THEN 0 ELSE n END AS places, CASE WHEN bad THEN least(n, 3) ELSE 0 END AS failures
+    FROM (SELECT coalesce(text, '') AS t, count(*) AS n, strlen(coalesce(text, '')) % 7 = 0 AS bad FROM documents GROUP BY 1)""")
+def recognition_runs(spark, sf):
+    """Documents as scans of a mail each, over three runs: how often each payload was asked for, and what its places have noted."""
+    root = shared_dir(spark, "archive")
+    head = F.concat(F.lit("Message-ID: <"), F.col("doc_id").cast("string"), F.lit('@x>\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="G"\r\n\r\n--G\r\nContent-Type: application/pdf\r\nContent-Disposition: attachment; filename="scan.pdf"\r\nContent-Transfer-Encoding: base64\r\n\r\n'))
+    raw = F.concat(F.encode(head, "UTF-8"), F.encode(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "UTF-8"), F.encode(F.lit("\r\n--G--\r\n"), "UTF-8"))
+    ingest.add_batch(load(spark, sf, "documents").select(F.col("source").alias("account"), F.col("lang").alias("folder"), F.col("doc_id").alias("uid"), F.lit("").alias("flags"), raw.alias("raw")), root, "2026-01-01T00:00:00")
+    for day in (1, 2, 3):
+        recognition.run(spark, root, _seen, f"2026-02-0{day}T00:00:00", f"2026-02-0{day}T12:00:00", least=-1, parts=8)
+    asked = ingest.load(spark, root, "recognised").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("asked"))
+    noted = recognition.notes(spark, root).groupBy("fingerprint").agg(F.count_if(F.col("state") == recognition.DONE).alias("places"), F.count_if(F.col("state") == recognition.FAILED).alias("failures"))
+    return asked.join(noted, "fingerprint")
+
+
+@query("""WITH r AS (SELECT user_id AS archive, ts, event_id AS seq, CASE event_type WHEN 'error' THEN 'e' || CAST(event_id % 2 AS VARCHAR) ELSE '' END AS problem, event_id AS mails FROM events),
+    w AS (SELECT *, coalesce(lag(problem) OVER (PARTITION BY archive ORDER BY ts, seq), '') AS was FROM r),
+    k AS (SELECT *, CASE WHEN problem <> '' AND problem <> was THEN 'disturbance' WHEN problem = '' AND was <> '' THEN 'all-clear' WHEN problem = '' AND hour(ts) >= 7 THEN 'report' END AS notice FROM w),
+    n AS (SELECT *, row_number() OVER (PARTITION BY archive, CAST(ts AS DATE), notice ORDER BY ts, seq) AS nth FROM k WHERE notice IS NOT NULL)
+    SELECT archive, seq, notice, CASE notice WHEN 'disturbance' THEN problem WHEN 'all-clear' THEN was ELSE '' END AS problem, CASE WHEN notice = 'report' THEN greatest(0, mails - coalesce(lag(mails) OVER (PARTITION BY archive, notice ORDER BY ts, seq), 0)) END AS added
+    FROM n WHERE notice <> 'report' OR nth = 1""")
+def run_notices(spark, sf):
+    """Events as runs of a user's archive; those of errors are disturbances of two kinds."""
+    problem = F.when(F.col("event_type") == "error", F.concat(F.lit("e"), (F.col("event_id") % 2).cast("string"))).otherwise("")
+    rows = load(spark, sf, "events").select(F.col("user_id").alias("archive"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), problem.alias("problem"), F.col("event_id").alias("mails"))
+    return alarms.notices(rows).select("archive", "seq", "notice", "problem", "added")

@@ -19,3 +19,8 @@ TABLES = {"messages": MESSAGES, "recipients": RECIPIENTS, "locations": LOCATIONS
 
 #: Deletions and classifications by number of their journal line, until a compaction has worked them into the tables.
 GONE, FILED = "hash string, seq long", "hash string, category string, seq long"
+
+#: What was recognised in payloads, where it belongs, and who is at it.
+RECOGNISED = "fingerprint string, text string, pages int, problem string, place_hash string, place_name string, asker string, at string"
+NOTES = "hash string, filename string, fingerprint string, state string, reason string, pages int, chars long, at string, turn long"
+CLAIMS = "fingerprint string, until string"

@@ -14,7 +14,7 @@ from epistola.operators import journal, pieces, policy, postings, runs
 from epistola.operators.archive import TEXT_COLUMNS, Archive
 
 KEYS = {"messages": ["hash"], "recipients": ["hash", "addr", "kind"], "locations": ["hash", "account", "folder"], "attachments": ["hash"], "texts": ["hash"], "store": ["hash"]}
-SCHEMAS = {**schemas.TABLES, "store": schemas.STORE, "quarantine": schemas.QUARANTINE, "words": postings.SCHEMA.format(hash="string"), "pieces": pieces.SCHEMA.format(hash="string"), "piece_counts": pieces.COUNTS, "gone": schemas.GONE, "filed": schemas.FILED}
+SCHEMAS = {**schemas.TABLES, "store": schemas.STORE, "quarantine": schemas.QUARANTINE, "words": postings.SCHEMA.format(hash="string"), "pieces": pieces.SCHEMA.format(hash="string"), "piece_counts": pieces.COUNTS, "gone": schemas.GONE, "filed": schemas.FILED, "recognised": schemas.RECOGNISED, "notes": schemas.NOTES, "claims": schemas.CLAIMS}
 
 
 def raw(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -33,11 +33,19 @@ def gone(spark: SparkSession, root: str) -> DataFrame | None:
     return raw(spark, root, "gone") if runs.paths(root, "gone") else None
 
 
-def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the archive as it is now: without what was deleted, and messages in their last category."""
+def kept(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table's rows without what was deleted, as they were written."""
     rows, out = raw(spark, root, name), gone(spark, root)
     if out is not None and "hash" in rows.columns and name not in ("gone", "filed"):
         rows = rows.join(out.select("hash"), "hash", "left_anti")
+    return rows.select(*[x.split()[0] for x in SCHEMAS[name].split(", ")])
+
+
+def load(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the archive as it is now: without what was deleted, messages in their last category, and texts with what was recognised."""
+    rows = kept(spark, root, name)
+    if name == "texts" and runs.paths(root, "notes"):
+        rows = heard(rows, load(spark, root, "notes"), load(spark, root, "recognised"))
     if name == "messages" and runs.paths(root, "filed"):
         rows = filed(rows, raw(spark, root, "filed"))
     return rows.select(*[x.split()[0] for x in SCHEMAS[name].split(", ")])
@@ -49,6 +57,32 @@ def filed(messages: DataFrame, changes: DataFrame) -> DataFrame:
     return messages.join(last, "hash", "left").withColumn("category", F.coalesce("_now", "category")).select(*messages.columns)
 
 
+def settled(notes: DataFrame) -> DataFrame:
+    """The last note of each place, but those that were taken back."""
+    values = [c for c in notes.columns if c not in ("hash", "filename")]
+    return notes.groupBy("hash", "filename").agg(F.max_by(F.struct(*values), "turn").alias("n")).select("hash", "filename", "n.*").where("state <> 'offen'")
+
+
+def readings(recognised: DataFrame) -> DataFrame:
+    """fingerprint, text and pages of what was recognised, one reading for each payload."""
+    return recognised.where("problem is null").groupBy("fingerprint").agg(F.min_by(F.struct("text", "pages"), "asker").alias("r")).select("fingerprint", "r.text", "r.pages")
+
+
+def heard_of(notes: DataFrame, recognised: DataFrame) -> DataFrame:
+    """hash and more: what was recognised in a mail's attachments, in the order of the runs that noted it, and of names."""
+    rows = notes.where("state = 'erledigt'").select("hash", "filename", "fingerprint", "turn").join(readings(recognised), "fingerprint")
+    # Attachments of one mail.
+    parts = F.array_sort(F.collect_list(F.struct("turn", "filename", "text")))
+    return rows.groupBy("hash").agg(F.array_join(F.transform(parts, lambda x: F.concat(x["filename"], F.lit("\n"), x["text"])), "\n").alias("more"))
+
+
+def heard(texts: DataFrame, notes: DataFrame, recognised: DataFrame) -> DataFrame:
+    """Texts with what was recognised behind what their attachments had."""
+    more = heard_of(settled(notes), recognised)
+    joined = F.concat_ws("\n", F.nullif(F.coalesce("attachment_text", F.lit("")), F.lit("")), "more")
+    return texts.join(more, "hash", "left").withColumn("attachment_text", F.when(F.col("more").isNull(), F.col("attachment_text")).otherwise(joined)).select(*texts.columns)
+
+
 def archive(spark: SparkSession, root: str) -> Archive:
     """The archive as it is now, with its indexes."""
     index = postings.Postings(load(spark, root, "words")) if runs.paths(root, "words") else None
@@ -128,14 +162,14 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
 
     for name in ("locations", "recipients", "attachments", "texts", "messages"):  # the message last
         key = KEYS[name] if name in ("locations", "recipients") else ["hash"]
-        rows = tables[name].join(load(spark, root, name).select(*key), key, "left_anti")
+        rows = tables[name].join(kept(spark, root, name).select(*key), key, "left_anti")
         if name == "texts":  # words before the texts they are of, so that none is left without
             rows = rows.persist()
             save_indexes(rows, root)
         save(rows if name == "messages" else rows.join(once.select("hash", part_of("bucket").alias("part")), "hash").select(*rows.columns, "part"), root, name)
         rows.unpersist()
-    for kept in (parsed, once, places, ruled):
-        kept.unpersist()
+    for held in (parsed, once, places, ruled):
+        held.unpersist()
     if batch_id is not None:
         journal.end_batch(root, stream, batch_id)
     return counts
@@ -178,7 +212,13 @@ def rebuild(spark: SparkSession, root: str, to: str) -> None:
     own = tables["messages"].drop("captured").join(captured, "hash").join(journal.categories(entries).withColumnRenamed("category", "told_category"), "hash", "left")
     tables["messages"] = own.withColumns({"captured": F.col("told"), "category": F.coalesce("told_category", "category")}).select(*tables["messages"].columns)
     parts = parsed.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"])
-    save_indexes(tables["texts"], to)
+    texts = tables["texts"]
+    if runs.paths(root, "notes"):
+        own = {"notes": kept(spark, root, "notes").join(live, "hash", "left_semi"), "recognised": kept(spark, root, "recognised")}
+        for name, table in own.items():
+            runs.append(spark, to, name, lambda path, table=table: table.write.parquet(path))
+        texts = heard(texts, own["notes"], own["recognised"])
+    save_indexes(texts, to)
     for name, table in tables.items():
         save(table if name == "messages" else table.join(parts, "hash").select(*table.columns, "part"), to, name)
     parsed.unpersist()
