@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epistola.operators import commits, journal, runs
+from epistola.operators import commits, journal, packed, runs
 from epistola.operators.policy import CATEGORIES, Policy, reapply
 from epistola.streaming import ingest
 
@@ -116,8 +116,6 @@ def _delete(spark: SparkSession, root: str, name: str, what: dict) -> None:
     _tell(spark, root, name, what, lines, lambda own: own.select("hash", "seq"), "gone")
 
 
-#: The columns that rows of a run are in order by.
-ORDER = {"words": ("bucket", "token", "hash", "column", "position"), "pieces": ("bucket", "piece", "hash", "column", "position")}
 NOTED = ("gone", "filed")
 #: Tables that lie in no folders.
 WHOLE = (*NOTED, "piece_counts", "notes", "recognised")
@@ -151,6 +149,8 @@ def compact(spark: SparkSession, root: str, purge: bool = False) -> dict[str, in
 
 
 def _run(spark: SparkSession, root: str, table: str, names: list[str]) -> DataFrame:
+    if table in ingest.PACKED:
+        return runs.read(spark, root, table, packed.stored(ingest.PACKED[table], "string"), names).drop("run")
     part = ingest.FOLDERS.get(table, "part")
     schema = ingest.SCHEMAS[table] + ("" if table in WHOLE or f"{part} int" in ingest.SCHEMAS[table].split(", ") else f", {part} int")
     return runs.read(spark, root, table, schema, names).drop("run")
@@ -162,7 +162,8 @@ def _holds_noted(spark: SparkSession, root: str, table: str, run: str, out: Data
     if table == "recognised":
         rows = _run(spark, root, table, [run])
         return not rows.join(_in_use(spark, root), "fingerprint", "left_anti").isEmpty()
-    rows = _run(spark, root, table, [run]).select("hash")
+    rows = _run(spark, root, table, [run])
+    rows = rows.select(F.explode("hashes").alias("hash")) if table in ingest.PACKED else rows.select("hash")
     changed = table == "messages" and runs.paths(root, "filed") and not rows.join(ingest.raw(spark, root, "filed").select("hash"), "hash", "left_semi").isEmpty()
     return bool(changed) or out is not None and not rows.join(out.select("hash"), "hash", "left_semi").isEmpty()
 
@@ -196,13 +197,19 @@ def _merge(spark: SparkSession, root: str, name: str, what: dict) -> None:
                 rows = rows.join(out.select("hash"), "hash", "left_anti")
             size = sum(r["bytes"] for r in now["runs"] if r["run"] in names)
             rows.repartition(max(1, -(-size // runs.MOST)), key).sortWithinPartitions(key).write.parquet(to)
+        elif table in ingest.PACKED:
+            key = ingest.PACKED[table]
+            rows = rows if out is None else packed.without(rows, out, key)
+            if len(names) > 1:
+                rows = runs.dealt(rows, part, runs.bucket_bytes(spark, [f"{root}/{table}/{n}" for n in names], part), by_rows="hashes").sortWithinPartitions(part, key)
+            packed.write(rows, to, ingest.BUCKETS)
         else:
             if out is not None and table != "quarantine":
                 rows = rows.join(out.select("hash"), "hash", "left_anti").select(*rows.columns)
             if table == "messages" and runs.paths(root, "filed"):
                 rows = ingest.filed(rows, ingest.raw(spark, root, "filed"))
             sizes = runs.bucket_bytes(spark, [f"{root}/{table}/{n}" for n in names], part)
-            made = rows if table == "quarantine" else runs.dealt(rows, part, sizes).sortWithinPartitions(*ORDER.get(table, (part, "hash")))
+            made = rows if table == "quarantine" else runs.dealt(rows, part, sizes).sortWithinPartitions(part, "hash")
             made.write.partitionBy(part).parquet(to)
         old = now["retired"]
         try:

@@ -143,7 +143,7 @@ def publish(spark: SparkSession, root: str, name: str, places: DataFrame, at: st
         version, new = runs.state(root, "notes")["version"], runs.new_run()
         made = outcomes(spark, root, name, places).withColumns({"at": F.lit(at), "turn": F.lit(version + 1).cast("long")}).persist()
         done = made.where(F.col("state") == DONE)
-        runs.append(spark, root, "words", lambda path: postings.write(new_words(spark, root, done), path, ingest.BUCKETS, 1)) if not done.isEmpty() else None
+        runs.append(spark, root, "words", lambda path: postings.write(new_words(spark, root, done), path, ingest.BUCKETS)) if not done.isEmpty() else None
         sums = made.agg(F.count_if(F.col("state") == DONE).alias("done"), F.count_if((F.col("state") == DONE) & ~F.col("asked")).alias("copies"), F.count_if(F.col("state") == FAILED).alias("failed"), F.coalesce(F.sum(F.when(F.col("asked") & (F.col("state") == DONE), F.col("pages"))), F.lit(0)).alias("pages")).first().asDict()
         try:
             _put(spark, root, "notes", new, made.select(*[x.split()[0] for x in schemas.NOTES.split(", ")]), version)
@@ -172,7 +172,7 @@ def new_words(spark: SparkSession, root: str, done: DataFrame) -> DataFrame:
     own = done.select("hash").distinct()
     before = ingest.load(spark, root, "texts").join(own, "hash", "left_semi").select("hash", postings.count_words("attachment_text").alias("had"))
     more = ingest.heard_of(done, heard).select("hash", F.col("more").alias("attachment_text"))
-    return postings.occurrences(more, ("attachment_text",)).join(before, "hash").withColumn("position", F.col("position") + F.col("had")).drop("had")
+    return postings.by_text(more, ("attachment_text",)).join(before, "hash").withColumn("first", F.col("had")).drop("had")
 
 
 def retry_failed(spark: SparkSession, root: str, at: str) -> int:

@@ -128,7 +128,7 @@ def bucket_bytes(spark: SparkSession, found: list[str], by: str) -> dict[int | N
     return out
 
 
-def dealt(rows: DataFrame, by: str, sizes: dict[int | None, int], most: int = MOST) -> DataFrame:
+def dealt(rows: DataFrame, by: str, sizes: dict[int | None, int], most: int = MOST, by_rows: str = "hash") -> DataFrame:
     """Rows in partitions of one bucket each, as many for a bucket as its bytes ask for: no task writes much more than `most`."""
     start, first, count = 0, {}, {}
     for key, size in sorted(sizes.items(), key=str):
@@ -142,5 +142,5 @@ def dealt(rows: DataFrame, by: str, sizes: dict[int | None, int], most: int = MO
         of = F.create_map(*[F.lit(x) for k in known for x in (k, values[k])])[F.col(by)] if known else F.lit(None).cast("int")
         return F.coalesce(of, F.lit(values.get(None, 0)))
 
-    spread = F.pmod(F.xxhash64("hash"), told(count)).cast("int")
+    spread = F.pmod(F.xxhash64(by_rows), told(count)).cast("int")
     return rows.repartitionById(start, (told(first) + spread).cast("int"))

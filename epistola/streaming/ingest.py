@@ -10,19 +10,21 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from epistola import schemas
 from epistola.functions import mail
-from epistola.operators import journal, pieces, policy, postings, runs
+from epistola.operators import journal, packed, pieces, policy, postings, runs
 from epistola.operators.archive import TEXT_COLUMNS, Archive
 
 KEYS = {"messages": ["hash"], "recipients": ["hash", "addr", "kind"], "locations": ["hash", "account", "folder"], "attachments": ["hash"], "texts": ["hash"], "store": ["hash"]}
 SCHEMAS = {**schemas.TABLES, "store": schemas.STORE, "quarantine": schemas.QUARANTINE, "words": postings.SCHEMA.format(hash="string"), "pieces": pieces.SCHEMA.format(hash="string"), "piece_counts": pieces.COUNTS, "gone": schemas.GONE, "filed": schemas.FILED, "recognised": schemas.RECOGNISED, "notes": schemas.NOTES, "claims": schemas.CLAIMS}
+#: Tables of packed rows, by what a row has a key of.
+PACKED = {"words": "token", "pieces": "piece"}
 
 
 def raw(spark: SparkSession, root: str, name: str) -> DataFrame:
     """All rows of a table's runs, those that count as deleted too; empty where nothing was written yet. What is there and cannot be read raises."""
     names = [x.split()[0] for x in SCHEMAS[name].split(", ")]
-    found = runs.read(spark, root, name, SCHEMAS[name])
+    found = runs.read(spark, root, name, packed.stored(PACKED[name], "string") if name in PACKED else SCHEMAS[name])
     if found is not None:
-        return found.select(*names)
+        return (packed.unpack(found, PACKED[name]) if name in PACKED else found).select(*names)
     if not runs.is_new(spark, root, name):
         raise ValueError(f"{root}/{name} holds files that are no runs: make the archive anew with rebuild")
     return spark.createDataFrame([], SCHEMAS[name])
@@ -99,20 +101,22 @@ def save(rows: DataFrame, root: str, name: str) -> None:
     runs.append(rows.sparkSession, root, name, lambda path: rows.write.partitionBy(FOLDERS.get(name, "part")).parquet(path))
 
 
-#: Bytes of an index for a character of text, about; buckets of one.
-INDEX_BYTES, BUCKETS = 8, 64
+#: Characters of texts that a task packs, about; buckets of an index.
+TASK_CHARS, BUCKETS = 1 << 24, 64
 
 
 def save_indexes(texts: DataFrame, root: str) -> None:
     """Words and pieces of texts as a run each, in as many tasks as their length asks for."""
-    length = lambda columns: F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in columns), F.lit(0)))
-    sizes = dict(zip((TEXT_COLUMNS, pieces.COLUMNS), texts.agg(length(TEXT_COLUMNS).alias("w"), length(pieces.COLUMNS).alias("p")).first()))
-    parts = lambda columns: max(1, -(-INDEX_BYTES * (sizes[columns] or 0) // (BUCKETS * runs.MOST)))
-    spark = texts.sparkSession
-    runs.append(spark, root, "words", lambda path: postings.build(texts, path, TEXT_COLUMNS, BUCKETS, parts(TEXT_COLUMNS)))
-    # Counts come first: without them a piece is thought to be nowhere.
-    runs.append(spark, root, "piece_counts", lambda path: pieces.count(pieces.occurrences(texts, pieces.COLUMNS), path))
-    runs.append(spark, root, "pieces", lambda path: pieces.build(texts, path, pieces.COLUMNS, BUCKETS, parts(pieces.COLUMNS)))
+    length = F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in TEXT_COLUMNS), F.lit(0)))
+    spark, few = texts.sparkSession, texts.coalesce(1 + (texts.agg(length).first()[0] or 0) // TASK_CHARS)
+    runs.append(spark, root, "words", lambda path: postings.build(few, path, TEXT_COLUMNS, BUCKETS))
+
+    def write(path: str) -> None:
+        pieces.build(few, path, pieces.COLUMNS, BUCKETS)
+        # Counts are told first: without them a piece is thought to be nowhere.
+        runs.append(spark, root, "piece_counts", lambda to: pieces.count(spark.read.schema(packed.stored("piece", "string")).parquet(path), to))
+
+    runs.append(spark, root, "pieces", write)
 
 
 def part_of(bucket) -> object:
