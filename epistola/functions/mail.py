@@ -44,8 +44,10 @@ class _Text(HTMLParser):
             self.out.append(data + self.between)
 
 
-def html_to_text(html: str | None, paragraphs: bool = False) -> str:
-    """The text that a page shows: its pieces with a blank between; in paragraphs, blocks keep their lines with one empty line between at most."""
+def html_to_text(html: str | None, paragraphs: bool = False, strict: bool = False) -> str:
+    """The text that a page shows: its pieces with a blank between; in paragraphs, blocks keep their lines with one empty line between at most. strict: a reference without its semicolon is text."""
+    if strict:
+        html = re.sub(r"&(?!#?[0-9A-Za-z]+;)", "&amp;", html or "")
     parser = _Text("", "\n") if paragraphs else _Text(" ", "")
     parser.feed(html or "")
     parser.close()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from epistola.functions import formats
+from epistola.functions import formats, mail
 from epistola.operators import policy
 
 
@@ -33,3 +33,8 @@ def test_folders_of_two_accounts_stay_apart(spark):
 @pytest.mark.parametrize(("folder", "out"), [("Gelöschte Objekte", True), ("INBOX/bulk-mail/alt", True), ("Werbung", True), ("Werbung 2024", False), ("UNERWÜNSCHTE E-MAIL", True), ("Spam-Archiv", False), ("INBOX", False)])
 def test_excluded(spark, folder, out):
     assert one(spark, policy.is_excluded(F.lit(folder))) is out
+
+
+@pytest.mark.parametrize(("html", "text"), [("a &amp b", "a &amp b"), ("a &amp; b &lt;c&gt;", "a & b <c>"), ("x&copy", "x&copy"), ("&#65; &#65 &&", "A &#65 &&"), (None, "")])
+def test_a_reference_has_its_semicolon_in_a_strict_page(html, text):
+    assert mail.html_to_text(html, strict=True) == text
