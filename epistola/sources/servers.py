@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,24 +77,27 @@ def requests(rows: DataFrame, mails: int = BLOCK_MAILS, size: int = BLOCK_BYTES)
     return own.repartition(parts, "account", "folder").sortWithinPartitions("account", "folder", "uid").mapInPandas(pack, "account string, folder string, uid long, size long, block long")
 
 
-def folder_paths(mailboxes: DataFrame, excluded: tuple[str, ...] = (), cut: int = 16) -> DataFrame:
+def folder_paths(mailboxes: DataFrame, excluded: tuple[str, ...] = (), cut: int = 1) -> DataFrame:
     """id and path of each mailbox (id, name, parent, role) that is archived; a parent that is not there, or leads round, ends a path.
 
-    Each turn joins the mailboxes that still have a parent to it: a table of folders, not of mail. After `cut` turns the plan is
-    cut by a checkpoint, where the session has a folder for it.
+    Each turn joins the mailboxes that still have a parent to it: a table of folders, not of mail. After each `cut` turns the plan is
+    cut: what was met is written and read again, where the session has a folder for checkpoints, so that no task has the sorts of many joins at once and no turn is done again.
     """
     boxes = mailboxes.where("id is not null").select("id", F.coalesce("name", F.lit("")).alias("name"), "parent", F.lower(F.coalesce("role", F.lit(""))).alias("role"))
     up = boxes.select(F.col("id").alias("up"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"))
     now = boxes.select("id", "name", "role", F.col("name").alias("path"), "parent", F.array("id").alias("seen"))
-    done, turn = None, 0
+    done, turn, spark = None, 0, mailboxes.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    scratch = f"{(shared or '').rstrip('/')}/folder-paths-{uuid.uuid4().hex}"
     while True:
         met = now.join(up, (F.col("parent") == F.col("up")) & ~F.array_contains("seen", F.col("up")), "left")
+        turn += 1
+        if turn % cut == 0 and shared:
+            met.write.parquet(f"{scratch}/{turn}")
+            met = spark.read.schema(met.schema).parquet(f"{scratch}/{turn}")
         ended = met.where("up is null").select("id", "name", "role", "path")
         done = ended if done is None else done.unionAll(ended)
         now = met.where("up is not null").select("id", "name", "role", F.concat_ws("/", "up_name", "path").alias("path"), F.col("up_parent").alias("parent"), F.concat("seen", F.array("up")).alias("seen"))
-        turn += 1
-        if turn % cut == 0 and (mailboxes.sparkSession.conf.get("spark.checkpoint.dir", None) or mailboxes.sparkSession.sparkContext.getCheckpointDir()):
-            now, done = now.checkpoint(), done.checkpoint()
         if now.isEmpty():
             break
     names = [x.lower() for x in excluded]
