@@ -27,6 +27,9 @@ DONE, FAILED, OPEN = "erledigt", "gescheitert", "offen"
 #: What is told of an attachment that its mail does not have, and of one that nothing was recognised in.
 NOT_FOUND, NO_TEXT = "attachment not found", "no text recognised"
 
+#: Characters that answers are given back by, about: a frame for each of them would cost more than most of them.
+FRAME_CHARS = 1 << 22
+
 #: Returns text and number of pages of a payload; empty text or an exception is a failure.
 Recogniser = Callable[[bytes], tuple[str, int]]
 
@@ -60,7 +63,9 @@ def ask(store: DataFrame, asked: DataFrame, recognise: Recogniser, parts: int) -
     """fingerprint, text, pages, problem, place_hash and place_name for each asked place (hash, filename, fingerprint). Mails are dealt out to `parts` tasks: the work is in the recognising."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["fingerprint", "text", "pages", "problem", "place_hash", "place_name"]
         for batch in batches:
+            rows, chars = [], 0
             for h, raw, wanted in zip(batch["hash"], batch["raw"], batch["wanted"]):
                 prints = {w["filename"]: w["fingerprint"] for w in wanted}
                 for name, payload in payloads(bytes(raw), set(prints)).items():
@@ -70,7 +75,13 @@ def ask(store: DataFrame, asked: DataFrame, recognise: Recogniser, parts: int) -
                         problem = None if text and text.strip() else NO_TEXT
                     except Exception as error:  # noqa: BLE001 - one payload must not hold up the others
                         problem = f"{type(error).__name__}: {error}"[:500]
-                    yield pd.DataFrame([(prints[name], None if problem else text, pages, problem, h, name)], columns=["fingerprint", "text", "pages", "problem", "place_hash", "place_name"])
+                    rows.append((prints[name], None if problem else text, pages, problem, h, name))
+                    chars += len(text or "")
+                    if chars > FRAME_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, chars = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     mails = asked.groupBy("hash").agg(F.collect_list(F.struct("filename", "fingerprint")).alias("wanted"))  # attachments of one mail
     rows = store.select("hash", "raw").join(mails, "hash").repartition(parts, "hash")
@@ -142,9 +153,10 @@ def publish(spark: SparkSession, root: str, name: str, places: DataFrame, at: st
     while True:
         version, new = runs.state(root, "notes")["version"], runs.new_run()
         made = outcomes(spark, root, name, places).withColumns({"at": F.lit(at), "turn": F.lit(version + 1).cast("long")}).persist()
-        done = made.where(F.col("state") == DONE)
-        runs.append(spark, root, "words", lambda path: postings.write(new_words(spark, root, done), path, ingest.BUCKETS)) if not done.isEmpty() else None
-        sums = made.agg(F.count_if(F.col("state") == DONE).alias("done"), F.count_if((F.col("state") == DONE) & ~F.col("asked")).alias("copies"), F.count_if(F.col("state") == FAILED).alias("failed"), F.coalesce(F.sum(F.when(F.col("asked") & (F.col("state") == DONE), F.col("pages"))), F.lit(0)).alias("pages")).first().asDict()
+        sums = made.agg(F.count_if(F.col("state") == DONE).alias("done"), F.count_if((F.col("state") == DONE) & ~F.col("asked")).alias("copies"), F.count_if(F.col("state") == FAILED).alias("failed"), F.coalesce(F.sum(F.when(F.col("asked") & (F.col("state") == DONE), F.col("pages"))), F.lit(0)).alias("pages"), F.coalesce(F.sum("chars"), F.lit(0)).alias("letters")).first().asDict()
+        few = 1 + sums.pop("letters") // ingest.TASK_CHARS  # a task writes a file to each bucket
+        if sums["done"]:
+            runs.append(spark, root, "words", lambda path, done=made.where(F.col("state") == DONE): postings.write(new_words(spark, root, done).coalesce(few), path, ingest.BUCKETS))
         try:
             _put(spark, root, "notes", new, made.select(*[x.split()[0] for x in schemas.NOTES.split(", ")]), version)
             return sums

@@ -169,3 +169,35 @@ def test_lengths_that_were_not_noted(spark):
     notes = spark.createDataFrame([("h", "a.pdf", "f", None), ("h", "b.pdf", "g", 3)], "hash string, filename string, fingerprint string, chars long")
     heard = spark.createDataFrame([("f", "four", 1, None, "r"), ("g", "other", 1, None, "r"), ("f", None, 0, "torn", "s")], "fingerprint string, text string, pages int, problem string, asker string")
     assert sorted((r["filename"], r["chars"]) for r in recognition.fill_lengths(notes, heard).collect()) == [("a.pdf", 4), ("b.pdf", 3)]
+
+
+def test_answers_come_in_frames_of_several(spark, monkeypatch):
+    """A frame for each answer took longer than most answers; long ones are still given back one by one."""
+    from epistola.operators import recognition
+
+    sizes, made = [], recognition.pd.DataFrame
+    monkeypatch.setattr(recognition.pd, "DataFrame", lambda rows, columns: sizes.append(len(rows)) or made(rows, columns=columns))
+    head = 'MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="G"\r\n\r\n--G\r\nContent-Type: application/pdf\r\nContent-Disposition: attachment; filename="s.pdf"\r\n\r\n'
+    batch = made({"hash": list("abcde"), "raw": [f"{head}{t}\r\n--G--\r\n".encode() for t in ("x", "", "bad", "yyyy", "z")], "wanted": [[{"filename": "s.pdf", "fingerprint": f"f{i}"}] for i in range(5)]})
+
+    class Rows:
+        """What `ask` asks of the table of mails, on one frame."""
+
+        def __getattr__(self, name):
+            return lambda *args, **kw: self
+
+        def mapInPandas(self, work, schema):
+            return list(work(iter([batch])))
+
+    def read(payload):
+        if payload == b"bad":
+            raise ValueError("bad")
+        return payload.decode(), 1
+
+    for most, want in ((100, [5]), (3, [4, 1])):
+        monkeypatch.setattr(recognition, "FRAME_CHARS", most)
+        sizes.clear()
+        got = recognition.ask(Rows(), Rows(), read, 1)
+        assert sizes == want
+        rows = [tuple(r) for frame in got for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False)]
+        assert [(r[0], r[1], r[3]) for r in rows] == [("f0", "x", None), ("f1", None, recognition.NO_TEXT), ("f2", None, "ValueError: bad"), ("f3", "yyyy", None), ("f4", "z", None)]
