@@ -1,14 +1,14 @@
 """Collocations of two and three words, by counts in arrays that a minimal perfect hash addresses.
 
 A phrase that is frequent has only frequent parts, so candidates are narrowed before they are counted. First all words and
-phrases are counted roughly, in cells of hashes; a cell holds at least what any phrase in it has. Then every phrase is named whose
+phrases are counted roughly, in cells of hashes; a cell holds at least what any phrase in it has. Then every phrase is counted whose
 own cell and whose parts' cells reach the least count: that is a candidate. Tasks hand on the hashes of those that they have, with
-the least number of a document that holds each, its owner. Hashes are dealt to blocks, and each block gets a minimal perfect
-hash with its keys and owners beside it: a phrase that is no candidate falls on some slot too, and is told by the key there.
+how often they have each and the least number of a document that holds it, its owner. Hashes are dealt out, and those that are
+frequent in all go to blocks: each gets a minimal perfect hash with its keys beside it, and an array of counts by its slots.
 
-Tasks count a block's phrases in an array and hand pieces of it on; pieces are summed in two turns. The words of a phrase are told
-by its owner alone. What the parts of a phrase count is read from the same arrays. No table of phrases is dealt out for
-counting, only arrays, and no task holds more than one block.
+The words of a phrase are told by its owner alone, so only documents that own one are dealt out. What the parts of a phrase count is
+asked of the block that they are in, and all that is asked of a block goes there at once: each is opened by few tasks, however many words
+there are. No table of phrases is dealt out for counting, only arrays, and no task holds more than one block.
 """
 
 from __future__ import annotations
@@ -22,51 +22,81 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DecimalType
 
 from epistola.llm import _files
-from epistola.llm._store import Cache, drop, keep, new_dir, partitions, texts, worker_cache
+from epistola.llm._store import Filter, drop, keep, new_dir, partitions, texts, worker_cache
 
 #: The least count of a candidate, the words of the longest, the rows of a language, and the share of a longer phrase, in hundredths, from which it stands for its parts.
 LEAST, LONGEST, ROWS, COVERED = 10, 3, 2000, 50
 #: Cells of the rough counts, least and most, as powers of two; cells of a piece of them; words that are looked at together.
 CELLS_LEAST, CELLS_MOST, PIECE, CHUNK = 16, 28, 1 << 16, 1 << 20
-#: Keys of a block of candidates, slots of a piece of its counts, and groups in which pieces are summed in the first turn.
-BLOCK, SLOTS, FAN = 1 << 21, 1 << 14, 16
+#: Keys of a block of candidates, and groups of a language's rows in which they are ranked first.
+BLOCK, FAN = 1 << 21, 64
 #: Bits of a level of the hash for each key still without a slot, and levels at most.
 SPARE, LEVELS = 2, 48
-_CUT = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of texts that are cut into words at once, and of a word that is hashed by its bytes' places.
+SLICE, LETTERS = 2 << 20, 64
+_LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: 0 a letter of a word, 1 a blank, 2 the end of a piece.
+_KIND = np.array([2 if b in b".,;:!?\n\x0b\x0c\r" else 1 if b in b" \t" else 0 for b in range(256)], np.uint8)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def cut(text: str | None) -> list[bytes]:
-    """The words of a text in order, and `.` between its pieces; none of a null."""
-    return (text or "").encode("utf-8", "replace").translate(_CUT).replace(b".", b" . ").split()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _FACTORS[3]
+    return x ^ (x >> np.uint64(29))
 
 
-def word_hash(word: bytes, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=seed) or 1
+def language_hash(lang: str, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode(), seed=seed + 1)
 
 
-class _Hashes(Cache):
-    """Hashes of words; the end of a piece is 0, and no word is."""
+class Words:
+    """The words of some documents in order: their hashes, their pieces, and where they stand in the documents' lower-cased bytes."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, seed: int):
+        """data: the texts' bytes one after the other; ends: where each ends."""
+        kind, self.data = _KIND[data], _LOW[data]
+        inside = kind == 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        begins = np.concatenate([[0], ends[:-1]])
+        begins = begins[begins < len(data)]
+        first[begins] = inside[begins]
+        self.starts = np.flatnonzero(first)
+        self.doc = np.searchsorted(ends, self.starts, side="right")
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts] + self.doc
+        self.sizes = np.add.reduceat(inside, self.starts, dtype=np.int32) if len(self.starts) else np.empty(0, np.int32)
+        self.hashes = self._hashed(self.data[inside], seed)
+
+    def _hashed(self, letters: np.ndarray, seed: int) -> np.ndarray:
+        """Sums of a number drawn for each letter at each place of a word; longer words are hashed one by one."""
+        if not len(letters):
+            return np.empty(0, np.uint64)
+        drawn = worker_table(seed)
+        begins = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        at = np.minimum(np.arange(len(letters), dtype=np.int32) - np.repeat(begins, self.sizes), LETTERS - 1)
+        out = np.add.reduceat(drawn[(at << 8) | letters], begins)
+        for i in np.flatnonzero(self.sizes > LETTERS).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(letters[begins[i] : begins[i] + self.sizes[i]].tobytes(), seed=seed)
+        return out
 
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed, self[b"."] = seed, 0
+    def told(self, at: int, n: int) -> str:
+        """n words from one on, with a blank between."""
+        return b" ".join(self.data[a : a + size].tobytes() for a, size in zip(self.starts[at : at + n].tolist(), self.sizes[at : at + n].tolist())).decode("utf-8", "replace")
 
-    def clear(self) -> None:
-        super().clear()
-        self[b"."] = 0
 
-    def __missing__(self, word: bytes) -> int:
-        return self.put(word, word_hash(word, self.seed))
+_tables: dict[int, np.ndarray] = {}
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _FACTORS[3]
-    return x ^ (x >> np.uint64(29))
+def worker_table(seed: int) -> np.ndarray:
+    """A number for each letter at each place of a word: 128 KB."""
+    if seed not in _tables:
+        _tables.clear()
+        _tables[seed] = np.random.default_rng(seed).integers(0, 1 << 64, LETTERS << 8, np.uint64)
+    return _tables[seed]
 
 
 def phrases(words: np.ndarray, langs: np.ndarray, n: int) -> np.ndarray:
-    """The hash of n words from each place on, with their language. Ends of pieces are words here."""
+    """The hash of n words from each place on, with their language; words of other pieces too."""
     size = max(0, len(words) - n + 1)
     total = langs[:size] + np.uint64(n)
     for k in range(n):
@@ -75,101 +105,133 @@ def phrases(words: np.ndarray, langs: np.ndarray, n: int) -> np.ndarray:
     return _mixed(total)
 
 
-def whole(words: np.ndarray, n: int) -> np.ndarray:
-    """Whether no piece ends within n words from each place on."""
-    size = max(0, len(words) - n + 1)
-    ok = np.ones(size, bool)
-    for k in range(n):
-        ok &= words[k : k + size] != 0
-    return ok
-
-
-def language_hash(lang: str, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode(), seed=seed + 1)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]]:
-    """Of rows (lang, text), some at a time: words with ends of pieces, their hashes, their languages' hashes, the languages, which of them each word has, and the numbers of their documents, of 32 bits."""
-    hashes = worker_cache(("collocations", seed), lambda: _Hashes(seed))
-    words: list[bytes] = []
-    langs: list[str] = []
-    lengths: list[int] = []
-    numbers: list[int] = []
-
-    def made():
-        known = sorted(set(langs))
-        number = {x: i for i, x in enumerate(known)}
-        which = np.repeat(np.array([number[x] for x in langs], np.int32), lengths)
-        of = np.array([language_hash(x, seed) for x in known], np.uint64)
-        return words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), of[which], known, which, np.repeat(np.array(numbers, np.uint32), lengths)
-
+def whole(piece: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words from each place on are in one piece."""
+    size = max(0, len(piece) - n + 1)
+    return piece[:size] == piece[n - 1 : n - 1 + size]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows from, rows to, the bytes of their texts (the second column) and where each ends, some at a time."""
+    column = batch.column(1).cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE, side="right")) - 1)
+        yield start, stop, data[ends[start] : ends[stop]], ends[start + 1 : stop + 1] - ends[start]
+        start = stop
+
+
+class Chunk:
+    """Words of many documents: hashes, pieces, hashes of languages, which of the `known` languages each is in, and numbers of documents, of 32 bits."""
+
+    def __init__(self, held: list[tuple[Words, list[str], np.ndarray]], seed: int):
+        self.held, pieces, last = [w for w, _, _ in held], [], 0
+        self.known = sorted({x for _, langs, _ in held for x in langs})
+        number, of = {x: i for i, x in enumerate(self.known)}, np.array([language_hash(x, seed) for x in self.known], np.uint64)
+        for w, _, _ in held:
+            pieces.append(w.piece + last)
+            last = int(pieces[-1][-1]) + 1 if len(w.piece) else last  # texts do not run on
+        self.words, self.piece = np.concatenate([w.hashes for w in self.held]), np.concatenate(pieces)
+        self.which = np.concatenate([np.array([number[x] for x in langs], np.int32)[w.doc] for w, langs, _ in held])
+        self.langs, self.numbers = of[self.which], np.concatenate([n[w.doc] for w, _, n in held])
+        self.first = np.cumsum([0, *(len(w.hashes) for w in self.held)])
+
+    def told(self, at: np.ndarray, n: int) -> list[str]:
+        """The n words from each of some places on."""
+        of = np.searchsorted(self.first, at, side="right") - 1
+        return [self.held[k].told(i, n) for k, i in zip(of.tolist(), (at - self.first[of]).tolist())]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[Chunk, list[pa.Array]]]:
+    """Of rows (lang, text, number, more), CHUNK words at a time, and with them what their rows have more."""
+    held, more, size = [], [], 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            own = cut(text)
-            own.append(b".")
-            words += own
-            langs.append(lang)
-            lengths.append(len(own))
-            numbers.append(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) >> 32)
-            if len(words) >= CHUNK:
-                yield made()
-                words, langs, lengths, numbers = [], [], [], []
-    if words:
-        yield made()
+        langs, numbers = batch.column(0).to_pylist(), batch.column(2).to_numpy().astype(np.uint32)
+        for start, stop, data, ends in _slices(batch):
+            held.append((Words(data, ends, seed), langs[start:stop], numbers[start:stop]))
+            more += [c.slice(start, stop - start) for c in batch.columns[3:]]
+            size += len(held[-1][0].hashes)
+            if size >= CHUNK:
+                yield Chunk(held, seed), more
+                held, more, size = [], [], 0
+    if size:
+        yield Chunk(held, seed), more
 
 
 def _cell(hashes: np.ndarray, power: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - power)).astype(np.int64)
+    return (hashes >> np.uint64(64 - power)).astype(np.uint32)
 
 
 def _rough(docs: DataFrame, powers: list[int], seed: int) -> DataFrame:
-    """Rows (level, piece, data) of rough counts up to 255 in a task's chunks, and rows (lang, n) of its words."""
+    """Rows (level, piece, data) of the cells that a task's words are in, with rough counts up to 255, and rows (lang, n) of its words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
+        codec, held = pa.Codec("zstd"), []
         names = ["level", "piece", "data", "lang", "n"]
-        for _, words, langs, known, which, _ in _chunks(batches, seed):
-            for n, power in enumerate(powers, 1):
-                cells = np.sort(_cell(phrases(words, langs, n)[whole(words, n)], power))
-                pieces = cells // PIECE
-                ends = np.flatnonzero(np.diff(pieces, append=-1)) + 1
-                at = [int(pieces[e - 1]) for e in ends]
-                data = [codec.compress(np.minimum(np.bincount(cells[a:b] % PIECE, minlength=PIECE), 255).astype(np.uint8).tobytes(), asbytes=True) for a, b in zip([0, *ends[:-1]], ends)]
-                none = pa.nulls(len(at))
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(data, pa.binary()), none.cast(pa.string()), none.cast(pa.int64())], names)
-            none = pa.nulls(len(known))
-            n = np.bincount(which[words != 0], minlength=len(known))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(known), pa.array(n, pa.int64())], names)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for n in range(1, len(powers) + 1):
+                cells = np.sort(np.concatenate([x[n - 1] for x in held]))
+                at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+                counts, cells = np.minimum(np.diff(np.append(at, len(cells))), 255).astype(np.uint8), cells[at]
+                ends = np.flatnonzero(np.diff(cells // PIECE, append=np.uint32(1 << 31))) + 1
+                data = [_cells_packed(codec, cells[a:b] % PIECE, counts[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+                none = pa.nulls(len(ends))
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(ends), pa.int32()), pa.array((cells[ends - 1] // PIECE).astype(np.int32)), pa.array(data, pa.binary()), none.cast(pa.string()), none.cast(pa.int64())], names)
+            held.clear()
+
+        for chunk, _ in _chunks(batches, seed):
+            held.append([_cell(phrases(chunk.words, chunk.langs, n)[whole(chunk.piece, n)], power) for n, power in enumerate(powers, 1)])
+            if len(held) == 4:
+                yield from told()
+            none = pa.nulls(len(chunk.known))
+            n = np.bincount(chunk.which, minlength=len(chunk.known))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(chunk.known, pa.string()), pa.array(n, pa.int64())], names)
+        if held:
+            yield from told()
 
     return docs.mapInArrow(count, "level int, piece int, data binary, lang string, n long")
 
 
-def _summed(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """For each piece one bit a cell: whether its rough counts, summed in two turns, reach the least."""
+def _cells_packed(codec: pa.Codec, cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Different cells of a piece in order, as differences, and their counts: as long as there are cells, not as the piece."""
+    steps = np.diff(cells.astype(np.uint16), prepend=np.uint16(0))
+    plain = (steps & 255).astype(np.uint8).tobytes() + (steps >> 8).astype(np.uint8).tobytes() + counts.tobytes()
+    return len(cells).to_bytes(4, "little") + codec.compress(plain, asbytes=True)
+
+
+def _cells_unpacked(codec: pa.Codec, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    plain = np.frombuffer(codec.decompress(data[4:], decompressed_size=3 * n, asbytes=True), np.uint8).reshape(3, n)
+    return np.cumsum(plain[0] + plain[1].astype(np.int32) * 256), plain[2]
+
 
-    def add(bits: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec, now, total = pa.Codec("zstd"), None, np.zeros(PIECE, np.uint16)
+def _summed(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """For each piece one bit a cell: whether its rough counts reach the least. A piece has one row from each few chunks."""
 
-            def told() -> pa.RecordBatch:
-                data = np.packbits(total >= least).tobytes() if bits else codec.compress(total.astype(np.uint8).tobytes(), asbytes=True)
-                return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in now], pa.array([data], pa.binary())], [*keys, "data"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, now, total = pa.Codec("zstd"), None, np.zeros(PIECE, np.uint16)
 
-            for batch in batches:
-                for *key, data in zip(*[c.to_pylist() for c in batch.columns]):
-                    if key != now:
-                        if now is not None:
-                            yield told()
-                        now, total = key, np.zeros(PIECE, np.uint16)
-                    total = np.minimum(total + np.frombuffer(codec.decompress(data, decompressed_size=PIECE, asbytes=True), np.uint8), 255).astype(np.uint16)
-            if now is not None:
-                yield told()
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in now], pa.array([np.packbits(total >= least).tobytes()], pa.binary())], [*keys, "data"])
 
-        return run
+        for batch in batches:
+            for *key, data in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != now:
+                    if now is not None:
+                        yield told()
+                    now, total = key, np.zeros(PIECE, np.uint16)
+                cells, counts = _cells_unpacked(codec, data)
+                total[cells] = np.minimum(total[cells] + counts, 255)
+        if now is not None:
+            yield told()
 
-    n, schema = partitions(rows.sparkSession), ", ".join(f"{k} int" for k in keys) + ", data binary"
-    first = rows.withColumn("_turn", F.pmod(F.xxhash64("data"), F.lit(FAN))).repartition(n, *keys, "_turn").sortWithinPartitions(*keys).select(*keys, "data").mapInArrow(add(False), schema)
-    return first.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "data").mapInArrow(add(True), schema)
+    dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).select(*keys, "data")
+    return dealt.mapInArrow(add, ", ".join(f"{k} int" for k in keys) + ", data binary")
 
 
 class Sieve:
@@ -185,15 +247,15 @@ class Sieve:
         cells = _cell(hashes, self.powers[n - 1])
         return (self.bits[n - 1][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
 
-    def candidates(self, words: np.ndarray, langs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def candidates(self, chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For one word, two and three: places where a phrase begins that may be frequent, as all its parts may, and the hashes there."""
         before = None
         for n in range(1, len(self.powers) + 1):
-            own = whole(words, n)
+            own = whole(chunk.piece, n)
             if before is not None:
                 own &= before[: len(own)] & before[1 : len(own) + 1]
             at = np.flatnonzero(own)
-            hashes = phrases(words, langs, n)[at]
+            hashes = phrases(chunk.words, chunk.langs, n)[at]
             ok = self.passes(hashes, n)
             at, hashes = at[ok], hashes[ok]
             before = np.zeros(len(own), bool)
@@ -201,33 +263,40 @@ class Sieve:
             yield n, at, hashes
 
 
-def _owned(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different hashes in order, each with its least owner."""
+#: Candidates: hashes, owners, words and counts.
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _owned(held: list[Counted]) -> Counted:
+    """Different hashes in order, each with its least owner and the sum of its counts."""
+    hashes, owners, sizes, counts = (np.concatenate(x) for x in zip(*held))
+    if not len(hashes):
+        return hashes, owners, sizes, counts
     order = np.argsort(hashes)
-    hashes, owners = hashes[order], owners[order]
-    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
-    return hashes[starts], np.minimum.reduceat(owners, starts) if len(starts) else owners
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[starts], np.minimum.reduceat(owners[order], starts), sizes[order[starts]], np.add.reduceat(counts[order], starts)
 
 
 def _seen(docs: DataFrame, shared, bits: int, seed: int) -> DataFrame:
-    """Rows (bucket, data) of a task's candidates, by the first bits of their hashes: hashes in order as differences, and owners."""
+    """Rows (bucket, data) of a task's candidates, by the first bits of their hashes, with owners and counts."""
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, codec, held, size = shared.value, pa.Codec("zstd"), [], 0
 
         def told() -> pa.RecordBatch:
-            hashes, owners = _owned(*(np.concatenate(x) for x in zip(*held)))
-            buckets = _block_of(hashes, bits)
+            found = _owned(held)
+            buckets = _block_of(found[0], bits)
             ends = np.flatnonzero(np.diff(buckets, append=-1)) + 1
-            data = [_packed(codec, hashes[a:b], owners[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+            data = [_packed(codec, *(x[a:b] for x in found)) for a, b in zip([0, *ends[:-1]], ends)]
             return pa.RecordBatch.from_arrays([pa.array([int(buckets[e - 1]) for e in ends], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
-        for _, words, langs, _, _, numbers in _chunks(batches, seed):
-            for _, at, hashes in sieve.candidates(words, langs):
-                held.append(_owned(hashes, numbers[at]))
+        for chunk, _ in _chunks(batches, seed):
+            for n, at, hashes in sieve.candidates(chunk):
+                held.append(_owned([(hashes, chunk.numbers[at], np.full(len(at), n, np.uint8), np.ones(len(at), np.int64))]))
                 size += len(held[-1][0])
             if size > 2 * CHUNK:
-                held = [_owned(*(np.concatenate(x) for x in zip(*held)))]
+                held = [_owned(held)]
                 size = len(held[0][0])
                 if size > 2 * CHUNK:
                     yield told()
@@ -238,43 +307,45 @@ def _seen(docs: DataFrame, shared, bits: int, seed: int) -> DataFrame:
     return docs.mapInArrow(see, "bucket int, data binary")
 
 
-def _packed(codec: pa.Codec, hashes: np.ndarray, owners: np.ndarray) -> bytes:
-    """How many there are, then bytes of one weight beside one another, as the high ones of differences are mostly 0."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    plain = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + owners.tobytes()
+def _packed(codec: pa.Codec, hashes: np.ndarray, owners: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> bytes:
+    """How many there are, then bytes of one weight beside one another, as the high ones of differences and counts are mostly 0."""
+    beside = lambda x: x.view(np.uint8).reshape(-1, 8).T.tobytes()
+    plain = beside(np.diff(hashes, prepend=np.uint64(0))) + beside(counts) + owners.tobytes() + sizes.tobytes()
     return len(hashes).to_bytes(8, "little") + codec.compress(plain, asbytes=True)
 
 
-def _unpacked(codec: pa.Codec, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(codec: pa.Codec, data: bytes) -> Counted:
     n = int.from_bytes(data[:8], "little")
-    plain = codec.decompress(data[8:], decompressed_size=12 * n, asbytes=True)
-    steps = np.ascontiguousarray(np.frombuffer(plain, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(plain, np.uint32, n, 8 * n)
+    plain = codec.decompress(data[8:], decompressed_size=21 * n, asbytes=True)
+    wide = lambda at: np.ascontiguousarray(np.frombuffer(plain, np.uint8, 8 * n, at).reshape(8, n).T)
+    return np.cumsum(wide(0).view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(plain, np.uint32, n, 16 * n), np.frombuffer(plain, np.uint8, n, 20 * n), wide(8 * n).view(np.int64).ravel()
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """bucket, n and data of all tasks' candidates; what is held is a bucket's different ones."""
+def _merged(rows: DataFrame, least: int) -> DataFrame:
+    """bucket, n and data of what is frequent over all tasks; what is held is a bucket's different candidates."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, now, held, size, last = pa.Codec("zstd"), None, [], 0, 0
 
-        def told() -> pa.RecordBatch:
-            hashes, owners = _owned(*(np.concatenate(x) for x in zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(hashes)], pa.int64()), pa.array([_packed(codec, hashes, owners)], pa.binary())], ["bucket", "n", "data"])
+        def told() -> Iterator[pa.RecordBatch]:
+            found = _owned(held)
+            found = [x[found[3] >= least] for x in found]
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(found[0])], pa.int64()), pa.array([_packed(codec, *found)], pa.binary())], ["bucket", "n", "data"])
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 if bucket != now:
                     if held:
-                        yield told()
+                        yield from told()
                     now, held, size, last = bucket, [], 0, 0
                 held.append(_unpacked(codec, data))
                 size += len(held[-1][0])
                 if size > 2 * last + CHUNK:
-                    held = [_owned(*(np.concatenate(x) for x in zip(*held)))]
+                    held = [_owned(held)]
                     size = last = len(held[0][0])
         if held:
-            yield told()
+            yield from told()
 
     dealt = rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(merge, "bucket int, n long, data binary")
@@ -303,11 +374,11 @@ def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
 
 
 class Block:
-    """A block's hash: slots of keys, which of them are its own, and the owner of each."""
+    """A block's hash: slots of keys, which of them are its own, and the count of each."""
 
-    def __init__(self, levels: list[np.ndarray], keys: np.ndarray, owners: np.ndarray | None = None):
+    def __init__(self, levels: list[np.ndarray], keys: np.ndarray, counts: np.ndarray | None = None):
         self.levels, self.keys = levels, keys
-        self.owners = np.zeros(len(keys), np.uint32) if owners is None else owners
+        self.counts = np.zeros(len(keys), np.int64) if counts is None else counts
         self.before, n = [], 0  # of each byte of a level, the keys before it
         for bits in levels:
             own = np.cumsum(np.bitwise_count(bits), dtype=np.int64)
@@ -321,11 +392,16 @@ class Block:
         for size in sizes:
             levels.append(np.frombuffer(data, np.uint8, size, at))
             at += size
-        n = (len(data) - at) // 12
-        return cls(levels, np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint32, n, at + 8 * n))
+        n = (len(data) - at) // 16
+        return cls(levels, np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.int64, n, at + 8 * n))
 
     def data(self) -> bytes:
-        return np.array([len(self.levels), *map(len, self.levels)], np.int64).tobytes() + b"".join(x.tobytes() for x in self.levels) + self.keys.tobytes() + self.owners.tobytes()
+        return np.array([len(self.levels), *map(len, self.levels)], np.int64).tobytes() + b"".join(x.tobytes() for x in self.levels) + self.keys.tobytes() + self.counts.tobytes()
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """What each key counts, by its slot; 0 for one that is not in the block."""
+        slots = self.slots(keys)
+        return np.where(slots >= 0, self.counts[slots], 0)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for one that is not in the block: its slot holds another."""
@@ -351,16 +427,6 @@ def _block_of(hashes: np.ndarray, power: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(hashes), np.int64)
 
 
-def _by_block(hashes: np.ndarray, power: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each block with the places of its hashes."""
-    blocks = _block_of(hashes, power)
-    order = np.argsort(blocks, kind="stable")
-    ends = np.flatnonzero(np.diff(blocks[order], append=-1)) + 1
-    for a, b in zip([0, *ends[:-1]], ends):
-        if b > a:
-            yield int(blocks[order[a]]), order[a:b]
-
-
 def _hash_blocks(merged: DataFrame, bits: int, power: int, folder: str) -> None:
     """Writes a file for each block. A block is about BLOCK keys, as hashes spread evenly."""
 
@@ -368,10 +434,9 @@ def _hash_blocks(merged: DataFrame, bits: int, power: int, folder: str) -> None:
         codec, now, held = pa.Codec("zstd"), None, []
 
         def told() -> pa.RecordBatch:
-            keys, owners = (np.concatenate(x) for x in zip(*held))
+            keys, counts = (np.concatenate(x) for x in zip(*held))
             block = Block(*build_hash(keys))
-            block.owners = np.empty(len(keys), np.uint32)
-            block.owners[block.slots(keys)] = owners
+            block.counts[block.slots(keys)] = counts
             _files.put(folder, f"block-{now}", [block.data()])
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], ["block"])
 
@@ -381,7 +446,7 @@ def _hash_blocks(merged: DataFrame, bits: int, power: int, folder: str) -> None:
                     yield told()
                     held = []
                 now = number
-                held.append(_unpacked(codec, data))
+                held.append(_unpacked(codec, data)[::3])
         if held:
             yield told()
 
@@ -390,162 +455,73 @@ def _hash_blocks(merged: DataFrame, bits: int, power: int, folder: str) -> None:
     keep(dealt.mapInArrow(make, "block int"), "blocks")
 
 
-def _count(docs: DataFrame, shared, power: int, folder: str, seed: int) -> DataFrame:
-    """Rows (block, piece, data, size) of what a task has counted in the slots of a piece, and rows (hash, lang, words, phrase) of candidates whose owner it has."""
-    names = ["block", "piece", "data", "size", "hash", "lang", "words", "phrase"]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.string()]
-
-    def rows(columns: list) -> pa.RecordBatch:
-        n = len(next(c for c in columns if c is not None))
-        return pa.RecordBatch.from_arrays([pa.nulls(n).cast(kind) if c is None else pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
+def _owners(merged: DataFrame) -> DataFrame:
+    """number and own: for each document that has to tell some, the hashes of frequent phrases and their counts. There are no more than it has phrases."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, codec, counts = shared.value, pa.Codec("zstd"), {}
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for data in texts(batch.column(0)):
+                hashes, owners, sizes, counts = _unpacked(codec, data)
+                long = sizes > 1
+                yield pa.RecordBatch.from_arrays([pa.array(owners[long].astype(np.int64)), pa.array(hashes[long].view(np.int64)), pa.array(counts[long])], ["number", "hash", "a"])
 
-        def told() -> Iterator[pa.RecordBatch]:
-            for b, own in counts.items():
-                pieces = [i for i in range(0, len(own), SLOTS) if own[i : i + SLOTS].any()]
-                data = [codec.compress(own[i : i + SLOTS].tobytes(), asbytes=True) for i in pieces]
-                yield rows([[b] * len(pieces), [i // SLOTS for i in pieces], data, [min(SLOTS, len(own) - i) for i in pieces], None, None, None, None])
-            counts.clear()
-
-        named = np.empty(0, np.uint64)
-        for text, words, langs, known, which, numbers in _chunks(batches, seed):
-            found = list(sieve.candidates(words, langs))
-            hashes, at = np.concatenate([x[2] for x in found]), np.concatenate([x[1] for x in found])
-            sizes = np.repeat(np.array([x[0] for x in found], np.int32), [len(x[1]) for x in found])
-            for b, inside in _by_block(hashes, power):
-                if b not in counts and counts:  # one block is held at a time
-                    yield from told()
-                block = _open(folder, b)
-                slots = block.slots(hashes[inside])
-                own = np.bincount(slots[slots >= 0], minlength=len(block.keys))
-                counts[b] = counts[b] + own if b in counts else own
-                mine = inside[(slots >= 0) & (block.owners[slots] == numbers[at[inside]])]
-                fresh, first = np.unique(hashes[mine], return_index=True)
-                new = ~np.isin(fresh, named)
-                fresh, mine = fresh[new], mine[first[new]]
-                named = np.concatenate([named if len(named) < CHUNK else named[:0], fresh])
-                where, long = at[mine].tolist(), sizes[mine].tolist()
-                if where:
-                    yield rows([None] * 4 + [fresh.view(np.int64), [known[x] for x in which[at[mine]].tolist()], long, [b" ".join(text[a : a + n]).decode("utf-8", "replace") for a, n in zip(where, long)]])
-        yield from told()
-
-    return docs.mapInArrow(count, "block int, piece int, data binary, size int, hash long, lang string, words int, phrase string")
+    rows = merged.select("data").mapInArrow(told, "number long, hash long, a long")
+    return rows.groupBy("number").agg(F.collect_list(F.struct("hash", "a")).alias("own"))
 
 
-def _open(folder: str, block: int) -> Block:
-    """The block's hash; a worker keeps the last one that it has read."""
-    return worker_cache(("collocations-block", folder, block), lambda: Block.of(_files.read(folder, f"block-{block}")))
-
-
-def _sum_counts(rows: DataFrame, folder: str) -> None:
-    """Sums the pieces in two turns and writes each to a file."""
-
-    def add(last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec, now, total = pa.Codec("zstd"), None, None
-
-            def told() -> pa.RecordBatch:
-                if last:
-                    _files.put(folder, f"counts-{now[0]}-{now[1]}", [total.tobytes()])
-                data = b"" if last else codec.compress(total.tobytes(), asbytes=True)
-                return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([data], pa.binary()), pa.array([len(total)], pa.int32())], ["block", "piece", "data", "size"])
-
-            for batch in batches:
-                for block, piece, data, size in zip(*[c.to_pylist() for c in batch.columns]):
-                    if (block, piece) != now:
-                        if now is not None:
-                            yield told()
-                        now, total = (block, piece), np.zeros(size, np.int64)
-                    total += np.frombuffer(codec.decompress(data, decompressed_size=8 * size, asbytes=True), np.int64)
-            if now is not None:
-                yield told()
-
-        return run
-
-    n, schema, keys = partitions(rows.sparkSession), "block int, piece int, data binary, size int", ["block", "piece"]
-    first = rows.withColumn("_turn", F.pmod(F.xxhash64("data"), F.lit(FAN))).repartition(n, *keys, "_turn").sortWithinPartitions(*keys).select(*rows.columns).mapInArrow(add(False), schema)
-    second = first.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(add(True), schema)
-    keep(second, "summed")
-
-
-def _read_counts(folder: str, power: int, hashes: np.ndarray) -> np.ndarray:
-    """What keys count, by their slots; a block is read for all keys in it at once. 0 for what is no candidate."""
-    out = np.zeros(len(hashes), np.int64)
-    for b, at in _by_block(hashes, power):
-        if not _files.there(folder, f"block-{b}"):
-            continue
-        block, counts = worker_cache(("collocations-counts", folder, b), lambda: _counts(folder, b))
-        slots = block.slots(hashes[at])
-        out[at] = np.where(slots >= 0, counts[slots], 0)
-    return out
-
-
-def _counts(folder: str, number: int) -> tuple[Block, np.ndarray]:
-    """A block's hash with the counts of its slots; pieces in which nothing was counted have no file."""
-    block = Block.of(_files.read(folder, f"block-{number}"))
-    counts = np.zeros(len(block.keys), np.int64)
-    for i in range(0, len(counts), SLOTS):
-        name = f"counts-{number}-{i // SLOTS}"
-        if _files.there(folder, name):
-            counts[i : i + SLOTS] = np.frombuffer(_files.read(folder, name), np.int64)
-    return block, counts
-
-
-def _with_cuts(names: DataFrame, power: int, folder: str, least: int, seed: int) -> DataFrame:
-    """Frequent phrases of more than one word with their count and those of their two halves, or front and back parts of three words; first and last are the hashes of the two parts of one word less."""
-    schema = "lang string, words int, phrase string, hash long, a long, l1 long, r1 long, l2 long, r2 long, first long, last long"
+def _named(docs: DataFrame, seed: int) -> DataFrame:
+    """Frequent phrases of more than one word in their owners (lang, text, number, own), with their count and the hashes of their halves, or front and back parts of three words. Copies of an owner tell a phrase each."""
+    schema = "lang string, words int, phrase string, hash long, a long, l1 long, r1 long, l2 long, r2 long"
     columns = [x.split()[0] for x in schema.split(", ")]
 
-    def told(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows)
-        keys = table.column("hash").to_numpy().view(np.uint64)
-        a = _read_counts(folder, power, keys)
-        table, keys, a = table.filter(pa.array(a >= least)), keys[a >= least], a[a >= least]
-        if not len(a):
-            return
-        sizes = table.column("words").to_numpy()
-        parts = [p.encode().split(b" ") for p in table.column("phrase").to_pylist()]
-        known = {x: language_hash(x, seed) for x in set(table.column("lang").to_pylist())}
-        langs = np.array([known[x] for x in table.column("lang").to_pylist()], np.uint64)
-        words = np.zeros((LONGEST, len(a)), np.uint64)
-        own = {w: word_hash(w, seed) for w in {w for p in parts for w in p}}
-        for i, p in enumerate(parts):
-            for k, w in enumerate(p):
-                words[k, i] = own[w]
-        one = [_hash_rows(words[k : k + 1], langs) for k in range(LONGEST)]
-        two = [_hash_rows(words[k : k + 2], langs) for k in range(LONGEST - 1)]
-        long = sizes == 3
-        asked = [one[0], np.where(long, two[1], one[1]), two[0], one[2]]
-        got = np.zeros((4, len(a)), np.int64)
-        got[:2] = _read_counts(folder, power, np.concatenate(asked[:2])).reshape(2, -1)
-        if long.any():
-            got[2:, long] = _read_counts(folder, power, np.concatenate([x[long] for x in asked[2:]])).reshape(2, -1)
-        signed = lambda x: pa.array(x.view(np.int64), mask=~long)
-        arrays = [table.column("lang"), table.column("words"), table.column("phrase"), table.column("hash"), pa.array(a), *map(pa.array, got[:2]), pa.array(got[2], mask=~long), pa.array(got[3], mask=~long), signed(two[0]), signed(two[1])]
-        yield from pa.Table.from_arrays(arrays, columns).combine_chunks().to_batches(max_chunksize=50_000)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, own in _chunks(batches, seed):
+            flat = pa.chunked_array(own).combine_chunks().flatten()
+            asked, first = np.unique(flat.field("hash").to_numpy().view(np.uint64), return_index=True)
+            counts, parts = flat.field("a").to_numpy()[first], [phrases(chunk.words, chunk.langs, n) for n in range(1, LONGEST)]
+            for n in range(2, LONGEST + 1):
+                at = np.flatnonzero(whole(chunk.piece, n))
+                hashes = (parts[n - 1] if n < LONGEST else phrases(chunk.words, chunk.langs, n))[at]
+                slot = np.minimum(np.searchsorted(asked, hashes), len(asked) - 1)
+                hit = asked[slot] == hashes
+                hashes, once = np.unique(hashes[hit], return_index=True)
+                at, a = at[hit][once], counts[slot[hit][once]]
+                signed = lambda x: pa.array(x.view(np.int64))
+                none = pa.nulls(len(at)).cast(pa.int64())
+                cuts = [signed(parts[0][at]), signed(parts[n - 2][at + 1]), *([none, none] if n == 2 else [signed(parts[1][at]), signed(parts[0][at + 2])])]
+                langs = pa.array([chunk.known[x] for x in chunk.which[at].tolist()], pa.string())
+                made = [langs, pa.array(np.full(len(at), n, np.int32)), pa.array(chunk.told(at, n), pa.string()), signed(hashes), pa.array(a), *cuts]
+                yield from pa.Table.from_arrays(made, columns).to_batches(max_chunksize=50_000)
+
+    return docs.mapInArrow(name, schema)
+
+
+#: The parts of a phrase that are asked for: of its first cut and of its second.
+PARTS = ("l1", "r1", "l2", "r2")
+
+
+def _counts_of(named: DataFrame, power: int, folder: str) -> DataFrame:
+    """hash, which and f: what each part of each phrase counts. All that is asked of a block is dealt to a few tasks, which open it once."""
+    n = partitions(named.sparkSession)
+    asked = named.select("hash", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("part")) for i, c in enumerate(PARTS)])).alias("x")).select("hash", "x.which", "x.part").where("part is not null")
+    block = F.shiftrightunsigned("part", 64 - power).cast("int") if power else F.lit(0)
+    dealt = asked.withColumn("block", block).repartition(n, "block", F.pmod("hash", F.lit(max(1, -(-2 * n >> power))))).sortWithinPartitions("block")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= CHUNK // 4:
-                yield from told(held)
-                held, size = [], 0
-        if held:
-            yield from told(held)
+            blocks, parts = batch.column(3).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            f = np.zeros(len(blocks), np.int64)
+            for b in np.unique(blocks).tolist():
+                f[blocks == b] = _open(folder, b).count(parts[blocks == b])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f)], ["hash", "which", "f"])
 
-    return names.select("hash", "lang", "words", "phrase").mapInArrow(run, schema)
+    return dealt.select("hash", "which", "part", "block").mapInArrow(read, "hash long, which int, f long")
 
 
-def _hash_rows(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
-    """The same hash as that of phrases, of words that lie in rows."""
-    total = langs + np.uint64(len(words))
-    for k, own in enumerate(words):
-        total = total + (own ^ (own >> np.uint64(29))) * _FACTORS[k]
-    return _mixed(total)
+def _open(folder: str, block: int) -> Block:
+    """A block; a worker keeps the last one that it has read."""
+    return worker_cache(("collocations", folder, block), lambda: Block.of(_files.read(folder, f"block-{block}")))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -568,7 +544,8 @@ def collocations(docs: DataFrame, least: int = LEAST, rows: int = ROWS, lang_col
     if not 1 <= least <= 255:
         raise ValueError("the least count is one of 1 to 255: rough counts go no further")
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    number = F.shiftrightunsigned(F.xxhash64(text_col), 32)  # equal texts are one document
+    docs = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), number.alias("number"))
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     power = min(CELLS_MOST, max(CELLS_LEAST + 3, (size // 16).bit_length()))
     powers = [power - 3] + [power] * (LONGEST - 1)
@@ -579,25 +556,29 @@ def collocations(docs: DataFrame, least: int = LEAST, rows: int = ROWS, lang_col
     drop(spark, rough_path, sums_path)
     bits = max(1, power - CELLS_LEAST)
     seen, seen_path = keep(_seen(docs, shared, bits, seed), "seen")
-    merged, merged_path = keep(_merged(seen), "merged")
+    shared.unpersist()
+    merged, merged_path = keep(_merged(seen, least), "merged")
     n = merged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     drop(spark, seen_path)
     blocks, folder = min(bits, max(0, -(-n // block) - 1).bit_length()), new_dir(spark, "phrases")
     _files.make_dir(folder)
     _hash_blocks(merged, bits, blocks, folder)
-    counted, counted_path = keep(_count(docs, shared, blocks, folder, seed), "counted", "zstd")
-    _sum_counts(counted.where("block is not null").select("block", "piece", "data", "size"), folder)
-    shared.unpersist()
-    # Copies of an owner name a candidate more than once.
-    names = counted.where("words > 1").groupBy("hash").agg(*[F.min(c).alias(c) for c in ("lang", "words", "phrase")])
-    found, _ = keep(_with_cuts(names, blocks, folder, least, seed), "frequent", "zstd")
-    drop(spark, counted_path, merged_path, folder)
-    longer = found.where("words = 3").select(F.explode(F.array("first", "last")).alias("h"), F.col("a").alias("longest")).groupBy("h").agg(F.max("longest").alias("longest"))
-    left = found.join(longer, F.col("hash") == F.col("h"), "left").where((F.col("words") == 3) | F.col("longest").isNull() | (100 * F.col("longest") < COVERED * F.col("a")))
+    owners, owners_path = keep(_owners(merged), "owners", "zstd")
+    telling, _ = Filter(owners, F.col("number")).split(docs, F.col("number"))
+    named, _ = keep(_named(telling.join(owners, "number").select("lang", "text", "number", "own"), seed), "named", "zstd")
+    counts, _ = keep(_counts_of(named, blocks, folder), "parts", "zstd")
+    drop(spark, merged_path, owners_path, folder)
+    # The longest phrase of three words around one of two stands beside what its own parts count.
+    around = named.where("words = 3").select(F.explode(F.array("l2", "r1")).alias("hash"), F.lit(len(PARTS)).alias("which"), F.col("a").alias("f"))
+    beside = counts.unionByName(around).groupBy("hash").agg(*[F.max(F.when(F.col("which") == i, F.col("f"))).alias(c) for i, c in enumerate((*PARTS, "longest"))])
+    once = named.groupBy("hash").agg(*[F.min(c).alias(c) for c in ("lang", "words", "phrase", "a")])
+    left = once.join(beside, "hash").where((F.col("words") == 3) | F.col("longest").isNull() | (100 * F.col("longest") < COVERED * F.col("a")))
     left = left.withColumns({"s1": _score(F.col("a"), F.col("l1"), F.col("r1")), "s2": F.when(F.col("words") == 3, _score(F.col("a"), F.col("l2"), F.col("r2")))})
     second = F.coalesce(F.col("s2") < F.col("s1"), F.lit(False))
     pick = lambda x, y: F.when(second, F.col(y)).otherwise(F.col(x))
-    chosen = left.select("lang", "phrase", "a", pick("l1", "l2").alias("l"), pick("r1", "r2").alias("r"), pick("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    chosen = left.select("hash", "lang", "phrase", "a", pick("l1", "l2").alias("l"), pick("r1", "r2").alias("r"), pick("s1", "s2").alias("score"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # The first of a language are among the first of each group of its rows.
+    some = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("hash", F.lit(FAN))).orderBy(*order))).where(F.col("rank") <= rows)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= rows)
     return ranked.join(totals.withColumnRenamed("lang", "k"), F.col("lang") == F.col("k")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
