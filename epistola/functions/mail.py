@@ -163,8 +163,8 @@ def parse(messages: DataFrame) -> DataFrame:
     })
 
 
-def tables(parsed: DataFrame, captured: str, once: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The archive's tables from parsed rows with account, folder, uid and flags: a message once, a place once. once: a row a message, where the caller keeps such rows."""
+def tables(parsed: DataFrame, captured: str, once: DataFrame | None = None, also: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The archive's tables from parsed rows with account, folder, uid and flags: a message once, a place once. once: a row a message, where the caller keeps such rows. also: columns of a message that all tables but that of messages get too."""
     once = parsed.dropDuplicates(["hash"]) if once is None else once
     names = F.array_join(F.transform(F.filter("attached", formats.useful), lambda a: a["filename"]), " ")
     texts = F.substring(F.array_join(F.transform(F.filter("attached", lambda a: F.trim(a["text"]) != ""), lambda a: F.concat(a["filename"], F.lit("\n"), a["text"])), "\n\n"), 1, ATTACHED_MOST)
@@ -172,8 +172,8 @@ def tables(parsed: DataFrame, captured: str, once: DataFrame | None = None) -> d
     kinds = F.array(*map(of_kind, ("to", "cc", "bcc")))
     return {
         "messages": once.select("hash", "bucket", "date_text", "year", "from_addr", "from_name", "subject", "size", "has_attachments", F.lit("unbestimmt").alias("category"), "message_id", "thread", F.lit(captured).alias("captured"), "importance"),
-        "recipients": once.select("hash", F.explode(F.flatten(kinds)).alias("r")).select("hash", "r.addr", "r.kind").distinct(),
-        "locations": parsed.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("uid", "flags"), F.coalesce("uid", F.lit(2**62))).alias("l")).select("hash", "account", "folder", "l.uid", "l.flags"),
-        "attachments": once.select("hash", F.explode("attached").alias("a")).select("hash", "a.filename", formats.extension(F.col("a.filename")).alias("extension"), "a.mime_type", "a.size", F.when(F.col("a.text") != "", F.length("a.text")).otherwise(F.lit(0)).cast("long").alias("text_chars"), "a.inline", "a.kind"),
-        "texts": once.select("hash", "subject", F.concat_ws(" ", "from_name", "from_addr").alias("sender"), F.array_join(F.concat("to", "cc"), " ").alias("recipients"), "body", names.alias("attachment_names"), texts.alias("attachment_text")),
+        "recipients": once.select("hash", F.explode(F.flatten(kinds)).alias("r"), *also).select("hash", "r.addr", "r.kind", *also).distinct(),
+        "locations": parsed.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("uid", "flags"), F.coalesce("uid", F.lit(2**62))).alias("l"), *[F.first(c).alias(c) for c in also]).select("hash", "account", "folder", "l.uid", "l.flags", *also),
+        "attachments": once.select("hash", F.explode("attached").alias("a"), *also).select("hash", "a.filename", formats.extension(F.col("a.filename")).alias("extension"), "a.mime_type", "a.size", F.when(F.col("a.text") != "", F.length("a.text")).otherwise(F.lit(0)).cast("long").alias("text_chars"), "a.inline", "a.kind", *also),
+        "texts": once.select("hash", "subject", F.concat_ws(" ", "from_name", "from_addr").alias("sender"), F.array_join(F.concat("to", "cc"), " ").alias("recipients"), "body", names.alias("attachment_names"), texts.alias("attachment_text"), *also),
     }

@@ -43,10 +43,10 @@ def append(last: dict | None, operations: list[dict], ts: str) -> list[str]:
     """Lines for operations after the last entry. The chain is made by its one writer, for one batch."""
     lines, seq, prev = [], (last or {}).get("seq", 0), (last or {}).get("self", START)
     for op in operations:
-        entry = {**op, "seq": seq + 1, "ts": ts, "prev": prev}
-        entry["self"] = entry_hash(entry)
-        seq, prev = entry["seq"], entry["self"]
-        lines.append(canonical(entry))
+        # Quotes inside values are escaped, so the field is found in its place; `seq` and `ts` follow it.
+        before, _, after = canonical({**op, "seq": seq + 1, "ts": ts, "prev": prev, "self": ""}).partition('"self":"",')
+        seq, prev = seq + 1, hashlib.sha256((before + after).encode()).hexdigest()
+        lines.append(f'{before}"self":"{prev}",{after}')
     return lines
 
 
@@ -128,10 +128,10 @@ def write(operations: DataFrame, root: str, ts: str, batch: str | None = None) -
     segment. A write that is broken off leaves whole segments: see `told` for what is still to be told.
     """
     path, n, held, size = f"{root}/journal", 0, [], 0
-    for row in operations.toLocalIterator():
+    for row in operations.toLocalIterator(prefetchPartitions=True):
         op = {k: v for k, v in row.asDict(recursive=True).items() if v is not None or (row["op"] == "add" and k in ("uid", "date"))}
         held.append({**op, "batch": batch} if batch is not None else op)
-        n, size = n + 1, size + len(canonical(op)) + 200
+        n, size = n + 1, size + sum(len(k) + len(str(v)) + 6 for k, v in op.items()) + 200
         if size >= ROLL:
             commit(path, held, ts)
             held, size = [], 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -101,18 +102,18 @@ def save(rows: DataFrame, root: str, name: str) -> None:
     runs.append(rows.sparkSession, root, name, lambda path: rows.write.partitionBy(FOLDERS.get(name, "part")).parquet(path))
 
 
-#: Characters of texts that a task packs, about; buckets of an index.
-TASK_CHARS, BUCKETS = 1 << 24, 64
+#: Characters of texts that a task packs, about, in words and in pieces; buckets of an index.
+TASK_CHARS, PIECE_CHARS, BUCKETS = 1 << 24, 1 << 20, 64
 
 
 def save_indexes(texts: DataFrame, root: str) -> None:
     """Words and pieces of texts as a run each, in as many tasks as their length asks for."""
-    length = F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in TEXT_COLUMNS), F.lit(0)))
-    spark, few = texts.sparkSession, texts.coalesce(1 + (texts.agg(length).first()[0] or 0) // TASK_CHARS)
-    runs.append(spark, root, "words", lambda path: postings.build(few, path, TEXT_COLUMNS, BUCKETS))
+    length = lambda columns: F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in columns), F.lit(0)))
+    spark, (words, parts) = texts.sparkSession, texts.agg(length(TEXT_COLUMNS), length(pieces.COLUMNS)).first()
+    runs.append(spark, root, "words", lambda path: postings.build(texts.coalesce(1 + (words or 0) // TASK_CHARS), path, TEXT_COLUMNS, BUCKETS))
 
     def write(path: str) -> None:
-        pieces.build(few, path, pieces.COLUMNS, BUCKETS)
+        pieces.build(texts, path, pieces.COLUMNS, BUCKETS, 1 + (parts or 0) // PIECE_CHARS)
         # Counts are told first: without them a piece is thought to be nowhere.
         runs.append(spark, root, "piece_counts", lambda to: pieces.count(spark.read.schema(packed.stored("piece", "string")).parquet(path), to))
 
@@ -124,6 +125,34 @@ def part_of(bucket) -> object:
     return F.substring(bucket, 1, 4).cast("int")
 
 
+#: Keys at most that all tasks read; some 250 MB.
+MOST = 2_000_000
+
+
+def read_by_all(keys: DataFrame) -> DataFrame:
+    """Keys that are joined where the other rows lie if they are not more than MOST, so that those are not dealt out."""
+    return F.broadcast(keys) if keys.count() <= MOST else keys
+
+
+def lacking(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not among some, which are few or none in most batches; long rows are not dealt out then."""
+    keys = keys.distinct()
+    return rows if keys.isEmpty() else rows.join(read_by_all(keys), keys.columns, "left_anti")
+
+
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """Parsed rows, written once and read as often as needed, each time the columns that are asked for: texts are not held in memory, nor as they are on local disks. `row` numbers them."""
+    made = mail.parse(rows).withColumns({"row": F.monotonically_increasing_id(), "part": part_of("bucket")})
+    made.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def one_each(good: DataFrame) -> DataFrame:
+    """The first row of each message."""
+    first = good.groupBy("hash").agg(F.min("row").alias("first"))
+    return lacking(good, good.select("hash", "row").join(first, "hash").where("row <> first").select("row"))
+
+
 def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy.Rule] = (), batch_id: int | None = None, stream: str = "") -> dict[str, int]:
     """Appends what the archive lacks of a batch (account, folder, uid, flags, raw); returns how much of it was new.
 
@@ -134,22 +163,32 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
     """
     spark = batch.sparkSession
     after = journal.begin_batch(root, stream, batch_id) if batch_id is not None else None
-    parsed = mail.parse(batch).persist()
+    path = f"{root}/staged/{uuid.uuid4().hex}"
+    try:
+        counts = _add(spark, staged(batch, path), root, captured, rules, after, batch_id, stream)
+    finally:
+        runs.remove(spark, path)
+    if batch_id is not None:
+        journal.end_batch(root, stream, batch_id)
+    return counts
+
+
+def _add(spark: SparkSession, parsed: DataFrame, root: str, captured: str, rules: Sequence[policy.Rule], after: int | None, batch_id: int | None, stream: str) -> dict[str, int]:
     bad = parsed.where("problem is not null").select("account", "folder", "uid", "raw", "problem", F.lit(captured).alias("captured"), F.lit(0).alias("part")).join(load(spark, root, "quarantine").select("raw"), "raw", "left_anti").select(*[x.split()[0] for x in schemas.QUARANTINE.split(", ")], "part")
     good = parsed.where("problem is null")
     settle(spark, root, good)
     places = good.select("hash", "account", "folder").distinct().join(load(spark, root, "locations").select("hash", "account", "folder"), ["hash", "account", "folder"], "left_anti").persist()
-    new = good.select("hash", "bucket", "raw", "size").dropDuplicates(["hash"]).join(load(spark, root, "store").select("hash"), "hash", "left_anti")
+    once = one_each(good)
+    new = lacking(once, once.select("hash").join(load(spark, root, "store").select("hash"), "hash", "left_semi"))
     counts = {"rows": parsed.count(), "unreadable": parsed.where("problem is not null").count(), "messages": new.count(), "places": places.count()}
     if counts["unreadable"]:
         save(bad, root, "quarantine")
-    save(new.withColumn("part", part_of("bucket")), root, "store")
+    save(new.select("hash", "bucket", "raw", "size", "part"), root, "store")
 
     first = good.groupBy("hash").agg(F.min_by(F.struct("account", "folder", "from_addr", "to"), F.struct("account", "folder")).alias("f"))
     made = first.select("hash", policy.classify(list(rules), F.col("f.folder"), F.lower(F.coalesce("f.from_addr", F.lit(""))), F.array_join("f.to", " ")).alias("made")) if rules else first.select("hash", F.lit(None).cast("string").alias("made"))
     ruled = made.where("made is not null and made <> 'unbestimmt'").join(load(spark, root, "messages").select("hash"), "hash", "left_anti").persist()
-    once = good.drop("raw").dropDuplicates(["hash"]).persist()
-    tables = mail.tables(good, captured, once)
+    tables = mail.tables(good, captured, once, ("part",))
     tables["messages"] = tables["messages"].join(ruled, "hash", "left").withColumn("category", F.coalesce("made", "category")).drop("made")
 
     about = good.groupBy("hash", "account", "folder").agg(F.min_by(F.struct("bucket", "uid", "size", "date_text", "subject", "from_addr", F.size("attached").alias("attachments")), F.coalesce("uid", F.lit(2**62))).alias("a"))
@@ -166,16 +205,12 @@ def add_batch(batch: DataFrame, root: str, captured: str, rules: Sequence[policy
 
     for name in ("locations", "recipients", "attachments", "texts", "messages"):  # the message last
         key = KEYS[name] if name in ("locations", "recipients") else ["hash"]
-        rows = tables[name].join(kept(spark, root, name).select(*key), key, "left_anti")
+        rows = lacking(tables[name], tables[name].select(*key).join(kept(spark, root, name).select(*key), key, "left_semi"))
         if name == "texts":  # words before the texts they are of, so that none is left without
-            rows = rows.persist()
             save_indexes(rows, root)
-        save(rows if name == "messages" else rows.join(once.select("hash", part_of("bucket").alias("part")), "hash").select(*rows.columns, "part"), root, name)
-        rows.unpersist()
-    for held in (parsed, once, places, ruled):
+        save(rows, root, name)
+    for held in (places, ruled):
         held.unpersist()
-    if batch_id is not None:
-        journal.end_batch(root, stream, batch_id)
     return counts
 
 
@@ -206,16 +241,26 @@ def ingest(rows: DataFrame, root: str, captured: str, checkpoint: str, rules: Se
 
 def rebuild(spark: SparkSession, root: str, to: str) -> None:
     """All tables anew from the store and the journal alone, below `to`: messages that are live, at the places the journal tells, as captured then and in their last category."""
-    entries = journal.parsed(journal.read(spark, f"{root}/journal"))
+    path = f"{to}/staged/{uuid.uuid4().hex}"
+    try:
+        _rebuild(spark, root, to, path)
+    finally:
+        runs.remove(spark, path)
+
+
+def _rebuild(spark: SparkSession, root: str, to: str, path: str) -> None:
+    entries = journal.parsed(journal.read(spark, f"{root}/journal")).drop("line")
+    entries.write.parquet(f"{path}/entries")
+    entries = spark.read.schema(entries.schema).parquet(f"{path}/entries")
     live = journal.live(entries).select("hash")
     places = journal.locations(entries).join(live, "hash", "left_semi")
     captured = entries.where("op = 'add' and hash is not null").groupBy("hash").agg(F.min_by("ts", "seq").alias("told"))
-    rows = load(spark, root, "store").select("hash", "raw").join(places.select("hash", "account", "folder", "uid"), "hash").select("account", "folder", "uid", F.lit("").alias("flags"), "raw")
-    parsed = mail.parse(rows).persist()
-    tables = mail.tables(parsed, "")
+    store = load(spark, root, "store")
+    once = one_each(staged(lacking(store, store.select("hash").join(places, "hash", "left_anti")).select("raw"), f"{path}/parsed"))
+    rows = places.select("hash", "account", "folder", "uid", F.lit("").alias("flags")).join(once.select("hash", "part"), "hash")
+    tables = mail.tables(rows, "", once, ("part",))
     own = tables["messages"].drop("captured").join(captured, "hash").join(journal.categories(entries).withColumnRenamed("category", "told_category"), "hash", "left")
     tables["messages"] = own.withColumns({"captured": F.col("told"), "category": F.coalesce("told_category", "category")}).select(*tables["messages"].columns)
-    parts = parsed.select("hash", part_of("bucket").alias("part")).dropDuplicates(["hash"])
     texts = tables["texts"]
     if runs.paths(root, "notes"):
         own = {"notes": kept(spark, root, "notes").join(live, "hash", "left_semi"), "recognised": kept(spark, root, "recognised")}
@@ -224,8 +269,7 @@ def rebuild(spark: SparkSession, root: str, to: str) -> None:
         texts = heard(texts, own["notes"], own["recognised"])
     save_indexes(texts, to)
     for name, table in tables.items():
-        save(table if name == "messages" else table.join(parts, "hash").select(*table.columns, "part"), to, name)
-    parsed.unpersist()
+        save(table, to, name)
 
 
 def capture_rate(events: DataFrame, width: str, watermark: str | None = None) -> DataFrame:
