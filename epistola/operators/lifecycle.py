@@ -143,7 +143,7 @@ def compact(spark: SparkSession, root: str, purge: bool = False) -> dict[str, in
         if purge:
             for r in runs.state(root, table)["runs"]:
                 if _holds_noted(spark, root, table, r["run"], out):
-                    _start_merge(spark, root, table, [r["run"]], r["tier"])
+                    _start_merge(spark, root, table, [r["run"]], r["tier"], purge=True)
                     done[table] += 1
     return done
 
@@ -165,7 +165,7 @@ def _holds_noted(spark: SparkSession, root: str, table: str, run: str, out: Data
     rows = _run(spark, root, table, [run])
     rows = rows.select(F.explode("hashes").alias("hash")) if table in ingest.PACKED else rows.select("hash")
     changed = table == "messages" and runs.paths(root, "filed") and not rows.join(ingest.raw(spark, root, "filed").select("hash"), "hash", "left_semi").isEmpty()
-    return bool(changed) or out is not None and not rows.join(out.select("hash"), "hash", "left_semi").isEmpty()
+    return bool(changed) or out is not None and not rows.join(ingest.read_by_all(out.select("hash")), "hash", "left_semi").isEmpty()
 
 
 def _in_use(spark: SparkSession, root: str) -> DataFrame:
@@ -174,13 +174,14 @@ def _in_use(spark: SparkSession, root: str) -> DataFrame:
     return noted.unionAll(ingest.load(spark, root, "claims").select("fingerprint")).distinct()
 
 
-def _start_merge(spark: SparkSession, root: str, table: str, names: list[str], tier: int) -> None:
-    _merge(spark, root, *_begin(root, {"kind": "merge", "table": table, "from": names, "to": runs.new_run(), "tier": tier}))
+def _start_merge(spark: SparkSession, root: str, table: str, names: list[str], tier: int, purge: bool = False) -> None:
+    _merge(spark, root, *_begin(root, {"kind": "merge", "table": table, "from": names, "to": runs.new_run(), "tier": tier, "purge": purge}))
 
 
 def _merge(spark: SparkSession, root: str, name: str, what: dict) -> None:
     """Writes runs as one, in order, and puts it in their place; done again, it begins its run anew, or finds it in place."""
     table, names, to = what["table"], what["from"], f"{root}/{what['table']}/{what['to']}"
+    gone = names if what.get("purge") else []  # a purge leaves nothing to readers that have just looked
     now = runs.state(root, table)
     if what["to"] not in {r["run"] for r in now["runs"]}:
         runs.remove(spark, to)
@@ -205,20 +206,23 @@ def _merge(spark: SparkSession, root: str, name: str, what: dict) -> None:
             packed.write(rows, to, ingest.BUCKETS)
         else:
             if out is not None and table != "quarantine":
-                rows = rows.join(out.select("hash"), "hash", "left_anti").select(*rows.columns)
+                rows = ingest.lacking(rows, out.select("hash")).select(*rows.columns)
             if table == "messages" and runs.paths(root, "filed"):
                 rows = ingest.filed(rows, ingest.raw(spark, root, "filed"))
             sizes = runs.bucket_bytes(spark, [f"{root}/{table}/{n}" for n in names], part)
-            made = rows if table == "quarantine" else runs.dealt(rows, part, sizes).sortWithinPartitions(part, "hash")
+            # What is left of a single run stays in the tasks that read it.
+            made = rows if table == "quarantine" else (runs.dealt(rows, part, sizes) if len(names) > 1 else rows).sortWithinPartitions(part, "hash")
             made.write.partitionBy(part).parquet(to)
         old = now["retired"]
         try:
             runs.commit(root, table, [{"run": what["to"], "tier": what["tier"], **runs.measured(spark, to)}], names, retired=True)
         except runs.Conflict:  # another writer has merged them
             runs.remove(spark, to)
-            old = []
+            old = gone = []
         for run in old:
             runs.remove(spark, f"{root}/{table}/{run}")
+    for run in gone:
+        runs.remove(spark, f"{root}/{table}/{run}")
     _end(root, name)
 
 
